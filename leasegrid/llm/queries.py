@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, sharding, simhash, topk
+from . import chat, decontaminate, langid, packing, quality, sharding, simhash, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -97,11 +102,23 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = langid.identify(docs, langid.learn(docs.where(remainder(5) != 0)))
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, folder, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    out = quality.score(docs, quality.fit(docs, labels.where(remainder(4) != 2)))
+    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"), 24)
 
@@ -111,7 +128,9 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_chat": op3_chat,
     "op4_topk": op4_topk,
+    "op5_language": op5_language,
     "op7_simhash": op7_simhash,
     "op8_shards": op8_shards,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL}
