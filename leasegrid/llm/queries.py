@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, quality, sharding, simhash, topk
+from . import chat, decontaminate, langid, lm, packing, quality, sharding, simhash, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -108,6 +108,11 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_lm(spark: SparkSession, folder: str) -> DataFrame:
+    out = lm.score(table(spark, folder, "documents"), remainder(7) != 2)
+    return out.withColumn("held_out", remainder(7) == 2)
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, folder, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -129,6 +134,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_topk": op4_topk,
     "op5_language": op5_language,
+    "op6_lm": op6_lm,
     "op7_simhash": op7_simhash,
     "op8_shards": op8_shards,
     "op10_quality": op10_quality,
