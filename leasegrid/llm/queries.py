@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lm, packing, quality, sharding, simhash, topk
+from . import chat, decontaminate, langid, lm, packing, quality, sharding, simhash, suffix, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -118,6 +118,14 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix.dedup(table(spark, folder, "documents"))
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        (F.size("removed") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     out = quality.score(docs, quality.fit(docs, labels.where(remainder(4) != 2)))
@@ -137,6 +145,7 @@ QUERIES = {
     "op6_lm": op6_lm,
     "op7_simhash": op7_simhash,
     "op8_shards": op8_shards,
+    "op9_suffix": op9_suffix,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL}
