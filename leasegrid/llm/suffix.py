@@ -267,43 +267,49 @@ def compare(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"b": pa.array([blocks[k] for k in used], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
-def remove(key: tuple, table: pa.Table, covered: pa.Table) -> pa.Table:
+def remove(carried: list[str], as_text: bool):
     """Block and covered spans -> each row's removed spans and what is left of its bytes."""
-    block = Block(table)
-    delta = np.zeros(len(block.data) + 1, np.int32)
-    for blob in covered.column("blob").to_pylist():
-        row, s, e = unpack(blob)
-        base = block.offsets[row]
-        np.add.at(delta, base + s, 1)
-        np.add.at(delta, base + e, -1)
-    gone = np.cumsum(delta[:-1]) > 0
-    starts, ends = spans(gone, block.offsets)
-    row = np.searchsorted(block.offsets, starts, "right") - 1
-    kept = block.data[~gone].tobytes()
-    bound = np.r_[0, np.cumsum(~gone)][block.offsets].tolist()
-    relative = np.stack([starts, ends], 1) - block.offsets[row][:, None]
-    cuts = np.searchsorted(row, np.arange(len(block.ids) + 1))
-    return pa.table(
-        {
+
+    def run(key: tuple, table: pa.Table, covered: pa.Table) -> pa.Table:
+        block = Block(table)
+        delta = np.zeros(len(block.data) + 1, np.int32)
+        for blob in covered.column("blob").to_pylist():
+            row, s, e = unpack(blob)
+            base = block.offsets[row]
+            np.add.at(delta, base + s, 1)
+            np.add.at(delta, base + e, -1)
+        gone = np.cumsum(delta[:-1]) > 0
+        starts, ends = spans(gone, block.offsets)
+        row = np.searchsorted(block.offsets, starts, "right") - 1
+        left = block.data[~gone].tobytes()
+        bound = np.r_[0, np.cumsum(~gone)][block.offsets].tolist()
+        kept = [left[s:e] for s, e in zip(bound[:-1], bound[1:], strict=True)]
+        relative = np.stack([starts, ends], 1) - block.offsets[row][:, None]
+        cuts = np.searchsorted(row, np.arange(len(block.ids) + 1))
+        own = {
             "doc_id": pa.array([None if i == LAST else i for i in block.ids.tolist()], pa.int64()),
             "n_bytes": pa.array(np.diff(block.offsets)),
             "removed": pa.ListArray.from_arrays(pa.array((2 * cuts).astype(np.int32)), pa.array(relative.ravel())),
-            "kept": pa.array([kept[s:e] for s, e in zip(bound[:-1], bound[1:], strict=True)], pa.binary()),
+            "kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
         }
-    )
+        others = table.select(carried).take(pa.array(block.order, pa.int64()))
+        return pa.table(own | {c: others.column(c) for c in carried})
+
+    return run
 
 
-def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, removed and kept of every row: removed lists start and end of the maximal runs
     of bytes that a 50-byte string covers which also starts in a row with a smaller id; kept is the
-    remaining bytes.
+    remaining bytes, or with as_text the whole characters among them. carry names one more column to return.
 
     Strings are judged on the input, so the first copy stays whole. Null texts are empty and texts
     under 50 bytes lose nothing. Rows of one id do not remove from each other; a null id is larger
     than all others. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    carried = [] if carry is None else ["carried"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(carry).alias("carried")] if carried else []))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(tasks(spark), -(-size // block_bytes))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
@@ -314,4 +320,7 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, heavy: int = HEAVY, i
     # What needs no comparing is dealt by block, as if each block had a bucket of its own for it.
     sent = sent.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.col("b")).otherwise(F.col("bucket")))
     covered = sent.groupBy("bucket").applyInArrow(compare, "b long, blob binary")
-    return by_block.cogroup(covered.groupBy("b")).applyInArrow(remove, "doc_id long, n_bytes long, removed array<long>, kept binary")
+    schema = f"doc_id long, n_bytes long, removed array<long>, kept {'string' if as_text else 'binary'}"
+    if carried:
+        schema += f", carried {rows.schema['carried'].dataType.simpleString()}"
+    return by_block.cogroup(covered.groupBy("b")).applyInArrow(remove(carried, as_text), schema)
