@@ -30,6 +30,8 @@ MATCH, GRAM = 50, 24
 BLOCK_BYTES = 8 << 20
 #: A minimizer of this many documents is split: its windows are sent one by one, each to its own bucket.
 HEAVY = 1 << 15
+#: What reaches a bucket is put in suffix order in so many parts, each of whole minimizers.
+PARTS = 16
 _ODD = 0x9E3779B97F4A7C15
 LAST = np.iinfo(np.int64).max
 
@@ -181,12 +183,12 @@ def send(shards: int, buckets: int):
                 mark[shard == s] = unpack(blob)[0]
             mark = mark[np.searchsorted(distinct, mins)]
             shared = mark > 0
-            first, last, row, bucket, mark = first[shared], last[shared], row[shared], mix(mins[shared]) % np.uint64(buckets), mark[shared]
+            first, last, row, bucket, mark = first[shared], last[shared], row[shared], mix(mins[shared]) % np.uint64(PARTS * buckets), mark[shared]
             split = mark > 1
             if split.any():  # window by window
                 n = (last - first)[split]
                 window = np.repeat(first[split] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                home = span_hashes(block.data, window, window + MATCH) % np.uint64(buckets)
+                home = span_hashes(block.data, window, window + MATCH) % np.uint64(PARTS * buckets)
                 first, last, row = np.r_[first[~split], window], np.r_[last[~split], window + 1], np.r_[row[~split], np.repeat(row[split], n)]
                 bucket = np.r_[bucket[~split], home]
             end = last + MATCH - 1
@@ -200,11 +202,11 @@ def send(shards: int, buckets: int):
                 out.append((-1, pack(row[later].astype(np.int32), begin[later].astype(np.int32), (begin + end - first)[later].astype(np.int32))))
             keep = np.flatnonzero(~later)
             keep = keep[np.argsort(bucket[keep], kind="stable")]
-            used, cut = np.unique(bucket[keep], return_index=True)
+            used, cut = np.unique(bucket[keep] // np.uint64(PARTS), return_index=True)
             for k, s, e in zip(used.tolist(), cut.tolist(), [*cut[1:].tolist(), len(keep)], strict=True):
                 own = keep[s:e]
                 text = np.concatenate([block.data[x:y] for x, y in zip(first[own].tolist(), end[own].tolist(), strict=True)])
-                out.append((k, pack(block.ids[row[own]], row[own].astype(np.int32), begin[own].astype(np.int32), (end - first)[own].astype(np.int32), text)))
+                out.append((k, pack((bucket[own] % np.uint64(PARTS)).astype(np.uint8), block.ids[row[own]], row[own].astype(np.int32), begin[own].astype(np.int32), (end - first)[own].astype(np.int32), text)))
         return pa.table({"bucket": pa.array([k for k, _ in out], pa.int64()), "b": pa.array([b] * len(out), pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     return run
@@ -212,13 +214,11 @@ def send(shards: int, buckets: int):
 
 def words_at(data: np.ndarray, at: np.ndarray, match: int) -> list[np.ndarray]:
     """The match bytes from each place as numbers that sort as the bytes do."""
-    padded = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)
-    for have in (1, 2, 4):
-        padded = (padded[: len(padded) - have] << np.uint64(8 * have)) | padded[have:]
+    eights = np.ndarray(max(0, len(data) - 7), ">u8", np.ascontiguousarray(data), strides=(1,))
     steps = [*range(0, match - 7, 8)]
     if steps[-1] + 8 < match:
         steps.append(match - 8)
-    return [padded[at + k] for k in steps]
+    return [eights[at + k].astype(np.uint64) for k in steps]
 
 
 def earlier(data: np.ndarray, windows: np.ndarray, ids: np.ndarray, match: int = MATCH) -> np.ndarray:
@@ -249,14 +249,18 @@ def compare(key: tuple, table: pa.Table) -> pa.Table:
         return table.select(["b", "blob"])
     blocks = table.column("b").to_pylist()
     parts = [unpack(x) for x in table.column("blob").to_pylist()]
-    ids, row, begin, length, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    part, ids, row, begin, length, text = (np.concatenate(x) for x in zip(*parts, strict=True))
     block = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     length = length.astype(np.int64)
     at = np.cumsum(length) - length
     n = length - MATCH + 1
+    first = np.cumsum(n) - n
     run = np.repeat(np.arange(len(n)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    covered = earlier(text, at[run] + place, ids[run])
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    covered = np.zeros(len(run), bool)
+    for k in range(PARTS):
+        own = np.flatnonzero(part[run] == k)
+        covered[own] = earlier(text, at[run[own]] + place[own], ids[run[own]])
     starts, ends = spans(covered, np.r_[0, np.cumsum(n)])
     own = run[starts]
     s = begin[own] + place[starts]
@@ -316,7 +320,7 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, heavy: int = HEAVY, i
     by_block = rows.groupBy("b")
     posted = by_block.applyInArrow(post(blocks), "shard long, b long, blob binary")
     marks = posted.groupBy("shard").applyInArrow(answer(heavy), "b long, shard long, blob binary")
-    sent = by_block.cogroup(marks.groupBy("b")).applyInArrow(send(blocks, 16 * blocks), "bucket long, b long, blob binary")
+    sent = by_block.cogroup(marks.groupBy("b")).applyInArrow(send(blocks, blocks), "bucket long, b long, blob binary")
     # What needs no comparing is dealt by block, as if each block had a bucket of its own for it.
     sent = sent.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.col("b")).otherwise(F.col("bucket")))
     covered = sent.groupBy("bucket").applyInArrow(compare, "b long, blob binary")
