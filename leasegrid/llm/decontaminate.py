@@ -152,7 +152,8 @@ def blocks_of(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, np
     blocks = -(-(rows.agg(F.sum("n")).first()[0] or 0) // block_words)
     for k in range(blocks):
         got = rows.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k).collect()
-        yield [(r.item, np.frombuffer(r.words, np.uint64)) for r in got]
+        if got:
+            yield [(r.item, np.frombuffer(r.words, np.uint64)) for r in got]
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

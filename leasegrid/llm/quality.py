@@ -108,7 +108,7 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: int = 32, e
     held, own = order[: len(x) // 5], order[len(x) // 5 :]
     width = x.shape[1]
     mean = x[own].mean(axis=0) if len(own) else np.zeros(width)
-    scale = x[own].std(axis=0) + 1e-3 if len(own) else np.ones(width)
+    scale = np.full(width, x[own].std() + 1e-3) if len(own) else np.ones(width)  # one for all: what varies most counts most
     layers = [random.normal(0, width**-0.5, (width, hidden)), np.zeros(hidden), np.zeros(hidden), np.zeros(1)]
     model = Model(vectors, mean, scale, layers)
     layers[2] += random.normal(0, hidden**-0.5, hidden)

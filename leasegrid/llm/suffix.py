@@ -203,7 +203,7 @@ def send(shards: int, buckets: int):
             keep = np.flatnonzero(~later)
             keep = keep[np.argsort(bucket[keep], kind="stable")]
             used, cut = np.unique(bucket[keep] // np.uint64(PARTS), return_index=True)
-            for k, s, e in zip(used.tolist(), cut.tolist(), [*cut[1:].tolist(), len(keep)], strict=True):
+            for k, s, e in zip(used.tolist(), cut.tolist(), [*cut[1:].tolist(), len(keep)][: len(used)], strict=True):
                 own = keep[s:e]
                 text = np.concatenate([block.data[x:y] for x, y in zip(first[own].tolist(), end[own].tolist(), strict=True)])
                 out.append((k, pack((bucket[own] % np.uint64(PARTS)).astype(np.uint8), block.ids[row[own]], row[own].astype(np.int32), begin[own].astype(np.int32), (end - first)[own].astype(np.int32), text)))
