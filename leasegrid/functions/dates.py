@@ -49,21 +49,21 @@ def from_serial(n: Column) -> Column:
 def civil(y: Column, m: Column, d: Column) -> Column:
     """A date, or null where there is no such day."""
     text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    return F.try_to_date(text, F.lit("yyyy-MM-dd"))
+    return F.try_to_date(text, "yyyy-MM-dd")
 
 
 def parse_token(text: Column) -> Column:
     """M/D/YY, M/D/YYYY or ISO; two-digit years to 49 are of this century, others of the last."""
     part = lambda k: F.regexp_extract(text, r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$", k)
-    year = F.try_to_number(part(3), F.lit("9999")).cast("int")
+    year = part(3).try_cast("int")
     year = F.when(F.length(part(3)) == 2, F.when(year < 50, year + 2000).otherwise(year + 1900)).otherwise(year)
     slashed = F.when(part(1) != "", civil(year, part(1), part(2)))
-    return F.coalesce(slashed, F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, F.lit("yyyy-MM-dd"))))
+    return F.coalesce(slashed, F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")))
 
 
 def parse_named(text: Column) -> Column:
     """January 15, 2030."""
-    return F.when(text.rlike(r"^[A-Za-z]+ \d{1,2}, \d{4}$"), F.try_to_date(F.initcap(text), F.lit("MMMM d, yyyy")))
+    return F.when(text.rlike(r"^[A-Za-z]+ \d{1,2}, \d{4}$"), F.try_to_date(F.initcap(text), "MMMM d, yyyy"))
 
 
 def parse_cell(text: Column) -> Column:

@@ -117,5 +117,3 @@ PLANS: dict[str, Callable[[Portfolio], DataFrame]] = {
 def named(plan: Callable[[Portfolio], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: plan(Portfolio(spark, folder))
 
-
-QUERIES = {name: named(plan) for name, plan in PLANS.items()}
