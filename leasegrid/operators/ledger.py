@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leasegrid.functions.dates import days_inclusive, overlap_days, years_since
@@ -53,7 +53,7 @@ def explicit_concessions(concessions: DataFrame, months: DataFrame) -> DataFrame
     known = concessions.where("scope = 'monthly_row' and effective_date is not null")
     rows = assign(known, months, "effective_date")
     event = F.struct("type", "scope", "value_mode", "value", F.col("effective_date").alias("start_date"), F.col("effective_date").alias("end_date"))
-    return rows.groupBy("lease_id", "month_num").agg(F.min_by(event, "ord").alias("e"))
+    return rows.groupBy("lease_id", "month_num").agg(F.min_by(event, F.struct("ord", "type", "value_mode")).alias("e"))
 
 
 def window_concessions(concessions: DataFrame, months: DataFrame) -> DataFrame:
@@ -65,13 +65,16 @@ def window_concessions(concessions: DataFrame, months: DataFrame) -> DataFrame:
     return rows.groupBy("lease_id", "month_num").agg(F.min_by(F.struct(event.alias("w"), "overlap"), "ord").alias("x")).select("lease_id", "month_num", "x.w", "x.overlap")
 
 
-def with_concessions(rows: DataFrame, concessions: DataFrame, months: DataFrame) -> DataFrame:
-    """Adds the applied rent (unrounded), what is abated, and the concession of each row."""
-    rows = rows.join(explicit_concessions(concessions, months), ["lease_id", "month_num"], "left").join(window_concessions(concessions, months), ["lease_id", "month_num"], "left")
+def with_concessions(rows: DataFrame) -> DataFrame:
+    """Adds to rows with e (an explicit concession) and w (a window) the applied rent (unrounded), what
+    is abated, and the fields of the concession that counts."""
     windowed = F.col("e").isNull() & F.col("w").isNotNull()
     total = days_inclusive(F.col("month_start"), F.col("row_end"))
-    share = F.when(windowed, F.col("overlap") / total).otherwise(F.lit(1.0))
-    c, adjusted = F.coalesce("e", "w"), F.col("adjusted")
+    overlap = F.when(windowed, overlap_days(F.col("month_start"), F.col("row_end"), F.col("w.start_date"), F.col("w.end_date")))
+    rows = rows.withColumns({"windowed": windowed, "overlap": overlap, "days": total, "c": F.coalesce("e", "w")})
+    windowed, overlap, total = F.col("windowed"), F.col("overlap"), F.col("days")
+    share = F.when(windowed, overlap / total).otherwise(F.lit(1.0))
+    c, adjusted = F.col("c"), F.col("adjusted")
     value = F.coalesce(c.value, F.lit(0.0))
     applied = (
         F.when(c.isNull(), adjusted)
@@ -81,14 +84,14 @@ def with_concessions(rows: DataFrame, concessions: DataFrame, months: DataFrame)
         .otherwise(adjusted)
     )
     whole = F.when(F.col("factor") < 1, "final-month").otherwise("full")
-    basis = F.when(F.col("e").isNotNull(), "concession-event").when(windowed & (F.col("overlap") < total), "concession-boundary").otherwise(whole)
+    basis = F.when(F.col("e").isNotNull(), "concession-event").when(windowed & (overlap < total), "concession-boundary").otherwise(whole)
     days = lambda x: F.when(windowed, x).otherwise(0).cast("long")
-    return rows.select(
-        "*", applied.alias("applied"), F.greatest(F.lit(0.0), adjusted - applied).alias("abated"), basis.alias("proration_basis"), c.isNotNull().alias("is_concession_row"),
-        days(F.col("overlap")).alias("abatement_days"), days(F.greatest(total - F.col("overlap"), F.lit(0))).alias("full_rent_days"), days(total).alias("total_days"),
+    return rows.withColumn("applied", applied).select(
+        "*", F.greatest(F.lit(0.0), adjusted - F.col("applied")).alias("abated"), basis.alias("proration_basis"), c.isNotNull().alias("is_concession_row"),
+        days(overlap).alias("abatement_days"), days(F.greatest(total - overlap, F.lit(0))).alias("full_rent_days"), days(total).alias("total_days"),
         c.type.alias("concession_type"), c.scope.alias("concession_scope"), c.value_mode.alias("concession_value_mode"),
         F.when(c.type == "free_rent", 100.0).otherwise(F.when(c.isNotNull(), value)).alias("concession_value"),
-    ).drop("e", "w", "overlap")
+    )
 
 
 def charge_rows(charges: DataFrame, months: DataFrame, overrides: DataFrame, leases: DataFrame) -> DataFrame:
@@ -124,32 +127,80 @@ def one_time_rows(one_time: DataFrame, months: DataFrame) -> DataFrame:
     return assign(items, months, "date").groupBy("lease_id", "month_num", "label").agg(F.sum("amount").alias("amount"))
 
 
-def ledger(x: Inputs) -> DataFrame:
-    """The ledger: one row per lease and month."""
-    rows = with_concessions(scheduled(x.months, x.overrides), x.concessions, x.months)
-    amount = lambda kind: F.sum(F.when(F.col("canonical_type") == kind, F.col("amount")).otherwise(0.0))
-    charges = charge_rows(x.charges, x.months, x.overrides, x.leases).groupBy("lease_id", "month_num").agg(
-        amount("nnn").alias("nnn"), amount("other").alias("other"),
-        F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.when(F.col("override_applied"), F.struct("ord", "key")))), lambda t: t.key)).alias("override_keys"),
-    )
-    once = one_time_rows(x.one_time, x.months).groupBy("lease_id", "month_num").agg(F.sum("amount").alias("once"))
-    rows = rows.join(charges, ["lease_id", "month_num"], "left").join(once, ["lease_id", "month_num"], "left").join(x.leases.select("lease_id", "square_footage", "nnn_mode"), "lease_id")
+CHARGE = "array<struct<ord: int, key: string, canonical_type: string, year1: double, esc_pct: double, charge_start: date, esc_start: date>>"
+
+
+def header(x: Inputs) -> DataFrame:
+    """One row per lease: its fields, and its lists of overrides, concessions, charges and one-time
+    items, which are short by nature. Each list is grouped by lease, as the months are dealt."""
+    own = lambda df, name, *columns: df.groupBy("lease_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    columns = x.charges.columns
+    esc_start = F.col("esc_start") if "esc_start" in columns else F.lit(None).cast("date").alias("esc_start")
+    charges = own(x.charges, "charges", "ord", "key", "canonical_type", "year1", "esc_pct", "charge_start", esc_start)
+    target, amount = F.coalesce("target_key", F.lit(BASE)).alias("target_key"), F.coalesce("amount", F.lit(0.0)).alias("amount")
+    overrides = own(x.overrides.where("effective_date is not null"), "overrides", "effective_date", "ord", target, amount)
+    concessions = own(x.concessions, "concessions", "ord", "type", "scope", "value_mode", "value", "effective_date", "start_date", "end_date")
+    once = own(x.one_time.where("amount is not null and amount <> 0"), "items", "date", "ord", "amount")
+    rows = x.leases.select("lease_id", "square_footage", F.coalesce("nnn_mode", F.lit("individual")).alias("nnn_mode"), "nnn_agg_year1", "nnn_agg_esc_pct")
+    for table in (charges, overrides, concessions, once):
+        rows = rows.join(table, "lease_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    none = F.lit(None).cast("date")
+    whole = F.struct(F.lit(-1).alias("ord"), F.lit(AGGREGATE).alias("key"), F.lit("nnn").alias("canonical_type"), zero("nnn_agg_year1").alias("year1"), zero("nnn_agg_esc_pct").alias("esc_pct"), none.alias("charge_start"), none.alias("esc_start"))
+    listed = F.coalesce(F.col("charges").cast(CHARGE), F.array().cast(CHARGE))
+    aggregate = F.col("nnn_mode") == "aggregate"
+    merged = F.when(aggregate, F.concat(F.array(whole).cast(CHARGE), F.filter(listed, lambda c: c.canonical_type != "nnn"))).otherwise(listed)
+    return rows.withColumn("charges", merged)
+
+
+def ledger(x: Inputs) -> DataFrame:
+    """The ledger: one row per lease and month.
+
+    Months meet their lease's lists in one join on the lease. A row holds an event whose date lies in
+    it, or before the first row, or after the last; the override in effect is the latest, by date and
+    place in the list, of those that rows so far hold.
+    """
+    rows = x.months.join(header(x), "lease_id")
+    first = F.col("month_num") == 1
+    holds = lambda day: ((day >= F.col("month_start")) | first) & ((day <= F.col("row_end")) | F.col("is_last"))
+    so_far = F.filter("overrides", lambda o: (o.effective_date <= F.col("row_end")) | F.col("is_last"))
+    active = lambda key: F.array_max(F.filter("so_far", lambda o: o.target_key == key)).amount
+    some = lambda test: F.try_element_at(F.filter("concessions", test), F.lit(1))
+    explicit = some(lambda c: (c.scope == "monthly_row") & c.effective_date.isNotNull() & holds(c.effective_date))
+    window = some(lambda c: (c.scope == "legacy_window") & (c.start_date <= F.col("row_end")) & (c.end_date >= F.col("month_start")))
+    item = F.filter("items", lambda i: F.when(i.date.isNull(), first).otherwise(holds(i.date)))
+    rows = rows.withColumn("so_far", so_far).withColumns({"base_override": active(F.lit(BASE)), "e": explicit, "w": window, "once": F.aggregate(item, F.lit(0.0), lambda n, i: n + i.amount)})
+    rows = rows.withColumn("scheduled", F.coalesce("base_override", "monthly_rent")).withColumn("adjusted", F.col("scheduled") * F.col("factor"))
+
+    def raw(c: Column) -> Column:
+        set_ = active(c.key)
+        on = c.charge_start.isNull() | (F.col("month_start") >= c.charge_start)
+        years = F.coalesce(years_since(F.col("month_start"), c.esc_start), F.col("year_num") - 1)
+        grown = F.when(on, growth(c.year1, c.esc_pct / 100, years) * F.col("factor")).otherwise(F.lit(0.0))
+        return F.struct(c.key.alias("key"), c.canonical_type.alias("kind"), set_.alias("step"), grown.alias("grown"))
+
+    def rounded(c: Column) -> Column:
+        return F.struct(c.key.alias("key"), c.kind.alias("kind"), c.step.isNotNull().alias("set"), F.coalesce(c.step * F.col("factor"), c.grown).alias("amount"))
+
+    rows = rows.withColumn("own", F.transform(F.transform("charges", raw), rounded)).withColumn("own", F.transform("own", lambda c: F.struct(c.key.alias("key"), c.kind.alias("kind"), c.set.alias("set"), fix2(c.amount).alias("amount"))))
+    total = lambda nnn: F.aggregate(F.filter("own", lambda c: (c.kind == "nnn") == nnn), F.lit(0.0), lambda n, c: n + c.amount)
+    keys = F.array_join(F.transform(F.filter("own", lambda c: c.set), lambda c: c.key), "|")
+    rows = with_concessions(rows.withColumns({"nnn": total(True), "other": total(False), "override_keys": keys}))
     rows = rows.select(
         "*", fix2("scheduled").alias("scheduled_base_rent"), fix2("adjusted").alias("period_adjusted_base_rent"), fix2("applied").alias("base_rent_applied"),
-        fix2("abated").alias("abatement_amount"), fix2(zero("nnn")).alias("total_nnn_amount"), fix2(zero("once")).alias("one_time_charges_amount"),
+        fix2("abated").alias("abatement_amount"), fix2("nnn").alias("total_nnn_amount"), fix2(F.coalesce("once", F.lit(0.0))).alias("one_time_charges_amount"),
     )
-    rows = rows.withColumn("total_other_charges_amount", fix2(zero("other") + F.col("one_time_charges_amount")))
-    rows = rows.withColumn("total_monthly_obligation", fix2(F.col("base_rent_applied") + zero("nnn") + F.col("total_other_charges_amount")))
+    rows = rows.withColumn("total_other_charges_amount", fix2(F.col("other") + F.col("one_time_charges_amount")))
+    rows = rows.withColumn("total_monthly_obligation", fix2(F.col("base_rent_applied") + F.col("nnn") + F.col("total_other_charges_amount")))
     return rows.select(
         "lease_id", "month_num", "year_num", F.col("month_start").alias("period_start"), F.col("row_end").alias("period_end"), "period_idx", "source_start", "source_end",
         "scheduled_base_rent", "period_adjusted_base_rent", "base_rent_applied", "abatement_amount",
         fix6(F.when(F.col("scheduled") == 0, 0.0).otherwise(F.col("applied") / F.col("scheduled"))).alias("base_rent_proration_factor"), fix6("factor").alias("period_factor"),
         "proration_basis", "abatement_days", "full_rent_days", "total_days", "actual_days", "cal_month_days", "is_concession_row",
-        F.col("base_override").isNotNull().alias("base_rent_override_applied"), F.coalesce("nnn_mode", F.lit("individual")).alias("nnn_mode"),
+        F.col("base_override").isNotNull().alias("base_rent_override_applied"), "nnn_mode",
         "total_nnn_amount", "one_time_charges_amount", "total_other_charges_amount", "total_monthly_obligation",
         F.when(F.col("square_footage") > 0, fix6(F.col("total_monthly_obligation") / F.col("square_footage"))).alias("effective_per_sf"), "square_footage",
-        "concession_type", "concession_scope", "concession_value_mode", "concession_value", F.coalesce("override_keys", F.lit("")).alias("override_keys"),
+        "concession_type", "concession_scope", "concession_value_mode", "concession_value", "override_keys",
     )
 
 

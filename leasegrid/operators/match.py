@@ -12,15 +12,15 @@ def lease_bounds(months: DataFrame) -> DataFrame:
 
 def assign(events: DataFrame, months: DataFrame, date: str) -> DataFrame:
     """Each event with the month_num of the row that holds its date; dates outside the term go to the
-    nearest row, null dates to the first."""
-    rows = months.groupBy("lease_id").agg(
-        F.min("month_start").alias("lease_start"), F.max("row_end").alias("lease_end"),
-        F.array_sort(F.collect_list(F.struct("month_start", "row_end", "month_num"))).alias("rows"),
-    )
-    day = F.least(F.greatest(F.coalesce(F.col(date), F.col("lease_start")), F.col("lease_start")), F.col("lease_end"))
-    # The rows of a lease are in order: the holder is the last that starts by the day.
-    holder = F.element_at(F.filter("rows", lambda r: r.month_start <= F.col("on_day")), -1)
-    return events.join(rows, "lease_id").withColumn("on_day", day).withColumn("month_num", holder.month_num).drop("rows", "on_day", "lease_start", "lease_end")
+    nearest row, null dates to the first.
+
+    A join on the lease alone, which the months are dealt by already; the rows of a lease decide among
+    themselves, the first taking what lies before it and the last what lies after.
+    """
+    rows = months.select("lease_id", "month_num", "month_start", "row_end", "is_last")
+    day, first = F.col(date), F.col("month_num") == 1
+    holds = (day >= F.col("month_start")) | first, (day <= F.col("row_end")) | F.col("is_last")
+    return events.join(rows, "lease_id").where(F.when(day.isNull(), first).otherwise(holds[0] & holds[1])).drop("month_start", "row_end", "is_last")
 
 
 def asof_backward(day: Column, value: Column) -> Column:
