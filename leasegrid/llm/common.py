@@ -14,7 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 8 << 20
+#: Text that numpy works on at a time; its arrays take some 50 bytes for each.
+CHUNK_BYTES = 2 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)

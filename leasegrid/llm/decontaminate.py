@@ -175,14 +175,41 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     marked = rows
     for block in blocks_of(items, block_words) if items is not None else ():
         index = Windows(block, window)
-        seen = occurrences(rows, spark.sparkContext.broadcast(index)).collect()
-        index.order({int(np.int64(r.word).view(np.uint64)): r.n for r in seen})
+        index.order(frequencies(rows, index))
         marked = mark(marked, spark.sparkContext.broadcast(index))
     if marked is rows:
         marked = mark(rows, spark.sparkContext.broadcast(empty_index(window)))
     return marked.select("doc_id", "n_words", "hits", "items")
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole, that repeat no window of a benchmark item, as decontaminate() finds them."""
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def without(docs: DataFrame, index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(batch, text_col):
+                    words, bounds = words_of(part.column(part.schema.get_field_index(text_col)))
+                    free = np.ones(part.num_rows, bool)
+                    free[row_of(index.value.find(words, bounds)[0], bounds)] = False
+                    yield part.filter(pa.array(free))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for block in blocks_of(items, block_words):
+        index = Windows(block, window)
+        index.order(frequencies(rows, index))
+        docs = without(docs, spark.sparkContext.broadcast(index))
+    return docs
+
+
+def frequencies(rows: DataFrame, index: Windows) -> dict[int, int]:
+    seen = occurrences(rows, rows.sparkSession.sparkContext.broadcast(index)).collect()
+    return {int(np.int64(r.word).view(np.uint64)): r.n for r in seen}
+
+
 def empty_index(window: int) -> Windows:
     index = Windows([], window)
     index.order({})

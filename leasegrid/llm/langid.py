@@ -108,7 +108,7 @@ def learn(docs: DataFrame, most: int = PROFILE) -> pd.DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for part in chunks(batch, limit=2 << 20):
+            for part in chunks(batch, limit=1 << 18):
                 new: dict[str, list] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     new.setdefault(lang, []).append(grams(text))
@@ -143,3 +143,16 @@ def identify(docs: DataFrame, profiles: pd.DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, profiles: pd.DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole, that identify() finds a language for; others go."""
+    shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text_col):
+                texts = part.column(part.schema.get_field_index(text_col))
+                yield part.filter(pa.array([shared.value.predict(t.as_py())[0] != UNDETERMINED for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -73,7 +73,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, match: int = MATCH) -> tuple[np.
     found = []
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES // 2, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
         base, own = offsets[row], offsets[row : end + 1] - offsets[row]
         part = data[base : base + own[-1]]
         row = end
@@ -253,18 +253,20 @@ def compare(key: tuple, table: pa.Table) -> pa.Table:
     block = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     length = length.astype(np.int64)
     at = np.cumsum(length) - length
-    n = length - MATCH + 1
-    first = np.cumsum(n) - n
-    run = np.repeat(np.arange(len(n)), n)
-    place = np.arange(n.sum()) - np.repeat(first, n)
-    covered = np.zeros(len(run), bool)
+    found = []
     for k in range(PARTS):
-        own = np.flatnonzero(part[run] == k)
-        covered[own] = earlier(text, at[run[own]] + place[own], ids[run[own]])
-    starts, ends = spans(covered, np.r_[0, np.cumsum(n)])
-    own = run[starts]
-    s = begin[own] + place[starts]
-    e = s + (ends - starts) + MATCH - 1
+        some = np.flatnonzero(part == k)
+        n = length[some] - MATCH + 1
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        run = np.repeat(some, n)
+        covered = earlier(text, at[run] + place, ids[run])
+        starts, ends = spans(covered, np.r_[0, np.cumsum(n)])
+        found.append((run[starts], place[starts], ends - starts))
+    own, place, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(own, kind="stable")  # blocks in order again
+    own = own[order]
+    s = begin[own] + place[order]
+    e = s + n[order] + MATCH - 1
     cuts = np.searchsorted(block[own], np.arange(len(parts) + 1))
     used = np.flatnonzero(np.diff(cuts))
     blobs = [pack(row[own[cuts[k] : cuts[k + 1]]], s[cuts[k] : cuts[k + 1]].astype(np.int32), e[cuts[k] : cuts[k + 1]].astype(np.int32)) for k in used]
