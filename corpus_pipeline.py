@@ -19,15 +19,9 @@ from leasegrid.llm.queries import tokenizer_path
 SEQUENCE = 2048
 
 
-def whole_rows(docs: DataFrame) -> DataFrame:
-    """docs with each row as one value beside its text, so that an operator can return it."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no language: null texts and texts without letters."""
-    out = langid.identify(whole_rows(docs), langid.learn(docs), id_col="row")
-    return out.where(F.col("lang_pred") != langid.UNDETERMINED).select("doc_id.*")
+    return langid.with_language(docs, langid.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +45,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.decontaminate(whole_rows(docs), items, id_col="row")
-    return found.where(F.size("hits") == 0).select("doc_id.*")
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
