@@ -28,6 +28,9 @@ def expand(periods: DataFrame) -> DataFrame:
     """One row per lease and month anchor; of equal dates the last period's row stays."""
     known = periods.where("period_start is not null and period_end is not null and monthly_rent is not null")
     n = months_inclusive(F.col("period_start"), F.col("period_end"))
+    # Dealt by lease once, while a lease is a few periods and not yet many months: every window and join
+    # on the lease after this needs no further exchange.
+    known = known.repartition("lease_id")
     rows = known.withColumn("n", n).where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rows = rows.select(
         "lease_id", F.add_months("period_start", F.col("k")).alias("month_start"), F.when(F.col("k") == F.col("n") - 1, F.col("period_end")).alias("explicit_end"),
@@ -35,10 +38,8 @@ def expand(periods: DataFrame) -> DataFrame:
     )
     last = Window.partitionBy("lease_id", "month_start").orderBy(F.desc("period_idx"), F.desc("k"))
     order = Window.partitionBy("lease_id").orderBy("month_start")
-    # Dealt by lease once: every window and join on the lease after this needs no further exchange.
     return (
-        rows.repartition("lease_id")
-        .withColumn("last", F.row_number().over(last))
+        rows.withColumn("last", F.row_number().over(last))
         .where("last = 1")
         .withColumn("month_num", F.row_number().over(order).cast("long"))
         .withColumn("year_num", F.floor((F.col("month_num") - 1) / 12) + 1)

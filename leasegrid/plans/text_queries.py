@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leasegrid.functions import dates
 from leasegrid.functions import label_tables as T
-from leasegrid.operators import labels, ledger, repair, text
+from leasegrid.operators import labels, paste, repair, text
 from leasegrid.plans import oracle
 from leasegrid.plans.queries import PLANS, months, periods, rows
 from leasegrid.sources.portfolio import Portfolio
@@ -136,6 +136,25 @@ def confidence(p: Portfolio) -> DataFrame:
     return repair.extraction_confidence(x)
 
 
+def bulk_paste(p: Portfolio) -> DataFrame:
+    """The portfolio's periods written as a table to paste, and read again."""
+    line = F.concat(F.date_format("period_start", "M/d/yy"), F.lit(" - "), F.date_format("period_end", "M/d/yyyy"), F.lit("\t$"), F.format_string("%.2f", F.col("monthly_rent")))
+    table = periods(p).groupBy("lease_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("period_idx", line.alias("line")))), lambda x: x.line), "\n").alias("text"))
+    return paste.pasted(table, "lease_id", "text").select("lease_id", F.col("at").cast("long").alias("at"), "period_start", "period_end", "monthly_rent", F.col("warning").isNull().alias("read"))
+
+
+def prose_charges(p: Portfolio) -> DataFrame:
+    told = F.concat(F.lit("Tenant pays rent.\nNNN escalate "), F.format_string("%d", F.round(F.col("esc") * 100).cast("int")), F.lit("% every year, amt "), F.format_string("%.2f", F.col("year1")))
+    return paste.prose_charges(p.leases().select("lease_id", told.alias("text")), "lease_id", "text")
+
+
+def schedule_choice(p: Portfolio) -> DataFrame:
+    own = periods(p)
+    other = own.where("lease_id % 7 <> 0").withColumn("monthly_rent", F.when(F.col("lease_id") % 3 == 0, F.col("monthly_rent") + 1).otherwise(F.col("monthly_rent")))
+    blocked = p.leases().where("lease_id % 5 = 0").select("lease_id", F.lit("extracted").alias("reading"))
+    return paste.chosen(own, other, blocked)
+
+
 CSV = {"month_num": "Month #", "year_num": "Year #", "period_start": "Period Start", "period_end": "Period End", "scheduled_base_rent": "Scheduled Base Rent", "base_rent_applied": "Base Rent Applied", "total_nnn_amount": "NNN", "total_other_charges_amount": "Other Charges", "total_monthly_obligation": "Total Monthly Obligation", "effective_per_sf": "Effective $/SF"}
 
 
@@ -169,6 +188,9 @@ PLANS |= {
     "slot_padding": lambda p: repair.padded(p.one_time(), p.leases(), 11),
     "extraction_confidence": confidence,
     "csv_projection": csv_projection,
+    "bulk_paste": bulk_paste,
+    "prose_charges": prose_charges,
+    "schedule_choice": schedule_choice,
 }
 
 
@@ -216,6 +238,9 @@ ORACLE_SQL = {
       SELECT lease_id, period_idx, s AS period_start, CASE WHEN e IS NULL AND s IS NOT NULL THEN nx ELSE e END AS period_end, e IS NULL AND s IS NOT NULL AND nx IS NOT NULL AS end_inferred, monthly_rent FROM q""", "periods"),
     "collapse_steps": oracle.sql("SELECT lease_id, month_num, month_start, monthly_rent FROM (SELECT *, lag(monthly_rent) OVER (PARTITION BY lease_id ORDER BY month_num) AS b FROM months0) WHERE b IS NULL OR b<>monthly_rent", "months0"),
     "reanchor_schedule": oracle.sql(f", p AS (SELECT p.*, min(period_start) OVER (PARTITION BY lease_id) AS o FROM periods p) SELECT lease_id, period_idx, {oracle.add_m('(commence+40)', oracle.mi('period_start') + '-' + oracle.mi('o'))} AS period_start, {oracle.add_m('(commence+40)', oracle.mi('(period_end+1)') + '-' + oracle.mi('o'))} - 1 AS period_end, monthly_rent FROM p JOIN (SELECT lease_id, commence FROM leases) USING (lease_id)", "periods"),
+    "bulk_paste": oracle.sql("SELECT lease_id, period_idx AS at, period_start, period_end, monthly_rent, true AS read FROM periods", "periods"),
+    "prose_charges": oracle.sql("SELECT lease_id, 'cams' AS bucket, 'nnn' AS label, year1, round(esc*100) AS esc_pct, CAST(12 AS INTEGER) AS cadence_months FROM leases", "leases"),
+    "schedule_choice": oracle.sql("SELECT lease_id, CASE WHEN lease_id%3=0 AND lease_id%7<>0 AND lease_id%5<>0 THEN 'extracted' ELSE 'parsed' END AS reading, lease_id%3=0 AND lease_id%7<>0 AND lease_id%5<>0 AS conflict FROM (SELECT DISTINCT lease_id FROM periods)", "periods"),
     "charge_dedupe": "SELECT lease_id, label_no, ord, l_extendedprice FROM (SELECT l_orderkey AS lease_id, l_partkey%7 AS label_no, l_linenumber AS ord, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey, l_partkey%7 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem) WHERE r=1",
     "slot_claiming": """WITH c AS (SELECT l_orderkey AS lease_id, ['cams','insurance','taxes','security','otherItems'][l_partkey%5+1] AS bucket, l_quantity/50 AS confidence, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem),
       d AS (SELECT *, row_number() OVER (PARTITION BY lease_id, bucket ORDER BY confidence DESC, ord)=1 AS own FROM c) SELECT lease_id, ord, bucket, confidence, CASE WHEN own THEN bucket ELSE 'custom_' || row_number() OVER (PARTITION BY lease_id, own ORDER BY confidence DESC, ord) END AS slot FROM d""",
