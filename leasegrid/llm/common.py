@@ -6,6 +6,8 @@ back in one buffer, so splitting and hashing are a few numpy passes, not a loop
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -30,6 +32,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy() -> None:
+    """Gives memory that the allocators hold on to back to the system. A Python worker serves the tasks
+    of many jobs, and what each has touched would add up beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tasks(spark: SparkSession) -> int:
     """How many partitions a shuffle has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, row_of, span_hashes, spans, texts_of
+from .common import LOWER, chunks, row_of, span_hashes, spans, texts_of, tidy
 
 WINDOW = 10
 #: Item words that one block of the benchmark holds; a larger benchmark is joined block by block.
@@ -91,6 +91,7 @@ def occurrences(docs: DataFrame, index) -> DataFrame:
         vocabulary = index.value.vocabulary
         counts = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
+            tidy()
             for part in chunks(batch):
                 words, _ = words_of(part.column(part.schema.get_field_index("text")))
                 at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
@@ -190,6 +191,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words:
     def without(docs: DataFrame, index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                tidy()
                 for part in chunks(batch, text_col):
                     words, bounds = words_of(part.column(part.schema.get_field_index(text_col)))
                     free = np.ones(part.num_rows, bool)

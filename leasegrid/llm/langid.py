@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, tidy
 
 ORDERS = (1, 2, 3)
 PROFILE = 400
@@ -117,6 +117,7 @@ def learn(docs: DataFrame, most: int = PROFILE) -> pd.DataFrame:
                     values, counts = (np.concatenate(x) for x in zip(*own, *old, strict=True))
                     distinct, inverse = np.unique(values, return_inverse=True)
                     sums[lang] = distinct, np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+        tidy()
         for lang, (values, counts) in sums.items():
             for at in range(0, len(values), 50_000):
                 v, n = values[at : at + 50_000], counts[at : at + 50_000]
@@ -151,6 +152,7 @@ def with_language(docs: DataFrame, profiles: pd.DataFrame, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tidy()
             for part in chunks(batch, text_col):
                 texts = part.column(part.schema.get_field_index(text_col))
                 yield part.filter(pa.array([shared.value.predict(t.as_py())[0] != UNDETERMINED for t in texts], pa.bool_()))

@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, chunks, row_of, settled, span_hashes, tasks, texts_of
+from .common import BLANK, chunks, row_of, settled, span_hashes, tasks, texts_of, tidy
 
 SEQUENCE, END_ID = 2048, 0
-CACHE_ENTRIES = 1 << 21
+#: Parts that a worker keeps the ids of; it starts anew when it has more.
+CACHE_ENTRIES = 1 << 19
 
 # Where a text may be cut before tokenising: by the class of the byte before and after.
 _LETTER, _OTHER, _QUOTE, _HIGH, _BLANK = range(5)
@@ -114,6 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(tokenizer)
         for batch in batches:
+            tidy()
             for part in chunks(batch):
                 data, offsets = texts_of(part.column(1))
                 ids, bounds = tokens.encode(data, offsets)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, mix, span_hashes, spans, tasks, texts_of
+from .common import CHUNK_BYTES, mix, span_hashes, spans, tasks, texts_of, tidy
 
 MATCH, GRAM = 50, 24
 BLOCK_BYTES = 8 << 20
@@ -121,6 +121,7 @@ def post(shards: int):
     """Block -> its distinct minimizers and the number of ids with each, by shard."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        tidy()
         block = Block(table)
         _, _, mins, row = block.runs()
         order, first = groups(mins)
@@ -151,6 +152,7 @@ def answer(heavy: int):
     """Shard -> for each block, which of its minimizers two ids or more have (1), which are heavy (2)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        tidy()
         blocks = table.column("b").to_pylist()
         parts = [unpack(x) for x in table.column("blob").to_pylist()]
         values = [values_of(p) for p, _ in parts]
@@ -171,6 +173,7 @@ def send(shards: int, buckets: int):
     in bucket -1 the runs that an earlier document of the block has too."""
 
     def run(key: tuple, table: pa.Table, marks: pa.Table) -> pa.Table:
+        tidy()
         b = key[0].as_py()
         out: list[tuple[int, bytes]] = []
         if table.num_rows and marks.num_rows:
@@ -245,6 +248,7 @@ def earlier(data: np.ndarray, windows: np.ndarray, ids: np.ndarray, match: int =
 
 def compare(key: tuple, table: pa.Table) -> pa.Table:
     """Bucket -> for each block, the spans (row, start, end) that earlier documents cover."""
+    tidy()
     if key[0].as_py() < 0:
         return table.select(["b", "blob"])
     blocks = table.column("b").to_pylist()
@@ -277,6 +281,7 @@ def remove(carried: list[str], as_text: bool):
     """Block and covered spans -> each row's removed spans and what is left of its bytes."""
 
     def run(key: tuple, table: pa.Table, covered: pa.Table) -> pa.Table:
+        tidy()
         block = Block(table)
         delta = np.zeros(len(block.data) + 1, np.int32)
         for blob in covered.column("blob").to_pylist():
