@@ -9,7 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def tidy() -> None:
-    """Gives memory that the allocators hold on to back to the system. A Python worker serves the tasks
-    of many jobs, and what each has touched would add up beside the executor's heap."""
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable[[], object]) -> object:
+    """What make returns, made once in a worker and kept until another key is asked for."""
+    if key not in _resident:
+        tidy(key)
+        _resident[key] = make()
+    return _resident[key]
+
+
+def tidy(keep: str | None = None) -> None:
+    """Drops what earlier jobs left resident, and gives memory that the allocators hold on to back to
+    the system. A Python worker serves the tasks of many jobs, and what each has touched would add up
+    beside the executor's heap."""
+    if keep not in _resident:
+        _resident.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

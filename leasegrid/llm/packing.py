@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, chunks, row_of, settled, span_hashes, tasks, texts_of, tidy
+from .common import BLANK, chunks, resident, row_of, settled, span_hashes, tasks, texts_of, tidy
 
 SEQUENCE, END_ID = 2048, 0
 #: Parts that a worker keeps the ids of; it starts anew when it has more.
@@ -95,13 +95,8 @@ class Tokens:
         return out, bounds
 
 
-_tokens: dict[str, Tokens] = {}
-
-
 def tokens_of(path: str) -> Tokens:
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+    return resident(f"tokens {path}", lambda: Tokens(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(tokenizer)
         for batch in batches:
-            tidy()
+            tidy(f"tokens {tokenizer}")
             for part in chunks(batch):
                 data, offsets = texts_of(part.column(1))
                 ids, bounds = tokens.encode(data, offsets)
