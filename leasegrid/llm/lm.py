@@ -4,6 +4,10 @@ The model is a bigram model over words. Its unigrams are the add-one estimate p1
 all training tokens; a stored bigram has p(w|u) = (n(u,w) - D) / n(u) + g(u) p1(w), any other
 g(u) p1(w), where g(u) is what the discounts of u's stored bigrams leave over. So the
 probabilities of all words and of one unknown word after u add up to 1.
+
+Bigrams seen LEAST times or more are stored, whatever the size of the corpus. Documents lie in
+blocks. A block asks slices of all words and of all bigrams for the counts of its own ones, each
+distinct one once, and is scored with the part of the trie that it needs.
 """
 
 from __future__ import annotations
@@ -11,21 +15,29 @@ from __future__ import annotations
 import mmap
 import pickle
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, chunks, resident, row_of, settled, span_hashes, spans, tasks, texts_of
+from .common import BLANK, CHUNK_BYTES, LOWER, chunks, mix, row_of, settled, span_hashes, spans, tasks, texts_of, tidy
 
-#: Words known to every task, and bigrams in the trie, at most. Rarer words are met by a join; a
-#: bigram's count must reach the least cutoff, 2 or more, that keeps the trie in its bound.
-VOCABULARY, STORED = 1 << 20, 1 << 22
+#: Tokens, and so words, after which a block of documents ends; it bounds no count of the model.
+VOCABULARY = 1 << 22
+#: Tokens of the table for each slice of the words and of the bigrams.
+SLICE_TOKENS = 1 << 21
+#: A context with so great a part of the tokens has its bigrams dealt over all slices; others lie in one.
+HOT = 1e-3
+#: The count from which on a bigram is stored.
+LEAST = 2
 DISCOUNT = 0.75
 END = np.uint64(0x5D0C3A1E9B7F2468)
+#: Stands among the words for the context of a text's first token, after all others.
+START = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS = 21
 #: Probabilities are kept in steps of 1 / 4096 of a power of ten.
 STEP = 4096.0
@@ -55,23 +67,6 @@ def tally(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return values[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-class Tally:
-    """Adds up counts of many parts, merging them when they have become long."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, values: np.ndarray) -> None:
-        self.parts.append(tally(values))
-        if sum(len(v) for v, _ in self.parts[1:]) > 1 << 22:
-            self.parts = [self.total()]
-
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return tally(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
-
-
 def squeeze(numbers: np.ndarray) -> bytes:
     """Numbers as bytes, like places together, compressed."""
     planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T
@@ -147,16 +142,17 @@ class Trie:
     """Level 1: the words by hash and their counts. Level 2: for each word as context, where its
     successors start (monotone pointers), the successors by their number within the context (one
     monotone sequence, as each context's numbers are raised by its own base), and their quantised
-    probabilities."""
+    probabilities. With left, g(u) of each context, the bigrams may be a part of the model's."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, rows: int, codes: np.ndarray, pair_counts: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, rows: int, codes: np.ndarray, pair_counts: np.ndarray, bits: int = _BITS, left: np.ndarray | None = None) -> None:
         self.total, self.distinct = total, distinct
         self.words, self.counts = EliasFano(words), EliasFano(np.r_[np.uint64(0), np.cumsum(counts).astype(np.uint64)])
         start = len(words)  # the context of a text's first token
-        context = (codes >> np.uint64(_BITS)).astype(np.int32)
-        word = (codes & np.uint64((1 << _BITS) - 1)).astype(np.int32)
+        context = (codes >> np.uint64(bits)).astype(np.int32)
+        word = (codes & np.uint64((1 << bits) - 1)).astype(np.int32)
         p = (pair_counts - DISCOUNT) / np.r_[counts, rows].astype(np.float64)[context]
-        left = np.maximum(1 - np.bincount(context, p, start + 1), 1e-12)
+        if left is None:
+            left = np.maximum(1 - np.bincount(context, p, start + 1), 1e-12)
         p += left[context] * ((counts + 1.0) / (total + distinct + 1))[word]
         self.p = np.round(-np.log10(p) * STEP).astype(np.uint16)
         self.left = np.round(-np.log10(left) * STEP).astype(np.uint16)
@@ -208,145 +204,206 @@ class Trie:
         return at, base, out
 
 
-def cutoff(histogram: list[tuple[int, int]], most: int, least: int) -> int:
-    """The least count, from least on, that at most `most` of the entries have or exceed."""
-    seen, at = 0, None
-    for count, n in sorted(histogram, reverse=True):
-        if count < least or seen + n > most:
-            return at if at is not None else count + 1
-        seen, at = seen + n, count
-    return at if at is not None else least
+SENT = "slice int, block long, a binary, b binary, c binary"
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word (a hash) and n, over the tokens of all rows marked train."""
+def sent(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of SENT; arrays are squeezed."""
+    columns = list(zip(*[(s, b, *[None if x is None else squeeze(x) for x in (*arrays, None, None)[:3]]) for s, b, *arrays in rows], strict=True))
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "block", "a", "b", "c"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Tally()
-        for batch in batches:
-            for part in chunks(batch):
-                sums.add(stream(part.column(0))[0])
-        values, counts = sums.total()
-        for at in range(0, len(values), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(values[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], ["word", "n"])
 
-    return rows.where("train").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def joined(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of arrays and how many each row has."""
+    parts = [unsqueeze(x.as_py()) for x in table[name]]
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.uint64), np.array([len(x) for x in parts], np.int64)
+
+
+def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each hash: ranges of equal width."""
+    return ((hashes >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+
 
+def blocks(rows: DataFrame, vocabulary: int) -> DataFrame:
+    """Rows in blocks: their ids and train marks (as Arrow), the distinct words in order of their
+    hashes with START at the end, each token's place among them, the tokens of each row, and the
+    words (and their counts) that a block has many of."""
 
-def pair_counts(rows: DataFrame, words, buckets: int, least: int = 2) -> DataFrame:
-    """codes, counts (squeezed) and histogram of the bigrams of known words seen at least `least`
-    times, a row for each bucket of contexts. Each task adds up its own bigrams first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def made() -> pa.RecordBatch:
+            own = pa.Table.from_batches([x[0] for x in held]).combine_chunks()
+            with pa.BufferOutputStream() as out:
+                with pa.ipc.new_stream(out, own.schema) as stream_out:
+                    stream_out.write_table(own)
+                ids = out.getvalue().to_pybytes()
+            words, line, counts = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True, return_counts=True)
+            many = counts >= max(HOT * size, 2)
+            lengths = np.concatenate([np.diff(x[2]) for x in held])
+            values = [[block], [size], [ids], [squeeze(np.diff(np.r_[words, START], prepend=np.uint64(0)))], [squeeze(line)], [squeeze(lengths)], [words[many].view(np.int64)], [counts[many]]]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, [pa.int64()] * 2 + [pa.binary()] * 4 + [pa.list_(pa.int64())] * 2, strict=True)], ["block", "tokens", "ids", "words", "line", "lengths", "hot", "times"])
+
+        for batch in batches:
+            for part in chunks(batch, limit=min(CHUNK_BYTES, 2 * vocabulary)):
+                tokens, bounds = stream(part.column(1))
+                held.append((part.select(["doc_id", "train"]), tokens, bounds))
+                size += len(tokens)
+                if size >= vocabulary:
+                    yield made()
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield made()
+
+    return rows.select("doc_id", "text", "train").mapInArrow(run, "block long, tokens long, ids binary, words binary, line binary, lengths binary, hot array<long>, times array<long>")
+
+
+class Block:
+    """A row of blocks(), opened."""
+
+    def __init__(self, row: dict) -> None:
+        self.ids = pa.ipc.open_stream(row["ids"]).read_all()
+        self.words = np.cumsum(unsqueeze(row["words"]), dtype=np.uint64)
+        self.line = unsqueeze(row["line"]).astype(np.int64)
+        self.lengths = unsqueeze(row["lengths"]).astype(np.int64)
+        self.bounds = np.r_[0, np.cumsum(self.lengths)]
+        self.train = self.ids["train"].to_numpy().astype(bool)
+
+    def word_counts(self) -> np.ndarray:
+        """How often each word is seen in training; for START, the training rows."""
+        own = self.line[np.repeat(self.train, self.lengths)]
+        return np.r_[np.bincount(own, minlength=len(self.words) - 1), self.train.sum()]
+
+    def pairs(self, slices: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct bigrams by slice: contexts and words (places), training counts, and where slices start."""
+        context = np.r_[0, self.line[:-1]]
+        context[self.bounds[:-1]] = len(self.words) - 1
+        code = np.sort((context << 33) | (self.line << 1) | np.repeat(self.train, self.lengths))
+        first = np.flatnonzero(np.r_[True, code[1:] >> 1 != code[:-1] >> 1])
+        counts = np.add.reduceat(code & 1, first)
+        code = code[first]
+        context, word = code >> 33, (code >> 1) & ((1 << 32) - 1)
+        dealt = np.isin(self.words, hot)[context]
+        own = slice_of(np.where(dealt, mix(mix(self.words[context]) + self.words[word]), self.words[context]), slices)
+        order = np.argsort(own, kind="stable")
+        return context[order], word[order], counts[order], np.searchsorted(own[order], np.arange(slices + 1, dtype=np.uint64))
+
+
+def counted_pairs(found: DataFrame, slices: int, hot: np.ndarray, least: int) -> DataFrame:
+    """SENT rows: to each block, by slice, the counts of its bigrams over all training rows (0 if under
+    least); and to slices of the words (block -1), contexts, how many bigrams they have, and their sum."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Block(row)
+                context, word, counts, cuts = b.pairs(slices, hot)
+                yield sent([(k, row["block"], np.diff(b.words[context[i:j]], prepend=np.uint64(0)), b.words[word[i:j]], counts[i:j]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j])
+        tidy()
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words.value
-        sums = Tally()
+    def merge(table: pa.Table) -> pa.Table:
+        contexts = [np.cumsum(unsqueeze(x.as_py()), dtype=np.uint64) for x in table["a"]]
+        u, (w, lengths), n = np.concatenate(contexts), joined(table, "b"), joined(table, "c")[0].astype(np.int64)
+        del contexts
+        order = np.lexsort((w, u))
+        u, w = u[order], w[order]
+        new = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
+        first = np.flatnonzero(new)
+        sums = np.add.reduceat(n[order], first)
+        kept = sums >= least
+        each = np.zeros(len(u), np.int64)
+        each[order] = np.where(kept, sums, 0)[np.cumsum(new) - 1]
+        own = table["slice"][0].as_py()
+        cuts = np.r_[0, np.cumsum(lengths)]
+        out = [(own, block.as_py(), each[i:j]) for block, i, j in zip(table["block"], cuts[:-1], cuts[1:], strict=True)]
+        context, sums = u[first[kept]], sums[kept]
+        names, many = tally(context)
+        total = tally(context, sums)[1]
+        to = np.searchsorted(slice_of(names, slices), np.arange(slices + 1, dtype=np.uint64))
+        out += [(k, -1, names[i:j], many[i:j], total[i:j]) for k, (i, j) in enumerate(zip(to[:-1], to[1:], strict=True)) if i < j]
+        tidy()
+        return pa.Table.from_batches([sent(out)])
+
+    return found.mapInArrow(ask, SENT).groupBy("slice").applyInArrow(merge, SENT)
+
+
+def counted_words(found: DataFrame, contexts: DataFrame, slices: int) -> DataFrame:
+    """SENT rows: to each block, by slice, its words' counts over all training rows, how many stored
+    bigrams they are the context of, and the sum of these; and for each slice (block -1) the number
+    of its training tokens and of its distinct ones."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
-                tokens, bounds = stream(part.column(0))
-                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                at = np.where(known[at] == tokens, at, -1)
-                context = np.r_[-1, at[:-1]]
-                context[bounds[:-1]] = len(known)
-                both = (at >= 0) & (context >= 0)
-                sums.add((context[both].astype(np.uint64) << np.uint64(_BITS)) | at[both].astype(np.uint64))
-        codes, counts = sums.total()
-        bucket = (codes >> np.uint64(_BITS)) % np.uint64(buckets)
-        for k in range(buckets):
-            own = bucket == k
-            if own.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([squeeze(np.diff(codes[own], prepend=np.uint64(0)))], pa.binary()), pa.array([squeeze(counts[own])], pa.binary())],
-                    ["bucket", "codes", "counts"],
-                )
+            for row in batch.to_pylist():
+                b = Block(row)
+                counts = b.word_counts()
+                cuts = np.searchsorted(slice_of(b.words, slices), np.arange(slices + 1, dtype=np.uint64))
+                yield sent([(k, row["block"], b.words[i:j], counts[i:j]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j])
+        tidy()
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = [(np.cumsum(unsqueeze(c.as_py()), dtype=np.uint64), unsqueeze(n.as_py())) for c, n in zip(table["codes"], table["counts"], strict=True)]
-        codes, counts = tally(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        codes, counts = codes[counts >= least], counts[counts >= least]
-        values, n = np.unique(counts, return_counts=True)
-        return pa.table({"codes": [squeeze(codes)], "counts": [squeeze(counts)], "seen": [values.astype(np.int64)], "n": [n]})
-
-    sent = rows.where("train").select("text").mapInArrow(collect, "bucket int, codes binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(merge, "codes binary, counts binary, seen array<long>, n array<long>")
-
-
-def build(rows: DataFrame, vocabulary: int = VOCABULARY, stored: int = STORED) -> tuple[bytes, DataFrame, int]:
-    """The trie as bytes, the counts of all words, and the least count of a word in the trie."""
-    spark = rows.sparkSession
-    counts = settled(word_counts(rows))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    texts = rows.where("train").count()
-    common = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().collect()
-    least = cutoff([(r["n"], r["count"]) for r in common], vocabulary, 1)
-    known = counts.where(F.col("n") >= least).toArrow()
-    words, n = known["word"].to_numpy().view(np.uint64), known["n"].to_numpy()
-    order = np.argsort(words)
-    words, n = words[order], n[order]
-    codes = pairs = np.zeros(0, np.uint64)
-    if len(words):
-        found = settled(pair_counts(rows, spark.sparkContext.broadcast(words), tasks(spark)))
-        histogram = found.select(F.explode(F.arrays_zip("seen", "n")).alias("x")).groupBy("x.seen").agg(F.sum("x.n").alias("n")).collect()
-        lowest = cutoff([(r["seen"], r["n"]) for r in histogram], stored, 2)
-
-        def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for c, m in zip(b.column(0), b.column(1), strict=True):
-                    c, m = unsqueeze(c.as_py()), unsqueeze(m.as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array([squeeze(c[m >= lowest])], pa.binary()), pa.array([squeeze(m[m >= lowest])], pa.binary())], ["codes", "counts"])
-
-        got = [(unsqueeze(r.codes), unsqueeze(r.counts).astype(np.uint32)) for r in found.mapInArrow(thin, "codes binary, counts binary").toLocalIterator()]
-        if got:
-            codes, pairs = (np.concatenate(x) for x in zip(*got, strict=True))
-            del got
-            order = np.argsort(codes)
-            codes, pairs = codes[order], pairs[order]
-            del order
-    return Trie(words, n, total, distinct, texts, codes, pairs).save(), counts, least
-
-
-def score(docs: DataFrame, train: Column, vocabulary: int = VOCABULARY, stored: int = STORED) -> DataFrame:
+        of = table["block"].to_numpy()
+        asked, sums = table.filter(pa.array(of >= 0)), table.filter(pa.array(of < 0))
+        (words, lengths), n = joined(asked, "a"), joined(asked, "b")[0].astype(np.int64)
+        names, inverse = np.unique(words, return_inverse=True)
+        n = np.bincount(inverse, n, len(names)).astype(np.int64)
+        at = np.searchsorted(names, joined(sums, "a")[0])
+        many, total = (np.bincount(at, joined(sums, c)[0].astype(np.int64), len(names)).astype(np.int64) for c in ("b", "c"))
+        own, cuts = table["slice"][0].as_py(), np.r_[0, np.cumsum(lengths)]
+        out = [(own, block.as_py(), *[x[inverse[i:j]] for x in (n, many, total)]) for block, i, j in zip(asked["block"], cuts[:-1], cuts[1:], strict=True)]
+        true = n[names != START]
+        out.append((own, -1, np.array([true.sum(), (true > 0).sum()])))
+        tidy()
+        return pa.Table.from_batches([sent(out)])
+
+    return found.mapInArrow(ask, SENT).unionByName(contexts).groupBy("slice").applyInArrow(merge, SENT)
+
+
+def score(docs: DataFrame, train: Column, vocabulary: int = VOCABULARY, least: int = LEAST) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
 
-    train says which rows the model learns from. Words rarer than the trie's vocabulary are looked
-    up in the full counts by a join. Null texts are empty: the end alone. Repeated rows count each;
-    with nothing to learn from all probabilities are 1; an empty table gives no rows.
+    train says which rows the model learns from. All their words and all bigrams seen at least
+    `least` times count; vocabulary is the number of tokens after which a block ends and changes no
+    score. Null texts are empty: the end alone. Repeated rows count each; with nothing to learn
+    from all probabilities are 1; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blob, counts, least = build(rows, vocabulary, stored)
-    shared, key = spark.sparkContext.broadcast(blob), str(uuid.uuid4())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie: Trie = resident(key, lambda: Trie.load(shared.value))
-        for batch in batches:
-            for part in chunks(batch):
-                tokens, bounds = stream(part.column(1))
-                at, base, model = trie.score(tokens, bounds)
-                row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                rare = np.flatnonzero(at < 0)
-                offsets = np.searchsorted(row[rare], np.arange(part.num_rows + 1))
-                sums = [np.bincount(row, x, part.num_rows) for x in (at >= 0, base, model)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array(np.diff(bounds)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens[rare].view(np.int64))),
-                    ],
-                    ["doc_id", "n_tokens", "n_known", "base", "model", "rare"],
-                )
-
+    found = settled(blocks(rows, vocabulary))
+    tokens = found.agg(F.sum("tokens")).first()[0] or 0
+    slices = max(tasks(spark), tokens // SLICE_TOKENS)
+    often = found.select(F.explode(F.arrays_zip("hot", "times")).alias("x")).groupBy("x.hot").agg(F.sum("x.times").alias("n")).where(F.col("n") >= HOT * tokens / 2)
+    hot = np.array([START, *[r.hot % (1 << 64) for r in often.collect()]], np.uint64)
+    pairs = settled(counted_pairs(found, slices, hot, least))
+    words = settled(counted_words(found, pairs.where("block < 0"), slices))
+    totals = [unsqueeze(r.a) for r in words.where("block < 0").select("a").toLocalIterator()]
+    total, distinct = (int(sum(x[k] for x in totals)) for k in (0, 1))
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        b = Block(block.to_pylist()[0])
+        answers = answers.sort_by("slice")
+        n, many, sums = (joined(answers.filter(pa.compute.field("of_words")), c)[0].astype(np.int64) for c in ("a", "b", "c"))
+        context, word, _, _ = b.pairs(slices, hot)
+        counts = joined(answers.filter(~pa.compute.field("of_words")), "a")[0].astype(np.int64)
+        codes = (context << 32 | word)[counts > 0]
+        order = np.argsort(codes)
+        left = np.maximum(1 - (sums - DISCOUNT * many) / np.maximum(n, 1), 1e-12)
+        trie = Trie.load(Trie(b.words[:-1], n[:-1], total, distinct, n[-1], codes[order].astype(np.uint64), counts[counts > 0][order], 32, left).save())
+        del context, word, counts, codes, order
+        sums, at = [], 0
+        while at < len(b.lengths):  # some rows at a time
+            end = max(at + 1, int(np.searchsorted(b.bounds, b.bounds[at] + (1 << 19), "right")) - 1)
+            line, bounds = b.line[b.bounds[at] : b.bounds[end]], b.bounds[at : end + 1] - b.bounds[at]
+            row = np.repeat(np.arange(end - at), np.diff(bounds))
+            sums.append([np.bincount(row, x, end - at) for x in (n[line] > 0, *trie.score(b.words[line], bounds)[1:])])
+            at = end
+        known, base, model = (np.concatenate(x) for x in zip(*sums, strict=True))
+        del trie
+        tidy()
+        return pa.table({"doc_id": b.ids["doc_id"], "n_tokens": b.lengths, "n_known": known.astype(np.int64), "train_tokens": np.full(len(known), total), "base_score": base, "score": model})
+
+    answers = words.where("block >= 0").withColumn("of_words", F.lit(True)).unionByName(pairs.where("block >= 0").withColumn("of_words", F.lit(False)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    part = settled(rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, model double, rare array<long>"))
-    part = part.withColumn("at", F.monotonically_increasing_id())
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words = part.select("at", F.explode("rare").alias("word")).groupBy("at", "word").agg(F.count("*").alias("times"))
-    seen = F.coalesce(F.col("n"), F.lit(0))
-    rare = (
-        words.join(counts.where(F.col("n") < least), "word", "left")
-        .groupBy("at")
-        .agg(F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("also"), F.sum(F.col("times") * F.log10((seen + 1) / F.lit(float(total + distinct + 1)))).alias("more"))
-    )
-    more = F.coalesce("more", F.lit(0.0))
-    return part.join(rare, "at", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
-    )
+    return found.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

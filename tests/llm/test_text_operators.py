@@ -161,6 +161,29 @@ def test_lm_base_scores_are_exact(spark, vocabulary):
     assert listed(lm.score(docs.limit(0), F.lit(True))) == []
 
 
+@pytest.mark.parametrize("vocabulary", [1 << 20, 5])
+def test_lm_scores_count_every_bigram(spark, vocabulary):
+    docs, rows = frame(spark)
+    train = lambda i: i is not None and i % 7 != 2
+    own = [(i, [*words(t), "</s>"]) for i, t in rows]
+    c = Counter(w for i, t in own if train(i) for w in t)
+    c["<s>"] = sum(train(i) for i, _ in rows)
+    pairs = Counter(p for i, t in own if train(i) for p in zip(["<s>", *t], t))
+    stored = {p: m for p, m in pairs.items() if m >= 2}
+    left = {u: 1 - sum(m - 0.75 for (a, _), m in stored.items() if a == u) / c[u] for u in c}
+    size = sum(c.values()) - c["<s>"] + len(c) - 1 + 1
+
+    def logp(u, w):
+        p1 = (c[w] + 1) / size
+        return math.log10(((stored[u, w] - 0.75) / c[u] if (u, w) in stored else 0) + left.get(u, 1) * p1)
+
+    want = [(i, len(t), sum(logp(u, w) for u, w in zip(["<s>", *t], t))) for i, t in own]
+    got = [(r.doc_id, r.n_tokens, r.score) for r in lm.score(docs, F.col("doc_id") % 7 != 2, vocabulary=vocabulary).collect()]
+    assert len(stored) > 500
+    for x, y in zip(sorted(want, key=repr), sorted(got, key=repr), strict=True):
+        assert x[:2] == y[:2] and y[2] == pytest.approx(x[2], abs=x[1] / lm.STEP)
+
+
 def test_lm_model_is_a_distribution():
     text = ["a b a b a c", "b a b", "c c a b", "a b a b"] * 2
     tokens, bounds = lm.stream(pa.array(text))
