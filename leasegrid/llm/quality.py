@@ -15,7 +15,9 @@ from .common import BLANK, LOWER, chunks, mix, row_of, span_hashes, spans, texts
 BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 14, 64, 4, 2
 #: Labelled rows that the classifier is fitted on at most: those with the least hash of their id.
 SAMPLE_ROWS = 20_000
-SLICE = 1 << 16
+SLICE = 1 << 17
+#: Ranges of buckets that the tasks' partial sums are added up by.
+RANGES = 64
 UPPER, AGAIN = 0, 1  # tokens that stand for a word in capitals and for a word said twice running
 
 _WORD = np.zeros(256, bool)
@@ -43,16 +45,21 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return what[order], np.searchsorted(at[order], offsets)
 
 
-def index_vectors() -> np.ndarray:
+def entries() -> tuple[np.ndarray, np.ndarray]:
     """The sparse index vector of each bucket: NONZERO places of +1 or -1, a fixed function of its number."""
+    h = mix(np.arange(BUCKETS, dtype=np.uint64)[:, None] * np.uint64(NONZERO) + np.arange(1, NONZERO + 1, dtype=np.uint64))
+    return (h % np.uint64(DIMENSIONS)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+
+
+def index_vectors() -> np.ndarray:
+    """The index vectors with all their dimensions."""
     out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    for k in range(NONZERO):
-        h = mix(np.arange(BUCKETS, dtype=np.uint64) * np.uint64(NONZERO) + np.uint64(k + 1))
-        np.add.at(out, (np.arange(BUCKETS), (h % np.uint64(DIMENSIONS)).astype(np.int64)), np.where(h >> np.uint64(63), 1, -1))
+    places, signs = entries()
+    np.add.at(out, (np.arange(BUCKETS)[:, None], places), signs)
     return out
 
 
-def contexts(column: pa.Array, index: np.ndarray, sums: np.ndarray) -> None:
+def contexts(column: pa.Array, places: np.ndarray, signs: np.ndarray, sums: np.ndarray) -> None:
     """Adds to each token's sum the index vectors of the tokens within REACH of it in its row."""
     what, bounds = tokens(column)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -62,11 +69,9 @@ def contexts(column: pa.Array, index: np.ndarray, sums: np.ndarray) -> None:
             left = left[: len(right)]
             same = row[at : at + len(left)] == row[at + gap : at + gap + len(right)]
             left, right = left[same], right[same]
-            # Equal pairs are added up first, so that each is one row of the sum.
-            pair, n = np.unique(left * BUCKETS + right, return_counts=True)
-            a, b, n = pair // BUCKETS, pair % BUCKETS, n[:, None].astype(np.float32)
-            np.add.at(sums, a, index[b] * n)
-            np.add.at(sums, b, index[a] * n)
+            for to, other in ((left, right), (right, left)):
+                key = to[:, None] * DIMENSIONS + places[other]
+                sums += np.bincount(key.ravel(), signs[other].ravel(), BUCKETS * DIMENSIONS)
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
@@ -136,29 +141,53 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: int = 32, e
     return model
 
 
+def context_sums(docs: DataFrame) -> np.ndarray:
+    """Each bucket's context vector, summed over the texts of all rows.
+
+    A task sends one row for each range of buckets, and a Spark aggregation adds them up, so the
+    driver gets BUCKETS sums at any size. Sums are whole numbers, so their order does not matter.
+    """
+    width = BUCKETS // RANGES
+    places, signs = entries()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BUCKETS * DIMENSIONS)
+        for batch in batches:
+            for part in chunks(batch):
+                contexts(part.column(0), places, signs, sums)
+        for k in range(RANGES):
+            own = sums[k * width * DIMENSIONS : (k + 1) * width * DIMENSIONS]
+            if own.any():
+                packed = pa.compress(own.astype(np.int64).tobytes(), "zstd").to_pybytes()
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["range", "sums"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(width * DIMENSIONS, np.int64)
+        for packed in table["sums"]:
+            total += np.frombuffer(pa.decompress(packed.as_py(), total.nbytes, "zstd"), np.int64)
+        return pa.table({"range": table["range"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    sent = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(add, "range int, sums binary")
+    sums = np.zeros((RANGES, width * DIMENSIONS))
+    for row in sent.groupBy("range").applyInArrow(merge, "range int, sums binary").collect():
+        sums[row["range"]] = np.frombuffer(row.sums, np.int64)
+    return sums.reshape(BUCKETS, DIMENSIONS)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most sample_rows labelled documents (doc_id, quality of labels; doc_id, text of docs).
+    """The word vectors from the texts of all of docs, and a network fitted on at most sample_rows
+    labelled documents (doc_id, quality of labels; doc_id, text of docs).
 
-    The word vectors, the pooled vectors of the sample and the network are made of these rows alone;
-    their texts stay on the executors, at most 8 partial sums of the vectors and one pooled vector a
-    row reach the driver. Rows with a null label or id are not used, an id with two labels has the higher one.
+    Texts stay on the executors; the summed vectors and one pooled vector a row of the sample reach
+    the driver. Rows with a null label or id are not used to fit the network, an id with two labels
+    has the higher one.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").repartition(8, "doc_id")
     index = index_vectors()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-        for batch in batches:
-            for part in chunks(batch):
-                contexts(part.column(1), index, sums)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
-
-    sums = np.zeros((BUCKETS, DIMENSIONS))
-    for row in sample.mapInArrow(add, "sums binary").toLocalIterator():
-        sums += np.frombuffer(row.sums, np.float32).reshape(BUCKETS, DIMENSIONS)
+    sums = context_sums(docs)
     size = np.linalg.norm(sums, axis=1, keepdims=True)
     vectors = (np.where(size > 0, sums / np.maximum(size, 1e-9), 0) + 0.5 * index / NONZERO**0.5).astype(np.float32)
     shared = spark.sparkContext.broadcast(vectors)

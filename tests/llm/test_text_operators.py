@@ -349,3 +349,19 @@ def test_quality(spark):
     assert sum((got[i] >= 0.5) == (i % 2 == 1) for i in range(150, 200)) >= 48
     assert {x.score for x in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
     assert listed(quality.score(docs.limit(0), model)) == []
+
+
+def test_quality_word_vectors_cover_all_documents(spark):
+    texts = ["alpha beta gamma", "delta epsilon zeta eta", None, "theta beta alpha &&& x", "delta delta DELTA"] * 3
+    docs = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    index, sums = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.DIMENSIONS))
+    for t in texts:
+        own = quality.tokens(pa.array([t or ""]))[0]
+        for i in range(len(own)):
+            for j in range(max(0, i - quality.REACH), min(len(own), i + quality.REACH + 1)):
+                sums[own[i]] += index[own[j]] * (i != j)
+    size = np.linalg.norm(sums, axis=1, keepdims=True)
+    want = np.where(size > 0, sums / np.maximum(size, 1e-9), 0) + 0.5 * index / quality.NONZERO**0.5
+    labels = spark.createDataFrame([(3, 1), (5, 0), (8, 1)], "doc_id long, quality int")
+    for n in (20_000, 1):  # the sample is for the network alone
+        assert np.allclose(quality.fit(docs, labels, sample_rows=n).vectors, want, atol=1e-6)
