@@ -147,7 +147,10 @@ def identify(docs: DataFrame, profiles: pd.DataFrame, id_col: str = "doc_id", te
 
 
 def with_language(docs: DataFrame, profiles: pd.DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs, whole, that identify() finds a language for; others go."""
+    """The rows of docs, whole, whose text has a letter; null texts and others go.
+
+    These are the rows that identify() finds a language for, if there are profiles to find it by.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +158,6 @@ def with_language(docs: DataFrame, profiles: pd.DataFrame, text_col: str = "text
             tidy()
             for part in chunks(batch, text_col):
                 texts = part.column(part.schema.get_field_index(text_col))
-                yield part.filter(pa.array([shared.value.predict(t.as_py())[0] != UNDETERMINED for t in texts], pa.bool_()))
+                yield part.filter(pa.array([(shared.value.predict(t.as_py())[0] != UNDETERMINED if shared.value.langs else bool(len(grams(t.as_py() or "")[0]))) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

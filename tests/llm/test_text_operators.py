@@ -136,6 +136,12 @@ def test_language_profiles(spark):
     assert listed(langid.identify(tests.limit(0), profiles)) == []
 
 
+def test_language_stage_without_any_lang(spark):
+    table = spark.createDataFrame([(1, "clean words", None), (2, None, None), (3, "12 !!", None), (4, "é", None), (5, "", None)], "doc_id long, text string, lang string")
+    kept = langid.with_language(table, langid.learn(table))
+    assert sorted(listed(kept)) == [(1, "clean words", None), (4, "é", None)]
+
+
 def test_grams_and_distance_by_hand():
     values, counts = langid.grams("Ab ab")
     assert sorted(counts.tolist()) == [2, 2, 2, 2, 2, 2, 2]  # a, b, _a, ab, b_, _ab, ab_
