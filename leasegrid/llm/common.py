@@ -8,27 +8,40 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text that numpy works on at a time; its arrays take some 50 bytes for each.
 CHUNK_BYTES = 2 << 20
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+SALT = 0x3C6EF372FE94F82B
+#: Longer spans are hashed one by one.
+LONG = 128
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names. Only where all runs on one machine may it be
+    unset, and is then a new folder of that machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set; it has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder: cuts lineage and survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -83,15 +96,6 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         start = end
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
-    if base not in _powers or len(_powers[base]) <= n:
-        p = np.full(max(n + 1, 1 << 20), base, np.uint64)
-        p[0] = 1
-        _powers[base] = np.cumprod(p, dtype=np.uint64)
-    return _powers[base]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit numbers (an invertible xor-shift and multiply finish)."""
     x = x ^ (x >> np.uint64(30))
@@ -102,11 +106,60 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the values in each span; equal spans anywhere have equal hashes."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_ODD, len(data))[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(_INVERSE, len(data))[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of the bytes in each span, eight at a time; equal spans anywhere have equal hashes.
+
+    Different spans may share one, so what decides on equality compares bytes as well: identities()
+    within an array, same_bytes() between two.
+    """
+    n = ends - starts
+    h = mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(SALT))
+    if not len(n):
+        return h
+    eights = eight_bytes(data)
+    for at in range(0, min(LONG, int(n.max())), 8):
+        own = np.flatnonzero((n > at) & (n <= LONG)) if at else np.flatnonzero((n > 0) & (n <= LONG))
+        left = np.minimum(n[own] - at, 8).astype(np.uint64)
+        h[own] = mix(h[own] ^ (eights[starts[own] + at] & (_ALL >> (np.uint64(64) - np.uint64(8) * left))))
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), SALT)
+    return h
+
+
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first lowest; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of data equals, byte for byte, the span of other at the same number."""
+    same = (ends - starts) == (other_ends - other_starts)
+    left, right = eight_bytes(data), eight_bytes(other)
+    open_ = np.flatnonzero(same & (ends > starts))
+    at = 0
+    while len(open_):
+        n = np.minimum(ends[open_] - starts[open_] - at, 8).astype(np.uint64)
+        differ = (left[starts[open_] + at] ^ right[other_starts[open_] + at]) & (_ALL >> (np.uint64(64) - np.uint64(8) * n))
+        same[open_[differ != 0]] = False
+        at += 8
+        open_ = open_[(differ == 0) & (ends[open_] - starts[open_] > at)]
+        if len(open_) < 64:  # few long ones: each at once
+            for i in open_.tolist():
+                same[i] = np.array_equal(data[starts[i] + at : ends[i]], other[other_starts[i] + at : other_ends[i]])
+            break
+    return same
+
+
+def identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the distinct spans, which span is the first of each; and for every span, the number of its
+    distinct one. Spans are equal only if their bytes are, whatever their hashes."""
+    _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    if same_bytes(data, starts, ends, data, starts[first][inverse], ends[first][inverse]).all():
+        return first, inverse
+    raw, seen = data.tobytes(), {}
+    numbers = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.unique(numbers, return_index=True)[1], numbers
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

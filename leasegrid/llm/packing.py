@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, chunks, resident, row_of, settled, span_hashes, tasks, texts_of, tidy
+from .common import BLANK, chunks, identities, resident, row_of, settled, tasks, texts_of, tidy
 
 SEQUENCE, END_ID = 2048, 0
 #: Parts that a worker keeps the ids of; it starts anew when it has more.
@@ -47,21 +46,21 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def learn(self, hashes: np.ndarray, parts: list[str]) -> None:
-        """Adds parts; their hashes rise and are new."""
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def learn(self, parts: list[bytes]) -> None:
+        """Adds parts, which are new."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         new = np.fromiter((i for x in lists for i in x), np.uint32, int(n.sum()))
         while self.used + len(new) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros(len(self.ids), np.uint32)]
         self.ids[self.used : self.used + len(new)] = new
-        at = np.searchsorted(self.hashes, hashes)
-        self.first = np.insert(self.first, at, self.used + np.cumsum(n) - n)
-        self.count = np.insert(self.count, at, n)
-        self.hashes = np.insert(self.hashes, at, hashes)
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        self.first = np.r_[self.first, self.used + np.cumsum(n) - n]
+        self.count = np.r_[self.count, n]
         self.used += len(new)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,15 +74,14 @@ class Tokens:
         starts, ends = edges[:-1], edges[1:]
         word = kind[starts] != _BLANK
         starts, ends = starts[word], ends[word]
-        hashes, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) > CACHE_ENTRIES:
+        first, inverse = identities(data, starts, ends)
+        raw = data.tobytes()
+        parts = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if len(self.known) > CACHE_ENTRIES:
             self.clear()
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        new = np.flatnonzero(self.hashes[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
-        if len(new):
-            raw = data.tobytes()
-            self.learn(hashes[new], [raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        at = np.searchsorted(self.hashes, hashes)[inverse]
+        if new := [p for p in parts if p not in self.known]:
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))[inverse]
         n, begin = self.count[at], self.first[at]
         row = row_of(starts, offsets)
         lengths = np.bincount(row, n, rows).astype(np.int64) + 1
@@ -135,82 +133,152 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, id_col: str
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Best-fit decreasing over runs: counts of equal lengths against runs of equal gaps.
+SWEPT = "kind int, ref long, size long, seq long, at long, part int, rank long"
+#: What a row of a sweep is: a document with its place, a gap that is left of one, and what found no match.
+PLACED, GAP, DOC_LEFT, GAP_LEFT = range(4)
+#: Rows that a task sweeps, about.
+SWEEP_ROWS = 16_384
+#: Sequences are opened when a sweep places less than this share of the documents.
+FEW = 0.15
 
-    Each round takes the longest class that is left. Its members, by rank, sweep over their
-    successors: the tightest gaps that have room, each filled as often as it goes before the next
-    one, then new sequences. The gaps are updated and the next class follows. What it costs depends
-    on the number of lengths, capacity at most, not on the number of documents.
 
-    Returns rows (length, from rank, to rank, first sequence, members a sequence, offset) and how
-    many sequences there are.
+def sweep(docs: DataFrame, gaps: DataFrame, capacity: int, open_above: int, partitions: int) -> DataFrame:
+    """One superstep. Documents (ref, size) and gaps (ref: the sequence, size) are range-sorted together
+    by falling size, gaps first among equals. Reading in that order, a document's successor is the last
+    gap read that no longer document took: the tightest with room for it. Documents over open_above get
+    new sequences instead, as many to one as it holds of their size.
+
+    What finds no match inside its range is ranked: documents by place, gaps from the largest.
+    """
+    every = docs.select("ref", "size", F.lit(0).alias("gap")).unionByName(gaps.select("ref", "size", F.lit(1).alias("gap")))
+    order = [F.desc("size"), F.desc("gap"), F.col("ref")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        stack: list[tuple[int, int]] = []
+        fresh = used = more = docs_left = 0  # the sequence that was opened last, and how many it still takes
+        for batch in batches:
+            out = []
+            for ref, size, gap in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if gap:
+                    stack.append((ref, size))
+                elif size > open_above:
+                    if not more:
+                        fresh, used, more = ref, 0, max(1, capacity // size)
+                    out.append((PLACED, ref, size, fresh, used, None, None))
+                    used, more = used + size, more - 1
+                    if not more and used < capacity:
+                        out.append((GAP, fresh, capacity - used, None, None, None, None))
+                elif stack:
+                    seq, room = stack.pop()
+                    out.append((PLACED, ref, size, seq, capacity - room, None, None))
+                    if room > size:
+                        out.append((GAP, seq, room - size, None, None, None, None))
+                else:
+                    out.append((DOC_LEFT, ref, size, None, None, part, docs_left))
+                    docs_left += 1
+            yield swept_rows(out)
+        out = [(GAP_LEFT, seq, room, None, None, part, k) for k, (seq, room) in enumerate(stack)]
+        yield swept_rows([*out, (GAP, fresh, capacity - used, None, None, None, None)] if more and used < capacity else out)
+
+    return every.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(run, SWEPT)
+def swept_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "ref", "size", "seq", "at", "part", "rank"])
+
+
+def conflicts(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Which documents meet which gaps across ranges, by rank: in order of the ranges, each one's
+    documents take the last gaps that earlier ranges left. left: documents and gaps left by range.
+
+    Returns intervals (documents' range, first rank, how many, gaps' range, top rank, first number):
+    at most two a range, whatever they hold.
     """
-    gaps: list[tuple[int, int, int]] = []  # (room, first sequence, how many)
-    plan, made = [], 0
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            at = bisect_left(gaps, (size, -1, -1))
-            fits = (gaps[at][0] if at < len(gaps) else capacity) // size
-            if at < len(gaps):
-                room, first, n = gaps.pop(at)
-            else:
-                room, first, n = capacity, made, -(-left // fits)
-                made += n
-            full = min(n, left // fits)
-            taken = full * fits
-            if full:
-                plan.append((size, rank, rank + taken, first, fits, capacity - room))
-                if room > fits * size:
-                    insort(gaps, (room - fits * size, first, full))
-            if full < n and 0 < left - taken:
-                rest = min(fits, left - taken)
-                plan.append((size, rank + taken, rank + taken + rest, first + full, fits, capacity - room))
-                if room > rest * size:
-                    insort(gaps, (room - rest * size, first + full, 1))
-                taken, full = taken + rest, full + 1
-            if full < n:
-                insort(gaps, (room, first + full, n - full))
-            rank, left = rank + taken, left - taken
-    return plan, made
+    stack, plan, number = [], [], 0
+    for part in sorted(left):
+        docs, gaps = left[part]
+        rank = 0
+        while rank < docs and stack:
+            other, room = stack.pop()
+            n = min(docs - rank, room)
+            plan.append((part, rank, n, other, room - 1, number))
+            rank, number = rank + n, number + n
+            if room > n:
+                stack.append((other, room - n))
+        if gaps:
+            stack.append((part, gaps))
+    return plan
 
 
 def pack(parts: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
-    """Adds sequence_id and offset to rows with a length, in as few sequences as best fit finds.
+    """Adds sequence_id and offset to rows with a length, in nearly as few sequences as can be.
 
-    The rows are range-sorted by falling length, so a row's rank among its equals is its place less
-    that of the first. Only counts by length (at most capacity of them) and by partition reach the
-    driver; the plan made of them is a table of runs, which the rows meet by length and rank.
-    Equal and repeated rows have places of their own; an empty table gives no rows.
+    Bulk-synchronous best fit. Rows over half of capacity have a sequence of their own; its gap and the
+    other rows go through rounds. In a round a sweep() matches documents with their successors among the
+    gaps inside each range, conflicts() settles by rank who gets which gap across ranges, each gap takes
+    one document at most, and what is left of it is a gap of the next round. When few documents find a
+    gap, the next sweep opens sequences for the longest. Documents and gaps are tables throughout: the
+    driver sees how many each range left, and nothing of them.
+
+    The rows are settled first, so a row keeps its number. Equal and repeated rows have places of their
+    own; a row over capacity is alone; null lengths count as none and take no room; an empty table gives
+    no rows. Columns named sequence_id or offset are replaced.
     """
     spark = parts.sparkSession
-    order = [F.desc("length"), *[F.col(c) for c in parts.columns if c != "length"]]
-    ranged = settled(parts.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order)).withColumn("at", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("part", F.shiftright("at", 33)).withColumn("place", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = ranged.groupBy("part", "length").agg(F.count("*").alias("n")).toPandas()
-    by_length = counts.groupby("length")["n"].sum().sort_index(ascending=False) if len(counts) else pd.Series(dtype="int64")
-    by_part = counts.groupby("part")["n"].sum().sort_index() if len(counts) else pd.Series(dtype="int64")
-    plan, _ = best_fit({int(k): int(n) for k, n in by_length.items()}, capacity)
-    first = (by_length.cumsum() - by_length).to_dict()
-    runs = [(size, int(first[size]) + a, int(first[size]) + b, s, f, o) for size, a, b, s, f, o in plan]
-    starts = [(int(p), int(n)) for p, n in (by_part.cumsum() - by_part).items()]
-    of_plan = spark.createDataFrame(runs, "length long, a long, b long, first long, fits long, base long")
-    of_part = spark.createDataFrame(starts, "part long, before long")
-    own = F.col("rank") - F.col("a")
-    return (
-        ranged.join(F.broadcast(of_part), "part")
-        .withColumn("rank", F.col("before") + F.col("place"))
-        .join(F.broadcast(of_plan), "length")
-        .where("rank >= a and rank < b")
-        .select(
-            *parts.columns,
-            (F.col("first") + F.floor(own / F.col("fits"))).cast("long").alias("sequence_id"),
-            (F.col("base") + F.pmod(own, F.col("fits")) * F.col("length")).cast("long").alias("offset"),
-        )
-    )
+    kept = [F.col(c) for c in parts.columns if c not in ("sequence_id", "offset")]
+    size = F.coalesce(F.col("length").cast("long"), F.lit(0))
+    rows = settled(parts.select(F.struct(*kept).alias("row"), F.greatest(size, F.lit(0)).alias("size"))).withColumn("ref", F.monotonically_increasing_id())
+    own = F.col("size") * 2 > capacity
+    alone = rows.where(own)
+    docs, gaps = rows.where(~own).select("ref", "size"), alone.where(F.col("size") < capacity).select("ref", (capacity - F.col("size")).alias("size"))
+    placed: list[DataFrame] = []
+    left, open_above = docs.count(), capacity
+    while left:
+        partitions = max(2, min(tasks(spark), 2 * left // SWEEP_ROWS))
+        swept = settled(sweep(docs, gaps, capacity, open_above, partitions))
+        counts = swept.groupBy("kind", "part").agg(F.count("*").alias("n"), F.max("size").alias("top")).collect()
+        by_part: dict[int, tuple[int, int]] = {}
+        for r in counts:
+            if r.kind in (DOC_LEFT, GAP_LEFT):
+                d, g = by_part.get(r.part, (0, 0))
+                by_part[r.part] = (d + r.n, g) if r.kind == DOC_LEFT else (d, g + r.n)
+        plan = conflicts(by_part)
+        docs, gaps, more = settle_conflicts(swept, plan, capacity)
+        placed.append(swept.where(F.col("kind") == PLACED).select("ref", "seq", "at"))
+        if more is not None:
+            placed.append(more)
+        before, left = left, sum(d for d, _ in by_part.values()) - sum(n for _, _, n, *_ in plan)
+        top = max((r.top for r in counts if r.kind == DOC_LEFT), default=0)
+        open_above = capacity
+        if before - left <= FEW * before:
+            open_above = min(capacity // (capacity // max(1, top) + 1), top * 6 // 10, max(0, top - 1))
+    out = alone.select("row.*", F.col("ref").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if placed:
+        places = placed[0]
+        for other in placed[1:]:
+            places = places.unionByName(other)
+        out = out.unionByName(rows.where(~own).join(places, "ref").select("row.*", F.col("seq").alias("sequence_id"), F.col("at").alias("offset")))
+    return out
+
+
+def settle_conflicts(swept: DataFrame, plan: list[tuple], capacity: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The documents and gaps that a round leaves, and the documents placed across ranges."""
+    new_gaps = swept.where(F.col("kind") == GAP).select("ref", "size")
+    docs, gaps = (swept.where(F.col("kind") == k).select("ref", "size", "part", "rank") for k in (DOC_LEFT, GAP_LEFT))
+    if not plan:
+        return docs.select("ref", "size"), new_gaps.unionByName(gaps.select("ref", "size")), None
+    known = F.broadcast(swept.sparkSession.createDataFrame(plan, "d_part int, d_first long, n long, g_part int, g_top long, number long"))
+    docs = docs.join(known, (F.col("part") == F.col("d_part")) & (F.col("rank") >= F.col("d_first")) & (F.col("rank") < F.col("d_first") + F.col("n")), "left")
+    docs = docs.select("ref", "size", (F.col("number") + F.col("rank") - F.col("d_first")).alias("number"))
+    gaps = gaps.join(known, (F.col("part") == F.col("g_part")) & (F.col("rank") <= F.col("g_top")) & (F.col("rank") > F.col("g_top") - F.col("n")), "left")
+    gaps = gaps.select(F.col("ref").alias("seq"), F.col("size").alias("room"), (F.col("number") + F.col("g_top") - F.col("rank")).alias("number"))
+    met = settled(docs.where("number is not null").join(gaps.where("number is not null"), "number"))
+    free = met.where("room > size").select(F.col("seq").alias("ref"), (F.col("room") - F.col("size")).alias("size"))
+    unmet = gaps.where("number is null").select(F.col("seq").alias("ref"), F.col("room").alias("size"))
+    return docs.where("number is null").select("ref", "size"), new_gaps.unionByName(unmet).unionByName(free), met.select("ref", "seq", (capacity - F.col("room")).alias("at"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = SEQUENCE) -> DataFrame:
     """pieces() of docs, packed."""
-    return pack(settled(pieces(docs, tokenizer, length)), length)
+    return pack(pieces(docs, tokenizer, length), length)

@@ -104,19 +104,48 @@ def test_packing_round_trip(spark):
     assert listed(packing.pack_documents(frame(spark, [])[0], tokenizer_path())) == []
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_best_fit_equals_the_sequential_algorithm(seed):
+@pytest.mark.parametrize("seed", range(3))
+def test_a_sweep_matches_like_the_sequential_one(spark, seed):
     r = random.Random(seed)
-    sizes = sorted((r.randint(1, 64) for _ in range(r.randint(0, 500))), reverse=True)
-    gaps = []
-    for s in sizes:
-        fit = [g for g in gaps if g >= s]
-        if fit:
-            gaps.remove(min(fit))
-        gaps.append((min(fit) if fit else 64) - s)
-    plan, made = packing.best_fit(Counter(sizes), 64)
-    assert made == len(gaps)
-    assert sum(b - a for _, a, b, *_ in plan) == len(sizes)
+    docs = [(i, r.randint(1, 32)) for i in range(r.randint(1, 300))]
+    gaps = [(1000 + i, r.randint(1, 64)) for i in range(r.randint(0, 300))]
+    stack, want = [], []
+    for size, kind, ref in sorted([(-s, 1, i) for i, s in docs] + [(-s, 0, i) for i, s in gaps]):
+        if kind == 0:
+            stack.append((ref, -size))
+        elif stack:
+            seq, room = stack.pop()
+            want.append((-size, room))
+    table = lambda x: spark.createDataFrame(x, "ref long, size long")
+    swept = packing.settled(packing.sweep(table(docs), table(gaps), 64, 64, 5))
+    left = {}
+    for x in swept.where("part is not null").collect():
+        d, g = left.get(x.part, (0, 0))
+        left[x.part] = (d + 1, g) if x.kind == packing.DOC_LEFT else (d, g + 1)
+    after, open_gaps, more = packing.settle_conflicts(swept, packing.conflicts(left), 64)
+    sizes = dict(docs)
+    placed = swept.where(f"kind = {packing.PLACED}").select("ref", "seq", "at")
+    placed = (placed if more is None else placed.union(more)).collect()
+    assert sorted((sizes[x.ref], 64 - x.at) for x in placed) == sorted(want)
+    assert len({x.seq for x in placed}) == len(placed) and after.count() == len(docs) - len(placed)
+    assert open_gaps.agg(F.sum("size")).first()[0] == (sum(s for _, s in gaps) - sum(sizes[x.ref] for x in placed) or None)
+
+
+@pytest.mark.parametrize("sizes", [[64] * 5, [1] * 200, [33, 31] * 20, [20] * 50, [None, 0, 0, 1, 200], [], [17, 16, 15] * 40 + list(range(1, 64))])
+def test_packing_is_tight(spark, sizes):
+    got = packing.pack(spark.createDataFrame([(i, s, -1) for i, s in enumerate(sizes)], "id long, length int, offset int"), 64).collect()
+    assert sorted(r.id for r in got) == list(range(len(sizes)))
+    own = {}
+    for r in got:
+        own.setdefault(r.sequence_id, []).append((r.offset, r.length or 0))
+    for rows in own.values():
+        at = 0
+        for offset, n in sorted(rows):
+            assert offset == at
+            at += n
+        assert at <= 64 or len(rows) == 1
+    total = sum(min(s or 0, 64) for s in sizes)
+    assert len(own) <= 1.2 * total / 64 + 1
 
 
 def test_language_profiles(spark):
