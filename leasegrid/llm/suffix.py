@@ -1,18 +1,20 @@
 """Suffix-array dedup: removes bytes that a 50-byte string of an earlier document covers.
 
-A document's suffixes, cut to the match length, are its windows. Windows are sorted into suffix
-order only where a match is possible, and only those of like content meet in one task:
+A document's suffixes, cut to the match length, are its windows. Windows are put in suffix order only
+where a match is possible, and only those of like content meet in one task:
 
 1. Each window has a minimizer, the least hash of the shorter strings in it. Equal windows have equal
    minimizers, and neighbouring windows mostly share one, so a document falls into runs of windows.
 2. Documents are dealt into blocks. Each block posts its minimizers, and learns which of them occur in
    two documents or more.
 3. Runs with such a minimizer are sent, as text, to the bucket of the minimizer, once for each block
-   and content. There the windows are put in suffix order; the nearest smaller document before a
-   window among its equals is the head of its stretch of the longest-previous-factor array.
+   and content. There the windows' suffix array is made; the previous and the next smaller document in
+   suffix order give the longest previous factor of each window. Where it is as long as a match, the
+   window is a later copy.
 4. The covered spans return to their block, and are removed.
 
-The blocks' documents are shuffled once and read three times (a reused exchange).
+Hashes only say where to look: runs of a block count as one content, and windows as equal, if their
+bytes are. The blocks' documents are shuffled once and read three times (a reused exchange).
 """
 
 from __future__ import annotations
@@ -23,17 +25,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import CHUNK_BYTES, mix, span_hashes, spans, tasks, texts_of, tidy
+from .common import CHUNK_BYTES, identities, mix, span_hashes, spans, tasks, texts_of, tidy
 
 MATCH, GRAM = 50, 24
-BLOCK_BYTES = 8 << 20
+#: Text of a block, of a shard of minimizers and of a bucket, where the table is large.
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 32 << 20
+#: Blocks and shards of a small table, at most the shuffle's partitions.
+LEAST_BLOCKS = 64
 #: A minimizer of this many documents is split: its windows are sent one by one, each to its own bucket.
 HEAVY = 1 << 15
 #: What reaches a bucket is put in suffix order in so many parts, each of whole minimizers.
 PARTS = 16
 _ODD = 0x9E3779B97F4A7C15
-LAST = np.iinfo(np.int64).max
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -94,15 +99,17 @@ def runs(data: np.ndarray, offsets: np.ndarray, match: int = MATCH) -> tuple[np.
 
 
 class Block:
-    """A block's rows in order of id and text; rank is equal for equal ids."""
+    """A block's rows in order of id and text, null ids last; rank is equal for equal ids."""
 
     def __init__(self, table: pa.Table) -> None:
-        at = table.schema.get_field_index("text")
-        ids = table.column(table.schema.get_field_index("doc_id")).to_pandas().to_numpy()
-        text = table.column(at).to_pylist()
-        ids = [LAST if i is None or i != i else int(i) for i in ids]
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], text[i] or ""))
-        self.ids = np.array([ids[i] for i in self.order], np.int64)
+        ids = table.column("doc_id").combine_chunks()
+        text = table.column("text").to_pylist()
+        known, values = ids.is_valid().to_pylist(), ids.to_pylist()
+        self.order = sorted(range(len(text)), key=lambda i: (not known[i], values[i] if known[i] else 0, text[i] or ""))
+        taken = ids.take(pa.array(self.order, pa.int64()))
+        self.ids = np.asarray(taken.fill_null(0), np.int64)
+        self.unknown = np.asarray(taken.is_null()).astype(np.uint8)
+        self.rank = ranks(self.unknown, self.ids)
         self.data, self.offsets = texts_of(pa.array([text[i] for i in self.order], pa.large_string()))
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,6 +117,15 @@ class Block:
         return first, last, key, np.searchsorted(self.offsets, first, "right") - 1
 
 
+def ranks(unknown: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The places of the ids among the distinct ones, unknown ids after all others."""
+    order = np.lexsort((ids, unknown))
+    new = (np.diff(ids[order]) != 0) | (np.diff(unknown[order]) != 0)
+    out = np.zeros(len(ids), np.int64)
+    out[order[1:]] = np.cumsum(new)
+    return out
+
+
 def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal values together, and where each stretch of them starts."""
     order = np.argsort(values, kind="stable")
@@ -125,7 +141,7 @@ def post(shards: int):
         block = Block(table)
         _, _, mins, row = block.runs()
         order, first = groups(mins)
-        ids = block.ids[row[order]]
+        ids = block.rank[row[order]]
         # rows are in order of id, so within a stretch ids rise and change as often as there are more of them
         new = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
         new[first] = True
@@ -195,11 +211,11 @@ def send(shards: int, buckets: int):
                 first, last, row = np.r_[first[~split], window], np.r_[last[~split], window + 1], np.r_[row[~split], np.repeat(row[split], n)]
                 bucket = np.r_[bucket[~split], home]
             end = last + MATCH - 1
-            order, start = groups(span_hashes(block.data, first, end))
             # Of runs with one content, those of the smallest id stand for all.
-            least = np.repeat(np.minimum.reduceat(block.ids[row[order]], start), np.diff(np.r_[start, len(order)])) if len(start) else np.zeros(0, np.int64)
-            later = np.zeros(len(first), bool)
-            later[order] = block.ids[row[order]] > least
+            _, content = identities(block.data, first, end)
+            least = np.full(content.max() + 1 if len(content) else 0, len(block.rank), np.int64)
+            np.minimum.at(least, content, block.rank[row])
+            later = block.rank[row] > least[content]
             begin = first - block.offsets[row]
             if later.any():
                 out.append((-1, pack(row[later].astype(np.int32), begin[later].astype(np.int32), (begin + end - first)[later].astype(np.int32))))
@@ -209,40 +225,78 @@ def send(shards: int, buckets: int):
             for k, s, e in zip(used.tolist(), cut.tolist(), [*cut[1:].tolist(), len(keep)][: len(used)], strict=True):
                 own = keep[s:e]
                 text = np.concatenate([block.data[x:y] for x, y in zip(first[own].tolist(), end[own].tolist(), strict=True)])
-                out.append((k, pack((bucket[own] % np.uint64(PARTS)).astype(np.uint8), block.ids[row[own]], row[own].astype(np.int32), begin[own].astype(np.int32), (end - first)[own].astype(np.int32), text)))
+                out.append((k, pack((bucket[own] % np.uint64(PARTS)).astype(np.uint8), block.unknown[row[own]], block.ids[row[own]], row[own].astype(np.int32), begin[own].astype(np.int32), (end - first)[own].astype(np.int32), text)))
         return pa.table({"bucket": pa.array([k for k, _ in out], pa.int64()), "b": pa.array([b] * len(out), pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     return run
 
 
-def words_at(data: np.ndarray, at: np.ndarray, match: int) -> list[np.ndarray]:
-    """The match bytes from each place as numbers that sort as the bytes do."""
+def words_at(data: np.ndarray, at: np.ndarray, match: int) -> tuple[list[int], list[np.ndarray]]:
+    """The match bytes from each place as numbers that sort as the bytes do, and where each number starts."""
     eights = np.ndarray(max(0, len(data) - 7), ">u8", np.ascontiguousarray(data), strides=(1,))
     steps = [*range(0, match - 7, 8)]
     if steps[-1] + 8 < match:
         steps.append(match - 8)
-    return [eights[at + k].astype(np.uint64) for k in steps]
+    return steps, [eights[at + k].astype(np.uint64) for k in steps]
+
+
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """The nearest place before each one that holds a smaller value, -1 where none does: up a tree of
+    minima to the first subtree on the left that holds one, and down to its last such place."""
+    levels = [x]
+    while len(levels[-1]) > 1:
+        y = levels[-1] if len(levels[-1]) % 2 == 0 else np.r_[levels[-1], np.iinfo(x.dtype).max]
+        levels.append(np.minimum(y[::2], y[1::2]))
+    out = np.full(len(x), -1, np.int64)
+    who, node, met = np.arange(len(x)), np.arange(len(x)), []
+    for level in levels[:-1]:
+        hit = np.zeros(len(who), bool)
+        odd = np.flatnonzero(node & 1)
+        hit[odd] = level[node[odd] - 1] < x[who[odd]]
+        met.append((who[hit], node[hit] - 1))
+        who, node = who[~hit], node[~hit] >> 1
+    who, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k in range(len(met) - 1, -1, -1):
+        who, node = np.r_[who, met[k][0]], np.r_[node, met[k][1]]
+        if k:
+            right = np.minimum(2 * node + 1, len(levels[k - 1]) - 1)
+            node = np.where(levels[k - 1][right] < x[who], right, 2 * node)
+    out[who] = node
+    return out
+
+
+def common_prefix(steps: list[int], words: list[np.ndarray], left: np.ndarray, right: np.ndarray, match: int) -> np.ndarray:
+    """How many of their match bytes the windows of both lists share at the start."""
+    start = np.full(len(left), match, np.int64)
+    differ = np.zeros(len(left), np.uint64)
+    for step, word in zip(steps[::-1], words[::-1], strict=True):
+        x = word[left] ^ word[right]
+        other = x != 0
+        start[other], differ[other] = step, x[other]
+    for k in range(1, 8):  # a leading byte without a difference counts on
+        start += (differ != 0) & (differ < np.uint64(1 << 8 * (8 - k)))
+    return start
 
 
-def earlier(data: np.ndarray, windows: np.ndarray, ids: np.ndarray, match: int = MATCH) -> np.ndarray:
-    """Which windows have, in suffix order cut at match bytes, an equal with a smaller id.
+def longest_previous(data: np.ndarray, windows: np.ndarray, rank: np.ndarray, match: int = MATCH) -> np.ndarray:
+    """The longest-previous-factor array: how many bytes of each window, match at most, another window
+    of a smaller rank starts with.
 
-    In that order, equals by rising id, the previous smaller id of a window lies within its stretch of
-    equals, where the longest previous factor is match or more, unless it is of the stretch's first id.
+    Windows are put in suffix order, cut at match bytes. In that order the nearest window on either side
+    with a smaller rank shares the most with it, so the longer of both common prefixes is the factor.
     """
     if not len(windows):
-        return np.zeros(0, bool)
-    words = words_at(data, windows, match)
-    order = np.lexsort((ids, *words[::-1]))
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for w in words:
-        w = w[order]
-        new[1:] |= w[1:] != w[:-1]
-    head = np.flatnonzero(new)
-    first = np.repeat(ids[order[head]], np.diff(np.r_[head, len(order)]))
-    out = np.empty(len(order), bool)
-    out[order] = ids[order] > first
+        return np.zeros(0, np.int64)
+    order = np.argsort(np.ndarray(len(data) - match + 1, f"S{match}", np.ascontiguousarray(data), strides=(1,))[windows])
+    steps, words = words_at(data, windows[order], match)
+    x = rank[order]
+    here = np.arange(len(order))
+    best = np.zeros(len(order), np.int64)
+    for near in (previous_smaller(x), len(x) - 1 - previous_smaller(x[::-1])[::-1]):
+        at = np.flatnonzero((near >= 0) & (near < len(x)))
+        best[at] = np.maximum(best[at], common_prefix(steps, words, here[at], near[at], match))
+    out = np.empty(len(order), np.int64)
+    out[order] = best
     return out
 
 
@@ -253,7 +307,8 @@ def compare(key: tuple, table: pa.Table) -> pa.Table:
         return table.select(["b", "blob"])
     blocks = table.column("b").to_pylist()
     parts = [unpack(x) for x in table.column("blob").to_pylist()]
-    part, ids, row, begin, length, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    part, unknown, ids, row, begin, length, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rank = ranks(unknown, ids)
     block = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     length = length.astype(np.int64)
     at = np.cumsum(length) - length
@@ -263,7 +318,7 @@ def compare(key: tuple, table: pa.Table) -> pa.Table:
         n = length[some] - MATCH + 1
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         run = np.repeat(some, n)
-        covered = earlier(text, at[run] + place, ids[run])
+        covered = longest_previous(text, at[run] + place, rank[run]) >= MATCH
         starts, ends = spans(covered, np.r_[0, np.cumsum(n)])
         found.append((run[starts], place[starts], ends - starts))
     own, place, n = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -298,7 +353,7 @@ def remove(carried: list[str], as_text: bool):
         relative = np.stack([starts, ends], 1) - block.offsets[row][:, None]
         cuts = np.searchsorted(row, np.arange(len(block.ids) + 1))
         own = {
-            "doc_id": pa.array([None if i == LAST else i for i in block.ids.tolist()], pa.int64()),
+            "doc_id": table.column("doc_id").take(pa.array(block.order, pa.int64())),
             "n_bytes": pa.array(np.diff(block.offsets)),
             "removed": pa.ListArray.from_arrays(pa.array((2 * cuts).astype(np.int32)), pa.array(relative.ravel())),
             "kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
@@ -316,18 +371,24 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, heavy: int = HEAVY, i
 
     Strings are judged on the input, so the first copy stays whole. Null texts are empty and texts
     under 50 bytes lose nothing. Rows of one id do not remove from each other; a null id is larger
-    than all others. An empty table gives no rows.
+    than all others. Ids are whole numbers of any kind up to 64 bits and return as they came; other
+    kinds are refused. An empty table gives no rows.
     """
     spark = docs.sparkSession
     carried = [] if carry is None else ["carried"]
+    kind = docs.select(id_col).schema[0].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} has to be a whole number, not {kind.simpleString()}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(carry).alias("carried")] if carried else []))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(tasks(spark), -(-size // block_bytes))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    least = min(tasks(spark), LEAST_BLOCKS)
+    blocks, shards = max(least, -(-size // block_bytes)), max(least, -(-size // (SHARD_BYTES * block_bytes // BLOCK_BYTES)))
+    # Repeated rows are dealt by where they come from, so that no block has to hold all of them.
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)))
     by_block = rows.groupBy("b")
-    posted = by_block.applyInArrow(post(blocks), "shard long, b long, blob binary")
+    posted = by_block.applyInArrow(post(shards), "shard long, b long, blob binary")
     marks = posted.groupBy("shard").applyInArrow(answer(heavy), "b long, shard long, blob binary")
-    sent = by_block.cogroup(marks.groupBy("b")).applyInArrow(send(blocks, blocks), "bucket long, b long, blob binary")
+    sent = by_block.cogroup(marks.groupBy("b")).applyInArrow(send(shards, shards), "bucket long, b long, blob binary")
     # What needs no comparing is dealt by block, as if each block had a bucket of its own for it.
     sent = sent.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.col("b")).otherwise(F.col("bucket")))
     covered = sent.groupBy("bucket").applyInArrow(compare, "b long, blob binary")
