@@ -1,9 +1,19 @@
-"""SimHash near-duplicates: a byte-position inverted index with count filtering."""
+"""SimHash near-duplicates: a byte-position inverted index with count filtering.
+
+A fingerprint is posted under every choice of KEY of its 8 byte positions, with its bytes there. Two that
+differ in at most BITS bits share at least 8 - BITS bytes, so they meet in at least LEAST_LISTS posting
+lists. Pairs are tallied over the lists; those that reach this guaranteed minimum are verified.
+
+A list sends on its pairs only while it is short. The members of a long one share KEY bytes already, and
+two of them that are near share one more: they are posted again under KEY + 1 positions, where a list
+has at most 65,536 members, which look up their neighbours. So no list emits all of its pairs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +24,31 @@ from pyspark.sql import functions as F
 from .common import settled, tidy
 
 SEED, SHINGLE, BITS = 42, 3, 2
-#: Two fingerprints that differ in at most 2 bits differ in at most 2 of 8 bytes: 6 must match.
-LEAST_SHARED = 8 - BITS
-POSITIONS = list(combinations(range(8), LEAST_SHARED))
-MASKS = np.array([sum(0xFF << 8 * p for p in kept) for kept in POSITIONS], np.uint64)
+#: Positions of a key, and how many keys two fingerprints share that differ in BITS of 8 bytes.
+KEY = 5
+LEAST_LISTS = comb(8 - BITS, KEY)
+
+
+def choices(n: int) -> list[tuple[int, ...]]:
+    return list(combinations(range(8), n))
+
+
+def masks_of(positions: list[tuple[int, ...]]) -> np.ndarray:
+    return np.array([sum(0xFF << 8 * p for p in kept) for kept in positions], np.uint64)
+
+
+KEYS, LONGER = choices(KEY), choices(KEY + 1)
+MASKS, LONGER_MASKS = masks_of(KEYS), masks_of(LONGER)
+#: The longer keys that hold each key.
+ABOVE = [[k for k, more in enumerate(LONGER) if set(own) <= set(more)] for own in KEYS]
+#: A longer list of postings is not paired but posted again.
+SHORT = 16
 #: The ways two 16-bit values can differ in 1 or 2 bits.
 FLIPS = np.array([1 << i for i in range(16)] + [1 << i | 1 << j for i, j in combinations(range(16), 2)], np.uint32)
 SMALL = 128
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of a text: each bit is 1 if over half of the shingles' hashes set it."""
     words = text.lower().split()  # of bytes: lower() takes A-Z alone, split() the blanks 20 and 09-0D
     if not words:
@@ -31,7 +56,7 @@ def fingerprint(text: bytes) -> int:
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    span = min(SHINGLE, len(words)) - 1
+    span = min(shingle, len(words)) - 1
     cuts = map(slice, (ends - lengths)[: len(words) - span].tolist(), ends[span:].tolist())
     n = len(words) - span
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(SEED)), np.uint64, n)
@@ -42,14 +67,14 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (64 bits as a signed long) of every row; null and blank texts have fp 0."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tidy()
-            fps = np.array([fingerprint(t.as_py() or b"") for t in b.column(1)], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py() or b"", shingle) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -58,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def posting_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is joined among the distinct fingerprints of one posting list.
 
-    All of them share 6 bytes, so they are at most 65,536. Few are compared with each other; of many,
+    All of them share KEY + 1 = 6 bytes, so they are at most 65,536. Few are compared with each other; of many,
     each looks up the values 1 or 2 bits away among the two bytes that may differ.
     """
     label = np.arange(len(fps))
@@ -92,50 +117,93 @@ def posting_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[label[linked]], fps[linked]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) whose closure joins exactly the distinct fp values at most 2 bits apart.
+def posted(fps: DataFrame, masks: np.ndarray) -> DataFrame:
+    """set, fp in order of set and the bytes that the set's mask keeps, like ones in one partition."""
+    known = F.array(*[F.lit(int(m.view(np.int64))) for m in masks])
+    rows = fps if "set" in fps.columns else fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("set"))
+    rows = rows.select("set", F.col("fp").bitwiseAND(F.element_at(known, F.col("set") + 1)).alias("key"), "fp")
+    return rows.repartition("set", "key").sortWithinPartitions("set", "key", "fp").select("set", "fp")
+
+
+def lists_of(sets: np.ndarray, fps: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the posting lists start and end."""
+    key = fps & masks[sets]
+    new = np.flatnonzero((sets[1:] != sets[:-1]) | (key[1:] != key[:-1])) + 1
+    return np.r_[0, new], np.r_[new, len(sets)]
+
+
+def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of short lists; and (fp, null, set) for each member of a long one."""
+    sets, fps, long_ = np.zeros(0, np.int32), np.zeros(0, np.uint64), False
+
+    def take(sets: np.ndarray, fps: np.ndarray, long_: bool) -> pa.RecordBatch:
+        starts, ends = lists_of(sets, fps, MASKS)
+        n = ends - starts
+        if long_:  # the first list goes on from before
+            n[0] += SHORT
+        number, size = np.repeat(np.arange(len(n)), ends - starts), np.repeat(n, ends - starts)
+        again = size > SHORT
+        found = [np.zeros((0, 2), np.int64)]
+        for gap in range(1, min(SHORT, int(n.max()))):
+            at = np.flatnonzero((number[gap:] == number[:-gap]) & ~again[gap:])
+            found.append(np.stack([fps[at], fps[at + gap]], 1).view(np.int64))
+        pairs = np.concatenate(found)
+        none = np.zeros(len(pairs), bool)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.r_[pairs[:, 0], fps[again].view(np.int64)]),
+                pa.array(np.r_[pairs[:, 1], np.zeros(again.sum(), np.int64)], mask=np.r_[none, np.ones(again.sum(), bool)]),
+                pa.array(np.r_[np.zeros(len(pairs), np.int32), sets[again]]),
+            ],
+            ["a", "b", "set"],
+        )
 
-    Every value is posted under each choice of 6 byte positions with its bytes there. Values in one
-    posting list share the guaranteed minimum of 6 positional bytes, any pair 2 bits apart meets in
-    a list, and a list holds at most 65,536 distinct values; the bits are verified in it. A list
-    sends on fewer links than it has members, never all pairs.
-    """
-    masks = F.array(*[F.lit(int(m) - (1 << 64) if m >> np.uint64(63) else int(m)) for m in MASKS])
-    posts = (
-        fps.select("fp", F.posexplode(masks).alias("set", "mask"))
-        .select("set", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        .repartition("set", "key")
-        .sortWithinPartitions("set", "key", "fp")
-    )
+    for batch in batches:
+        sets, fps = np.r_[sets, batch.column(0).to_numpy()], np.r_[fps, batch.column(1).to_numpy().view(np.uint64)]
+        if not len(sets):
+            continue
+        starts, _ = lists_of(sets, fps, MASKS)
+        last = int(starts[-1])  # this list may go on in the next batch
+        if last:
+            yield take(sets[:last], fps[:last], long_)
+            sets, fps, long_ = sets[last:], fps[last:], False
+        if len(sets) > SHORT:  # long already: what is here goes on, the last one shows the list to the next batch
+            yield take(sets[:-1], fps[:-1], True)
+            sets, fps, long_ = sets[-1:], fps[-1:], True
+    if len(sets):
+        yield take(sets, fps, long_)
+
+
+def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links inside each list of the longer keys."""
+    sets, fps = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+
+    def take(sets: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        found = [(np.zeros(0, np.uint64),) * 2]
+        found += [posting_links(fps[s:e]) for s, e in zip(*lists_of(sets, fps, LONGER_MASKS), strict=True) if e - s > 1]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found, strict=True)], ["a", "b"])
+
+    for batch in batches:
+        sets, fps = np.r_[sets, batch.column(0).to_numpy()], np.r_[fps, batch.column(1).to_numpy().view(np.uint64)]
+        if len(sets) and (last := int(lists_of(sets, fps, LONGER_MASKS)[0][-1])):
+            yield take(sets[:last], fps[:last])
+            sets, fps = sets[last:], fps[last:]
+    if len(sets):
+        yield take(sets, fps)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, fps = np.zeros(0, np.int32), np.zeros(0, np.uint64)
-
-        def take(sets: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            key = fps & MASKS[sets]
-            new = np.flatnonzero((sets[1:] != sets[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, ends = np.r_[0, new], np.r_[new, len(sets)]
-            pair = starts[ends - starts == 2]
-            pair = pair[np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= BITS]
-            found = [(fps[pair], fps[pair + 1])]
-            many = ends - starts > 2
-            found += [posting_links(fps[s:e]) for s, e in zip(starts[many], ends[many], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found, strict=True)], ["a", "b"])
 
-        for b in batches:
-            sets = np.r_[sets, b.column(0).to_numpy()]
-            fps = np.r_[fps, b.column(2).to_numpy().view(np.uint64)]
-            if not len(sets):
-                continue
-            last = (sets == sets[-1]) & ((fps & MASKS[sets]) == (fps[-1] & MASKS[sets[-1]]))
-            cut = int(np.argmax(last))  # the last list may go on in the next batch
-            if cut:
-                yield take(sets[:cut], fps[:cut])
-                sets, fps = sets[cut:], fps[cut:]
-        if len(sets):
-            yield take(sets, fps)
+def links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) whose closure joins exactly the distinct fp values at most BITS bits apart.
 
-    return posts.mapInArrow(run, "a long, b long").distinct()
+    A pair of which some list is long is found in that list's longer keys; of any other, all its lists
+    are short, so its tally is whole.
+    """
+    sent = settled(posted(fps, MASKS).mapInArrow(tallied, "a long, b long, set int"))
+    pairs = sent.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_LISTS)
+    near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
+    above = F.array(*[F.array(*map(F.lit, own)) for own in ABOVE])
+    again = sent.where("b is null").select(F.col("a").alias("fp"), F.explode(F.element_at(above, F.col("set") + 1)).alias("set")).distinct()
+    return near.unionByName(posted(again, LONGER_MASKS).mapInArrow(looked_up, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,15 +226,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links of at most 2 bits reach.
 
     Every row is kept, with all its columns' clashes avoided by returning these three alone. Null
-    and blank texts have fingerprint zero and link like any other; texts under three words are one
-    shingle; rows of equal text always share a component. Null ids stay null, and never name a
+    and blank texts have fingerprint zero and link like any other; texts of fewer words than a shingle
+    are one; rows of equal text always share a component. Null ids stay null, and never name a
     component unless all its ids are null. An empty table gives no rows.
     """
-    rows = settled(fingerprints(docs, id_col, text_col))
+    rows = settled(fingerprints(docs, id_col, text_col, shingle))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = components(links(distinct.select("fp")))
     classed = settled(distinct.join(labels.toDF("fp", "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))

@@ -307,14 +307,23 @@ def test_links_join_what_is_two_bits_apart(spark, kind):
         for y in fps[:i]:
             if (x ^ y).bit_count() <= 2:
                 root[find(x)] = find(y)
-    edges = simhash.links(table)
+    if kind == "cluster":  # lists longer than a batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    edges = simhash.settled(simhash.links(table))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     found = {r.node % (1 << 64): r.label for r in simhash.components(edges).collect()}
     ours, theirs = {}, {}
     for x in fps:
         ours.setdefault(found.get(x, ("alone", x)), set()).add(x)
         theirs.setdefault(find(x), set()).add(x)
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
-    assert edges.count() <= 28 * len(fps)
+    assert edges.count() <= 56 * simhash.SHORT * len(fps)
+
+
+def test_long_lists_send_no_pairs(spark):
+    fps = spark.range(0, 4000).selectExpr("id * 17 % 65536 as fp").distinct()
+    assert simhash.posted(fps, simhash.MASKS).mapInArrow(simhash.tallied, "a long, b long, set int").count() <= 56 * simhash.SHORT * 4000
+    assert simhash.LEAST_LISTS == 6 and len(simhash.KEYS) == 56
 
 
 def test_shards(spark):
