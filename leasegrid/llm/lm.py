@@ -1,13 +1,17 @@
 """Language-model scoring with an n-gram trie in Elias-Fano form.
 
-The model is a bigram model over words. Its unigrams are the add-one estimate p1 from exact counts of
-all training tokens; a stored bigram has p(w|u) = (n(u,w) - D) / n(u) + g(u) p1(w), any other
-g(u) p1(w), where g(u) is what the discounts of u's stored bigrams leave over. So the
-probabilities of all words and of one unknown word after u add up to 1.
-
-Bigrams seen LEAST times or more are stored, whatever the size of the corpus. Documents lie in
-blocks. A block asks slices of all words and of all bigrams for the counts of its own ones, each
-distinct one once, and is scored with the part of the trie that it needs.
+The model is an n-gram model over words, of order 3 unless told otherwise. Its unigrams are the add-one
+estimate p1 from exact counts of all training tokens. An n-gram of context h and word w has
+
+    p(w | h) = (n(h, w) + PRIOR p(w | h')) / (n(h) + PRIOR),
+
+where h' is h without its first word: a Dirichlet prior centred on the shorter context. The probabilities
+of all words and of one unknown word add up to 1 after any context, also after one never seen.
+
+Every n-gram of the training rows counts, whatever the size of the corpus. Documents lie in blocks. Order
+by order, a block asks slices of all n-grams for the counts of its own ones, each distinct one once, and
+is scored with the part of the trie that it needs. Slices number words and n-grams, so words are compared
+byte for byte in one place, and by their numbers from there on.
 """
 
 from __future__ import annotations
@@ -19,54 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, CHUNK_BYTES, LOWER, chunks, mix, row_of, settled, span_hashes, spans, tasks, texts_of, tidy
-
-#: Tokens, and so words, after which a block of documents ends; it bounds no count of the model.
-VOCABULARY = 1 << 22
-#: Tokens of the table for each slice of the words and of the bigrams.
-SLICE_TOKENS = 1 << 21
-#: A context with so great a part of the tokens has its bigrams dealt over all slices; others lie in one.
-HOT = 1e-3
-#: The count from which on a bigram is stored.
-LEAST = 2
-DISCOUNT = 0.75
-END = np.uint64(0x5D0C3A1E9B7F2468)
-#: Stands among the words for the context of a text's first token, after all others.
-START = np.uint64(0xFFFFFFFFFFFFFFFF)
-_BITS = 21
+from .common import BLANK, CHUNK_BYTES, LOWER, chunks, identities, mix, row_of, settled, span_hashes, spans, tasks, texts_of, tidy
+
+ORDER = 3
+PRIOR = 4.0
+#: Tokens after which a block of documents ends, and tokens of the table for each slice of n-grams.
+BLOCK_TOKENS, SLICE_TOKENS = 1 << 21, 1 << 22
+#: Slices of a small table, at most the shuffle's partitions.
+LEAST_SLICES = 64
+#: The end of a text, and the context of its first word: no words, as words hold no blanks.
+END, START = b"\n", b" "
 #: Probabilities are kept in steps of 1 / 4096 of a power of ten.
 STEP = 4096.0
 
 
-def stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all rows' tokens, an END after each row's words, and the rows' offsets into them."""
-    data, offsets = texts_of(column)
-    data = LOWER[data]
-    starts, ends = spans(~BLANK[data], offsets)
-    row = row_of(starts, offsets)
-    bounds = np.r_[0, np.cumsum(np.bincount(row, minlength=len(offsets) - 1) + 1)]
-    out = np.full(bounds[-1], END, np.uint64)
-    out[np.arange(len(starts)) + row] = span_hashes(data, starts, ends)
-    return out, bounds
-
-
-def tally(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order and their counts."""
-    if counts is None:
-        values = np.sort(values)
-        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
-        return values[first], np.diff(np.r_[first, len(values)])
-    order = np.argsort(values, kind="stable")
-    values, counts = values[order], counts[order]
-    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
 def squeeze(numbers: np.ndarray) -> bytes:
     """Numbers as bytes, like places together, compressed."""
     planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T
@@ -112,112 +87,115 @@ class EliasFano:
         upper = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return ((self.low[word] >> shift) | upper) & np.uint64((1 << self.low_bits) - 1)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, -1 for one that is not there: the successor in its high part."""
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        high = np.searchsorted(self.starts, places, "right") - 1
+        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(places)
+
+    def find(self, values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each value among those from left to right, -1 for one that is not there: the
+        first that is no less, sought where both the range and the value's high part allow it."""
         if not self.n or not len(values):
             return np.full(len(values), -1, np.int64)
-        high = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        inside = high < len(self.starts) - 1
-        high = np.minimum(high, len(self.starts) - 2)
-        left, right = self.starts[high].astype(np.int64), self.starts[high + 1].astype(np.int64)
+        high = np.minimum((values >> np.uint64(self.low_bits)).astype(np.int64), len(self.starts) - 2)
+        inside = (values >> np.uint64(self.low_bits)).astype(np.int64) == high
+        left, right = np.maximum(left, self.starts[high]), np.minimum(right, self.starts[high + 1])
         end, want = right.copy(), values & np.uint64((1 << self.low_bits) - 1)
-        while (open_ := left < right).any():
-            at = np.flatnonzero(open_)
+        at = np.flatnonzero(left < right)
+        while len(at):
             middle = (left[at] + right[at]) >> 1
             less = self.lows(middle) < want[at]
             left[at] = np.where(less, middle + 1, left[at])
             right[at] = np.where(less, right[at], middle)
+            at = at[left[at] < right[at]]
         found = inside & (left < end)
         at = np.flatnonzero(found)
         found[at] = self.lows(left[at]) == want[at]
         return np.where(found, left, -1)
 
-    def access(self) -> np.ndarray:
-        """All values again."""
-        ones = np.flatnonzero(np.unpackbits(np.asarray(self.high), bitorder="little")[: self.length])
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(np.arange(self.n))
+
+def steps(p: np.ndarray) -> np.ndarray:
+    """Probabilities as steps of their logarithms."""
+    return np.minimum(np.round(-np.log10(p) * STEP), 65535).astype(np.uint16)
+
+
+class Level:
+    """The n-grams of one order, in order of context and word: for each context where its successors
+    start (monotone pointers), the successors' words (one monotone sequence, each context's words raised
+    by a base of its own), their probabilities, and what a context leaves to the shorter one."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, p: np.ndarray, seen: np.ndarray, words: int) -> None:
+        self.words = words
+        self.pointers = EliasFano(np.r_[0, np.cumsum(np.bincount(context, minlength=len(seen)))].astype(np.uint64))
+        self.successors = EliasFano(context.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64))
+        self.p, self.rest = steps(p), steps(PRIOR / (seen + PRIOR))
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place of each context's successor, -1 where it has no such one."""
+        left, right = (self.pointers.at(context + k).astype(np.int64) for k in (0, 1))
+        return self.successors.find(context.astype(np.uint64) * np.uint64(self.words) + word.astype(np.uint64), left, right)
 
 
 class Trie:
-    """Level 1: the words by hash and their counts. Level 2: for each word as context, where its
-    successors start (monotone pointers), the successors by their number within the context (one
-    monotone sequence, as each context's numbers are raised by its own base), and their quantised
-    probabilities. With left, g(u) of each context, the bigrams may be a part of the model's."""
+    """The counts of the words, and a level for each order from 2 on. An n-gram's number at its level is
+    what it is called as a context one level up; words are contexts by their own numbers."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, rows: int, codes: np.ndarray, pair_counts: np.ndarray, bits: int = _BITS, left: np.ndarray | None = None) -> None:
+    def __init__(self, counts: np.ndarray, total: int, distinct: int) -> None:
         self.total, self.distinct = total, distinct
-        self.words, self.counts = EliasFano(words), EliasFano(np.r_[np.uint64(0), np.cumsum(counts).astype(np.uint64)])
-        start = len(words)  # the context of a text's first token
-        context = (codes >> np.uint64(bits)).astype(np.int32)
-        word = (codes & np.uint64((1 << bits) - 1)).astype(np.int32)
-        p = (pair_counts - DISCOUNT) / np.r_[counts, rows].astype(np.float64)[context]
-        if left is None:
-            left = np.maximum(1 - np.bincount(context, p, start + 1), 1e-12)
-        p += left[context] * ((counts + 1.0) / (total + distinct + 1))[word]
-        self.p = np.round(-np.log10(p) * STEP).astype(np.uint16)
-        self.left = np.round(-np.log10(left) * STEP).astype(np.uint16)
-        del p
-        self.pointers = EliasFano(np.r_[0, np.cumsum(np.bincount(context, minlength=start + 1))].astype(np.uint64))
-        self.successors = EliasFano(context.astype(np.uint64) * np.uint64(start + 1) + word.astype(np.uint64))
-
-    def save(self) -> bytes:
-        return pickle.dumps(self)
+        self.counts = EliasFano(np.r_[np.uint64(0), np.cumsum(counts).astype(np.uint64)])
+        self.levels: list[Level] = []
 
     def arrays(self) -> list[tuple[object, str]]:
-        levels = [(x, a) for x in (self.words, self.counts, self.pointers, self.successors) for a in ("low", "high")]
-        return [*levels, (self, "p"), (self, "left")]
+        return [(x, a) for x in (self.counts, *(y for v in self.levels for y in (v.pointers, v.successors))) for a in ("low", "high")] + [(v, a) for v in self.levels for a in ("p", "rest")]
 
-    @staticmethod
-    def load(blob: bytes) -> Trie:
-        """A trie whose levels lie in one mapped file, which has no name and goes with the process."""
-        trie: Trie = pickle.loads(blob)
+    def mapped(self) -> Trie:
+        """The trie with its arrays in one mapped file, which has no name and goes with the process."""
         with tempfile.TemporaryFile() as file:
             places = []
-            for owner, name in trie.arrays():
+            for owner, name in self.arrays():
                 own = getattr(owner, name)
                 places.append((owner, name, file.tell(), own.dtype, len(own)))
                 file.write(own.tobytes() + bytes(-own.nbytes % 8))
             file.write(bytes(8))
             file.flush()
-            mapped = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+            file_map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         for owner, name, at, kind, n in places:
-            setattr(owner, name, np.frombuffer(mapped, kind, n, at))
-        trie.words.open()
-        trie.successors.open()
-        counts = np.diff(trie.counts.access().astype(np.int64))
-        trie.p1 = np.r_[np.log10((counts + 1.0) / (trie.total + trie.distinct + 1)), 0.0]  # the last for no word
-        return trie
-
-    def score(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's place among the words (-1: none), and its base and model log10 probability;
-        for a word that is not among them, without p1, which base and model then both lack."""
-        at = self.words.find(tokens)
-        known = at >= 0
-        base = np.where(known, self.p1[at], 0.0)
-        context = np.r_[-1, at[:-1]]
-        context[bounds[:-1]] = self.words.n
-        out = base - np.where(context >= 0, self.left[context] / STEP, 0.0)
-        both = np.flatnonzero(known & (context >= 0))
-        pair = self.successors.find(context[both].astype(np.uint64) * np.uint64(self.words.n + 1) + at[both].astype(np.uint64))
-        stored = pair >= 0
-        out[both[stored]] = -(self.p[pair[stored]] / STEP)
-        return at, base, out
-
-
-SENT = "slice int, block long, a binary, b binary, c binary"
+            setattr(owner, name, np.frombuffer(file_map, kind, n, at))
+        for x in (self.counts, *(y for v in self.levels for y in (v.pointers, v.successors))):
+            x.open()
+        return self
+
+    def unigrams(self) -> np.ndarray:
+        """log10 of p1 of each word."""
+        counts = np.diff(self.counts.at(np.arange(self.counts.n)).astype(np.int64))
+        return np.log10((counts + 1.0) / (self.total + self.distinct + 1))
+
+
+class Grams:
+    """The distinct pairs of a context and a word, in order: counts in training, where each is first, and
+    the number of every token's pair."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, train: np.ndarray) -> None:
+        code, self.first, self.number = np.unique((context << 32) | word, return_index=True, return_inverse=True)
+        self.context, self.word = code >> 32, code & ((1 << 32) - 1)
+        self.counts = np.bincount(self.number, train, len(code)).astype(np.int64)
+
+
+SENT = "slice int, block long, level int, a binary, b binary, c binary"
 
 
 def sent(rows: list[tuple]) -> pa.RecordBatch:
     """Rows of SENT; arrays are squeezed."""
-    columns = list(zip(*[(s, b, *[None if x is None else squeeze(x) for x in (*arrays, None, None)[:3]]) for s, b, *arrays in rows], strict=True))
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "block", "a", "b", "c"])
+    packed = [(s, b, k, *[x if x is None or isinstance(x, bytes) else squeeze(x) for x in (*arrays, None, None)[:3]]) for s, b, k, *arrays in rows]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    columns = list(zip(*packed, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "block", "level", "a", "b", "c"])
 
 
 def joined(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a column of arrays and how many each row has."""
+    """All numbers of a column of arrays and where each row's start."""
     parts = [unsqueeze(x.as_py()) for x in table[name]]
-    return np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.uint64), np.array([len(x) for x in parts], np.int64)
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.int64), np.cumsum([0, *map(len, parts)])
 
 
 def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
@@ -225,185 +203,230 @@ def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
 
 
-def blocks(rows: DataFrame, vocabulary: int) -> DataFrame:
-    """Rows in blocks: their ids and train marks (as Arrow), the distinct words in order of their
-    hashes with START at the end, each token's place among them, the tokens of each row, and the
-    words (and their counts) that a block has many of."""
+def slices_in(order_by: np.ndarray, slices: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order by slice, and the slices that are there with their part of it."""
+    order = np.argsort(order_by, kind="stable")
+    cuts = np.searchsorted(order_by[order], np.arange(slices + 1, dtype=np.uint64))
+    return order, [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def blocks(rows: DataFrame, block_tokens: int) -> DataFrame:
+    """Rows in blocks: their ids and train marks (as Arrow), the distinct words (lengths and bytes), each
+    token's place among them, and the tokens of each row. END is at place 0, START at 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        block = TaskContext.get().partitionId() << 32
 
         def made() -> pa.RecordBatch:
-            own = pa.Table.from_batches([x[0] for x in held]).combine_chunks()
+            own = pa.Table.from_batches(held).combine_chunks()
             with pa.BufferOutputStream() as out:
                 with pa.ipc.new_stream(out, own.schema) as stream_out:
                     stream_out.write_table(own)
                 ids = out.getvalue().to_pybytes()
-            words, line, counts = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True, return_counts=True)
-            many = counts >= max(HOT * size, 2)
-            lengths = np.concatenate([np.diff(x[2]) for x in held])
-            values = [[block], [size], [ids], [squeeze(np.diff(np.r_[words, START], prepend=np.uint64(0)))], [squeeze(line)], [squeeze(lengths)], [words[many].view(np.int64)], [counts[many]]]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, [pa.int64()] * 2 + [pa.binary()] * 4 + [pa.list_(pa.int64())] * 2, strict=True)], ["block", "tokens", "ids", "words", "line", "lengths", "hot", "times"])
+            words = pickle.dumps((squeeze(np.fromiter(map(len, places), np.int64)), pa.compress(b"".join(places), "zstd").to_pybytes()))
+            values = [block, size, ids, words, squeeze(np.concatenate(lines)), squeeze(np.concatenate(lengths))]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, [pa.int64()] * 2 + [pa.binary()] * 4, strict=True)], ["block", "tokens", "ids", "words", "line", "lengths"])
 
+        held, lines, lengths, size, places = [], [], [], 0, {END: 0, START: 1}
         for batch in batches:
-            for part in chunks(batch, limit=min(CHUNK_BYTES, 2 * vocabulary)):
-                tokens, bounds = stream(part.column(1))
-                held.append((part.select(["doc_id", "train"]), tokens, bounds))
-                size += len(tokens)
-                if size >= vocabulary:
+            for part in chunks(batch, limit=min(CHUNK_BYTES, 4 * block_tokens)):
+                data, offsets = texts_of(part.column(1))
+                data = LOWER[data]
+                starts, ends = spans(~BLANK[data], offsets)
+                first, number = identities(data, starts, ends)
+                raw = data.tobytes()
+                own = np.array([places.setdefault(raw[s:e], len(places)) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], np.int64)
+                row = row_of(starts, offsets)
+                n = np.bincount(row, minlength=part.num_rows) + 1
+                line = np.zeros(n.sum(), np.int64)
+                line[np.arange(len(starts)) + row] = own[number] if len(own) else 0
+                held.append(part.select(["doc_id", "train"]))
+                lines.append(line)
+                lengths.append(n)
+                size += len(line)
+                if size >= block_tokens:
                     yield made()
-                    block, held, size = block + 1, [], 0
+                    block += 1
+                    held, lines, lengths, size, places = [], [], [], 0, {END: 0, START: 1}
         if held:
             yield made()
 
-    return rows.select("doc_id", "text", "train").mapInArrow(run, "block long, tokens long, ids binary, words binary, line binary, lengths binary, hot array<long>, times array<long>")
+    return rows.select("doc_id", "text", "train").mapInArrow(run, "block long, tokens long, ids binary, words binary, line binary, lengths binary")
 
 
 class Block:
-    """A row of blocks(), opened."""
+    """A row of blocks(), opened, and what the slices have answered so far."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, answers: pa.Table | None, slices: int) -> None:
+        self.slices = slices
         self.ids = pa.ipc.open_stream(row["ids"]).read_all()
-        self.words = np.cumsum(unsqueeze(row["words"]), dtype=np.uint64)
+        lengths, packed = pickle.loads(row["words"])
+        self.ends = np.cumsum(unsqueeze(lengths)).astype(np.int64)
+        self.starts = np.r_[0, self.ends[:-1]]
+        self.data = np.frombuffer(pa.decompress(packed, int(self.ends[-1]), "zstd"), np.uint8)
         self.line = unsqueeze(row["line"]).astype(np.int64)
         self.lengths = unsqueeze(row["lengths"]).astype(np.int64)
         self.bounds = np.r_[0, np.cumsum(self.lengths)]
-        self.train = self.ids["train"].to_numpy().astype(bool)
-
-    def word_counts(self) -> np.ndarray:
-        """How often each word is seen in training; for START, the training rows."""
-        own = self.line[np.repeat(self.train, self.lengths)]
-        return np.r_[np.bincount(own, minlength=len(self.words) - 1), self.train.sum()]
-
-    def pairs(self, slices: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct bigrams by slice: contexts and words (places), training counts, and where slices start."""
-        context = np.r_[0, self.line[:-1]]
-        context[self.bounds[:-1]] = len(self.words) - 1
-        code = np.sort((context << 33) | (self.line << 1) | np.repeat(self.train, self.lengths))
-        first = np.flatnonzero(np.r_[True, code[1:] >> 1 != code[:-1] >> 1])
-        counts = np.add.reduceat(code & 1, first)
-        code = code[first]
-        context, word = code >> 33, (code >> 1) & ((1 << 32) - 1)
-        dealt = np.isin(self.words, hot)[context]
-        own = slice_of(np.where(dealt, mix(mix(self.words[context]) + self.words[word]), self.words[context]), slices)
-        order = np.argsort(own, kind="stable")
-        return context[order], word[order], counts[order], np.searchsorted(own[order], np.arange(slices + 1, dtype=np.uint64))
-
-
-def counted_pairs(found: DataFrame, slices: int, hot: np.ndarray, least: int) -> DataFrame:
-    """SENT rows: to each block, by slice, the counts of its bigrams over all training rows (0 if under
-    least); and to slices of the words (block -1), contexts, how many bigrams they have, and their sum."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                context, word, counts, cuts = b.pairs(slices, hot)
-                yield sent([(k, row["block"], np.diff(b.words[context[i:j]], prepend=np.uint64(0)), b.words[word[i:j]], counts[i:j]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j])
-        tidy()
-
-    def merge(table: pa.Table) -> pa.Table:
-        contexts = [np.cumsum(unsqueeze(x.as_py()), dtype=np.uint64) for x in table["a"]]
-        u, (w, lengths), n = np.concatenate(contexts), joined(table, "b"), joined(table, "c")[0].astype(np.int64)
-        del contexts
-        order = np.lexsort((w, u))
-        u, w = u[order], w[order]
-        new = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
-        first = np.flatnonzero(new)
-        sums = np.add.reduceat(n[order], first)
-        kept = sums >= least
-        each = np.zeros(len(u), np.int64)
-        each[order] = np.where(kept, sums, 0)[np.cumsum(new) - 1]
-        own = table["slice"][0].as_py()
-        cuts = np.r_[0, np.cumsum(lengths)]
-        out = [(own, block.as_py(), each[i:j]) for block, i, j in zip(table["block"], cuts[:-1], cuts[1:], strict=True)]
-        context, sums = u[first[kept]], sums[kept]
-        names, many = tally(context)
-        total = tally(context, sums)[1]
-        to = np.searchsorted(slice_of(names, slices), np.arange(slices + 1, dtype=np.uint64))
-        out += [(k, -1, names[i:j], many[i:j], total[i:j]) for k, (i, j) in enumerate(zip(to[:-1], to[1:], strict=True)) if i < j]
-        tidy()
-        return pa.Table.from_batches([sent(out)])
-
-    return found.mapInArrow(ask, SENT).groupBy("slice").applyInArrow(merge, SENT)
-
-
-def counted_words(found: DataFrame, contexts: DataFrame, slices: int) -> DataFrame:
-    """SENT rows: to each block, by slice, its words' counts over all training rows, how many stored
-    bigrams they are the context of, and the sum of these; and for each slice (block -1) the number
-    of its training tokens and of its distinct ones."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                counts = b.word_counts()
-                cuts = np.searchsorted(slice_of(b.words, slices), np.arange(slices + 1, dtype=np.uint64))
-                yield sent([(k, row["block"], b.words[i:j], counts[i:j]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j])
-        tidy()
-
-    def merge(table: pa.Table) -> pa.Table:
-        of = table["block"].to_numpy()
-        asked, sums = table.filter(pa.array(of >= 0)), table.filter(pa.array(of < 0))
-        (words, lengths), n = joined(asked, "a"), joined(asked, "b")[0].astype(np.int64)
-        names, inverse = np.unique(words, return_inverse=True)
-        n = np.bincount(inverse, n, len(names)).astype(np.int64)
-        at = np.searchsorted(names, joined(sums, "a")[0])
-        many, total = (np.bincount(at, joined(sums, c)[0].astype(np.int64), len(names)).astype(np.int64) for c in ("b", "c"))
-        own, cuts = table["slice"][0].as_py(), np.r_[0, np.cumsum(lengths)]
-        out = [(own, block.as_py(), *[x[inverse[i:j]] for x in (n, many, total)]) for block, i, j in zip(asked["block"], cuts[:-1], cuts[1:], strict=True)]
-        true = n[names != START]
-        out.append((own, -1, np.array([true.sum(), (true > 0).sum()])))
-        tidy()
-        return pa.Table.from_batches([sent(out)])
-
-    return found.mapInArrow(ask, SENT).unionByName(contexts).groupBy("slice").applyInArrow(merge, SENT)
-
-
-def score(docs: DataFrame, train: Column, vocabulary: int = VOCABULARY, least: int = LEAST) -> DataFrame:
+        self.rows_train = self.ids["train"].to_numpy().astype(bool)
+        self.train = np.repeat(self.rows_train, self.lengths)
+        self.by_slice = slice_of(span_hashes(self.data, self.starts, self.ends), slices)
+        if answers is not None:
+            self.answers = answers.sort_by([("level", "ascending"), ("slice", "ascending")])
+            self.n, self.word_ids = self.answered(1, self.by_slice)
+
+    def answered(self, level: int, by_slice: np.ndarray, numbered: bool = True) -> list[np.ndarray]:
+        """Counts over all training rows and numbers, in the order of what was asked."""
+        own, order = self.answers.filter(pc.equal(self.answers["level"], level)), slices_in(by_slice, self.slices)[0]
+        out = []
+        for name in ("a", "b")[: 1 + numbered]:
+            values = np.empty(len(order), np.int64)
+            values[order] = joined(own, name)[0]
+            out.append(values)
+        return out
+
+    def ask_words(self) -> list[tuple]:
+        counts = np.bincount(self.line[self.train], minlength=len(self.ends))
+        counts[1] = self.rows_train.sum()
+        order, parts = slices_in(self.by_slice, self.slices)
+        lengths = self.ends - self.starts
+        return [(k, 1, lengths[order[p]], b"".join(self.data[self.starts[i] : self.ends[i]].tobytes() for i in order[p].tolist()), counts[order[p]]) for k, p in parts]
+
+    def levels(self, upto: int) -> Iterator[tuple[Grams, np.ndarray, np.ndarray]]:
+        """For each order from 2: its n-grams, the tokens that end one whose context was seen in training,
+        and the slices of the n-grams. Counts have to be known up to the order before the last."""
+        first = np.zeros(len(self.line), bool)
+        first[self.bounds[:-1]] = True
+        context, ids = np.r_[0, self.line[:-1]], self.word_ids
+        context[first] = 1
+        tokens = np.arange(len(self.line))
+        for level in range(2, upto + 1):
+            grams = Grams(context, self.line[tokens], self.train[tokens])
+            by_slice = slice_of(mix(mix(ids[grams.context].astype(np.uint64)) + self.word_ids[grams.word].astype(np.uint64)), self.slices)
+            grams.ids = ids[grams.context]
+            yield grams, tokens, by_slice
+            if level == upto:
+                return
+            counts, ids = self.answered(level, by_slice)
+            index = np.full(len(self.line), -1, np.int64)
+            index[tokens] = np.where(counts[grams.number] > 0, grams.number, -1)
+            tokens = np.flatnonzero(~first & (np.r_[-1, index[:-1]] >= 0))
+            context = index[tokens - 1]
+
+    def ask(self, level: int) -> list[tuple]:
+        for grams, _, by_slice in self.levels(level):
+            pass
+        at, parts = slices_in(by_slice, self.slices)
+        context, word, counts = grams.ids[at], self.word_ids[grams.word[at]], grams.counts[at]
+        return [(k, level, context[p], word[p], counts[p]) for k, p in parts]
+
+
+def counted_words(table: pa.Table, slices: int) -> list[tuple]:
+    """A slice's words: to each block, their counts over all training rows and their numbers; and (block
+    -1) the number of training tokens and of distinct ones."""
+    lengths, cuts = joined(table, "a")
+    ends = np.cumsum(lengths)
+    data = np.frombuffer(b"".join(x.as_py() for x in table["b"]), np.uint8)
+    first, number = identities(data, ends - lengths, ends)
+    own = table["slice"][0].as_py()
+    n = np.bincount(number, joined(table, "c")[0], len(first)).astype(np.int64)
+    true = n[[bytes(data[ends[i] - lengths[i] : ends[i]]) != START for i in first.tolist()]]
+    out = [(own, block.as_py(), 1, n[number[i:j]], number[i:j] * slices + own) for block, i, j in zip(table["block"], cuts[:-1], cuts[1:], strict=True)]
+    return [*out, (own, -1, 1, np.array([true.sum(), (true > 0).sum()]))]
+
+
+def counted(table: pa.Table, slices: int, numbered: bool) -> list[tuple]:
+    """A slice's n-grams of one order: to each block their counts over all training rows, and numbers."""
+    (u, cuts), w, n = joined(table, "a"), joined(table, "b")[0], joined(table, "c")[0]
+    order = np.lexsort((w, u))
+    u, w = u[order], w[order]
+    new = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
+    number = np.empty(len(u), np.int64)
+    number[order] = np.cumsum(new) - 1
+    sums = np.add.reduceat(n[order], np.flatnonzero(new))
+    own, level = table["slice"][0].as_py(), table["level"][0].as_py()
+    return [(own, block.as_py(), level, sums[number[i:j]], *([number[i:j] * slices + own] if numbered else [])) for block, i, j in zip(table["block"], cuts[:-1], cuts[1:], strict=True)]
+
+
+def trie_of(b: Block, order: int, total: int, distinct: int) -> tuple[Trie, list[tuple[np.ndarray, ...]]]:
+    """The trie of a block's n-grams; and for each order from 2, the tokens to score, the number of
+    each one's n-gram, and the n-grams' contexts (as their level numbers them) and words."""
+    trie, looked_up = Trie(b.n, total, distinct), []
+    shorter, seen, place = (b.n + 1.0) / (total + distinct + 1), b.n, None
+    for level, (grams, own, by_slice) in enumerate(b.levels(order) if order > 1 else (), 2):
+        counts = b.answered(level, by_slice, False)[0]
+        stored = counts > 0
+        context = grams.context if place is None else place[grams.context]
+        suffix = grams.word if place is None else place[number[own[grams.first]]]
+        p = (counts + PRIOR * shorter[suffix]) / (seen[context] + PRIOR)
+        trie.levels.append(Level(context[stored], grams.word[stored], p[stored], seen, len(b.ends)))
+        looked_up.append((own, grams.number, context, grams.word))
+        shorter, seen, place = p[stored], counts[stored], np.cumsum(stored) - 1
+        number = np.zeros(len(b.line), np.int64)
+        number[own] = grams.number
+    return trie, looked_up
+
+
+def score(docs: DataFrame, train: Column, block_tokens: int = BLOCK_TOKENS, order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
 
-    train says which rows the model learns from. All their words and all bigrams seen at least
-    `least` times count; vocabulary is the number of tokens after which a block ends and changes no
-    score. Null texts are empty: the end alone. Repeated rows count each; with nothing to learn
+    train says which rows the model learns from; all their n-grams count. block_tokens is the number of
+    tokens after which a block ends and changes no score. Null texts are empty: the end alone. A null
+    in train is false. Repeated rows count each; a text longer than a block is one; with nothing to learn
     from all probabilities are 1; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    found = settled(blocks(rows, vocabulary))
+    found = settled(blocks(rows, block_tokens))
     tokens = found.agg(F.sum("tokens")).first()[0] or 0
-    slices = max(tasks(spark), tokens // SLICE_TOKENS)
-    often = found.select(F.explode(F.arrays_zip("hot", "times")).alias("x")).groupBy("x.hot").agg(F.sum("x.times").alias("n")).where(F.col("n") >= HOT * tokens / 2)
-    hot = np.array([START, *[r.hot % (1 << 64) for r in often.collect()]], np.uint64)
-    pairs = settled(counted_pairs(found, slices, hot, least))
-    words = settled(counted_words(found, pairs.where("block < 0"), slices))
-    totals = [unsqueeze(r.a) for r in words.where("block < 0").select("a").toLocalIterator()]
+    slices = max(min(tasks(spark), LEAST_SLICES), -(-tokens // SLICE_TOKENS))
+
+    def asked(level: int, so_far: DataFrame | None) -> DataFrame:
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield sent([(k, row["block"], *x) for k, *x in Block(row, None, slices).ask_words()])
+            tidy()
+
+        def grams(block: pa.Table, answers: pa.Table) -> pa.Table:
+            row = block.to_pylist()[0]
+            out = sent([(k, row["block"], *x) for k, *x in Block(row, answers, slices).ask(level)])
+            tidy()
+            return pa.Table.from_batches([out])
+
+        def merge(table: pa.Table) -> pa.Table:
+            table = table.sort_by("block")  # so that numbers are the same whenever they are dealt
+            out = sent(counted_words(table, slices) if level == 1 else counted(table, slices, level < order))
+            tidy()
+            return pa.Table.from_batches([out])
+
+        asks = found.mapInArrow(words, SENT) if so_far is None else found.groupBy("block").cogroup(so_far.groupBy("block")).applyInArrow(grams, SENT)
+        return settled(asks.groupBy("slice").applyInArrow(merge, SENT))
+
+    first = asked(1, None)
+    totals = [unsqueeze(r.a) for r in first.where("block < 0").select("a").toLocalIterator()]
     total, distinct = (int(sum(x[k] for x in totals)) for k in (0, 1))
-
-    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(block.to_pylist()[0])
-        answers = answers.sort_by("slice")
-        n, many, sums = (joined(answers.filter(pa.compute.field("of_words")), c)[0].astype(np.int64) for c in ("a", "b", "c"))
-        context, word, _, _ = b.pairs(slices, hot)
-        counts = joined(answers.filter(~pa.compute.field("of_words")), "a")[0].astype(np.int64)
-        codes = (context << 32 | word)[counts > 0]
-        order = np.argsort(codes)
-        left = np.maximum(1 - (sums - DISCOUNT * many) / np.maximum(n, 1), 1e-12)
-        trie = Trie.load(Trie(b.words[:-1], n[:-1], total, distinct, n[-1], codes[order].astype(np.uint64), counts[counts > 0][order], 32, left).save())
-        del context, word, counts, codes, order
-        sums, at = [], 0
-        while at < len(b.lengths):  # some rows at a time
-            end = max(at + 1, int(np.searchsorted(b.bounds, b.bounds[at] + (1 << 19), "right")) - 1)
-            line, bounds = b.line[b.bounds[at] : b.bounds[end]], b.bounds[at : end + 1] - b.bounds[at]
-            row = np.repeat(np.arange(end - at), np.diff(bounds))
-            sums.append([np.bincount(row, x, end - at) for x in (n[line] > 0, *trie.score(b.words[line], bounds)[1:])])
-            at = end
-        known, base, model = (np.concatenate(x) for x in zip(*sums, strict=True))
-        del trie
+    answers = first.where("block >= 0")
+    for level in range(2, order + 1):
+        answers = answers.unionByName(asked(level, answers))
+
+    def run(block: pa.Table, table: pa.Table) -> pa.Table:
+        b = Block(block.to_pylist()[0], table, slices)
+        trie, asked_of = trie_of(b, order, total, distinct)
+        trie.mapped()
+        base = trie.unigrams()[b.line]
+        model = base.copy()
+        for level, (own, number, context, word) in zip(trie.levels, asked_of, strict=True):
+            at = level.find(context, word)
+            known, step = at >= 0, level.rest[context] / STEP
+            step[known] = level.p[at[known]] / STEP
+            model[own] = np.where(known[number], 0.0, model[own]) - step[number]
+        row = np.repeat(np.arange(len(b.lengths)), b.lengths)
+        sums = [np.bincount(row, x, len(b.lengths)) for x in (b.n[b.line] > 0, base, model)]
+        ids, n_tokens = b.ids["doc_id"], b.lengths
+        del trie, b, asked_of, base, model, row
         tidy()
-        return pa.table({"doc_id": b.ids["doc_id"], "n_tokens": b.lengths, "n_known": known.astype(np.int64), "train_tokens": np.full(len(known), total), "base_score": base, "score": model})
+        return pa.table({"doc_id": ids, "n_tokens": n_tokens, "n_known": sums[0].astype(np.int64), "train_tokens": np.full(len(n_tokens), total), "base_score": sums[1], "score": sums[2]})
 
-    answers = words.where("block >= 0").withColumn("of_words", F.lit(True)).unionByName(pairs.where("block >= 0").withColumn("of_words", F.lit(False)))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return found.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

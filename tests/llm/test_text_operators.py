@@ -177,63 +177,41 @@ def test_grams_and_distance_by_hand():
     assert len(values) == 7
 
 
-@pytest.mark.parametrize("vocabulary", [1 << 20, 5, 0])
-def test_lm_base_scores_are_exact(spark, vocabulary):
+def lm_by_hand(rows, train, order):
+    """doc_id, n_tokens, n_known, train tokens, base score and model score."""
+    own = [(i, [*words(t), "</s>"]) for i, t in rows]
+    c = Counter(w for i, t in own if train(i) for w in t)
+    n, v = sum(c.values()), len(c)
+    grams = Counter(tuple(["<s>", *t][a : b + 1]) for i, t in own if train(i) for b in range(1, len(t) + 1) for a in range(max(0, b - order + 1), b))
+    seen = Counter()
+    for g, m in grams.items():
+        seen[g[:-1]] += m
+
+    def p(context, w):
+        if not context:
+            return (c[w] + 1) / (n + v + 1)
+        return (grams[*context, w] + lm.PRIOR * p(context[1:], w)) / (seen[context] + lm.PRIOR)
+
+    out = []
+    for i, t in own:
+        line = ["<s>", *t]
+        model = sum(math.log10(p(tuple(line[max(0, k - order + 1) : k]), line[k])) for k in range(1, len(line)))
+        out.append((i, len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), model))
+    return out
+
+
+@pytest.mark.parametrize(("block_tokens", "order"), [(1 << 20, 3), (5, 3), (0, 2), (700, 4), (700, 1)])
+def test_lm_equals_a_model_by_hand(spark, block_tokens, order):
     docs, rows = frame(spark)
     train = lambda i: i is not None and i % 7 != 2
-    c = Counter(w for i, t in rows if train(i) for w in [*words(t), "</s>"])
-    n, v = sum(c.values()), len(c)
-    want = []
-    for i, t in rows:
-        own = [*words(t), "</s>"]
-        want.append((i, len(own), sum(c[w] > 0 for w in own), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own)))
-    got = lm.score(docs, F.col("doc_id") % 7 != 2, vocabulary=vocabulary).collect()
+    got = lm.score(docs, F.col("doc_id") % 7 != 2, block_tokens=block_tokens, order=order).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
-    for x, y in zip(sorted(want, key=key), sorted([tuple(r) for r in got], key=key), strict=True):
+    for x, y in zip(sorted(lm_by_hand(rows, train, order), key=key), sorted([tuple(r) for r in got], key=key), strict=True):
         assert x[:4] == y[:4]
         assert y[4] == pytest.approx(x[4], rel=1e-9)
-        assert y[5] <= 0
+        assert y[5] == pytest.approx(x[5], abs=x[1] * order / lm.STEP)
     assert listed(lm.score(docs.limit(0), F.lit(True))) == []
-
-
-@pytest.mark.parametrize("vocabulary", [1 << 20, 5])
-def test_lm_scores_count_every_bigram(spark, vocabulary):
-    docs, rows = frame(spark)
-    train = lambda i: i is not None and i % 7 != 2
-    own = [(i, [*words(t), "</s>"]) for i, t in rows]
-    c = Counter(w for i, t in own if train(i) for w in t)
-    c["<s>"] = sum(train(i) for i, _ in rows)
-    pairs = Counter(p for i, t in own if train(i) for p in zip(["<s>", *t], t))
-    stored = {p: m for p, m in pairs.items() if m >= 2}
-    left = {u: 1 - sum(m - 0.75 for (a, _), m in stored.items() if a == u) / c[u] for u in c}
-    size = sum(c.values()) - c["<s>"] + len(c) - 1 + 1
-
-    def logp(u, w):
-        p1 = (c[w] + 1) / size
-        return math.log10(((stored[u, w] - 0.75) / c[u] if (u, w) in stored else 0) + left.get(u, 1) * p1)
-
-    want = [(i, len(t), sum(logp(u, w) for u, w in zip(["<s>", *t], t))) for i, t in own]
-    got = [(r.doc_id, r.n_tokens, r.score) for r in lm.score(docs, F.col("doc_id") % 7 != 2, vocabulary=vocabulary).collect()]
-    assert len(stored) > 500
-    for x, y in zip(sorted(want, key=repr), sorted(got, key=repr), strict=True):
-        assert x[:2] == y[:2] and y[2] == pytest.approx(x[2], abs=x[1] / lm.STEP)
-
-
-def test_lm_model_is_a_distribution():
-    text = ["a b a b a c", "b a b", "c c a b", "a b a b"] * 2
-    tokens, bounds = lm.stream(pa.array(text))
-    names, counts = lm.tally(tokens)
-    at = np.searchsorted(names, tokens)
-    context = np.r_[-1, at[:-1]]
-    context[bounds[:-1]] = len(names)
-    codes, pairs = lm.tally((context.astype(np.uint64) << np.uint64(21)) | at.astype(np.uint64))
-    trie = lm.Trie.load(lm.Trie(names, counts, len(tokens), len(names), len(text), codes[pairs >= 2], pairs[pairs >= 2]).save())
-    for u in range(len(names) + 1):
-        p = 1 / (len(tokens) + len(names) + 1) * 10 ** -(trie.left[u] / lm.STEP)
-        for w in range(len(names)):
-            own = np.array([names[u], names[w]]) if u < len(names) else names[[w]]
-            p += 10 ** trie.score(own, np.array([0, len(own)]))[2][-1]
-        assert p == pytest.approx(1, abs=2e-3)
+    assert {r.score for r in lm.score(docs, F.lit(False), order=order).collect()} == {0.0}
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
@@ -242,10 +220,13 @@ def test_elias_fano_finds_what_is_there(n):
     values = np.unique(r.integers(0, 1 << 40, n).astype(np.uint64))
     x = lm.EliasFano(values)
     x.open()
-    assert (x.find(values) == np.arange(len(values))).all()
+    whole = lambda k: (np.zeros(k, np.int64), np.full(k, len(values)))
+    assert (x.find(values, *whole(len(values))) == np.arange(len(values))).all()
     other = r.integers(0, 1 << 41, 1000).astype(np.uint64)
-    assert ((x.find(other) >= 0) == np.isin(other, values)).all()
-    assert (x.access() == values).all()
+    assert ((x.find(other, *whole(1000)) >= 0) == np.isin(other, values)).all()
+    left = np.arange(len(values)) // 2
+    assert (x.find(values, left, np.arange(len(values))) == -1).all()  # outside the range
+    assert (x.at(np.arange(len(values))) == values).all()
 
 
 def simhash_by_hand(text):
