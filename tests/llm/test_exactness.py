@@ -1,9 +1,15 @@
 """Exact identity: ids keep all their bits, and equal hashes alone never make texts equal."""
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from leasegrid.llm import common, suffix
+from leasegrid.llm import common, decontaminate, lm, packing, suffix
+from leasegrid.llm.queries import tokenizer_path
 
 
 def thue_morse(n, a="a", b="b"):
@@ -71,3 +77,41 @@ def test_suffix_dedup_compares_long_twins(spark):
             seen.setdefault(t[k : k + 50], i)
         want.append((i, len(t) - len(gone)))
     assert sorted((r.doc_id, len(r.kept)) for r in suffix.dedup(docs).collect()) == want
+
+
+def test_decontamination_compares_long_twins(spark):
+    docs = spark.createDataFrame([(2**53 + 1, f"see {TWINS[0]} here"), (None, f"see {TWINS[1]} here"), (2**63 - 1, f"{TWINS[1].upper()}!")], "doc_id long, text string")
+    items = spark.createDataFrame([(2**53 + 3, TWINS[1])], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.hits, r["items"]) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {2**53 + 1: (3, [], []), None: (3, [1, 2], [str(2**53 + 3)]), 2**63 - 1: (1, [0, 1], [str(2**53 + 3)])}
+
+
+@pytest.mark.parametrize("hashes", [common.span_hashes, same_hash])
+def test_windows_with_equal_hashes_are_told_apart(monkeypatch, hashes):
+    monkeypatch.setattr(common, "span_hashes", hashes)
+    monkeypatch.setattr(decontaminate, "span_hashes", hashes)
+    index = decontaminate.Windows([("x", "one two three"), ("y", "one two four"), ("z", "One, two. FOUR five"), ("w", "")], 3)
+    index.order({})
+    words = decontaminate.Words(pa.array(["so one two four it is", None, "one two", "two four five"]))
+    found = {(int(b), name) for b, w in zip(*index.find(words), strict=True) for name in index.owned_by(w)}
+    assert found == {(1, "y"), (1, "z"), (8, "z")}
+
+
+def test_packing_and_scores_tell_long_twins_apart(spark):
+    texts = [TWINS[0], TWINS[1], f"{TWINS[0]} {TWINS[1]} {TWINS[0]}"]
+    docs = spark.createDataFrame([(2**53 + 1 + i, t) for i, t in enumerate(texts)] + [(None, "x")], "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    got = {r.doc_id: r.ids_crc32 for r in packing.pieces(docs, tokenizer_path(), 1 << 20).collect()}
+    crc = lambda t: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert got == {**{2**53 + 1 + i: crc(t) for i, t in enumerate(texts)}, None: crc("x")}
+    known = {r.doc_id: r.n_known for r in lm.score(docs, F.col("doc_id") == 2**53 + 1).collect()}
+    assert known == {2**53 + 1: 2, 2**53 + 2: 1, 2**53 + 3: 3, None: 1}
+
+
+def test_scores_with_equal_hashes_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "span_hashes", same_hash)
+    table = pa.table({"slice": [0, 0], "block": [1, 2], "level": [1, 1], "a": [lm.squeeze(np.array([1, 3, 2])), lm.squeeze(np.array([2, 1]))], "b": [b"aabcde", b"dea"], "c": [lm.squeeze(np.array([5, 1, 2])), lm.squeeze(np.array([7, 4]))]})
+    rows = {r[1]: [x.tolist() for x in r[3:]] for r in lm.counted_words(table, 10)}
+    assert rows[1][0] == [9, 1, 9] and rows[2][0] == [9, 9]  # a, abc, de; de, a
+    assert rows[1][1][2] == rows[2][1][0] and rows[1][1][0] == rows[2][1][1] and len(set(rows[1][1])) == 3
+    assert rows[-1] == [[19, 3]]
