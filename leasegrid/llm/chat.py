@@ -63,22 +63,24 @@ def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
     attachments, an array of (turn_no, part_no, kind, ref, tokens) in order; expanded_tokens, their
     sum. turn_no counts turns from 0.
 
-    Turns are ordered by turn, then role and text; null turns come first; null roles and null part
-    texts are empty; null or empty parts make an empty turn. A conversation is one training sample,
-    so its turns meet in one row, as its text must; a null conv_id is a conversation as any other.
-    No rows give no rows.
+    Turns are ordered by turn, then role, then parts, as they are before any escaping; null turns come
+    first; null roles and null part texts are empty; null or empty parts make an empty turn; repeated
+    rows are turns of their own. A conversation is one training sample, so its turns meet in one row,
+    as its text must; a null conv_id is a conversation as any other. Other columns are ignored. No rows
+    give no rows.
     """
-    role = F.regexp_replace(escape(F.coalesce(F.col("role"), F.lit(""))), "\n", NEWLINE)
-    parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
-    body = F.array_join(F.transform(parts, visit), "")
-    attached = F.filter(
+    raw = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")).alias("parts"))
+    attached = lambda parts: F.filter(
         F.transform(parts, lambda p, i: F.struct(i.alias("part_no"), p.kind.alias("kind"), p.ref.alias("ref"), expanded_tokens(p).alias("tokens"))),
         lambda a: ~a.kind.eqNullSafe("text"),
     )
-    turn = F.struct(
-        F.col("turn"), role.alias("role"), body.alias("body"), F.coalesce(F.col("role").isin(*trained), F.lit(False)).alias("loss"), attached.alias("attached")
+    written = lambda t: F.struct(
+        F.regexp_replace(escape(t.role), "\n", NEWLINE).alias("role"),
+        F.array_join(F.transform(t.parts, visit), "").alias("body"),
+        t.role.isin(*trained).alias("loss"),
+        attached(t.parts).alias("attached"),
     )
-    grouped = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    grouped = turns.select("conv_id", raw.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("raw")).select("conv_id", F.transform("raw", written).alias("ts"))
     segment = lambda t: F.concat(F.lit(START), t.role, F.lit("\n"), t.body, F.lit(END + "\n"))
     span = lambda t, i: F.struct(
         i.cast("long").alias("turn_no"),
