@@ -309,28 +309,52 @@ def test_long_lists_send_no_pairs(spark):
 
 def test_shards(spark):
     docs, rows = frame(spark)
-    got = sharding.shard(docs, 4, fineness=8).collect()
+    got = sharding.shard(docs, 4).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r["size"], r.text_crc32) for r in got) == sorted(
         (i if i is not None else -1, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows
     )
-    of_text, slots = {}, {}
+    of_text, slots, sums = {}, {}, Counter()
     for r in got:
         of_text.setdefault(r.text_crc32, set()).add(r.shard)
         slots.setdefault(r.shard, []).append(r.slot)
+        sums[r.shard] += r["size"]
     assert all(len(x) == 1 for x in of_text.values())
     assert set(slots) <= set(range(4)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    groups = Counter()
+    for _, t in rows:
+        groups[t or ""] += len((t or "").encode()) + 8
+    assert sorted(sums.values()) == sorted(shard_sums(sorted(groups.values(), reverse=True), 4))
     assert listed(sharding.shard(frame(spark, [])[0], 4)) == []
 
 
+def shard_sums(sizes, shards):
+    """The bytes of each shard by the plan, item by item; every item is in one shard."""
+    counts = sorted(Counter(sizes).items(), reverse=True)
+    plan, sums, seen = sharding.into_shards(counts, shards), Counter(), Counter()
+    for size, a, b, k in plan:
+        sums[k] += size * (b - a)
+        seen.update((size, i) for i in range(a, b))
+    assert seen == Counter((s, i) for s, n in counts for i in range(n)) and set(sums) <= set(range(shards))
+    return list(sums.values())
+
+
 def test_best_fit_decreasing_by_hand():
-    assert sharding.best_fit_decreasing([7, 5, 4, 3, 1], 10) == [0, 1, 1, 0, 1]
+    one_by_one = lambda sizes: sharding.best_fit_decreasing([(s, 1) for s in sizes], 10)[0]
+    assert [b for *_, b in one_by_one([7, 5, 4, 3, 1])] == [0, 1, 1, 0, 1]
+    assert sharding.best_fit_decreasing([(4, 5), (2, 3)], 10) == ([(4, 0, 2, 0), (4, 2, 4, 1), (4, 4, 5, 2), (2, 0, 1, 0), (2, 1, 2, 1), (2, 2, 3, 2)], 3)
     r = random.Random(1)
-    sizes = sorted((r.randint(1, 1000) for _ in range(3000)), reverse=True)
-    sums = [0] * 24
-    for s, b in zip(sizes, sharding.into_shards(sizes, 24), strict=True):
-        sums[b] += s
-    assert max(sums) - min(sums) < 0.01 * max(sums)
-    assert len(set(sharding.into_shards([1000, *[1] * 500], 4))) == 4
+    for _ in range(20):  # runs are what items by themselves would do
+        sizes, room = sorted((r.randint(1, 12) for _ in range(60)), reverse=True), r.randint(5, 40)
+        gaps = {}
+        for s in sizes:
+            fit = [(g, b) for b, g in gaps.items() if g >= s]
+            b = min(fit)[1] if fit else len(gaps)
+            gaps[b] = gaps.get(b, room) - s
+        assert sharding.best_fit_decreasing(sorted(Counter(sizes).items(), reverse=True), room)[1] == len(gaps)
+    sums = shard_sums(sorted((r.randint(1, 1000) for _ in range(3000)), reverse=True), 24)
+    assert max(sums) - min(sums) < 0.001 * max(sums)
+    assert len(shard_sums([1000, *[1] * 500], 4)) == 4 and sorted(shard_sums([50, 50, 50, *[1] * 30], 4)) == [30, 50, 50, 50]
+    assert sorted(shard_sums([10] * 7, 4)) == [10, 20, 20, 20]
     assert sharding.into_shards([], 4) == []
 
 
