@@ -15,6 +15,9 @@ from .common import chunks, tidy
 ORDERS = (1, 2, 3)
 PROFILE = 400
 UNDETERMINED = "und"
+#: A text that shares less than this with every language's profile is in none of them; to tell, it has
+#: to have so many different n-grams.
+LEAST_SCORE, LEAST_GRAMS = 0.25, 30
 _EDGE = 1  # stands for the border of a word
 
 #: Letters by code point up to U+FFFF, as small numbers in lower case; 0 is not a letter.
@@ -81,20 +84,26 @@ class Profiles:
             self.grams.append(own["gram"].to_numpy(np.int64).view(np.uint64))
             self.ranks.append(own["rank"].to_numpy(np.int64))
 
-    def predict(self, text: str | None, most: int = PROFILE) -> tuple[str, float]:
-        """The language at the least out-of-place distance and how far it is from the greatest
-        possible one, from 0 (nothing in common) to 1."""
+    def predict(self, text: str | None, most: int = PROFILE) -> tuple[str, float, int]:
+        """The language at the least out-of-place distance; how far it is from the greatest possible
+        one, from 0 (nothing in common) to 1; and how many n-grams were compared."""
         top = ranked(*grams(text or ""), most)
-        if not len(top):
-            return UNDETERMINED, 0.0
-        if not self.langs:
-            return UNDETERMINED, 0.0
+        if not len(top) or not self.langs:
+            return UNDETERMINED, 0.0, len(top)
         place, distances = np.arange(len(top)), []
         for own, ranks in zip(self.grams, self.ranks, strict=True):
             at = np.minimum(np.searchsorted(own, top), len(own) - 1)
             distances.append(np.where(own[at] == top, np.minimum(np.abs(ranks[at] - place), most), most).sum())
         best = int(np.argmin(distances))
-        return self.langs[best], float(1 - distances[best] / (most * len(top)))
+        return self.langs[best], float(1 - distances[best] / (most * len(top))), len(top)
+
+    def accepted(self, text: str | None) -> str | None:
+        """The language of a text that is to stay, None for one that is to go. Without profiles no
+        text can be told apart, so all that have letters stay as undetermined."""
+        lang, score, n = self.predict(text)
+        if not n or (self.langs and n >= LEAST_GRAMS and score < LEAST_SCORE):
+            return None
+        return lang
 
 
 def learn(docs: DataFrame, most: int = PROFILE) -> pd.DataFrame:
@@ -125,7 +134,9 @@ def learn(docs: DataFrame, most: int = PROFILE) -> pd.DataFrame:
 
     totals = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return totals.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < most).select("lang", "gram", "rank").toPandas()
+    # In this form Spark cuts each partition to its first rows before it deals them by language.
+    first = totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return first.select("lang", "gram", (F.col("rank") - 1).alias("rank")).toPandas()
 
 
 def identify(docs: DataFrame, profiles: pd.DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,10 +157,13 @@ def identify(docs: DataFrame, profiles: pd.DataFrame, id_col: str = "doc_id", te
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, profiles: pd.DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs, whole, whose text has a letter; null texts and others go.
+def with_language(docs: DataFrame, profiles: pd.DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose text is in one of the profiles' languages; a null lang becomes that one.
 
-    These are the rows that identify() finds a language for, if there are profiles to find it by.
+    Null texts, texts without letters, and texts of LEAST_GRAMS n-grams or more that share under
+    LEAST_SCORE with every profile go; shorter ones have too little to tell by and stay. A lang that is
+    given is kept as it is. With no profiles all texts with letters stay, and a null lang stays null.
+    Repeated rows stay or go alike; other columns are returned as they are; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))
 
@@ -157,7 +171,11 @@ def with_language(docs: DataFrame, profiles: pd.DataFrame, text_col: str = "text
         for batch in batches:
             tidy()
             for part in chunks(batch, text_col):
-                texts = part.column(part.schema.get_field_index(text_col))
-                yield part.filter(pa.array([(shared.value.predict(t.as_py())[0] != UNDETERMINED if shared.value.langs else bool(len(grams(t.as_py() or "")[0]))) for t in texts], pa.bool_()))
+                found = [shared.value.accepted(t.as_py()) for t in part.column(part.schema.get_field_index(text_col))]
+                at = part.schema.get_field_index(lang_col)
+                if at >= 0 and part.column(at).null_count:
+                    own = [f if x is None and f != UNDETERMINED else x for x, f in zip(part.column(at).to_pylist(), found, strict=True)]
+                    part = part.set_column(at, part.schema.field(at), pa.array(own, part.schema.field(at).type))
+                yield part.filter(pa.array([f is not None for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

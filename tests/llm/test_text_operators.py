@@ -1,6 +1,7 @@
 """Decontamination, packing, language, model scoring, near-duplicates, shards, suffix dedup and quality
 on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import functools
 import hashlib
 import math
 import random
@@ -171,10 +172,45 @@ def test_language_stage_without_any_lang(spark):
     assert sorted(listed(kept)) == [(1, "clean words", None), (4, "é", None)]
 
 
-def test_grams_and_distance_by_hand():
-    values, counts = langid.grams("Ab ab")
-    assert sorted(counts.tolist()) == [2, 2, 2, 2, 2, 2, 2]  # a, b, _a, ab, b_, _ab, ab_
-    assert len(values) == 7
+def test_language_stage_decides_by_profile(spark):
+    r = random.Random(6)
+    make = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+    known = [(i, make("abcde" if i % 2 else "vwxyz", 40), "aa" if i % 2 else "vv", "a") for i in range(60)]
+    odd = [(100, make("abcde", 40), None, "b"), (101, make("жщюяэ", 40), None, "c"), (102, make("жщюяэ", 40), "aa", "d"), (103, "жщ", None, "e"), (104, "..", "aa", "f"), (105, make("vwxyz", 9000), None, "g"), (105, None, None, "h"), (None, known[1][1], None, "i")]
+    table = spark.createDataFrame(known + odd, "doc_id long, text string, lang string, n string")
+    kept = {(x.doc_id, x.n): x.lang for x in langid.with_language(table, langid.learn(table.where("doc_id < 100"))).collect()}
+    assert {k: v for k, v in kept.items() if k[0] is None or k[0] >= 100} == {(100, "b"): "aa", (103, "e"): kept[103, "e"], (105, "g"): "vv", (None, "i"): "aa"}
+    assert len(kept) == 64
+    assert langid.with_language(table.limit(0), langid.learn(table)).count() == 0
+
+
+def out_of_place(text, profile, most):
+    """The distance and the greatest possible one, from counts of all n-grams."""
+    def counted(texts):
+        c = Counter()
+        for t in texts:
+            for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+                line = f"_{w}_"
+                c.update(line[a : a + n] for n in (1, 2, 3) for a in range(len(line) - n + 1) if line[a : a + n] != "_")
+        # ties go to the smaller code; a border is smaller than all letters
+        return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], functools.reduce(lambda a, b: a << 21 | (1 if b == "_" else ord(b)), x[0], 0)))][:most]
+    top, own = counted([text]), {g: i for i, g in enumerate(counted(profile))}
+    return sum(min(abs(own[g] - i), most) if g in own else most for i, g in enumerate(top)), most * len(top)
+
+
+def test_language_equals_distances_by_hand(spark):
+    r = random.Random(8)
+    say = {a: (lambda n, v=["".join(r.choice(a) for _ in range(r.randint(1, 6))) for _ in range(60)]: " ".join(r.choice(v) for _ in range(n))) for a in ("abcdefgh", "efghijkl", "cdefijé")}
+    learned = [(i, say[a](r.randint(1, 50)), a) for i, a in enumerate(list(say) * 12)]
+    tests = [(500 + i, say[a](r.randint(1, 80)), None) for i, a in enumerate(list(say) * 8)] + [(600, learned[0][1], None), (600, learned[0][1], None), (601, "Ab. AB, ab", None), (602, say["abcdefgh"](20_000), None)]
+    table = spark.createDataFrame([(*x, "l") for x in learned + tests], "doc_id long, text string, lang string, lang_pred string")
+    got = sorted((x.doc_id, x.lang_pred, x.score) for x in langid.identify(table.where("doc_id >= 500"), langid.learn(table)).collect())
+    want = []
+    for i, t, _ in tests:
+        found = {a: out_of_place(t, [x for _, x, b in learned if a == b], langid.PROFILE) for a in sorted(say)}
+        best = min(sorted(say), key=lambda a: found[a][0])
+        want.append((i, best, pytest.approx(1 - found[best][0] / found[best][1])))
+    assert got == sorted(want, key=lambda x: x[0])
 
 
 def lm_by_hand(rows, train, order):
