@@ -1,6 +1,5 @@
 """Chat formatting, exact top-k search, and the queries and the pipeline as registered."""
 
-import importlib
 import math
 
 import numpy as np
@@ -84,29 +83,3 @@ def test_top_k_of_repeated_rows(spark):
 
 def test_every_operator_has_its_query():
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in queries.QUERIES)] == []
-
-
-def test_pipeline_keeps_clean_documents(spark, tmp_path):
-    if importlib.util.find_spec("corpus_pipeline") is None:
-        pytest.skip("no pipeline here")
-    import corpus_pipeline
-
-    item = "one two three four five six seven eight nine ten eleven twelve"
-    shared = "This passage of well over fifty bytes is repeated word for word in another document."
-    docs = [(0, f"clean words {shared} here", "en", "s", 1), (1, f"other words come first, then {shared} it is", "en", "s", 1), (2, "!!! 123", "en", "s", 1), (3, None, None, "s", None), (4, f"see {item} now", "en", "s", 1), (5, "a copy of some text that is told twice", "en", "s", 1), (6, "a copy of some text that is told twice", "en", "s", 1), (6, "a copy of some text that is told twice", "en", "s", 1)]
-    folder = str(tmp_path / "in")
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    kept = spark.read.parquet(f"{folder}/documents.parquet")
-    ids = []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, kept, folder)
-        assert out.columns == kept.columns
-        out.write.parquet(f"{folder}/{name}")
-        kept = spark.read.parquet(f"{folder}/{name}")
-        ids.append(sorted(r.doc_id for r in kept.collect()))
-    assert ids == [[0, 1, 4, 5, 6, 6], [0, 1, 4, 5], [0, 1, 4, 5], [0, 1, 5]]
-    text = {r.doc_id: r for r in kept.collect()}
-    assert text[0].text == docs[0][1] and shared not in text[1].text and text[1].text.startswith("other words come first")
-    assert text[1].n_chars == len(text[1].text)
-    assert sorted({r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}) == [0, 1, 5]
