@@ -58,12 +58,22 @@ def at_checkpoints(ledger: DataFrame, before_expiry: bool) -> DataFrame:
     return found.select("lease_id", "checkpoint_date", "label", *map(value, SNAPSHOT), (F.col("term") - F.coalesce("x.month_num", F.col("term") + 1) + 1).alias("months_left"))
 
 
+SNAPPED = ["month_num", "scheduled_base_rent", "total_nnn_amount", "total_obligation_remaining", "total_base_rent_remaining"]
+
+
+def in_effect() -> Column:
+    """Aggregate: the row in effect at the analysis date, the last that starts by it, else the first."""
+    fields = F.struct(*SNAPPED)
+    return F.coalesce(asof_backward(F.col("analysis_date"), fields), F.min_by(fields, "month_num"))
+
+
+def dated(ledger: DataFrame, leases: DataFrame) -> DataFrame:
+    return ledger.withColumn("month_start", F.col("period_start")).join(leases.select("lease_id", "analysis_date"), "lease_id")
+
+
 def snapshot(ledger: DataFrame, leases: DataFrame) -> DataFrame:
-    """The row in effect at each lease's analysis date: the last that starts by it, else the first."""
-    fields = F.struct("month_num", "scheduled_base_rent", "total_nnn_amount", "total_obligation_remaining", "total_base_rent_remaining")
-    rows = ledger.withColumnRenamed("period_start", "month_start").join(leases.select("lease_id", "analysis_date"), "lease_id")
-    found = rows.groupBy("lease_id", "analysis_date").agg(F.coalesce(asof_backward(F.col("analysis_date"), fields), F.min_by(fields, "month_num")).alias("x"))
-    return found.select("lease_id", "analysis_date", "x.*")
+    """The row in effect at each lease's analysis date."""
+    return dated(ledger, leases).groupBy("lease_id", "analysis_date").agg(in_effect().alias("x")).select("lease_id", "analysis_date", "x.*")
 
 
 def asof_remaining(ledger: DataFrame, leases: DataFrame) -> DataFrame:
@@ -79,23 +89,33 @@ def discounted(value: Column, day: Column, analysis: Column, rate: float = RATE)
     return value / F.pow(F.lit(1.0 + rate / 12), n.cast("double"))
 
 
-def values(ledger: DataFrame, leases: DataFrame, rate: float = RATE) -> DataFrame:
-    """Future and present values, from the analysis date on, of the obligation and the base rent."""
-    rows = ledger.join(leases.select("lease_id", "analysis_date"), "lease_id")
+def worth(rate: float) -> list[Column]:
+    """Aggregates: future and present values, from the analysis date on, of the obligation and the base rent."""
     after = F.col("period_start") >= F.col("analysis_date")
     npv = lambda c: fix2(F.coalesce(F.sum(F.when(after, discounted(F.col(c), F.col("period_start"), F.col("analysis_date"), rate))), F.lit(0.0)))
     fv = lambda c: cents(F.when(after, F.col(c)))
     concession = lambda kind: cents(F.when(after & (F.col("concession_type") == kind), F.col("abatement_amount")))
-    return rows.groupBy("lease_id").agg(
+    return [
         fv("total_monthly_obligation").alias("fv"), fv("base_rent_applied").alias("fv_base"), npv("total_monthly_obligation").alias("npv"), npv("base_rent_applied").alias("npv_base"),
         cents("total_monthly_obligation").alias("full_fv"), concession("free_rent").alias("free_total"), concession("abatement").alias("abated_total"),
-    )
+    ]
+
+
+def values(ledger: DataFrame, leases: DataFrame, rate: float = RATE) -> DataFrame:
+    """The worth of each lease from its analysis date on."""
+    return dated(ledger, leases).groupBy("lease_id").agg(*worth(rate))
+
+
+def panel(ledger: DataFrame, leases: DataFrame, discounts: list[float]) -> DataFrame:
+    """The worth and the row in effect of each lease, in one pass over the ledger, at each discount."""
+    rows = dated(ledger, leases).groupBy("lease_id").agg(*worth(RATE), in_effect().alias("x"))
+    return rows.select("*", "x.scheduled_base_rent", "x.total_nnn_amount").crossJoin(tiers(ledger, discounts))
 
 
 def renegotiation_panel(ledger: DataFrame, leases: DataFrame) -> DataFrame:
     """One row per lease and discount on the base rent."""
     d = F.col("discount")
-    rows = values(ledger, leases).join(snapshot(ledger, leases), "lease_id").crossJoin(tiers(ledger, RENEGOTIATION_TIERS))
+    rows = panel(ledger, leases, RENEGOTIATION_TIERS)
     npv = F.col("npv") - d * F.col("npv_base")
     return rows.select(
         "lease_id", "discount", fix2(F.col("scheduled_base_rent") * (1 - d)).alias("monthly_rent"), F.col("total_nnn_amount").alias("additional_rent"),
@@ -108,7 +128,7 @@ def renegotiation_panel(ledger: DataFrame, leases: DataFrame) -> DataFrame:
 def exit_panel(ledger: DataFrame, leases: DataFrame) -> DataFrame:
     """One row per lease and buyout discount on the whole obligation."""
     d = F.col("discount")
-    rows = values(ledger, leases).join(snapshot(ledger, leases), "lease_id").crossJoin(tiers(ledger, EXIT_TIERS))
+    rows = panel(ledger, leases, EXIT_TIERS)
     return rows.select(
         "lease_id", "discount", fix2(F.col("scheduled_base_rent") * (1 - d)).alias("monthly_rent"), F.col("total_nnn_amount").alias("additional_rent"),
         fix2(F.col("fv") * (1 - d)).alias("fv"), fix2(F.col("npv") * (1 - d)).alias("npv"), fix2((F.col("free_total") + F.col("abated_total")) * (1 - d)).alias("concessions"), "full_fv",

@@ -137,14 +137,34 @@ def confidence(p: Portfolio) -> DataFrame:
 
 
 def bulk_paste(p: Portfolio) -> DataFrame:
-    """The portfolio's periods written as a table to paste, and read again."""
-    line = F.concat(F.date_format("period_start", "M/d/yy"), F.lit(" - "), F.date_format("period_end", "M/d/yyyy"), F.lit("\t$"), F.format_string("%.2f", F.col("monthly_rent")))
-    table = periods(p).groupBy("lease_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("period_idx", line.alias("line")))), lambda x: x.line), "\n").alias("text"))
-    return paste.pasted(table, "lease_id", "text").select("lease_id", F.col("at").cast("long").alias("at"), "period_start", "period_end", "monthly_rent", F.col("warning").isNull().alias("read"))
+    """The portfolio's periods written as tables to paste, in four forms and with a line that is none, and
+    read again."""
+    rent = F.format_string("%.2f", F.col("monthly_rent"))
+    day = lambda c, form: F.date_format(c, form)
+    forms = [
+        F.concat(day("period_start", "M/d/yy"), F.lit(" - "), day("period_end", "M/d/yyyy"), F.lit("\t$"), rent),
+        F.concat(day("period_start", "M.d.yyyy"), F.lit(" to "), day("period_end", "M.d.yyyy"), F.lit("   S"), rent, F.lit("*")),
+        F.concat(day("period_start", "yyyy-MM-dd"), F.lit("  "), F.format_number("monthly_rent", 2)),
+        F.concat(F.lit("Year "), (F.col("period_idx") + 1).cast("string"), F.lit(" $"), rent),
+    ]
+    line = F.element_at(F.array(*forms), (F.col("lease_id") % 4 + 1).cast("int"))
+    table = periods(p).groupBy("lease_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("period_idx", line.alias("line")))), lambda x: x.line), "\n\n").alias("text"))
+    table = table.withColumn("text", F.concat("text", F.lit("\nsee the exhibit")))
+    return paste.pasted(table, "lease_id", "text").select("lease_id", F.col("at").cast("long").alias("at"), "period_start", "period_end", F.col("relative_year").cast("long").alias("relative_year"), "monthly_rent", "asterisk", "warning")
 
 
 def prose_charges(p: Portfolio) -> DataFrame:
-    told = F.concat(F.lit("Tenant pays rent.\nNNN escalate "), F.format_string("%d", F.round(F.col("esc") * 100).cast("int")), F.lit("% every year, amt "), F.format_string("%.2f", F.col("year1")))
+    """Charges told in several ways, and sentences that name a charge and a number but state none."""
+    plain, grouped, pct = F.format_string("%.2f", F.col("year1")), F.format_number("year1", 2), F.format_string("%d", F.round(F.col("esc") * 100).cast("int"))
+    forms = [
+        F.concat(F.lit("NNN escalate "), pct, F.lit("% every year, amt "), plain),
+        F.concat(F.lit("Insurance $"), grouped, F.lit(" per month increases "), pct, F.lit("% every two years")),
+        F.concat(F.lit("Real estate taxes shall be paid at 100 Main Street, not "), plain),
+        F.concat(F.lit("CAM: "), plain, F.lit(" and no more")),
+        F.concat(F.lit("Taxes "), pct, F.lit("% per 6 months at $"), grouped),
+        F.lit("Additional Rent rises 12% only"),
+    ]
+    told = F.concat(F.lit("Tenant pays rent.\n"), F.element_at(F.array(*forms), (F.col("lease_id") % 6 + 1).cast("int")))
     return paste.prose_charges(p.leases().select("lease_id", told.alias("text")), "lease_id", "text")
 
 
@@ -217,8 +237,6 @@ _DICE = f"""grams AS (SELECT s, {_BG.format('s')} AS a FROM (SELECT DISTINCT s F
 scored AS (SELECT s, phrase, place, CASE WHEN s=phrase THEN 1e0 WHEN length(s)<2 THEN CASE WHEN contains(s, phrase) OR contains(phrase, s) THEN 0.6e0 ELSE 0e0 END
   ELSE 2*coalesce(list_sum(list_transform(list_distinct(a), lambda g: least(len(list_filter(a, lambda x: x=g)), len(list_filter(b, lambda x: x=g))))), 0)/CAST(len(a)+len(b) AS DOUBLE) END AS score FROM grams, pg)"""
 _DAY = "CAST(o_orderdate AS DATE)"
-_TEXT = """wording AS (SELECT lease_id, 'The Lease Commencement Date shall be ' || strftime(commence, '%B %-d, %Y') || '.' || chr(10) || chr(10) || 'Base rent is due monthly' || CASE WHEN lease_id%3=0 THEN ', per rentable square foot.' ELSE '.' END
-  || chr(10) || 'Months 1 - 12 $' || printf('%.2f', year1) || chr(10) || 'Months 13 to 24: $' || printf('%.2f', year1*2) || ' a month' || chr(10) || 'Lease Year 3' || chr(10) || '$' || printf('%.2f', year1) AS text FROM leases)"""
 
 ORACLE_SQL = {
     "label_normalize": f"WITH {_LABELS} SELECT label_id, s AS normalized_label FROM norm",
@@ -238,8 +256,10 @@ ORACLE_SQL = {
       SELECT lease_id, period_idx, s AS period_start, CASE WHEN e IS NULL AND s IS NOT NULL THEN nx ELSE e END AS period_end, e IS NULL AND s IS NOT NULL AND nx IS NOT NULL AS end_inferred, monthly_rent FROM q""", "periods"),
     "collapse_steps": oracle.sql("SELECT lease_id, month_num, month_start, monthly_rent FROM (SELECT *, lag(monthly_rent) OVER (PARTITION BY lease_id ORDER BY month_num) AS b FROM months0) WHERE b IS NULL OR b<>monthly_rent", "months0"),
     "reanchor_schedule": oracle.sql(f", p AS (SELECT p.*, min(period_start) OVER (PARTITION BY lease_id) AS o FROM periods p) SELECT lease_id, period_idx, {oracle.add_m('(commence+40)', oracle.mi('period_start') + '-' + oracle.mi('o'))} AS period_start, {oracle.add_m('(commence+40)', oracle.mi('(period_end+1)') + '-' + oracle.mi('o'))} - 1 AS period_end, monthly_rent FROM p JOIN (SELECT lease_id, commence FROM leases) USING (lease_id)", "periods"),
-    "bulk_paste": oracle.sql("SELECT lease_id, period_idx AS at, period_start, period_end, monthly_rent, true AS read FROM periods", "periods"),
-    "prose_charges": oracle.sql("SELECT lease_id, 'cams' AS bucket, 'nnn' AS label, year1, round(esc*100) AS esc_pct, CAST(12 AS INTEGER) AS cadence_months FROM leases", "leases"),
+    "bulk_paste": oracle.sql("""SELECT lease_id, period_idx AS at, CASE WHEN lease_id%4<3 THEN period_start END AS period_start, CASE WHEN lease_id%4<2 THEN period_end END AS period_end, CASE WHEN lease_id%4=3 THEN period_idx+1 END AS relative_year,
+      monthly_rent, lease_id%4=1 AS asterisk, CAST(NULL AS VARCHAR) AS warning FROM periods UNION ALL SELECT lease_id, count(*), NULL, NULL, NULL, NULL, false, 'no rent on the line' FROM periods GROUP BY lease_id""", "periods"),
+    "prose_charges": oracle.sql("""SELECT lease_id, ['cams','insurance',NULL,'cams','taxes'][lease_id%6+1] AS bucket, ['nnn','insurance',NULL,'cam','taxes'][lease_id%6+1] AS label, CAST(printf('%.2f', year1) AS DOUBLE) AS year1,
+      CASE WHEN lease_id%6<>3 THEN round(esc*100) END AS esc_pct, CAST([12,24,NULL,NULL,6][lease_id%6+1] AS INTEGER) AS cadence_months FROM leases WHERE lease_id%6 NOT IN (2,5)""", "leases"),
     "schedule_choice": oracle.sql("SELECT lease_id, CASE WHEN lease_id%3=0 AND lease_id%7<>0 AND lease_id%5<>0 THEN 'extracted' ELSE 'parsed' END AS reading, lease_id%3=0 AND lease_id%7<>0 AND lease_id%5<>0 AS conflict FROM (SELECT DISTINCT lease_id FROM periods)", "periods"),
     "charge_dedupe": "SELECT lease_id, label_no, ord, l_extendedprice FROM (SELECT l_orderkey AS lease_id, l_partkey%7 AS label_no, l_linenumber AS ord, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey, l_partkey%7 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem) WHERE r=1",
     "slot_claiming": """WITH c AS (SELECT l_orderkey AS lease_id, ['cams','insurance','taxes','security','otherItems'][l_partkey%5+1] AS bucket, l_quantity/50 AS confidence, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem),
