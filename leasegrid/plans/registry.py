@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leasegrid.plans import intake_queries, oracle, queries, text_queries
+from leasegrid.plans import intake_queries, oracle, queries, text_queries, wording_queries
 
 QUERIES = {name: queries.named(plan) for name, plan in queries.PLANS.items()}
-ORACLE_SQL = oracle.ORACLE_SQL | text_queries.ORACLE_SQL | intake_queries.ORACLE_SQL
+ORACLE_SQL = oracle.ORACLE_SQL | text_queries.ORACLE_SQL | intake_queries.ORACLE_SQL | wording_queries.ORACLE_SQL
