@@ -139,9 +139,13 @@ def phrase_rules(wins: DataFrame, key: str) -> DataFrame:
     earlier of events, the first two that it names do.
     """
     low = F.col("normalized")
+    # Few windows name an event and have a cue; what the cues find in one is worked out once and kept.
+    has = lambda phrases: reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in phrases])
+    wins = wins.where(has([n for names in EVENTS.values() for n in names]) & has(["later of", "earlier of", *(c for _, cues, _ in CUES for c in cues)]))
+    wins = wins.withColumns({f"cued_{kind}": cued(low, kind, cues) for kind, cues, _ in CUES})
     found = []
-    for kind, cues, confidence in CUES:
-        places = cued(low, kind, cues)
+    for kind, _, confidence in CUES:
+        places = F.col(f"cued_{kind}")
         for e in EVENTS:
             named = with_event(places, e)
             offset = F.regexp_extract(F.try_element_at(named, F.lit(1)).before, r"(\d{1,3}) $", 1).try_cast("int") if kind.startswith("event_plus") else F.lit(None).cast("int")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leasegrid.functions import dates
 from leasegrid.functions import label_tables as T
 from leasegrid.operators import labels, paste, repair, text
+from leasegrid.operators import wording as text_rows
 from leasegrid.plans import oracle
 from leasegrid.plans.queries import PLANS, months, periods, rows
 from leasegrid.sources.portfolio import Portfolio
@@ -85,17 +88,20 @@ def start_rules(p: Portfolio) -> DataFrame:
 
 
 def candidate_ranking(p: Portfolio) -> DataFrame:
-    """Each lease's schedule readings and the preferred one, anchored where the text names a date."""
-    w = wins(p)
+    """Each lease's schedule readings, of all four kinds, and the preferred one; month and year ranges and
+    escalations are anchored where the text names a date."""
+    more = F.when(F.col("lease_id") % 5 == 0, "\n1/1/2030 - 12/31/2030 $500.00").otherwise(""), F.when(F.col("lease_id") % 7 == 0, "\nRent of $900.00 shall increase by 3% every year").otherwise("")
+    docs = wording(p).withColumn("text", F.concat("text", *reversed(more)))
+    w = text.windows(docs, "lease_id", "text")
     anchor = text.absolute_rules(w, "lease_id").groupBy("lease_id").agg(F.min("resolved_date").alias("anchor"))
-
-    def one(rows: DataFrame, name: str, ord_: int) -> DataFrame:
-        n = rows.groupBy("lease_id").agg(F.count("*").alias("n_terms")).join(anchor, "lease_id", "left")
-        known = F.col("anchor").isNotNull()
-        return n.select("lease_id", F.lit(ord_).alias("ord"), F.lit(name).alias("representation"), F.lit(text.CONFIDENCE[name]).alias("confidence"), "n_terms", F.when(known, F.col("n_terms")).otherwise(0).alias("n_rows"), F.when(known, 0).otherwise(1).alias("n_open"))
-
-    both = one(text.terms(w, "lease_id"), "relative_month_ranges", 0).unionByName(one(text.terms(w, "lease_id", text.YEAR_TERMS), "lease_year_ranges", 1))
-    return text.ranked(both, "lease_id")
+    kinds = {
+        "dated_periods": text_rows.dated_rows(docs, "lease_id", "text"), "narrative_escalation": text_rows.escalation_rule(docs, "lease_id", "text"),
+        "relative_month_ranges": text.terms(w, "lease_id"), "lease_year_ranges": text.terms(w, "lease_id", text.YEAR_TERMS),
+    }
+    every = reduce(DataFrame.unionByName, [rows_.select("lease_id", F.lit(k).cast("long").alias("ord"), F.lit(name).alias("representation"), F.lit(text.CONFIDENCE[name]).alias("confidence")) for k, (name, rows_) in enumerate(kinds.items())])
+    n = every.groupBy("lease_id", "ord", "representation", "confidence").agg(F.count("*").alias("n_terms")).join(anchor, "lease_id", "left")
+    known = F.col("anchor").isNotNull() | (F.col("representation") == "dated_periods")
+    return text.ranked(n.select("lease_id", "ord", "representation", "confidence", "n_terms", F.when(known, F.col("n_terms")).otherwise(0).alias("n_rows"), F.when(known, 0).otherwise(1).cast("long").alias("n_open")), "lease_id")
 
 
 def materialization(p: Portfolio) -> DataFrame:
@@ -249,6 +255,13 @@ ORACLE_SQL = {
       SELECT doc_id, CAST(2*len(l)-1 AS BIGINT) AS n_windows, CAST(list_sum(list_transform(l, lambda s: length(s))) + coalesce(list_sum(list_transform(range(1, len(l)), lambda i: length(l[i])+length(l[i+1])+1)), 0) AS BIGINT) AS n_chars FROM l WHERE len(l)>0""",
     "term_extraction": oracle.sql("SELECT lease_id, v.a AS start_value, v.b AS end_value, CASE WHEN v.a=1 THEN year1 ELSE CAST(printf('%.2f', year1*2) AS DOUBLE) END AS monthly_rent FROM leases, (VALUES (CAST(1 AS BIGINT),CAST(12 AS BIGINT)),(13,24)) v(a,b)", "leases"),
     "absolute_start_rules": oracle.sql("SELECT lease_id, 'commencement_date' AS trigger_event, commence AS resolved_date FROM leases", "leases"),
+    "start_rules": oracle.sql("""SELECT lease_id, v.kind AS rule_kind, v.event AS trigger_event, v.second AS second_event, v.n AS offset_value, v.c AS confidence FROM leases, (VALUES (0,'event_date','rent_commencement_date',NULL,NULL,0.8e0),(0,'event_date','commencement_date',NULL,NULL,0.8e0),
+      (1,'first_full_calendar_month_after_event','commencement_date',NULL,NULL,0.9e0),(2,'event_plus_days','delivery_date',NULL,30,0.84e0),(3,'later_of','delivery_date','permit_issuance_date',NULL,0.82e0)) v(k, kind, event, second, n, c) WHERE lease_id%4=v.k""", "leases"),
+    "candidate_ranking": oracle.sql("""SELECT lease_id, v.k AS ord, v.name AS representation, v.c AS confidence, CAST(v.n AS BIGINT) AS n_terms, CAST(v.n AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_open, round(v.c+0.05e0, 6) AS score FROM leases,
+      (VALUES (CAST(0 AS BIGINT),'dated_periods',0.95e0,1),(1,'narrative_escalation',0.89e0,1),(2,'relative_month_ranges',0.87e0,2)) v(k, name, c, n) WHERE v.k=CASE WHEN lease_id%5=0 THEN 0 WHEN lease_id%7=0 THEN 1 ELSE 2 END""", "leases"),
+    "html_text": r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html,''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS x FROM pages),
+      e AS (SELECT page_id, replace(replace(replace(replace(replace(x, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)) AS x FROM b)
+      SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(x, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10)||chr(10), 'g'), ' ') AS text FROM e""",
     "term_materialization": oracle.sql(f"SELECT lease_id, v.a AS start_value, v.b AS end_value, CASE WHEN v.a=1 THEN year1 ELSE CAST(printf('%.2f', year1*2) AS DOUBLE) END AS monthly_rent, {oracle.add_m('commence', 'v.a-1')} AS period_start, {oracle.add_m('commence', 'v.b')} - 1 AS period_end FROM leases, (VALUES (CAST(1 AS BIGINT),CAST(12 AS BIGINT)),(13,24)) v(a,b)", "leases"),
     "narrative_escalation": oracle.sql(f", t AS (SELECT lease_id, year1, esc*100 AS pct, 6+6*(lease_id%4) AS cad, CASE WHEN expire<=commence THEN 0 ELSE least({oracle.mi('expire')}-{oracle.mi('commence')} + CASE WHEN {oracle.add_m('commence', oracle.mi('expire') + '-' + oracle.mi('commence'))}<expire THEN 1 ELSE 0 END, 600) END AS tot FROM leases), u AS (SELECT *, unnest(range(1, tot+1, cad)) AS st FROM t WHERE tot>0) SELECT lease_id, CAST(st AS BIGINT) AS start_month, CAST(least(tot, st+cad-1) AS BIGINT) AS end_month, {oracle.f2('year1*pow(1+pct/100, (st-1)//cad)')} AS monthly_rent FROM u", "leases"),
     "sf_rent_detection": oracle.sql("SELECT lease_id, lease_id%3=0 AS sf_required FROM leases", "leases"),
