@@ -1,6 +1,6 @@
 """Language-model scoring with an n-gram trie in Elias-Fano form.
 
-The model is an n-gram model over words, of order 3 unless told otherwise. Its unigrams are the add-one
+The model is an n-gram model over words, of order 2 unless told otherwise. Its unigrams are the add-one
 estimate p1 from exact counts of all training tokens. An n-gram of context h and word w has
 
     p(w | h) = (n(h, w) + PRIOR p(w | h')) / (n(h) + PRIOR),
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, CHUNK_BYTES, LOWER, chunks, identities, mix, row_of, settled, span_hashes, spans, tasks, texts_of, tidy
 
-ORDER = 3
+ORDER = 2
 PRIOR = 4.0
 #: Tokens after which a block of documents ends, and tokens of the table for each slice of n-grams.
 BLOCK_TOKENS, SLICE_TOKENS = 1 << 21, 1 << 22
@@ -172,10 +172,11 @@ class Trie:
 
 
 class Grams:
-    """The distinct pairs of a context and a word, in order: counts in training, where each is first, and
-    the number of every token's pair."""
+    """The distinct pairs of a context and a word, in order: counts in the block's training rows, where
+    each is first, the tokens that end one, and the number of every such token's pair."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, train: np.ndarray) -> None:
+    def __init__(self, context: np.ndarray, word: np.ndarray, train: np.ndarray, tokens: np.ndarray) -> None:
+        self.tokens = tokens
         code, self.first, self.number = np.unique((context << 32) | word, return_index=True, return_inverse=True)
         self.context, self.word = code >> 32, code & ((1 << 32) - 1)
         self.counts = np.bincount(self.number, train, len(code)).astype(np.int64)
@@ -192,9 +193,10 @@ def sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "block", "level", "a", "b", "c"])
 
 
-def joined(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a column of arrays and where each row's start."""
+def joined(table: pa.Table, name: str, steps_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of arrays, of which the steps may be what is kept, and where each row's start."""
     parts = [unsqueeze(x.as_py()) for x in table[name]]
+    parts = [np.cumsum(x, dtype=np.uint64) for x in parts] if steps_only else parts
     return np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.int64), np.cumsum([0, *map(len, parts)])
 
 
@@ -203,11 +205,11 @@ def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
 
 
-def slices_in(order_by: np.ndarray, slices: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """An order by slice, and the slices that are there with their part of it."""
-    order = np.argsort(order_by, kind="stable")
-    cuts = np.searchsorted(order_by[order], np.arange(slices + 1, dtype=np.uint64))
-    return order, [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+def cuts_of(slices: np.ndarray) -> list[tuple[int, slice]]:
+    """The slices that are there, which lie in order, with the part of each."""
+    first = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1]]) if len(slices) else np.zeros(0, np.int64)
+    ends = np.r_[first[1:], len(slices)]
+    return [(int(slices[i]), slice(i, j)) for i, j in zip(first.tolist(), ends.tolist(), strict=False)]
 
 
 def blocks(rows: DataFrame, block_tokens: int) -> DataFrame:
@@ -224,8 +226,14 @@ def blocks(rows: DataFrame, block_tokens: int) -> DataFrame:
                 with pa.ipc.new_stream(out, own.schema) as stream_out:
                     stream_out.write_table(own)
                 ids = out.getvalue().to_pybytes()
-            words = pickle.dumps((squeeze(np.fromiter(map(len, places), np.int64)), pa.compress(b"".join(places), "zstd").to_pybytes()))
-            values = [block, size, ids, words, squeeze(np.concatenate(lines)), squeeze(np.concatenate(lengths))]
+            line, names = np.concatenate(lines), list(places)
+            # Frequent words have small places, which take fewer bytes; END and START keep theirs.
+            order = np.r_[0, 1, 2 + np.argsort(-np.bincount(line, minlength=len(names))[2:], kind="stable")]
+            place = np.empty(len(names), np.int64)
+            place[order] = np.arange(len(names))
+            words = [names[i] for i in order.tolist()]
+            packed = pickle.dumps((squeeze(np.fromiter(map(len, words), np.int64)), pa.compress(b"".join(words), "zstd").to_pybytes()))
+            values = [block, size, ids, packed, squeeze(place[line]), squeeze(np.concatenate(lengths))]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, [pa.int64()] * 2 + [pa.binary()] * 4, strict=True)], ["block", "tokens", "ids", "words", "line", "lengths"])
 
         held, lines, lengths, size, places = [], [], [], 0, {END: 0, START: 1}
@@ -270,55 +278,59 @@ class Block:
         self.bounds = np.r_[0, np.cumsum(self.lengths)]
         self.rows_train = self.ids["train"].to_numpy().astype(bool)
         self.train = np.repeat(self.rows_train, self.lengths)
-        self.by_slice = slice_of(span_hashes(self.data, self.starts, self.ends), slices)
+        #: How often this block's training rows have each word; for START, how many they are.
+        self.local = np.bincount(self.line[self.train], minlength=len(self.ends))
+        self.local[1] = self.rows_train.sum()
         if answers is not None:
             self.answers = answers.sort_by([("level", "ascending"), ("slice", "ascending")])
-            self.n, self.word_ids = self.answered(1, self.by_slice)
+            self.n, self.word_ids = self.answered(1, self.words_by_slice()[0])
 
-    def answered(self, level: int, by_slice: np.ndarray, numbered: bool = True) -> list[np.ndarray]:
-        """Counts over all training rows and numbers, in the order of what was asked."""
-        own, order = self.answers.filter(pc.equal(self.answers["level"], level)), slices_in(by_slice, self.slices)[0]
-        out = []
+    def answered(self, level: int, order: np.ndarray, numbered: bool = True) -> list[np.ndarray]:
+        """Counts over all training rows, and numbers, of what was asked in this order."""
+        own, out = self.answers.filter(pc.equal(self.answers["level"], level)), []
         for name in ("a", "b")[: 1 + numbered]:
             values = np.empty(len(order), np.int64)
-            values[order] = joined(own, name)[0]
+            values[order] = joined(own, name, name == "b")[0]
             out.append(values)
         return out
 
+    def words_by_slice(self) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        own = slice_of(span_hashes(self.data, self.starts, self.ends), self.slices)
+        order = np.argsort(own, kind="stable")
+        return order, cuts_of(own[order])
+
     def ask_words(self) -> list[tuple]:
-        counts = np.bincount(self.line[self.train], minlength=len(self.ends))
-        counts[1] = self.rows_train.sum()
-        order, parts = slices_in(self.by_slice, self.slices)
+        order, parts = self.words_by_slice()
         lengths = self.ends - self.starts
-        return [(k, 1, lengths[order[p]], b"".join(self.data[self.starts[i] : self.ends[i]].tobytes() for i in order[p].tolist()), counts[order[p]]) for k, p in parts]
+        return [(k, 1, lengths[order[p]], b"".join(self.data[self.starts[i] : self.ends[i]].tobytes() for i in order[p].tolist()), self.local[order[p]]) for k, p in parts]
 
-    def levels(self, upto: int) -> Iterator[tuple[Grams, np.ndarray, np.ndarray]]:
-        """For each order from 2: its n-grams, the tokens that end one whose context was seen in training,
-        and the slices of the n-grams. Counts have to be known up to the order before the last."""
+    def levels(self, upto: int) -> Iterator[Grams]:
+        """The n-grams of each order from 2 on whose context was seen in training. Counts over all
+        training rows have to be known up to the order before the last."""
         first = np.zeros(len(self.line), bool)
         first[self.bounds[:-1]] = True
-        context, ids = np.r_[0, self.line[:-1]], self.word_ids
+        context, tokens, ids = np.r_[0, self.line[:-1]], np.arange(len(self.line)), self.word_ids
         context[first] = 1
-        tokens = np.arange(len(self.line))
         for level in range(2, upto + 1):
-            grams = Grams(context, self.line[tokens], self.train[tokens])
-            by_slice = slice_of(mix(mix(ids[grams.context].astype(np.uint64)) + self.word_ids[grams.word].astype(np.uint64)), self.slices)
-            grams.ids = ids[grams.context]
-            yield grams, tokens, by_slice
+            grams = Grams(context, self.line[tokens], self.train[tokens], tokens)
+            u, w = ids[grams.context], self.word_ids[grams.word]
+            own = slice_of(mix(mix(u.astype(np.uint64)) + w.astype(np.uint64)), self.slices)
+            grams.order = np.lexsort((w, u, own))
+            grams.u, grams.w, grams.parts = u[grams.order], w[grams.order], cuts_of(own[grams.order])
+            yield grams
             if level == upto:
                 return
-            counts, ids = self.answered(level, by_slice)
+            counts, ids = self.answered(level, grams.order)
             index = np.full(len(self.line), -1, np.int64)
             index[tokens] = np.where(counts[grams.number] > 0, grams.number, -1)
             tokens = np.flatnonzero(~first & (np.r_[-1, index[:-1]] >= 0))
             context = index[tokens - 1]
 
     def ask(self, level: int) -> list[tuple]:
-        for grams, _, by_slice in self.levels(level):
+        for grams in self.levels(level):
             pass
-        at, parts = slices_in(by_slice, self.slices)
-        context, word, counts = grams.ids[at], self.word_ids[grams.word[at]], grams.counts[at]
-        return [(k, level, context[p], word[p], counts[p]) for k, p in parts]
+        counts = grams.counts[grams.order]
+        return [(k, level, np.diff(grams.u[p], prepend=0), grams.w[p], counts[p]) for k, p in grams.parts]
 
 
 def counted_words(table: pa.Table, slices: int) -> list[tuple]:
@@ -331,13 +343,13 @@ def counted_words(table: pa.Table, slices: int) -> list[tuple]:
     own = table["slice"][0].as_py()
     n = np.bincount(number, joined(table, "c")[0], len(first)).astype(np.int64)
     true = n[[bytes(data[ends[i] - lengths[i] : ends[i]]) != START for i in first.tolist()]]
-    out = [(own, block.as_py(), 1, n[number[i:j]], number[i:j] * slices + own) for block, i, j in zip(table["block"], cuts[:-1], cuts[1:], strict=True)]
+    out = [(own, block.as_py(), 1, n[number[i:j]], np.diff(number[i:j] * slices + own, prepend=0)) for block, i, j in zip(table["block"], cuts[:-1], cuts[1:], strict=True)]
     return [*out, (own, -1, 1, np.array([true.sum(), (true > 0).sum()]))]
 
 
 def counted(table: pa.Table, slices: int, numbered: bool) -> list[tuple]:
     """A slice's n-grams of one order: to each block their counts over all training rows, and numbers."""
-    (u, cuts), w, n = joined(table, "a"), joined(table, "b")[0], joined(table, "c")[0]
+    (u, cuts), w, n = joined(table, "a", True), joined(table, "b")[0], joined(table, "c")[0]
     order = np.lexsort((w, u))
     u, w = u[order], w[order]
     new = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
@@ -345,7 +357,7 @@ def counted(table: pa.Table, slices: int, numbered: bool) -> list[tuple]:
     number[order] = np.cumsum(new) - 1
     sums = np.add.reduceat(n[order], np.flatnonzero(new))
     own, level = table["slice"][0].as_py(), table["level"][0].as_py()
-    return [(own, block.as_py(), level, sums[number[i:j]], *([number[i:j] * slices + own] if numbered else [])) for block, i, j in zip(table["block"], cuts[:-1], cuts[1:], strict=True)]
+    return [(own, block.as_py(), level, sums[number[i:j]], *([np.diff(number[i:j] * slices + own, prepend=0)] if numbered else [])) for block, i, j in zip(table["block"], cuts[:-1], cuts[1:], strict=True)]
 
 
 def trie_of(b: Block, order: int, total: int, distinct: int) -> tuple[Trie, list[tuple[np.ndarray, ...]]]:
@@ -353,17 +365,17 @@ def trie_of(b: Block, order: int, total: int, distinct: int) -> tuple[Trie, list
     each one's n-gram, and the n-grams' contexts (as their level numbers them) and words."""
     trie, looked_up = Trie(b.n, total, distinct), []
     shorter, seen, place = (b.n + 1.0) / (total + distinct + 1), b.n, None
-    for level, (grams, own, by_slice) in enumerate(b.levels(order) if order > 1 else (), 2):
-        counts = b.answered(level, by_slice, False)[0]
+    for level, grams in enumerate(b.levels(order) if order > 1 else (), 2):
+        counts = b.answered(level, grams.order, False)[0]
         stored = counts > 0
         context = grams.context if place is None else place[grams.context]
-        suffix = grams.word if place is None else place[number[own[grams.first]]]
+        suffix = grams.word if place is None else place[number[grams.tokens[grams.first]]]
         p = (counts + PRIOR * shorter[suffix]) / (seen[context] + PRIOR)
         trie.levels.append(Level(context[stored], grams.word[stored], p[stored], seen, len(b.ends)))
-        looked_up.append((own, grams.number, context, grams.word))
+        looked_up.append((grams.tokens, grams.number, context, grams.word))
         shorter, seen, place = p[stored], counts[stored], np.cumsum(stored) - 1
         number = np.zeros(len(b.line), np.int64)
-        number[own] = grams.number
+        number[grams.tokens] = grams.number
     return trie, looked_up
 
 
@@ -401,11 +413,12 @@ def score(docs: DataFrame, train: Column, block_tokens: int = BLOCK_TOKENS, orde
             return pa.Table.from_batches([out])
 
         asks = found.mapInArrow(words, SENT) if so_far is None else found.groupBy("block").cogroup(so_far.groupBy("block")).applyInArrow(grams, SENT)
-        return settled(asks.groupBy("slice").applyInArrow(merge, SENT))
+        return asks.groupBy("slice").applyInArrow(merge, SENT)
 
-    first = asked(1, None)
+    first = settled(asked(1, None))
     totals = [unsqueeze(r.a) for r in first.where("block < 0").select("a").toLocalIterator()]
     total, distinct = (int(sum(x[k] for x in totals)) for k in (0, 1))
+    # From here on one plan, in which the blocks are dealt once and read for every order.
     answers = first.where("block >= 0")
     for level in range(2, order + 1):
         answers = answers.unionByName(asked(level, answers))

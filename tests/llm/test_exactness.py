@@ -111,7 +111,7 @@ def test_packing_and_scores_tell_long_twins_apart(spark):
 def test_scores_with_equal_hashes_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(common, "span_hashes", same_hash)
     table = pa.table({"slice": [0, 0], "block": [1, 2], "level": [1, 1], "a": [lm.squeeze(np.array([1, 3, 2])), lm.squeeze(np.array([2, 1]))], "b": [b"aabcde", b"dea"], "c": [lm.squeeze(np.array([5, 1, 2])), lm.squeeze(np.array([7, 4]))]})
-    rows = {r[1]: [x.tolist() for x in r[3:]] for r in lm.counted_words(table, 10)}
+    rows = {r[1]: [r[3].tolist(), *[np.cumsum(x).tolist() for x in r[4:]]] for r in lm.counted_words(table, 10)}
     assert rows[1][0] == [9, 1, 9] and rows[2][0] == [9, 9]  # a, abc, de; de, a
     assert rows[1][1][2] == rows[2][1][0] and rows[1][1][0] == rows[2][1][1] and len(set(rows[1][1])) == 3
     assert rows[-1] == [[19, 3]]

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from leasegrid.llm import langid, queries
+from leasegrid.llm import langid, lm, queries
 from tests.llm.test_text_operators import dedup_by_hand, lowered, out_of_place, simhash_by_hand
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars int, key string, row string"
@@ -166,11 +166,11 @@ def test_op6_query(spark, texts):
     from tests.llm.test_text_operators import lm_by_hand
 
     rows = [(i, r.text) for i, r in texts.items()]
-    want = {x[0]: x for x in lm_by_hand(rows, lambda i: crc(i) % 7 != 2, 3)}
+    want = {x[0]: x for x in lm_by_hand(rows, lambda i: crc(i) % 7 != 2, lm.ORDER)}
     for r in queries.op6_lm(spark, SF).collect():
         x = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (*x[1:4], crc(r.doc_id) % 7 == 2)
-        assert r.base_score == pytest.approx(x[4], rel=1e-9) and r.score == pytest.approx(x[5], abs=x[1] * 3 / 4096)
+        assert r.base_score == pytest.approx(x[4], rel=1e-9) and r.score == pytest.approx(x[5], abs=x[1] * lm.ORDER / lm.STEP)
 
 
 def test_op7_query(spark, texts):
