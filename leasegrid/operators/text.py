@@ -140,8 +140,8 @@ def phrase_rules(wins: DataFrame, key: str) -> DataFrame:
     """
     low = F.col("normalized")
     # Few windows name an event and have a cue; what the cues find in one is worked out once and kept.
-    has = lambda phrases: reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in phrases])
-    wins = wins.where(has([n for names in EVENTS.values() for n in names]) & has(["later of", "earlier of", *(c for _, cues, _ in CUES for c in cues)]))
+    anyof = lambda phrases: low.rlike("|".join(phrases))
+    wins = wins.where(anyof([n for names in EVENTS.values() for n in names]) & anyof(["later of", "earlier of", *(c for _, cues, _ in CUES for c in cues)]))
     wins = wins.withColumns({f"cued_{kind}": cued(low, kind, cues) for kind, cues, _ in CUES})
     found = []
     for kind, _, confidence in CUES:
