@@ -9,6 +9,7 @@ from leasegrid.functions import dates
 from leasegrid.operators import intake, ledger
 from leasegrid.plans import oracle
 from leasegrid.plans.queries import PLANS, balances, changed, charge_rows, months, periods, rows
+from leasegrid.sources import tables
 from leasegrid.sources.portfolio import BUCKETS, Portfolio
 
 
@@ -185,7 +186,32 @@ def lease_month_ranges(p: Portfolio) -> DataFrame:
     return p.one_time().join(p.leases().select("lease_id", "commence"), "lease_id").select("lease_id", "ord", n.alias("month_number"), first.alias("month_start"), last.alias("month_end"))
 
 
+def payloads(p: Portfolio) -> DataFrame:
+    """An extraction for each lease as it is answered: fenced and bare JSON, with fields left out, and none."""
+    day = lambda c: F.date_format(c, "M/d/yyyy")
+    row = F.concat(F.lit('{"periodStart": "'), day("commence"), F.lit('", "periodEnd": "'), day("expire"), F.lit('", "monthlyRent": '), F.format_string("%.2f", F.col("year1")), F.lit("}"))
+    forms = [
+        F.concat(F.lit('```json\n{"rentSchedule": ['), row, F.lit('], "leaseName": "A", "sfRequired": true, "confidenceFlags": ["cams", "taxes"]}\n```')), F.concat(F.lit('{"rentSchedule": ['), row, F.lit("]}")), F.lit('{"leaseName": null, "confidenceFlags": ["a", "b", "c", "d"]}'),
+        F.lit('{"recurringCharges": [{"label": "CAM"}], "rentSchedule": [{"periodStart": "soon", "periodEnd": "1/1/2030", "monthlyRent": 5}]}'), F.lit("I could not read it."), F.lit(None).cast("string"),
+    ]
+    return p.leases().select("lease_id", F.element_at(F.array(*forms), (F.col("lease_id") % 6 + 1).cast("int")).alias("payload"))
+
+
+def extraction_defaults(p: Portfolio) -> DataFrame:
+    out = tables.completed(payloads(p), "lease_id")
+    n = lambda c: F.size(c).cast("long")
+    return out.select("lease_id", n("rent_schedule").alias("n_rows"), n("recurring_charges").alias("n_charges"), "lease_name", "sf_required", n("flags").alias("n_flags"), "confidence", n("notices").alias("n_notices"), "meaningful", "usable")
+
+
+def file_routing(p: Portfolio) -> DataFrame:
+    name = F.concat(F.lit("lease "), F.col("lease_id").cast("string"), F.lit("."), one_of(["csv", "XLSX", "pdf", "txt", "HTML", "json", "exe", "v2.docx"], F.col("lease_id")))
+    return p.leases().select("lease_id", tables.routed(name).alias("reader"))
+
+
 PLANS |= {
+    "extraction_defaults": extraction_defaults,
+    "extracted_periods": lambda p: tables.extracted_periods(payloads(p), "lease_id"),
+    "file_routing": file_routing,
     "concession_intake": concession_intake,
     "concession_rules": concession_rules,
     "override_rules": override_rules,
@@ -243,6 +269,10 @@ def _month_of(d: str) -> str:
 
 
 ORACLE_SQL = {
+    "extraction_defaults": oracle.sql("""SELECT lease_id, CAST([1,1,0,1,0,0][lease_id%6+1] AS BIGINT) AS n_rows, CAST(CASE WHEN lease_id%6=3 THEN 1 ELSE 0 END AS BIGINT) AS n_charges, CASE WHEN lease_id%6=0 THEN 'A' END AS lease_name, lease_id%6=0 AS sf_required,
+      CAST([2,0,4,0,0,0][lease_id%6+1] AS BIGINT) AS n_flags, ['medium','high','low','high','high','high'][lease_id%6+1] AS confidence, CAST(CASE WHEN lease_id%6>3 THEN 1 ELSE 0 END AS BIGINT) AS n_notices, lease_id%6 IN (0,1,3) AS meaningful, lease_id%6<2 AS usable FROM leases""", "leases"),
+    "extracted_periods": oracle.sql("SELECT lease_id, CAST(0 AS BIGINT) AS period_idx, CASE WHEN lease_id%6<3 THEN commence END AS period_start, CASE WHEN lease_id%6<3 THEN expire ELSE DATE '2030-01-01' END AS period_end, CASE WHEN lease_id%6<3 THEN CAST(printf('%.2f', year1) AS DOUBLE) ELSE 5e0 END AS monthly_rent FROM leases WHERE lease_id%6 IN (0,1,3)", "leases"),
+    "file_routing": oracle.sql("SELECT lease_id, ['table','workbook','document','text','markup','extraction',NULL,'document'][lease_id%8+1] AS reader FROM leases", "leases"),
     "concession_intake": oracle.sql(_INTAKE + " SELECT * FROM taken", "bounds"),
     "concessions_by_month": oracle.sql(_INTAKE + """ SELECT m.lease_id, m.month_num, coalesce(n_free, 0) AS n_free, coalesce(abated, 0e0) AS abated FROM months m LEFT JOIN (SELECT lease_id, month_number, count(*) FILTER (WHERE type='free_rent') AS n_free,
       sum(value) FILTER (WHERE type='abatement') AS abated FROM taken WHERE scope='monthly_row' GROUP BY ALL) t ON t.lease_id=m.lease_id AND t.month_number=m.month_num""", "bounds"),

@@ -20,6 +20,13 @@ def test_csv_with_loose_headers(spark, tmp_path):
     assert warnings.count() == 2
 
 
+def test_csv_rows_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("from,to,rent\n1/1/30,12/31/30,5,extra\n1/1/31,12/31/31\n1/1/32,12/31/32,7\n")
+    periods, warnings = tables.read_csv(spark, str(tmp_path / "a.csv"))
+    assert sorted(r.monthly_rent for r in periods.collect()) == [0.0, 5.0, 7.0]
+    assert [r.message for r in warnings.collect()] == ["row has another number of fields than the header"] * 2
+
+
 def test_header_detection():
     assert tables.detect_columns(["From", "To", "Rent"]) == {"period_start": "From", "period_end": "To", "monthly_rent": "Rent"}
     assert tables.detect_columns(["x"]) == {"period_start": None, "period_end": None, "monthly_rent": None}
