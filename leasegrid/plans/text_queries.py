@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leasegrid.functions import dates
 from leasegrid.functions import label_tables as T
+from leasegrid.functions.label_cases import CASES
 from leasegrid.operators import labels, paste, repair, text
 from leasegrid.operators import wording as text_rows
 from leasegrid.plans import oracle
@@ -47,9 +48,29 @@ def label_fuzzy(p: Portfolio) -> DataFrame:
     return own.join(kinds, "s").select("label_id", "n.phrase", F.round("n.score", 9).alias("score"))
 
 
+def judged(p: Portfolio) -> DataFrame:
+    """Each case of the evaluation set: what was expected and found, and what of it passes."""
+    cases = p.spark.createDataFrame([(k, *c) for k, c in enumerate(CASES)], "case_id int, raw_label string, expected string, expected_subtype string, least double")
+    asked = F.col("expected_subtype").isNotNull()
+    right, same, sure = F.col("bucket") == F.col("expected"), F.coalesce(F.col("subtype") == F.col("expected_subtype"), ~asked), F.col("confidence") >= F.col("least")
+    return labels.classify(cases).select("case_id", "expected", "bucket", "expected_subtype", "subtype", "match_type", "confidence", asked.alias("asked"), right.alias("right"), same.alias("same"), (right & same & sure).alias("full"))
+
+
+def label_evaluation(p: Portfolio) -> DataFrame:
+    """How many cases of the evaluation set pass by bucket, by subtype where one is asked for, and in full."""
+    n = lambda c: F.count(F.when(c, 1))
+    return judged(p).agg(
+        F.count("*").alias("n_cases"), n(F.col("right")).alias("bucket_passes"), n(F.col("asked")).alias("n_asked"), n(F.col("asked") & F.col("same")).alias("subtype_passes"), n(F.col("full")).alias("full_passes"),
+        n(F.col("match_type") == "fallback").alias("fallbacks"), n(F.col("match_type") == "ocr_rescue").alias("rescues"), n(F.col("subtype") == "nnn_composite").alias("composites"),
+    )
+
+
 def label_confusion(p: Portfolio) -> DataFrame:
-    own = p.spark.createDataFrame([(x, b) for x, b in LABELS], "raw_label string, expected string")
-    return labels.classify(own).groupBy("expected").pivot("bucket", T.BUCKETS).count().na.fill(0)
+    """expected and predicted bucket and, where a subtype is asked for, subtype, with how often they met."""
+    own = judged(p)
+    none = F.coalesce("subtype", F.lit("none"))
+    kinds = own.select(F.lit("bucket").alias("level"), "expected", F.col("bucket").alias("predicted")).unionByName(own.where("asked").select(F.lit("subtype").alias("level"), F.col("expected_subtype").alias("expected"), none.alias("predicted")))
+    return kinds.groupBy("level", "expected", "predicted").count()
 
 
 def typed(p: Portfolio) -> DataFrame:
@@ -195,6 +216,7 @@ PLANS |= {
     "label_fuzzy": label_fuzzy,
     "label_cascade": lambda p: labels.classify(label_table(p)),
     "label_confusion": label_confusion,
+    "label_evaluation": label_evaluation,
     "date_parsing": lambda p: typed(p).select("lease_id", dates.parse_cell(F.col("typed")).alias("day")),
     "rent_string_parsing": lambda p: rents_as_text(p).select("lease_id", text.rent_value(F.col("typed")).alias("rent")),
     "text_windows": lambda p: text.windows(p.table("documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_windows"), F.sum(F.length("original")).alias("n_chars")),

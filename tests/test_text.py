@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from leasegrid.operators import labels, repair, text
+from leasegrid.plans import text_queries
+from leasegrid.sources.portfolio import Portfolio
 
 D = date.fromisoformat
 
@@ -68,3 +70,12 @@ def test_reanchored_periods_keep_their_months(spark):
 
 def test_markup_to_text(spark):
     assert spark.createDataFrame([("<p>A &amp; B</p>\r\n<script>x</script><b>c</b>",)], "t string").select(text.plain(F.col("t"))).first()[0] == "A & B \n c"
+
+
+def test_label_evaluation(spark):
+    p = Portfolio(spark, "/root/testdata/sf0.001")
+    (r,) = text_queries.label_evaluation(p).collect()
+    assert (r.n_cases, r.n_asked) == (72, sum(c[2] is not None for c in text_queries.CASES))
+    assert r.bucket_passes >= 0.9 * r.n_cases and r.subtype_passes >= 0.9 * r.n_asked and r.full_passes >= 0.85 * r.n_cases
+    found = text_queries.label_confusion(p).where("level = 'bucket'").collect()
+    assert sum(x["count"] for x in found) == 72 and sum(x["count"] for x in found if x.expected == x.predicted) == r.bucket_passes
