@@ -31,7 +31,7 @@ from .common import CHUNK_BYTES, identities, mix, span_hashes, spans, tasks, tex
 
 MATCH, GRAM = 50, 24
 #: Text of a block, of a shard of minimizers and of a bucket, where the table is large.
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 32 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
 #: Blocks and shards of a small table, at most the shuffle's partitions.
 LEAST_BLOCKS = 64
 #: A minimizer of this many documents is split: its windows are sent one by one, each to its own bucket.
