@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lm, packing, quality, sharding, simhash, suffix, topk
+from . import audit, chat, decontaminate, langid, lm, packing, quality, sharding, simhash, suffix, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -138,6 +138,45 @@ def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"), 24)
 
 
+def op11_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), counted AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM docs
+), failed AS (
+  SELECT doc_id, part,
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(first < doc_id, false)] AS f
+  FROM counted
+), told AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), combos AS (
+  SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM failed LEFT JOIN told USING (doc_id) GROUP BY ALL
+), letter AS (SELECT unnest(range(1, 6)) AS k
+), orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), steps AS (
+  SELECT array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order, s AS step, o[s] AS own, o[1:s - 1] AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS s)
+), met AS (
+  SELECT part, filter_order, step, n, good, toxic, f[own] AS fails, len(list_filter(earlier, lambda x: f[x])) > 0 AS gone,
+         len(list_filter(f, lambda x: x)) AS many
+  FROM combos, steps
+), totals AS (
+  SELECT part, filter_order, step, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails AND many = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT *, sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1))::BIGINT AS shapley FROM totals
+"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -149,5 +188,6 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_suffix": op9_suffix,
     "op10_quality": op10_quality,
+    "op11_filters": op11_filters,
 }
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op11_filters": OP11_SQL}
