@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontaminate, langid, lm, packing, quality, sharding, simhash, suffix, topk
+from . import audit, bpe, chat, decontaminate, langid, lm, packing, quality, sharding, simhash, suffix, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -177,6 +177,16 @@ SELECT *, sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1))::
 """
 
 
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -189,5 +199,6 @@ QUERIES = {
     "op9_suffix": op9_suffix,
     "op10_quality": op10_quality,
     "op11_filters": op11_filters,
+    "op13_bpe": op13_bpe,
 }
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op11_filters": OP11_SQL}
