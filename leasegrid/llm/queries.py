@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, decontaminate, langid, lm, packing, quality, sharding, simhash, suffix, topk
+from . import audit, bpe, chat, decontaminate, langid, lm, packing, quality, sharding, simhash, spelling, suffix, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -177,6 +177,10 @@ SELECT *, sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1))::
 """
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents")))
+
+
 def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -199,6 +203,7 @@ QUERIES = {
     "op9_suffix": op9_suffix,
     "op10_quality": op10_quality,
     "op11_filters": op11_filters,
+    "op12_spelling": op12_spelling,
     "op13_bpe": op13_bpe,
 }
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op11_filters": OP11_SQL}
