@@ -158,6 +158,9 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
             continue
         gone = nxt[at]
         after = nxt[gone]
+        # Between one merge and the next beside it, the new token has that pair's first token as its neighbour.
+        beside = np.flatnonzero(after[:-1] == at[1:])
+        beside = beside[vocabulary.joins(np.full(len(beside), r), tok[at[beside + 1]]) < r] if len(beside) else beside
         tok[at], tok[gone], rank[gone] = r, -1, NONE
         nxt[at] = after
         prv[after] = at
@@ -168,9 +171,10 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
         rank[left] = vocabulary.joins(tok[left], tok[nxt[left]])
         touched = np.concatenate([at[inside], left])
         touched = touched[rank[touched] != NONE]
-        if len(touched) and (early := rank[touched] < r).any():
+        early = np.concatenate([touched[rank[touched] < r], at[beside]])
+        if len(early):
             # These words go another way by themselves: all their pairs leave the replay.
-            for w in np.unique(np.searchsorted(offsets, touched[early], "right") - 1).tolist():
+            for w in np.unique(np.searchsorted(offsets, early, "right") - 1).tolist():
                 odd.add(w)
                 rank[offsets[w] : offsets[w + 1]] = NONE
             touched = touched[rank[touched] != NONE]

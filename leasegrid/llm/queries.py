@@ -181,6 +181,36 @@ def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, folder, "documents")))
 
 
+OP12_SQL = r"""
+WITH table_of AS (
+  SELECT list(list_reduce([n] || range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY n) AS t FROM range(256) r(n)
+), run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), many AS (SELECT id, run, count(*) AS times FROM run WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, times, xor(list_reduce([4294967295] || flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))::BIGINT[],
+    lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295) AS h FROM many, table_of
+), cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, times FROM hashed
+), words AS (SELECT word, sum(times)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), gone AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gone g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gone g JOIN words w ON g.rest = w.word
+), best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word
+), told AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), way AS MATERIALIZED (
+  WITH RECURSIVE way(word, root, step) AS (
+    SELECT word, form, 1 FROM told WHERE form IS NOT NULL
+    UNION ALL SELECT way.word, told.form, step + 1 FROM way JOIN told ON way.root = told.word WHERE told.form IS NOT NULL
+  ) SELECT word, max_by(root, step) AS root FROM way GROUP BY word
+)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM told LEFT JOIN way USING (word)
+"""
+
+
 def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -206,4 +236,4 @@ QUERIES = {
     "op12_spelling": op12_spelling,
     "op13_bpe": op13_bpe,
 }
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op11_filters": OP11_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op11_filters": OP11_SQL, "op12_spelling": OP12_SQL}
