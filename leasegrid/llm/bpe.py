@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, resident
+from .common import chunks, resident, tidy
 
 #: Letters and numbers of later Unicode versions than the one whose classes the tiktoken
 #: library splits by. There they are neither.
@@ -38,9 +38,9 @@ NEWER = (
     "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
 #: A worker forgets the words that it knows when they are more, and encodes them again when they come.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 #: Text that is cut and encoded at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -206,7 +206,7 @@ class Encoder:
             self.forget()
         split, numbers = self.split, self.numbers
         known = len(numbers)
-        rows = [np.array([numbers.setdefault(w, len(numbers)) for w in split(t)], np.int64) for t in texts]
+        rows = [np.array([numbers.setdefault(w, len(numbers)) for w in split(t)], np.int32) for t in texts]
         if len(numbers) > known:
             new = [w.encode() for w in list(numbers)[known:]]
             whole = np.array([self.vocabulary.ranks.get(w, -1) for w in new], np.int64)
@@ -258,6 +258,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
         for batch in batches:
+            tidy(f"bpe:{path}")
             for part in chunks(batch, limit=BLOCK_BYTES):
                 ids = [x.astype("<u4").tobytes() for x in encoder.encode(part.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), part.column(1)], ["ids", "others"])
@@ -275,6 +276,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _vocabulary(path).tokens
         for batch in batches:
+            tidy(f"bpe:{path}")
             texts = []
             for packed in batch.column(0):
                 ids = np.frombuffer(packed.as_py() or b"", "<u4").tolist()

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, chunks, identities, resident, row_of, settled, tasks, texts_of, tidy
+from .common import BLANK, chunks, identities, resident, row_of, settled, texts_of, tidy
 
 SEQUENCE, END_ID = 2048, 0
 #: Parts that a worker keeps the ids of; it starts anew when it has more.
@@ -138,8 +138,22 @@ SWEPT = "kind int, ref long, size long, seq long, at long, part int, rank long"
 PLACED, GAP, DOC_LEFT, GAP_LEFT = range(4)
 #: Rows that a task sweeps, about.
 SWEEP_ROWS = 16_384
-#: Sequences are opened when a sweep places less than this share of the documents.
-FEW = 0.15
+#: Sequences are opened when a sweep places at most this share of the documents.
+FEW = 0.2
+#: Up to so many documents to a sequence, only those that no gap of the opened sequences could hold open one.
+SERVED = 10
+
+
+def open_over(top: int, capacity: int) -> int:
+    """Documents over the returned size open sequences, when the longest has size top.
+
+    Where a sequence holds k of the longest, it leaves a gap of less than capacity / (k + 1) or else a gap
+    that such a document fits: so documents up to that size wait for these gaps, as they would in
+    sequential best fit. With more than SERVED to a sequence gaps are small against it and shorter
+    documents fill them: then half of the range of sizes opens at once, for fewer rounds.
+    """
+    per = capacity // max(1, top)
+    return min(capacity // (per + 1) if per <= SERVED else top // 2, top - 1)
 
 
 def sweep(docs: DataFrame, gaps: DataFrame, capacity: int, open_above: int, partitions: int) -> DataFrame:
@@ -164,7 +178,7 @@ def sweep(docs: DataFrame, gaps: DataFrame, capacity: int, open_above: int, part
                     stack.append((ref, size))
                 elif size > open_above:
                     if not more:
-                        fresh, used, more = ref, 0, max(1, capacity // size)
+                        fresh, used, more = ref, 0, max(1, capacity // max(1, size))
                     out.append((PLACED, ref, size, fresh, used, None, None))
                     used, more = used + size, more - 1
                     if not more and used < capacity:
@@ -182,6 +196,8 @@ def sweep(docs: DataFrame, gaps: DataFrame, capacity: int, open_above: int, part
         yield swept_rows([*out, (GAP, fresh, capacity - used, None, None, None, None)] if more and used < capacity else out)
 
     return every.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(run, SWEPT)
+
+
 def swept_rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
@@ -218,14 +234,13 @@ def pack(parts: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     other rows go through rounds. In a round a sweep() matches documents with their successors among the
     gaps inside each range, conflicts() settles by rank who gets which gap across ranges, each gap takes
     one document at most, and what is left of it is a gap of the next round. When few documents find a
-    gap, the next sweep opens sequences for the longest. Documents and gaps are tables throughout: the
+    gap, the next sweep opens sequences for the longest (open_over). Documents and gaps are tables throughout: the
     driver sees how many each range left, and nothing of them.
 
     The rows are settled first, so a row keeps its number. Equal and repeated rows have places of their
     own; a row over capacity is alone; null lengths count as none and take no room; an empty table gives
     no rows. Columns named sequence_id or offset are replaced.
     """
-    spark = parts.sparkSession
     kept = [F.col(c) for c in parts.columns if c not in ("sequence_id", "offset")]
     size = F.coalesce(F.col("length").cast("long"), F.lit(0))
     rows = settled(parts.select(F.struct(*kept).alias("row"), F.greatest(size, F.lit(0)).alias("size"))).withColumn("ref", F.monotonically_increasing_id())
@@ -235,7 +250,7 @@ def pack(parts: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     placed: list[DataFrame] = []
     left, open_above = docs.count(), capacity
     while left:
-        partitions = max(2, min(tasks(spark), 2 * left // SWEEP_ROWS))
+        partitions = max(2, 2 * left // SWEEP_ROWS)
         swept = settled(sweep(docs, gaps, capacity, open_above, partitions))
         counts = swept.groupBy("kind", "part").agg(F.count("*").alias("n"), F.max("size").alias("top")).collect()
         by_part: dict[int, tuple[int, int]] = {}
@@ -250,9 +265,7 @@ def pack(parts: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
             placed.append(more)
         before, left = left, sum(d for d, _ in by_part.values()) - sum(n for _, _, n, *_ in plan)
         top = max((r.top for r in counts if r.kind == DOC_LEFT), default=0)
-        open_above = capacity
-        if before - left <= FEW * before:
-            open_above = min(capacity // (capacity // max(1, top) + 1), top * 6 // 10, max(0, top - 1))
+        open_above = open_over(top, capacity) if before - left <= FEW * before else capacity
     out = alone.select("row.*", F.col("ref").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if placed:
         places = placed[0]

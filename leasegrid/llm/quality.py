@@ -175,8 +175,8 @@ def context_sums(docs: DataFrame) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The word vectors from the texts of all of docs, and a network fitted on at most sample_rows
-    labelled documents (doc_id, quality of labels; doc_id, text of docs).
+    """The word vectors from the texts of all of docs, and a network fitted on at most sample_rows rows
+    of labelled documents (doc_id, quality of labels; doc_id, text of docs), repeated ids included.
 
     Texts stay on the executors; the summed vectors and one pooled vector a row of the sample reach
     the driver. Rows with a null label or id are not used to fit the network, an id with two labels
@@ -199,7 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in own], pa.binary()), part.column(2).cast(pa.int32())], ["doc_id", "x", "y"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sorted(sample.mapInArrow(pool, f"doc_id {kind}, x binary, y int").collect(), key=lambda r: (r.doc_id, r.x))
+    vectors_of = sample.mapInArrow(pool, f"doc_id {kind}, x binary, y int")
+    # An id may have many rows: the bound is on rows.
+    got = sorted(vectors_of.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample_rows).collect(), key=lambda r: (r.doc_id, r.x))
     x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64).reshape(-1, DIMENSIONS)
     return train(vectors, x, np.array([r.y for r in got], np.float64))
 

@@ -112,7 +112,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("group"),
+            F.unhex(F.sha2(text, 256)).alias("group"),
         )
     ).withColumn("at", F.monotonically_increasing_id())
     spark = docs.sparkSession
@@ -120,16 +120,15 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     groups = rows.groupBy("group").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
     groups = settled(groups.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order)).withColumn("place", F.monotonically_increasing_id())
     groups = groups.withColumn("part", F.shiftright("place", 33))
-    counts = groups.groupBy("total", "part").agg(F.count("*").alias("many"), F.min("place").alias("first"), F.sum("n").alias("rows")).toPandas()
-    sizes = counts.groupby("total")["many"].sum().sort_index(ascending=False)
-    plan = spark.createDataFrame(into_shards([(int(s), int(n)) for s, n in sizes.items()], shards), "total long, a long, b long, shard int")
+    counts = groups.groupBy("total", "part").agg(F.count("*").alias("many"), F.min("place").alias("first"))
+    sizes = counts.groupBy("total").agg(F.sum("many").alias("many")).orderBy(F.desc("total")).collect()
+    plan = spark.createDataFrame(into_shards([tuple(r) for r in sizes], shards), "total long, a long, b long, shard int")
     # A group's rank among its equals: its place in its part, after the equals of earlier parts.
-    counts = counts.sort_values(["total", "part"])
-    counts["base"] = counts.groupby("total")["many"].cumsum() - counts["many"]
-    bases = spark.createDataFrame([tuple(map(int, x)) for x in counts[["total", "part", "first", "base"]].itertuples(index=False, name=None)], "total long, part long, first long, base long")
+    earlier = Window.partitionBy("total").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("total", "part", "first", F.coalesce(F.sum("many").over(earlier), F.lit(0)).alias("base"))
     ranked = groups.join(bases, ["total", "part"]).withColumn("rank", F.col("base") + F.col("place") - F.col("first"))
     of_group = settled(ranked.join(plan, "total").where("rank >= a and rank < b").select("group", "n", "shard"))
-    hot = F.broadcast(of_group.where(F.col("n") * HOT > int(counts["rows"].sum())).select("group", "shard"))
+    hot = F.broadcast(of_group.where(F.col("n") * HOT > rows.count()).select("group", "shard"))
     rest = rows.join(hot, "group", "left_anti").join(of_group.select("group", "shard"), "group")
     placed = settled(rows.join(hot, "group").select(*rest.columns).unionByName(rest)).withColumn("part", F.shiftright("at", 33))
     # A slot is the row's place within its part of the input plus what earlier parts put in the shard.

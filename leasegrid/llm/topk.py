@@ -97,7 +97,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     columns = max(columns, min(nc // 1024 + 1, tasks(queries.sparkSession)) // max(1, rows))
     deal = lambda n, *more: F.pmod(F.xxhash64("vec_id", "weights", *more), F.lit(max(1, n))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
-    q = queries.withColumn("key", F.md5(F.col("weights").cast("string").cast("binary"))).withColumn("r", deal(rows)).withColumn("c", every(columns))
+    q = queries.withColumn("key", F.sha2(F.col("weights").cast("string").cast("binary"), 256)).withColumn("r", deal(rows)).withColumn("c", every(columns))
     d = candidates.withColumn("c", deal(columns, "copy")).withColumn("r", every(rows))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
