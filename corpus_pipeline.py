@@ -37,11 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     leave one, the least by its other columns; of one doc_id with several texts in a group, the least
     digest of the text. Null and blank texts are near copies of each other."""
     text = F.concat_ws("|", F.col("doc_id").cast("string"), F.when(F.col("text").isNull(), "0").otherwise("1"), "text")
-    keyed = docs.select(F.struct(*columns(docs.columns)).alias("row"), "doc_id", "text", F.md5(text.cast("binary")).alias("key"))
+    others = [c for c in docs.columns if c != "text"]
+    keyed = docs.select(F.struct(*columns(others)).alias("row"), "doc_id", "text", F.sha2(text, 256).alias("key"))
     found = simhash.near_duplicates(keyed.select(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key").alias("id"), "text"), id_col="id")
     kept = found.where("doc_id = component_id").select("doc_id.key")
-    # Repeated rows become one in the task that reads them; the join keeps how the rest is dealt.
-    return keyed.groupBy("key").agg(F.min("row").alias("row")).join(kept, "key", "left_semi").select("row.*")
+    # Repeated rows, by their texts and not by the digest, become one in the task that reads them; the join
+    # keeps how the rest is dealt.
+    once = keyed.groupBy("key", "text").agg(F.min("row").alias("row"))
+    return once.join(kept, "key", "left_semi").select("row.*", "text").select(*columns(docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
