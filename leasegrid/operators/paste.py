@@ -69,7 +69,7 @@ CHARGES = [
     ("real estate tax", "taxes"), ("additional rent", None), ("insurance", "insurance"), ("taxes", "taxes"), ("cams", "cams"), ("cam", "cams"), ("nnn", "cams"),
 ]
 # Words that may stand between a charge, its amount and its rate, and number words.
-FILLERS = ["amount", "amt", "at", "escalat", "escalate", "escalated", "escalates", "increase", "increased", "increases", "month", "monthly", "per"]
+FILLERS = ["amount", "amt", "at", "escalate", "escalated", "escalates", "increase", "increased", "increases", "month", "monthly", "per"]
 WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
 
 

@@ -88,13 +88,22 @@ def _names(event: str) -> str:
     return "|".join(EVENTS[event])
 
 
+#: How far after an event's name its date may start, and the longest date.
+DATE_REACH, DATE_LENGTH = 70, 18
+
+
 def absolute_rules(wins: DataFrame, key: str) -> DataFrame:
-    """key, trigger_event, resolved_date of "<event> ... <date>", each once."""
-    found = [
-        F.struct(F.lit(e).alias("trigger_event"), F.regexp_extract("original", rf"(?i)\b(?:{_names(e)})\b[^\n]{{0,60}}?(?:shall\s+be|means|is|:|=|will\s+be)?\s*({DATE})", 1).alias("day"))
-        for e in EVENTS
-    ]
-    rows = wins.select(key, F.explode(F.array(*found)).alias("x")).where("x.day <> ''").select(key, "x.trigger_event", parsed(F.col("x.day")).alias("resolved_date"))
+    """key, trigger_event, resolved_date of each event with a date in reach after its name, each once."""
+    low = F.lower("original")
+
+    def first_date(event: str) -> Column:
+        after = F.slice(F.split(low, rf"\b(?:{_names(event)})\b"), 2, 1 << 20)
+        dates = F.transform(after, lambda s: F.regexp_extract(F.substring(s, 1, DATE_REACH + DATE_LENGTH), DATE, 0))
+        return F.try_element_at(F.filter(dates, lambda d: d != ""), F.lit(1))
+
+    wins = wins.where(low.rlike(DATE))
+    found = F.array(*[F.struct(F.lit(e).alias("trigger_event"), first_date(e).alias("day")) for e in EVENTS])
+    rows = wins.select(key, F.explode(found).alias("x")).where("x.day is not null").select(key, "x.trigger_event", parsed(F.col("x.day")).alias("resolved_date"))
     return rows.where("resolved_date is not null").distinct()
 
 

@@ -9,16 +9,20 @@ from leasegrid.functions.dates import parse_token
 from leasegrid.functions.label_tables import PHRASES
 
 from .paste import DAY, WORDS, cleaned, lines, only_fillers
-from .text import DATE, money, parsed, says
+from .text import AREA_KINDS, DATE, NAMED, money, parsed, says
 
 # Words that make an amount a rate, and the least rent of a dated row.
 RATE_WORDS = [
-    "annual", "annually", "per year", "yearly", "square foot", "square feet", "per sf", "per rsf", "per usf", "rsf", "usf", "psf", "percent", "escalate", "escalated", "escalation", "escalates", "increase", "increases", "increased",
+    "annual", "annually", "per year", "yearly", "per sf", "rsf", "usf", "psf", "percent", "escalate", "escalated", "escalation", "escalates", "increase", "increases", "increased",
+    *[f"per {kind}square {unit}" for kind in AREA_KINDS for unit in ("foot", "feet", "ft")],
 ]
 LEAST_RENT = 100
 #: Lines that a charge's heading reaches down to.
 REACH = 7
-SUM = r"\$ ?(\d[\d,]*(?:\.\d\d?)?)"
+NUMBER = r"(\d[\d,]*(?:\.\d\d?)?)"
+SUM = rf"\$ ?{NUMBER}"
+#: A day in figures or with the month's name.
+ANY_DAY = rf"(?:{NAMED}|{DAY})"
 
 
 def spoken(line: Column) -> Column:
@@ -58,19 +62,39 @@ def search_terms(bucket: str) -> list[str]:
     return [phrase for phrase, own, _ in PHRASES if own == bucket and len(phrase) > 2]
 
 
+def day_of(text: Column) -> Column:
+    """A day as ANY_DAY finds it."""
+    return F.coalesce(parse_token(text), parsed(text))
+
+
+def step_of(line: Column) -> tuple[Column, Column]:
+    """The day from which a line sets a sum, and the sum. A line does that in one of three ways: it opens
+    with a day or a range of days and goes on with the sum; it tells a sum that holds from a day on; or a
+    sum that begins on a day. Other days in a line, such as that of billing, set none."""
+    ways = [
+        (rf"(?i)^({ANY_DAY})(?:\s*(?:-|through|to)\s*{ANY_DAY})?\s*[:,-]?\s*{SUM}", 1, 2),
+        (rf"(?i){SUM}.*?\bfrom\s+({ANY_DAY})", 2, 1),
+        (rf"(?i)\bbeginning\s+({ANY_DAY}),?.*?{SUM}", 1, 2),
+    ]
+    day = F.coalesce(*[day_of(F.regexp_extract(line, way, at)) for way, at, _ in ways])
+    sum_ = F.coalesce(*[F.when(day_of(F.regexp_extract(line, way, at)).isNotNull(), money(F.regexp_extract(line, way, of))) for way, at, of in ways])
+    return day, sum_
+
+
 def charge_steps(docs: DataFrame, key: str, text: str, buckets: list[str]) -> DataFrame:
     """key, bucket, step_date, amount: the steps of each bucket's charge where its amount changes.
 
-    A step is a line with a date and a sum. It is the charge's if the line names it, or if it stands under
+    A step is a line that sets a sum from a day on (step_of). It is the charge's if the line names it, or if it stands under
     a heading that does, at most REACH lines down, with no line between that stops the block: one that
     ends in a colon, or that neither starts with a date nor names the charge.
     """
     rows = lines(docs, key, text).withColumn("words", spoken(F.col("line")))
-    rows = rows.withColumn("day", parse_token(F.regexp_extract("line", rf"({DAY})", 1))).withColumn("amount", money(F.regexp_extract("line", SUM, 1)))
+    day, amount = step_of(F.col("line"))
+    rows = rows.withColumn("day", day).withColumn("amount", amount)
     named = F.array(*[F.struct(F.lit(b).alias("bucket"), says(F.col("words"), search_terms(b)).alias("names")) for b in buckets])
     rows = rows.withColumn("x", F.explode(named)).select(key, "at", "line", "day", "amount", "x.*")
     step = F.col("day").isNotNull() & F.col("amount").isNotNull()
-    colon, dated = F.col("line").rlike(r":\s*$"), F.col("line").rlike(rf"^{DAY}")
+    colon, dated = F.col("line").rlike(r":\s*$"), F.col("line").rlike(rf"(?i)^{ANY_DAY}")
     heading = F.col("names") & (colon | (~F.contains("line", F.lit("$")) & ~step))
     stop = ~step & (colon | (~dated & ~F.col("names")))
     before = Window.partitionBy(key, "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,7 +113,7 @@ SCOPES = [
     ("charge_start", ["cam", "common area", "operating expense", "operating expenses", "insurance", "tax", "additional rent", "charge"]),
 ]
 # Confidences of an anchor that is read off the terms' own words, and of the default.
-INLINE = [("rent commencement date", "rent_commencement_date", 0.72), ("commencement date", "commencement_date", 0.7)]
+INLINE = [("rent commencement date", "rent_commencement_date", 0.7)]
 DEFAULT = ("rent_commencement_date", 0.58)
 
 
@@ -125,9 +149,11 @@ def term_window(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def escalation_rule(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, start_rent, esc_pct, cadence_months of texts whose rent grows by a rate every so often: the sum
-    that follows the word rent, the rate after a word of growth, and how often, yearly if not said."""
+    that follows the word rent (with its sign, or for a month), the rate after a word of growth, and how often, yearly if not said."""
     low = F.regexp_replace(F.lower(F.col(text)), r"\s+", " ")
-    rent = money(F.regexp_extract(low, rf"\brent\b[^$.]{{0,60}}{SUM}", 1))
+    # Without its sign a sum is told by the month that it is for.
+    bare = F.regexp_extract(low, rf"\brent\b[^$.\d]{{0,60}}{NUMBER} ?(?:/ ?|per |a )?month(?:ly)?\b", 1)
+    rent = F.coalesce(money(F.regexp_extract(low, rf"\brent\b[^$.]{{0,60}}{SUM}", 1)), money(bare))
     grows = F.regexp_extract(low, r"\b(?:increas|escalat)[a-z]* (?:[a-z]+ ){0,3}?(\d+(?:\.\d+)?) ?%([^.]*)", 1).try_cast("double")
     rest = F.regexp_extract(low, r"\b(?:increas|escalat)[a-z]* (?:[a-z]+ ){0,3}?(\d+(?:\.\d+)?) ?%([^.]*)", 2)
     often = lambda k: F.regexp_extract(rest, r"(?:every|each|per) (?:([a-z]+|\d+) )?(year|month)s?\b", k)

@@ -13,15 +13,16 @@ from leasegrid.sources.portfolio import Portfolio
 
 
 def told_periods(p: Portfolio) -> DataFrame:
-    """lease_id, text: each period as a line, by lease in one of six forms, of which two state no rent."""
+    """lease_id, text: each period as a line, by lease in one of seven forms, of which two state no rent."""
     day = lambda c, form="M/d/yyyy": F.date_format(c, form)
     span = F.concat(day("period_start"), F.lit(" - "), day("period_end"))
     rent = F.format_number("monthly_rent", 2)
     forms = [
         F.concat(span, F.lit(": $"), rent), F.concat(F.lit("From "), day("period_start"), F.lit(" through "), day("period_end"), F.lit(" monthly $"), rent), F.concat(span, F.lit("\n$"), rent, F.lit(" is due")),
         F.concat(span, F.lit(" $"), rent, F.lit(" per square foot")), F.concat(span, F.lit(" annual rent $"), rent), F.concat(F.lit("| "), day("period_start", "M.d.yyyy"), F.lit(" – "), day("period_end", "M.d.yyyy"), F.lit(" | per month "), rent),
+        F.concat(span, F.lit(" $"), rent, F.lit(" for 2,000 square feet")),
     ]
-    line = F.element_at(F.array(*forms), (F.col("lease_id") % 6 + 1).cast("int"))
+    line = F.element_at(F.array(*forms), (F.col("lease_id") % 7 + 1).cast("int"))
     return periods(p).groupBy("lease_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("period_idx", line.alias("line")))), lambda x: x.line), "\n").alias("text"))
 
 
@@ -37,8 +38,11 @@ def row_repair(p: Portfolio) -> DataFrame:
 
 
 def step_texts(p: Portfolio) -> DataFrame:
-    """A charge's steps in a block under its heading, in lines of their own, or under another heading."""
-    k = F.col("lease_id") % 4
+    """A charge's steps in a block under its heading (days in figures or by name, alone or as ranges), in
+    lines of their own that tell from, through or beginning when, or under another heading; lines that
+    tell a sum and a day that does not set it state no step."""
+    k = F.col("lease_id") % 7
+    named = lambda months, days=0: F.date_format(F.date_add(F.add_months("commence", months), days), "MMMM d, yyyy")
     at = lambda months: F.date_format(F.add_months("commence", months), "M/d/yyyy")
     usd = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
     block = [F.concat(at(12 * i), F.lit(" "), usd(F.col("year1") + 10 * (i // 2))) for i in range(4)]
@@ -46,7 +50,10 @@ def step_texts(p: Portfolio) -> DataFrame:
         F.when(k == 0, F.concat_ws("\n", F.lit("Operating expenses:"), *block, F.lit("Notes:"), F.concat(at(60), F.lit(" $1.00"))))
         .when(k == 1, F.concat_ws("\n", F.concat(F.lit("Insurance is "), usd(F.col("year1")), F.lit(" from "), at(0)), F.lit("and"), F.concat(F.lit("insurance beginning "), at(12), F.lit(" "), usd(F.col("year1") * 2))))
         .when(k == 2, F.concat_ws("\n", F.lit("Real estate taxes"), block[0], F.lit("as agreed"), block[2]))
-        .otherwise(F.concat_ws("\n", F.lit("Deposits:"), *block))
+        .when(k == 3, F.concat_ws("\n", F.lit("Deposits:"), *block))
+        .when(k == 4, F.concat_ws("\n", F.lit("Common Area Maintenance:"), *[F.concat(named(12 * i), F.lit(" through "), named(12 * i + 12, -1), F.lit(": "), usd(F.col("year1") + 25 * i), F.lit(" per month")) for i in range(3)]))
+        .when(k == 5, F.concat_ws("\n", F.concat(F.lit("Operating Expenses shall be "), usd(F.col("year1")), F.lit(" per month from "), named(0), F.lit(" through "), named(30, -1), F.lit(".")), F.concat(F.lit("Beginning "), named(30), F.lit(", Operating Expenses shall be "), usd(F.col("year1") + 7), F.lit(" per month."))))
+        .otherwise(F.concat_ws("\n", F.concat(F.lit("Common Area Maintenance shall be "), usd(F.col("year1")), F.lit(" per month, but billing shall commence on "), named(3), F.lit(".")), F.concat(F.lit("Common Area Maintenance shall increase three percent (3%) on each June 1 beginning "), named(9), F.lit("."))))
     )
     return p.leases().select("lease_id", text.alias("text"))
 
@@ -75,8 +82,9 @@ def escalation_texts(p: Portfolio) -> DataFrame:
     forms = [
         F.concat(F.lit("Base rent starts at $"), rent, F.lit(" and shall increase by "), pct, F.lit("% every two years.")), F.concat(F.lit("Monthly rent is $"), rent, F.lit(", escalating "), pct, F.lit("% each 18 months")),
         F.concat(F.lit("Rent: $"), rent, F.lit(" increases "), pct, F.lit("% annually")), F.concat(F.lit("Rent of $"), rent, F.lit(" is fixed")), F.concat(F.lit("The fee increases "), pct, F.lit("% every year")),
+        F.concat(F.lit("Rent "), rent, F.lit(" month, escalated "), pct, F.lit("% every two years")), F.concat(F.lit("Minimum rent of "), rent, F.lit(" per month, increases by "), pct, F.lit("% every 6 months")), F.concat(F.lit("Rent for suite "), rent, F.lit(", escalated "), pct, F.lit("% every year")),
     ]
-    return wording.escalation_rule(p.leases().select("lease_id", F.element_at(F.array(*forms), (F.col("lease_id") % 5 + 1).cast("int")).alias("text")), "lease_id", "text")
+    return wording.escalation_rule(p.leases().select("lease_id", F.element_at(F.array(*forms), (F.col("lease_id") % 8 + 1).cast("int")).alias("text")), "lease_id", "text")
 
 
 def summaries(p: Portfolio) -> DataFrame:
@@ -97,15 +105,16 @@ PLANS |= {
 }
 
 ORACLE_SQL = {
-    "dated_rent_rows": oracle.sql("SELECT DISTINCT lease_id, period_start, period_end, monthly_rent FROM periods WHERE lease_id%6 NOT IN (3,4) AND monthly_rent>=100", "periods"),
+    "dated_rent_rows": oracle.sql("SELECT DISTINCT lease_id, period_start, period_end, monthly_rent FROM periods WHERE lease_id%7 NOT IN (3,4) AND monthly_rent>=100", "periods"),
     "schedule_row_repair": oracle.sql("SELECT lease_id, period_idx, CASE WHEN lease_id%4<3 THEN period_start END AS period_start, period_end FROM periods", "periods"),
-    "charge_steps": oracle.sql(f""", t AS (SELECT lease_id, lease_id%4 AS k, commence, year1 FROM leases)
+    "charge_steps": oracle.sql(f""", t AS (SELECT lease_id, lease_id%7 AS k, commence, year1 FROM leases)
       SELECT lease_id, 'cams' AS bucket, {oracle.add_m('commence', '24*i')} AS step_date, {oracle.f2('year1+10*i')} AS amount FROM t, (VALUES (0),(1)) v(i) WHERE k=0
-      UNION ALL SELECT lease_id, 'insurance', {oracle.add_m('commence', '12*i')}, {oracle.f2('year1*(1+i)')} FROM t, (VALUES (0),(1)) v(i) WHERE k=1 UNION ALL SELECT lease_id, 'taxes', commence, {oracle.f2('year1')} FROM t WHERE k=2""", "leases"),
+      UNION ALL SELECT lease_id, 'insurance', {oracle.add_m('commence', '12*i')}, {oracle.f2('year1*(1+i)')} FROM t, (VALUES (0),(1)) v(i) WHERE k=1 UNION ALL SELECT lease_id, 'taxes', commence, {oracle.f2('year1')} FROM t WHERE k=2
+      UNION ALL SELECT lease_id, 'cams', {oracle.add_m('commence', '12*i')}, {oracle.f2('year1+25*i')} FROM t, (VALUES (0),(1),(2)) v(i) WHERE k=4 UNION ALL SELECT lease_id, 'cams', {oracle.add_m('commence', '30*i')}, {oracle.f2('year1+7*i')} FROM t, (VALUES (0),(1)) v(i) WHERE k=5""", "leases"),
     "anchor_choice": oracle.sql(""", r AS (SELECT lease_id, i AS ord, lease_id+i AS n FROM leases, (VALUES (0),(1),(2)) v(i) WHERE lease_id%3>0 AND i<=lease_id%3), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lease_id ORDER BY CASE WHEN n%2=0 THEN 1 ELSE 0 END, n%5 DESC, ord) AS place FROM r WHERE n%4 IN (0,3)) WHERE place=1)
-      SELECT l.lease_id, CASE WHEN b.n IS NOT NULL THEN ['delivery_date','opening_date','possession_date'][b.n%3+1] WHEN l.lease_id%4=1 THEN 'commencement_date' ELSE 'rent_commencement_date' END AS trigger_event, CASE WHEN b.n%2=0 THEN 'absolute_date' ELSE 'event_date' END AS rule_kind,
-        round(CASE WHEN b.n IS NOT NULL THEN 0.6e0+b.n%5*0.05e0 ELSE [0.72e0,0.7e0,0.58e0,0.58e0][l.lease_id%4+1] END, 6) AS confidence FROM leases l LEFT JOIN b USING (lease_id)""", "leases"),
+      SELECT l.lease_id, CASE WHEN b.n IS NOT NULL THEN ['delivery_date','opening_date','possession_date'][b.n%3+1] ELSE 'rent_commencement_date' END AS trigger_event, CASE WHEN b.n%2=0 THEN 'absolute_date' ELSE 'event_date' END AS rule_kind,
+        round(CASE WHEN b.n IS NOT NULL THEN 0.6e0+b.n%5*0.05e0 ELSE [0.7e0,0.58e0,0.58e0,0.58e0][l.lease_id%4+1] END, 6) AS confidence FROM leases l LEFT JOIN b USING (lease_id)""", "leases"),
     "term_window": oracle.sql("SELECT lease_id, commence AS term_start, expire AS term_end FROM leases WHERE lease_id%3<2", "leases"),
-    "escalation_rule": oracle.sql("SELECT lease_id, CAST(printf('%.2f', year1) AS DOUBLE) AS start_rent, round(esc*100) AS esc_pct, CAST([24,18,12][lease_id%5+1] AS BIGINT) AS cadence_months FROM leases WHERE lease_id%5<3", "leases"),
+    "escalation_rule": oracle.sql("SELECT lease_id, CAST(printf('%.2f', year1) AS DOUBLE) AS start_rent, round(esc*100) AS esc_pct, CAST([24,18,12,0,0,24,6][lease_id%8+1] AS BIGINT) AS cadence_months FROM leases WHERE lease_id%8 IN (0,1,2,5,6)", "leases"),
     "term_summaries": oracle.sql("SELECT lease_id, period_idx, 'Months '||(period_idx*12+1)||'-'||(period_idx*12+12)||': $'||format('{:,.2f}', monthly_rent) AS line, CAST(row_number() OVER (PARTITION BY lease_id ORDER BY period_idx) AS INTEGER) AS place FROM periods", "periods"),
 }
