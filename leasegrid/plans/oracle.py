@@ -121,10 +121,10 @@ TABLES: list[tuple[str, str]] = [
 _ORDER = [n for n, _ in TABLES]
 
 
-def sql(select: str, last: str = "remaining") -> str:
-    """select over the tables up to last."""
-    own = TABLES[: _ORDER.index(last) + 1]
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in own) + "\n" + select
+def sql(select: str, last: str = "remaining", instead: dict[str, str] | None = None) -> str:
+    """select over the tables up to last; instead: other definitions of some of them."""
+    own = dict(TABLES[: _ORDER.index(last) + 1]) | (instead or {})
+    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in own.items()) + "\n" + select
 
 
 _CHECKPOINTS = f"""SELECT lease_id, checkpoint_date, arg_min(label, ord) AS label FROM (

@@ -5,13 +5,16 @@ Every table has lease_id; ord is the place in a list, where order decides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leasegrid.functions.money import fix2
 
 BUCKETS = ["cams", "insurance", "taxes", "security", "otherItems"]
 NNN = ["cams", "insurance", "taxes"]
+LABELS = ["CAMS", "Insurance", "Taxes", "Security", "Other Items"]
+#: What charges are called that users add.
+ADDED = ["Parking", "Signage", "Storage", "Trash", "Water"]
 
 
 class Portfolio:
@@ -48,6 +51,25 @@ class Portfolio:
             fix2(F.col("x.l_extendedprice") / 100).alias("year1"), (F.col("x.l_discount") * 100).alias("esc_pct"), F.col("x.start").alias("charge_start"),
         )
 
+    def all_charges(self) -> DataFrame:
+        """lease_id, ord, key, canonical_type, label, year1, esc_pct, charge_start of every line item. The
+        first of each bucket has the bucket's key; of the others, which users have added, one may bring
+        the key custom_2 along and the rest have none yet."""
+        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_shipdate"]
+        rows = self.table("lineitem").withColumn("lease_id", F.col("l_orderkey")).withColumn("n", ((F.col("l_linenumber") - 1) % 5).cast("int"))
+        rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("lease_id").orderBy(*order)).cast("long"))
+        rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("lease_id", "n").orderBy("ord")) == 1)
+        brings = ~F.col("first") & (F.col("l_suppkey") % 4 == 0)
+        rows = rows.withColumn("brings", brings & (F.row_number().over(Window.partitionBy("lease_id", brings).orderBy("ord")) == 1))
+        pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int") + 1)
+        added = F.col("l_partkey") % len(ADDED)
+        return rows.select(
+            "lease_id", "ord", F.when(F.col("first"), pick(BUCKETS, F.col("n"))).when(F.col("brings"), "custom_2").alias("key"),
+            F.when(F.col("first"), F.when(F.col("n") < len(NNN), "nnn").otherwise("other")).otherwise(F.when(added < 2, "nnn").otherwise("other")).alias("canonical_type"),
+            F.when(F.col("first"), pick(LABELS, F.col("n"))).otherwise(pick(ADDED, added)).alias("label"),
+            fix2(F.col("l_extendedprice") / 100).alias("year1"), (F.col("l_discount") * 100).alias("esc_pct"), F.col("l_shipdate").cast("date").alias("charge_start"),
+        )
+
     def one_time(self) -> DataFrame:
         """lease_id, ord, label, date, amount; undated where ord ends in 9."""
         orders = self.table("orders")
