@@ -92,8 +92,9 @@ def _names(event: str) -> str:
 DATE_REACH, DATE_LENGTH = 70, 18
 
 
-def absolute_rules(wins: DataFrame, key: str) -> DataFrame:
-    """key, trigger_event, resolved_date of each event with a date in reach after its name, each once."""
+def absolute_rules(wins: DataFrame, key: str, *carry: str) -> DataFrame:
+    """key, trigger_event, resolved_date of each event with a date in reach after its name, each once for
+    what the windows' columns carry hold."""
     low = F.lower("original")
 
     def first_date(event: str) -> Column:
@@ -103,7 +104,7 @@ def absolute_rules(wins: DataFrame, key: str) -> DataFrame:
 
     wins = wins.where(low.rlike(DATE))
     found = F.array(*[F.struct(F.lit(e).alias("trigger_event"), first_date(e).alias("day")) for e in EVENTS])
-    rows = wins.select(key, F.explode(found).alias("x")).where("x.day is not null").select(key, "x.trigger_event", parsed(F.col("x.day")).alias("resolved_date"))
+    rows = wins.select(key, *carry, F.explode(found).alias("x")).where("x.day is not null").select(key, *carry, "x.trigger_event", parsed(F.col("x.day")).alias("resolved_date"))
     return rows.where("resolved_date is not null").distinct()
 
 
@@ -123,7 +124,6 @@ NAME_REACH = 45
 def cued(low: Column, kind: str, cues: list[str]) -> Column:
     """What precedes and what follows each place where one of the cues stands as whole words."""
 
-
     def places(pieces: Column) -> Column:
         two = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: F.struct(F.element_at(pieces, i - 1).alias("before"), F.element_at(pieces, i).alias("after")))
         return F.when(F.size(pieces) > 1, two)
@@ -132,47 +132,41 @@ def cued(low: Column, kind: str, cues: list[str]) -> Column:
     return F.filter(every, lambda x: x.before.rlike(r"\d{1,3} $")) if kind.startswith("event_plus") else every
 
 
-def named_in(after: Column, event: str) -> Column:
-    """Whether a name of the event starts in reach."""
-    return reduce(lambda a, b: a | b, [F.instr(F.substring(after, 1, NAME_REACH + len(n) - 1), n) > 0 for n in EVENTS[event]])
+def event_table() -> Column:
+    """Every event with its names, as an array."""
+    return F.array(*[F.struct(F.lit(e).alias("event"), F.array(*map(F.lit, names)).alias("names")) for e, names in EVENTS.items()])
 
 
-def with_event(places: Column, event: str) -> Column:
-    return F.filter(places, lambda x: named_in(x.after, event))
+def named_in(after: Column, names: Column) -> Column:
+    """Whether one of the names starts in reach."""
+    return F.exists(names, lambda n: F.instr(F.substring(after, F.lit(1), F.length(n) + (NAME_REACH - 1)), n) > 0)
 
 
-def phrase_rules(wins: DataFrame, key: str) -> DataFrame:
-    """key, rule_kind, trigger_event, second_event, offset_value, confidence of rules in words.
+def phrase_rules(wins: DataFrame, key: str, *carry: str) -> DataFrame:
+    """key, rule_kind, trigger_event, second_event, offset_value, confidence of rules in words, each once
+    for what the windows' columns carry hold.
 
     A cue and, in reach after it, an event's name make a rule; where a window speaks of the later or the
     earlier of events, the first two that it names do.
     """
     low = F.col("normalized")
-    # Few windows name an event and have a cue; what the cues find in one is worked out once and kept.
+    # Few windows name an event and have a cue. Those are taken apart by kind of cue, then by event.
     anyof = lambda phrases: low.rlike("|".join(phrases))
     wins = wins.where(anyof([n for names in EVENTS.values() for n in names]) & anyof(["later of", "earlier of", *(c for _, cues, _ in CUES for c in cues)]))
-    wins = wins.withColumns({f"cued_{kind}": cued(low, kind, cues) for kind, cues, _ in CUES})
-    found = []
-    for kind, _, confidence in CUES:
-        places = F.col(f"cued_{kind}")
-        for e in EVENTS:
-            named = with_event(places, e)
-            offset = F.regexp_extract(F.try_element_at(named, F.lit(1)).before, r"(\d{1,3}) $", 1).try_cast("int") if kind.startswith("event_plus") else F.lit(None).cast("int")
-            found.append(F.when(F.size(named) > 0, F.struct(F.lit(kind).alias("rule_kind"), F.lit(e).alias("trigger_event"), F.lit(None).cast("string").alias("second_event"), offset.alias("offset_value"), F.lit(confidence).alias("confidence"))))
-    firsts = F.array_sort(F.array_compact(F.array(*[
-        F.when(where > 0, F.struct(where.alias("at"), F.lit(e).alias("event")))
-        for e in EVENTS
-        for where in [reduce(lambda a, b: F.when(a == 0, b).when(b == 0, a).otherwise(F.least(a, b)), [F.instr(low, n) for n in EVENTS[e]])]
-    ])))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("rule_kind"), F.lit(confidence).alias("confidence"), cued(low, kind, cues).alias("places")) for kind, cues, confidence in CUES])
+    rows = wins.select(key, *carry, F.explode(kinds).alias("x")).where("size(x.places) > 0").select(key, *carry, "x.*")
+    rows = rows.select("*", F.explode(event_table()).alias("e"))
+    rows = rows.withColumn("named", F.filter("places", lambda x: named_in(x.after, F.col("e.names")))).where("size(named) > 0")
+    offset = F.when(F.col("rule_kind").startswith("event_plus"), F.regexp_extract(F.element_at("named", 1).before, r"(\d{1,3}) $", 1).try_cast("int"))
+    none = F.lit(None).cast("string")
+    alone = rows.select(key, *carry, "rule_kind", F.col("e.event").alias("trigger_event"), none.alias("second_event"), offset.alias("offset_value"), "confidence")
+
     later, earlier = (F.instr(F.concat(F.lit(" "), low), f" {w} of ") > 0 for w in ("later", "earlier"))
-    pair = F.when(
-        (later | earlier) & (F.size(firsts) >= 2),
-        F.struct(
-            F.when(later, "later_of").otherwise("earlier_of").alias("rule_kind"), F.try_element_at(firsts, F.lit(1)).event.alias("trigger_event"),
-            F.try_element_at(firsts, F.lit(2)).event.alias("second_event"), F.lit(None).cast("int").alias("offset_value"), F.lit(0.82).alias("confidence"),
-        ),
-    )
-    return wins.select(key, F.explode(F.array_compact(F.array(*found, pair))).alias("x")).select(key, "x.*").distinct()
+    first_at = lambda e: F.array_min(F.filter(F.transform(e.names, lambda n: F.instr(low, n)), lambda at: at > 0))
+    firsts = F.array_sort(F.filter(F.transform(event_table(), lambda e: F.struct(first_at(e).alias("at"), e.event.alias("event"))), lambda x: x["at"].isNotNull()))
+    pairs = wins.where(later | earlier).select(key, *carry, F.when(later, "later_of").otherwise("earlier_of").alias("rule_kind"), firsts.alias("firsts")).where("size(firsts) >= 2")
+    pairs = pairs.select(key, *carry, "rule_kind", F.element_at("firsts", 1).event.alias("trigger_event"), F.element_at("firsts", 2).event.alias("second_event"), F.lit(None).cast("int").alias("offset_value"), F.lit(0.82).alias("confidence"))
+    return alone.unionByName(pairs).distinct()
 
 
 def resolved(kind: Column, first: Column, second: Column, offset: Column) -> Column:
@@ -188,14 +182,17 @@ def resolved(kind: Column, first: Column, second: Column, offset: Column) -> Col
     )
 
 
+def score(confidence: Column, representation: Column, n_terms: Column, n_rows: Column, n_open: Column) -> Column:
+    """What a reading of a schedule is worth: its confidence, better with rows, worse with open dependencies."""
+    empty = (representation == "dated_periods") & (n_rows == 0) & (n_terms > 0)
+    return confidence + F.when(n_rows > 0, 0.05).otherwise(0.0) - F.least(F.lit(0.12), n_open * 0.04) - F.when(empty, 0.3).otherwise(0.0)
+
+
 def ranked(candidates: DataFrame, key: str) -> DataFrame:
-    """The best candidate of each document: confidence, better with rows, worse with open dependencies."""
-    score = (
-        F.col("confidence") + F.when(F.col("n_rows") > 0, 0.05).otherwise(0.0) - F.least(F.lit(0.12), F.col("n_open") * 0.04)
-        - F.when((F.col("representation") == "dated_periods") & (F.col("n_rows") == 0) & (F.col("n_terms") > 0), 0.3).otherwise(0.0)
-    )
+    """The best candidate of each document, by score."""
     order = Window.partitionBy(key).orderBy(F.desc("score"), "ord")
-    return candidates.withColumn("score", F.round(score, 6)).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    own = score(*[F.col(c) for c in ("confidence", "representation", "n_terms", "n_rows", "n_open")])
+    return candidates.withColumn("score", F.round(own, 6)).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
 def term_months(start: Column, end: Column, most: int = 600) -> Column:

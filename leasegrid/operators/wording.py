@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leasegrid.functions.dates import parse_token
 from leasegrid.functions.label_tables import PHRASES
 
+from .labels import once
 from .paste import DAY, WORDS, cleaned, lines, only_fillers
 from .text import AREA_KINDS, DATE, NAMED, money, parsed, says
 
@@ -43,7 +44,8 @@ def dated_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     after = F.lead("line").over(Window.partitionBy(key).orderBy("at"))
     rows = rows.withColumn("after", F.coalesce(after, F.lit("")))
     part = lambda k: F.regexp_extract("line", rf"({DAY})-({DAY})(?!\d)(.*)$", k)
-    rows = rows.select(key, parse_token(part(1)).alias("period_start"), parse_token(part(2)).alias("period_end"), F.concat(part(3), F.lit(" "), "after").alias("tail")).where("period_start is not null and period_end is not null")
+    read = F.struct(parse_token(part(1)).alias("period_start"), parse_token(part(2)).alias("period_end"), F.concat(part(3), F.lit(" "), "after").alias("tail"))
+    rows = once(rows.where(F.col("line").rlike(rf"{DAY}-{DAY}")), "x", read).select(key, "x.*").where("period_start is not null and period_end is not null")
     amount = lambda k: F.regexp_extract("tail", r"^([^\d]*)(\d[\d,]*(?:\.\d\d?)?)", k)
     fine = ~is_rate(F.col("tail")) & only_fillers(F.lower(amount(1)))
     return rows.where(fine).select(key, "period_start", "period_end", money(amount(2)).alias("monthly_rent")).where(F.col("monthly_rent") >= LEAST_RENT).distinct()
