@@ -57,11 +57,14 @@ def explicit_concessions(concessions: DataFrame, months: DataFrame) -> DataFrame
 
 
 def window_concessions(concessions: DataFrame, months: DataFrame) -> DataFrame:
-    """The first window of each row that overlaps it by a day or more, and by how many days."""
-    windows = concessions.where("scope = 'legacy_window'")
+    """The first window of each row that overlaps it by a day or more, and by how many days. A window finds
+    its first and its last row by assign(), and meets the rows between."""
+    windows = concessions.where("scope = 'legacy_window' and start_date <= end_date")
+    windows = assign(assign(windows, months, "start_date").withColumnRenamed("month_num", "first"), months, "end_date")
+    windows = windows.withColumn("month_num", F.explode(F.sequence("first", "month_num"))).drop("first")
     days = overlap_days(F.col("month_start"), F.col("row_end"), F.col("start_date"), F.col("end_date"))
     event = F.struct("type", "scope", "value_mode", "value", "start_date", "end_date")
-    rows = months.select("lease_id", "month_num", "month_start", "row_end").join(windows, "lease_id").withColumn("overlap", days).where("overlap > 0")
+    rows = months.select("lease_id", "month_num", "month_start", "row_end").join(windows, ["lease_id", "month_num"]).withColumn("overlap", days).where("overlap > 0")
     return rows.groupBy("lease_id", "month_num").agg(F.min_by(F.struct(event.alias("w"), "overlap"), "ord").alias("x")).select("lease_id", "month_num", "x.w", "x.overlap")
 
 

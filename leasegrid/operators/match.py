@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,15 +12,20 @@ def lease_bounds(months: DataFrame) -> DataFrame:
 
 def assign(events: DataFrame, months: DataFrame, date: str) -> DataFrame:
     """Each event with the month_num of the row that holds its date; dates outside the term go to the
-    nearest row, null dates to the first.
+    nearest row, null dates to the first. Events of leases without rows are left out.
 
-    A join on the lease alone, which the months are dealt by already; the rows of a lease decide among
-    themselves, the first taking what lies before it and the last what lies after.
+    A sweep: a lease's rows and events in one order by date, in which an event takes the last row read, so
+    that a lease with any number of events costs the rows that it has and no pair of event and row is made.
     """
-    rows = months.select("lease_id", "month_num", "month_start", "row_end", "is_last")
-    day, first = F.col(date), F.col("month_num") == 1
-    holds = (day >= F.col("month_start")) | first, (day <= F.col("row_end")) | F.col("is_last")
-    return events.join(rows, "lease_id").where(F.when(day.isNull(), first).otherwise(holds[0] & holds[1])).drop("month_start", "row_end", "is_last")
+    # Rows follow each other without gaps, so the last that starts by a date is the one that holds it.
+    held = events.join(months.where("month_num = 1").select("lease_id"), "lease_id", "left_semi")
+    own = F.struct(*[F.col(c) for c in events.columns])
+    every = held.select("lease_id", F.col(date).alias("swept_day"), F.lit(1).alias("is_event"), F.lit(None).cast("long").alias("month_num"), own.alias("event")).unionByName(
+        months.select("lease_id", F.col("month_start").alias("swept_day"), F.lit(0).alias("is_event"), "month_num"), allowMissingColumns=True
+    )
+    order = Window.partitionBy("lease_id").orderBy("swept_day", "is_event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = every.withColumn("month_num", F.coalesce(F.last("month_num", ignorenulls=True).over(order), F.lit(1).cast("long")))
+    return every.where("is_event = 1").select("event.*", "month_num")
 
 
 def asof_backward(day: Column, value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leasegrid.functions.money import fix2, fix6
 from leasegrid.operators import generate, ledger, quality, rollup, scenario
+from leasegrid.operators.match import assign
 from leasegrid.operators.rollup import cents
 from leasegrid.sources.portfolio import Portfolio
 
@@ -44,7 +45,8 @@ def duplicate_dates(p: Portfolio) -> DataFrame:
 
 def one_time_range_sum(p: Portfolio) -> DataFrame:
     own = months(p).select("lease_id", "month_num", "month_start", "row_end")
-    return own.join(p.one_time(), "lease_id").where("date between month_start and row_end").groupBy("lease_id", "month_num").agg(cents("amount").alias("amount"))
+    found = assign(p.one_time().where("date is not null"), own, "date").join(own, ["lease_id", "month_num"])
+    return found.where("date between month_start and row_end").groupBy("lease_id", "month_num").agg(cents("amount").alias("amount"))
 
 
 def audit_trail(p: Portfolio) -> DataFrame:
