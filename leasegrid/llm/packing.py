@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANK, chunks, identities, resident, row_of, settled, texts_of, tidy
@@ -282,14 +282,23 @@ def settle_conflicts(swept: DataFrame, plan: list[tuple], capacity: int) -> tupl
     if not plan:
         return docs.select("ref", "size"), new_gaps.unionByName(gaps.select("ref", "size")), None
     known = F.broadcast(swept.sparkSession.createDataFrame(plan, "d_part int, d_first long, n long, g_part int, g_top long, number long"))
-    docs = docs.join(known, (F.col("part") == F.col("d_part")) & (F.col("rank") >= F.col("d_first")) & (F.col("rank") < F.col("d_first") + F.col("n")), "left")
-    docs = docs.select("ref", "size", (F.col("number") + F.col("rank") - F.col("d_first")).alias("number"))
-    gaps = gaps.join(known, (F.col("part") == F.col("g_part")) & (F.col("rank") <= F.col("g_top")) & (F.col("rank") > F.col("g_top") - F.col("n")), "left")
-    gaps = gaps.select(F.col("ref").alias("seq"), F.col("size").alias("room"), (F.col("number") + F.col("g_top") - F.col("rank")).alias("number"))
+
+    def numbered(left: DataFrame, side: str, met: Column, number: Column) -> tuple[DataFrame, DataFrame]:
+        """Of what is left, the rows in ranges of the plan, with their numbers, and all others, which wait as
+        they are: few ranges are in it, as gaps go to the longest documents first."""
+        inside = F.col("part").isin(sorted({p[0] if side == "d" else p[3] for p in plan}))
+        rows = left.where(inside).join(known, (F.col("part") == F.col(f"{side}_part")) & met, "left")
+        return rows.select("ref", "size", number.alias("number")), left.where(~inside).select("ref", "size")
+
+    rank, top = F.col("rank"), F.col("g_top")
+    docs, waiting = numbered(docs, "d", (rank >= F.col("d_first")) & (rank < F.col("d_first") + F.col("n")), F.col("number") + rank - F.col("d_first"))
+    gaps, untouched = numbered(gaps, "g", (rank <= top) & (rank > top - F.col("n")), F.col("number") + top - rank)
+    gaps = gaps.select(F.col("ref").alias("seq"), F.col("size").alias("room"), "number")
     met = settled(docs.where("number is not null").join(gaps.where("number is not null"), "number"))
     free = met.where("room > size").select(F.col("seq").alias("ref"), (F.col("room") - F.col("size")).alias("size"))
     unmet = gaps.where("number is null").select(F.col("seq").alias("ref"), F.col("room").alias("size"))
-    return docs.where("number is null").select("ref", "size"), new_gaps.unionByName(unmet).unionByName(free), met.select("ref", "seq", (capacity - F.col("room")).alias("at"))
+    docs = docs.where("number is null").select("ref", "size").unionByName(waiting)
+    return docs, new_gaps.unionByName(untouched).unionByName(unmet).unionByName(free), met.select("ref", "seq", (capacity - F.col("room")).alias("at"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = SEQUENCE) -> DataFrame:
