@@ -116,12 +116,9 @@ def salvaged(s: Column) -> Column:
     return expanded(F.array_join(F.transform(F.filter(F.split(clean, " "), lambda t: t != ""), rescued), " "))
 
 
-def classify(labels: DataFrame, raw: str = "raw_label") -> DataFrame:
-    """labels with normalized_label, bucket, subtype, confidence, match_type and matched_canonical.
-
-    Equal labels are classified once: the cascade runs over the distinct normalised labels, and each
-    row takes its label's result by a join on it.
-    """
+def _stages(labels: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their normalised label ("normal"), and what each stage of the cascade finds for each
+    distinct one. A stage is worked out only where those before it decided nothing."""
     rows = labels.withColumn("normal", normalized(F.col(raw)))
     kinds = once(rows.select("normal").distinct(), "working", corrected(F.col("normal")))
     kinds = once(kinds, "e", exact(F.col("normal")))
@@ -132,11 +129,49 @@ def classify(labels: DataFrame, raw: str = "raw_label") -> DataFrame:
     by_token = F.col("t").isNotNull() & ~F.col("t.ambiguous")
     kinds = once(kinds, "n", F.when(F.col("open") & by_token, nearest(F.col("working"), F.col("grams"), F.col("t.bucket"))).when(F.col("open"), nearest(F.col("working"), F.col("grams"))))
     fuzzy = F.col("open") & ~by_token & (F.col("n.score") >= T.FUZZY)
-    left = F.col("open") & ~F.coalesce(by_token, F.lit(False)) & ~F.coalesce(fuzzy, F.lit(False))
+    kinds = kinds.withColumn("by_token", F.coalesce(by_token, F.lit(False))).withColumn("fuzzy", F.coalesce(fuzzy, F.lit(False)))
+    left = F.col("open") & ~F.col("by_token") & ~F.col("fuzzy")
     kinds = once(kinds, "s", F.when(left, salvaged(F.col("working")))).withColumn("s", F.when(F.col("s") != F.col("working"), F.col("s")))
     kinds = once(kinds, "se", exact(F.col("s")))
     kinds = once(kinds, "sn", F.when(F.col("s").isNotNull() & F.col("se").isNull(), nearest(F.col("s"), bigrams(F.col("s")))))
     kinds = once(kinds, "st", F.when(F.col("s").isNotNull() & F.col("se").isNull(), token_result(F.col("s"))))
+    return rows, kinds
+
+
+def trace(labels: DataFrame, raw: str = "raw_label") -> DataFrame:
+    """labels with trace: an array of one struct (stage, reads, bucket, score, decides) for each stage of the
+    cascade that looked at the label, in order, of which the last decides. reads is what the stage saw,
+    bucket and score what it would say, null if nothing."""
+    rows, kinds = _stages(labels, raw)
+    c = F.col
+
+    def stage(looks: Column, name: str, reads: Column, bucket: Column, score: Column, decides: Column) -> Column:
+        own = F.struct(F.lit(name).alias("stage"), reads.alias("reads"), bucket.cast("string").alias("bucket"), F.round(score.cast("double"), 6).alias("score"), F.coalesce(decides, F.lit(False)).alias("decides"))
+        return F.when(F.coalesce(looks, F.lit(False)), own)
+
+    given, rescue, none = c("normal") != "", c("s").isNotNull(), F.lit(None)
+    later, by_word = rescue & c("se").isNull(), c("st").isNotNull() & ~c("st.ambiguous")
+    near = c("sn.score") >= T.FUZZY
+    stages = [
+        stage(given, "exact", c("normal"), c("e.bucket"), F.when(c("e").isNotNull(), 1.0), c("e").isNotNull()), stage(given & c("e").isNull(), "corrected", c("working"), c("c.bucket"), F.when(c("c").isNotNull(), 1.0), c("c").isNotNull()),
+        stage(c("open"), "token", c("working"), c("t.bucket"), c("t.score"), c("by_token")), stage(c("open") & ~c("by_token"), "fuzzy", c("working"), c("n.bucket"), c("n.score"), c("fuzzy")),
+        stage(rescue, "salvaged exact", c("s"), c("se.bucket"), F.when(c("se").isNotNull(), 1.0), c("se").isNotNull()), stage(later, "salvaged fuzzy", c("s"), c("sn.bucket"), c("sn.score"), near),
+        stage(later & ~F.coalesce(near, F.lit(False)), "salvaged token", c("s"), c("st.bucket"), c("st.score"), by_word),
+    ]
+    looked = F.array_compact(F.array(*stages))
+    last = stage(F.lit(True), "fallback", F.coalesce(c("s"), c("working")), F.lit("otherItems"), none, F.lit(True))
+    told = once(kinds, "looked", looked).select("normal", F.when(F.exists("looked", lambda x: x.decides), c("looked")).otherwise(F.concat("looked", F.array(last))).alias("trace"))
+    return rows.join(told, "normal").select(*labels.columns, "trace")
+
+
+def classify(labels: DataFrame, raw: str = "raw_label") -> DataFrame:
+    """labels with normalized_label, bucket, subtype, confidence, match_type and matched_canonical.
+
+    Equal labels are classified once: the cascade runs over the distinct normalised labels, and each
+    row takes its label's result by a join on it.
+    """
+    rows, kinds = _stages(labels, raw)
+    by_token, fuzzy = F.col("by_token"), F.col("fuzzy")
 
     def result(label: Column, bucket: Column, subtype: Column, confidence: Column, kind: str, phrase: Column) -> Column:
         return F.struct(label.alias("label"), bucket.alias("bucket"), subtype.cast("string").alias("subtype"), confidence.cast("double").alias("confidence"), F.lit(kind).alias("kind"), phrase.cast("string").alias("phrase"))

@@ -220,6 +220,7 @@ PLANS |= {
     "label_token_score": label_token_score,
     "label_fuzzy": label_fuzzy,
     "label_cascade": lambda p: labels.classify(label_table(p)),
+    "label_trace": lambda p: labels.trace(label_table(p)).select("label_id", F.posexplode("trace").alias("place", "x")).select("label_id", "place", "x.*"),
     "label_confusion": label_confusion,
     "label_evaluation": label_evaluation,
     "date_parsing": lambda p: typed(p).select("lease_id", dates.parse_cell(F.col("typed")).alias("day")),

@@ -80,3 +80,17 @@ def test_label_evaluation(spark):
     assert r.bucket_passes >= 0.9 * r.n_cases and r.subtype_passes >= 0.9 * r.n_asked and r.full_passes >= 0.85 * r.n_cases
     found = text_queries.label_confusion(p).where("level = 'bucket'").collect()
     assert sum(x["count"] for x in found) == len(keys) and sum(x["count"] for x in found if x.expected == x.predicted) == r.bucket_passes
+
+
+def test_label_trace_ends_where_the_cascade_decides(spark):
+    p = Portfolio(spark, "/root/testdata/sf0.001")
+    table = text_queries.label_table(p).limit(150)
+    ends = {r.label_id: r for r in labels.classify(table).collect()}
+    kinds = {"exact": "exact", "corrected": "exact", "token": "token", "fuzzy": "fuzzy", "fallback": "fallback", "salvaged exact": "ocr_rescue", "salvaged fuzzy": "ocr_rescue", "salvaged token": "ocr_rescue"}
+    seen = set()
+    for r in labels.trace(table).collect():
+        *before, last = r.trace
+        seen.add(last.stage)
+        assert not any(x.decides for x in before) and last.decides
+        assert last.bucket == ends[r.label_id].bucket and kinds[last.stage] == ends[r.label_id].match_type
+    assert {"exact", "token", "fuzzy", "fallback"} <= seen
