@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import BLANK, chunks, identities, resident, row_of, settled, texts_of, tidy
 
 SEQUENCE, END_ID = 2048, 0
-#: Parts that a worker keeps the ids of; it starts anew when it has more.
+#: Parts that a worker keeps the ids of; when it has more, it keeps those that came again.
 CACHE_ENTRIES = 1 << 19
 
 # Where a text may be cut before tokenising: by the class of the byte before and after.
@@ -49,6 +49,20 @@ class Tokens:
         self.known: dict[bytes, int] = {}
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.seen = np.zeros(0, np.int32)
+
+    def keep_frequent(self) -> None:
+        """Forgets all parts but those that came in the most chunks, half as many as there may be at most."""
+        floor = 2
+        while np.count_nonzero(self.seen >= floor) > CACHE_ENTRIES // 2:
+            floor += 1
+        kept = np.flatnonzero(self.seen >= floor)
+        parts, n = list(self.known), self.count[kept]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.first[kept] - (ends - n), n) + np.arange(int(n.sum()))]
+        self.known = {parts[k]: i for i, k in enumerate(kept.tolist())}
+        self.first, self.count, self.ids, self.used = ends - n, n, ids, len(ids)
+        self.seen = np.zeros(len(kept), np.int32)
 
     def learn(self, parts: list[bytes]) -> None:
         """Adds parts, which are new."""
@@ -56,11 +70,12 @@ class Tokens:
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         new = np.fromiter((i for x in lists for i in x), np.uint32, int(n.sum()))
         while self.used + len(new) > len(self.ids):
-            self.ids = np.r_[self.ids, np.zeros(len(self.ids), np.uint32)]
+            self.ids = np.r_[self.ids, np.zeros(max(len(self.ids), 1 << 16), np.uint32)]
         self.ids[self.used : self.used + len(new)] = new
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
         self.first = np.r_[self.first, self.used + np.cumsum(n) - n]
         self.count = np.r_[self.count, n]
+        self.seen = np.r_[self.seen, np.zeros(len(n), np.int32)]
         self.used += len(new)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +93,12 @@ class Tokens:
         raw = data.tobytes()
         parts = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.known) > CACHE_ENTRIES:
-            self.clear()
+            self.keep_frequent()
         if new := [p for p in parts if p not in self.known]:
             self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))[inverse]
+        own = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        self.seen[own] += 1
+        at = own[inverse]
         n, begin = self.count[at], self.first[at]
         row = row_of(starts, offsets)
         lengths = np.bincount(row, n, rows).astype(np.int64) + 1
@@ -139,9 +156,11 @@ PLACED, GAP, DOC_LEFT, GAP_LEFT = range(4)
 #: Rows that a task sweeps, about.
 SWEEP_ROWS = 16_384
 #: Sequences are opened when a sweep places at most this share of the documents.
-FEW = 0.2
+FEW = 0.3
 #: Up to so many documents to a sequence, only those that no gap of the opened sequences could hold open one.
 SERVED = 10
+#: From so many to a sequence on, all that are left open sequences: what these leave is a few hundredths.
+SMALL = 24
 
 
 def open_over(top: int, capacity: int) -> int:
@@ -150,10 +169,11 @@ def open_over(top: int, capacity: int) -> int:
     Where a sequence holds k of the longest, it leaves a gap of less than capacity / (k + 1) or else a gap
     that such a document fits: so documents up to that size wait for these gaps, as they would in
     sequential best fit. With more than SERVED to a sequence gaps are small against it and shorter
-    documents fill them: then half of the range of sizes opens at once, for fewer rounds.
+    documents fill them: then half of the range of sizes opens at once, and from SMALL on all, for fewer
+    rounds.
     """
     per = capacity // max(1, top)
-    return min(capacity // (per + 1) if per <= SERVED else top // 2, top - 1)
+    return 0 if per >= SMALL else min(capacity // (per + 1) if per <= SERVED else top // 2, top - 1)
 
 
 def sweep(docs: DataFrame, gaps: DataFrame, capacity: int, open_above: int, partitions: int) -> DataFrame:
@@ -178,7 +198,7 @@ def sweep(docs: DataFrame, gaps: DataFrame, capacity: int, open_above: int, part
                     stack.append((ref, size))
                 elif size > open_above:
                     if not more:
-                        fresh, used, more = ref, 0, max(1, capacity // max(1, size))
+                        fresh, used, more = ref, 0, max(1, capacity // size)
                     out.append((PLACED, ref, size, fresh, used, None, None))
                     used, more = used + size, more - 1
                     if not more and used < capacity:
@@ -238,12 +258,14 @@ def pack(parts: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     driver sees how many each range left, and nothing of them.
 
     The rows are settled first, so a row keeps its number. Equal and repeated rows have places of their
-    own; a row over capacity is alone; null lengths count as none and take no room; an empty table gives
+    own; a row over capacity is alone; null lengths count as none: they take no room, at
+    the head of one of the sequences; an empty table gives
     no rows. Columns named sequence_id or offset are replaced.
     """
     kept = [F.col(c) for c in parts.columns if c not in ("sequence_id", "offset")]
     size = F.coalesce(F.col("length").cast("long"), F.lit(0))
     rows = settled(parts.select(F.struct(*kept).alias("row"), F.greatest(size, F.lit(0)).alias("size"))).withColumn("ref", F.monotonically_increasing_id())
+    empty, rows = rows.where("size = 0"), rows.where("size > 0")
     own = F.col("size") * 2 > capacity
     alone = rows.where(own)
     docs, gaps = rows.where(~own).select("ref", "size"), alone.where(F.col("size") < capacity).select("ref", (capacity - F.col("size")).alias("size"))
@@ -272,7 +294,10 @@ def pack(parts: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
         for other in placed[1:]:
             places = places.unionByName(other)
         out = out.unionByName(rows.where(~own).join(places, "ref").select("row.*", F.col("seq").alias("sequence_id"), F.col("at").alias("offset")))
-    return out
+    if empty.isEmpty():
+        return out
+    some = out.agg(F.coalesce(F.min("sequence_id"), F.lit(0).cast("long")).alias("sequence_id"))
+    return out.unionByName(empty.crossJoin(F.broadcast(some)).select("row.*", "sequence_id", F.lit(0).cast("long").alias("offset")))
 
 
 def settle_conflicts(swept: DataFrame, plan: list[tuple], capacity: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
