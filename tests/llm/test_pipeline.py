@@ -139,7 +139,7 @@ def crc(i):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_agree_with_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "embeddings"):
+    for t in ("documents", "benchmark", "conversations", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     rel = con.execute(queries.ORACLE_SQL[name])
