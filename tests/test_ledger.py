@@ -147,3 +147,20 @@ def test_every_oracle_has_a_query():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_rows_of_the_ledger_run_in_methods_that_the_jvm_compiles(spark):
+    import re
+
+    import __spark_entry__
+
+    # The JVM compiles no method over 8000 bytes; rows that run in such a one take a hundred times as long.
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = __spark_entry__.queries()["monthly_ledger"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) <= 8000
