@@ -164,3 +164,12 @@ def test_rows_of_the_ledger_run_in_methods_that_the_jvm_compiles(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
     assert sizes and max(sizes) <= 8000
+
+
+def test_charge_rows_are_not_dealt_again_by_month(spark):
+    from leasegrid.plans import queries
+    from leasegrid.sources.portfolio import Portfolio
+
+    plan = queries.charge_rows(Portfolio(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("month_num" in line for line in dealt)
