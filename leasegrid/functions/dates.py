@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def month_index(d: Column) -> Column:
     """Months since year 0, whatever the day."""
     return F.year(d) * 12 + F.month(d)
@@ -54,11 +61,14 @@ def civil(y: Column, m: Column, d: Column) -> Column:
 
 def parse_token(text: Column) -> Column:
     """M/D/YY, M/D/YYYY or ISO; two-digit years to 49 are of this century, others of the last."""
-    part = lambda k: F.regexp_extract(text, r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$", k)
-    year = part(3).try_cast("int")
-    year = F.when(F.length(part(3)) == 2, F.when(year < 50, year + 2000).otherwise(year + 1900)).otherwise(year)
-    slashed = F.when(part(1) != "", civil(year, part(1), part(2)))
-    return F.coalesce(slashed, F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")))
+    def token(text: Column) -> Column:
+        part = lambda k: F.regexp_extract(text, r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$", k)
+        year = part(3).try_cast("int")
+        year = F.when(F.length(part(3)) == 2, F.when(year < 50, year + 2000).otherwise(year + 1900)).otherwise(year)
+        slashed = F.when(part(1) != "", civil(year, part(1), part(2)))
+        return F.coalesce(slashed, F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")))
+
+    return let(text, token)
 
 
 def parse_named(text: Column) -> Column:

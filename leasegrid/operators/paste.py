@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leasegrid.functions.dates import parse_token
 
+from .labels import once
 from .text import money, rent_value
 
 DAY = r"\d{1,2}/\d{1,2}/\d{2,4}"
@@ -73,15 +74,18 @@ FILLERS = ["amount", "amt", "at", "escalate", "escalated", "escalates", "increas
 WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
 
 
-def told_charge(line: Column) -> Column:
-    """The charge that a line names first: label, bucket, and the line after its name."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(line, "[^a-z0-9$%.,/]+", " "), F.lit(" "))
+def told_charge(rows: DataFrame, line: Column) -> DataFrame:
+    """rows with x, the charge that a line names first: label, bucket, and the line after its name. Each
+    step of the reading is computed once."""
+    rows = once(rows, "spaced", F.concat(F.lit(" "), F.regexp_replace(line, "[^a-z0-9$%.,/]+", " "), F.lit(" ")))
+    rows = once(rows, "words", F.translate("spaced", ",/$.%", "     "))
+    spaced = F.col("spaced")
     found = F.array_compact(F.array(*[
         F.when(at > 0, F.struct(at.alias("named_at"), F.lit(place).alias("place"), F.lit(name).alias("label"), F.lit(bucket).cast("string").alias("bucket"), F.substring(spaced, at + len(name) + 1, F.length(spaced)).alias("rest")))
         for place, (name, bucket) in enumerate(CHARGES)
-        for at in [F.instr(F.translate(spaced, ",/$.%", "     "), f" {name} ")]
+        for at in [F.instr("words", f" {name} ")]
     ]))
-    return F.array_min(found)
+    return once(rows, "x", F.array_min(found)).drop("spaced", "words")
 
 
 def only_fillers(text: Column) -> Column:
@@ -95,16 +99,19 @@ def prose_charges(docs: DataFrame, key: str, text: str) -> DataFrame:
     number outside the clause, which is the amount. Only filler words may stand between them: without
     an amount so placed the line states no charge, and a clause further off is not the charge's.
     """
-    rows = lines(docs, key, text).withColumn("x", told_charge(F.lower("line"))).where("x is not null").select(key, "x.label", "x.bucket", "x.rest")
+    rows = told_charge(lines(docs, key, text), F.lower("line")).where("x is not null").select(key, "x.label", "x.bucket", "x.rest")
     clause = r"([\d.]+) *% *(?:every|per) (?:([a-z]+|\d+) )?(year|month)s?"
     part = lambda k: F.regexp_extract("rest", clause, k)
-    rows = rows.withColumn("clause", part(0)).withColumn("rate", part(1).try_cast("double")).withColumn("many", part(2)).withColumn("unit", part(3))
+    # Every piece is computed once: the conditions below would have each of them read again for each mention.
+    rows = once(rows, "c", F.struct(part(0).alias("clause"), part(1).try_cast("double").alias("rate"), part(2).alias("many"), part(3).alias("unit"))).select(key, "label", "bucket", "rest", "c.*")
     before = F.when(F.col("clause") == "", F.col("rest")).otherwise(F.expr("substring_index(rest, clause, 1)"))
-    rows = rows.withColumn("before", before).withColumn("after", F.substring(F.col("rest"), F.length("before") + F.length("clause") + 1, F.length("rest")))
+    rows = once(rows, "before", before)
+    rows = once(rows, "after", F.substring(F.col("rest"), F.length("before") + F.length("clause") + 1, F.length("rest")))
     number = lambda c, k: F.regexp_extract(c, r"^([^\d]*)(\d[\d,]*(?:\.\d\d?)?)(?!\d* *%)(.*)$", k)
-    early = number("before", 2) != ""
-    rows = rows.withColumn("amount", F.when(early, number("before", 2)).otherwise(number("after", 2)))
-    rows = rows.withColumn("gap", F.when(early, number("before", 1)).otherwise(F.concat("before", number("after", 1))))
+    rows = once(rows, "early", number("before", 2) != "")
+    early = F.col("early")
+    rows = once(rows, "amount", F.when(early, number("before", 2)).otherwise(number("after", 2)))
+    rows = once(rows, "gap", F.when(early, number("before", 1)).otherwise(F.concat("before", number("after", 1))))
     near = (F.col("clause") != "") & F.when(early, only_fillers(number("before", 3))).otherwise(True)
     spelled = F.nullif(F.array_position(F.array(*map(F.lit, WORDS)), F.col("many")), F.lit(0)).cast("int")
     n = F.when(F.col("many") == "", 1).otherwise(F.coalesce(F.col("many").try_cast("int"), spelled))

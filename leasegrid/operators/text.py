@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leasegrid.functions.dates import civil, first_full_month_after, first_of_month_on_or_after, month_index
+from leasegrid.functions.dates import civil, first_full_month_after, first_of_month_on_or_after, let, month_index
 from leasegrid.functions.money import fix2
 
+from .labels import once
+
 # The events that a rule can name, and how they are written.
 EVENTS = {
     "rent_commencement_date": ["rent commencement date"],
@@ -77,11 +79,13 @@ def materialized(rows: DataFrame, anchor: str, years: bool = False) -> DataFrame
 
 def parsed(text: Column) -> Column:
     """A date as the windows write it."""
-    low = F.lower(text)
-    named = lambda k: F.regexp_extract(low, r"^([a-z]+)\s+(\d{1,2}),\s*(\d{4})$", k)
-    number = F.array_position(F.array(*map(F.lit, MONTHS)), named(1)).cast("string")
-    slashed = lambda k: F.regexp_extract(low, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", k)
-    return F.when(named(1) != "", civil(named(3), number, named(2))).when(slashed(1) != "", civil(slashed(3), slashed(1), slashed(2)))
+    def date(low: Column) -> Column:
+        named = lambda k: F.regexp_extract(low, r"^([a-z]+)\s+(\d{1,2}),\s*(\d{4})$", k)
+        number = F.array_position(F.array(*map(F.lit, MONTHS)), named(1)).cast("string")
+        slashed = lambda k: F.regexp_extract(low, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", k)
+        return F.when(named(1) != "", civil(named(3), number, named(2))).when(slashed(1) != "", civil(slashed(3), slashed(1), slashed(2)))
+
+    return let(F.lower(text), date)
 
 
 def _names(event: str) -> str:
@@ -221,7 +225,8 @@ TIMES = ["per year", "per yr", "per annum", "per month", "per mo", "annual", "an
 
 def says(words: Column, phrases: list[str]) -> Column:
     """Whether one of the phrases stands in the words, which are set apart by single blanks."""
-    return F.exists(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: F.contains(words, p))
+    # A function over the phrases would compute the words anew for each of them.
+    return let(words, lambda w: F.exists(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: F.contains(w, p)))
 
 
 def area_based(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -229,9 +234,11 @@ def area_based(docs: DataFrame, key: str, text: str) -> DataFrame:
     unit of area, and a price for one or a unit of time."""
     low = F.replace(F.col("normalized"), F.lit("/"), F.lit(" per "))
     words = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9$.]+", " "), r"\.(?= |$)", ""), F.lit(" "))
+    own = once(windows(docs, key, text, 3).select(key, "normalized"), "words", words)
+    words = F.col("words")
     priced = F.regexp_replace(F.regexp_replace(words, r"(?<=\d) (?=\d)", ""), r"\$ ?\d[\d.]*", "\\$n")
     hit = says(words, RENTS) & says(words, AREAS) & (says(priced, [f"$n per {k}{a}" for k in AREA_KINDS for a in AREAS]) | says(words, TIMES))
-    found = windows(docs, key, text, 3).groupBy(key).agg(F.bool_or(hit).alias("sf_required"))
+    found = own.groupBy(key).agg(F.bool_or(hit).alias("sf_required"))
     return docs.select(key).join(found, key, "left").select(key, F.coalesce("sf_required", F.lit(False)).alias("sf_required"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leasegrid.functions.dates import parse_token
+from leasegrid.functions.dates import let, parse_token
 from leasegrid.functions.label_tables import PHRASES
 
 from .labels import once
@@ -47,7 +47,7 @@ def dated_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     read = F.struct(parse_token(part(1)).alias("period_start"), parse_token(part(2)).alias("period_end"), F.concat(part(3), F.lit(" "), "after").alias("tail"))
     rows = once(rows.where(F.col("line").rlike(rf"{DAY}-{DAY}")), "x", read).select(key, "x.*").where("period_start is not null and period_end is not null")
     amount = lambda k: F.regexp_extract("tail", r"^([^\d]*)(\d[\d,]*(?:\.\d\d?)?)", k)
-    fine = ~is_rate(F.col("tail")) & only_fillers(F.lower(amount(1)))
+    fine = only_fillers(F.lower(amount(1))) & ~is_rate(F.col("tail"))
     return rows.where(fine).select(key, "period_start", "period_end", money(amount(2)).alias("monthly_rent")).where(F.col("monthly_rent") >= LEAST_RENT).distinct()
 
 
@@ -66,7 +66,7 @@ def search_terms(bucket: str) -> list[str]:
 
 def day_of(text: Column) -> Column:
     """A day as ANY_DAY finds it."""
-    return F.coalesce(parse_token(text), parsed(text))
+    return let(text, lambda t: F.coalesce(parse_token(t), parsed(t)))
 
 
 def step_of(line: Column) -> tuple[Column, Column]:
@@ -78,9 +78,8 @@ def step_of(line: Column) -> tuple[Column, Column]:
         (rf"(?i){SUM}.*?\bfrom\s+({ANY_DAY})", 2, 1),
         (rf"(?i)\bbeginning\s+({ANY_DAY}),?.*?{SUM}", 1, 2),
     ]
-    day = F.coalesce(*[day_of(F.regexp_extract(line, way, at)) for way, at, _ in ways])
-    sum_ = F.coalesce(*[F.when(day_of(F.regexp_extract(line, way, at)).isNotNull(), money(F.regexp_extract(line, way, of))) for way, at, of in ways])
-    return day, sum_
+    each = [(day_of(F.regexp_extract(line, way, at)), money(F.regexp_extract(line, way, of))) for way, at, of in ways]
+    return F.coalesce(*[day for day, _ in each]), F.coalesce(*[F.when(day.isNotNull(), sum_) for day, sum_ in each])
 
 
 def charge_steps(docs: DataFrame, key: str, text: str, buckets: list[str]) -> DataFrame:
@@ -90,9 +89,9 @@ def charge_steps(docs: DataFrame, key: str, text: str, buckets: list[str]) -> Da
     a heading that does, at most REACH lines down, with no line between that stops the block: one that
     ends in a colon, or that neither starts with a date nor names the charge.
     """
-    rows = lines(docs, key, text).withColumn("words", spoken(F.col("line")))
+    rows = once(lines(docs, key, text), "words", spoken(F.col("line")))
     day, amount = step_of(F.col("line"))
-    rows = rows.withColumn("day", day).withColumn("amount", amount)
+    rows = once(rows, "s", F.struct(day.alias("day"), amount.alias("amount"))).select(key, "at", "line", "words", "s.*")
     named = F.array(*[F.struct(F.lit(b).alias("bucket"), says(F.col("words"), search_terms(b)).alias("names")) for b in buckets])
     rows = rows.withColumn("x", F.explode(named)).select(key, "at", "line", "day", "amount", "x.*")
     step = F.col("day").isNotNull() & F.col("amount").isNotNull()

@@ -95,7 +95,7 @@ def wording(p: Portfolio) -> DataFrame:
     """A short lease text for each lease."""
     rent = F.format_string("%.2f", F.col("year1"))
     day = F.date_format("commence", "MMMM d, yyyy")
-    return p.leases().select(
+    return p.dealt().select(
         "lease_id",
         F.concat(
             F.lit("The Lease Commencement Date shall be "), day, F.lit(".\n\nBase rent is due monthly"), F.when(F.col("lease_id") % 3 == 0, ", per rentable square foot.").otherwise("."),
@@ -197,7 +197,7 @@ def prose_charges(p: Portfolio) -> DataFrame:
         F.lit("Additional Rent rises 12% only"),
     ]
     told = F.concat(F.lit("Tenant pays rent.\n"), F.element_at(F.array(*forms), (F.col("lease_id") % 6 + 1).cast("int")))
-    return paste.prose_charges(p.leases().select("lease_id", told.alias("text")), "lease_id", "text")
+    return paste.prose_charges(p.dealt().select("lease_id", told.alias("text")), "lease_id", "text")
 
 
 def schedule_choice(p: Portfolio) -> DataFrame:

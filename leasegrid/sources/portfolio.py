@@ -40,6 +40,11 @@ class Portfolio:
             F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("priority"),
         )
 
+    def dealt(self) -> DataFrame:
+        """leases(), dealt by lease. A file of many leases is a single task, in which texts of theirs would be
+        written and read by one core."""
+        return self.leases().repartition("lease_id")
+
     def charges(self) -> DataFrame:
         """lease_id, ord, key, canonical_type, year1, esc_pct, charge_start; the first of each key."""
         n = (F.col("l_linenumber") - 1) % 5

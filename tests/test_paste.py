@@ -38,3 +38,9 @@ def test_choice_of_reading(spark):
     extracted = spark.createDataFrame([one(1, 5.001), one(2, 6.0), one(4, 5.0), one(5, 6.0)], columns)
     blocked = spark.createDataFrame([(5, "extracted")], "lease_id int, reading string")
     assert sorted(map(tuple, paste.chosen(parsed, extracted, blocked).collect())) == [(1, "parsed", False), (2, "extracted", True), (3, "parsed", False), (4, "extracted", False), (5, "parsed", False)]
+
+
+def test_a_charge_in_prose_is_read_once(spark):
+    """The words of a line are computed once, not for each charge, condition and column that mentions them."""
+    plan = paste.prose_charges(spark.createDataFrame([(1, "CAM: 5")], "k int, t string"), "k", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9$%.,/]+") == 1

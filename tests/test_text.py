@@ -94,3 +94,16 @@ def test_label_trace_ends_where_the_cascade_decides(spark):
         assert not any(x.decides for x in before) and last.decides
         assert last.bucket == ends[r.label_id].bucket and kinds[last.stage] == ends[r.label_id].match_type
     assert {"exact", "token", "fuzzy", "fallback"} <= seen
+
+
+def test_words_are_computed_once_for_all_phrases(spark):
+    rows = spark.createDataFrame([(" a rent "), (" no "), None], "string").select(text.says(F.lower("value"), ["rent", "sum"]).alias("said"))
+    assert "contains(lower(" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.said for r in rows.collect()] == [True, False, None]
+
+
+def test_texts_are_written_and_read_in_more_than_one_task(spark):
+    """A file of leases is one task; texts are dealt by lease before they are written."""
+    p = Portfolio(spark, "/root/testdata/sf0.001")
+    for plan in (text_queries.wording(p), text_queries.prose_charges(p)):
+        assert "REPARTITION_BY_COL" in plan._jdf.queryExecution().executedPlan().toString()

@@ -76,3 +76,9 @@ def test_rates_and_areas(spark):
 def test_escalations_without_a_sign(spark):
     texts = ["Rent 10000 month, escalated 2% every two years", "Minimum rent of 10,000 per month, increases by 3% every 6 months", "Rent for suite 100, increases 3% every year", "Rent: 900/month escalates 1.5% per year"]
     assert sorted(map(tuple, wording.escalation_rule(docs(spark, *texts), "k", "t").collect())) == [(0, 10000.0, 2.0, 24), (1, 10000.0, 3.0, 6), (3, 900.0, 1.5, 12)]
+
+
+def test_a_step_is_read_once(spark):
+    """A day is taken out of a line once a way, not for each field of the date."""
+    plan = wording.charge_steps(docs(spark, "CAM $5 from 1/1/2030"), "k", "t", ["cams"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("beginning") <= 5
