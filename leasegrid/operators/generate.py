@@ -44,6 +44,9 @@ def expand(periods: DataFrame) -> DataFrame:
         .withColumn("month_num", F.row_number().over(order).cast("long"))
         .withColumn("year_num", F.floor((F.col("month_num") - 1) / 12) + 1)
         .drop("last", "k")
+        # A plan does not know how many months a lease has and takes them for as few as the leases: without
+        # this hint the months of a portfolio of some MB are broadcast, through the driver.
+        .hint("merge")
     )
 
 

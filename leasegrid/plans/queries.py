@@ -45,7 +45,7 @@ def duplicate_dates(p: Portfolio) -> DataFrame:
 
 def one_time_range_sum(p: Portfolio) -> DataFrame:
     own = months(p).select("lease_id", "month_num", "month_start", "row_end")
-    found = assign(p.one_time().where("date is not null"), own, "date").join(own, ["lease_id", "month_num"])
+    found = assign(p.one_time().where("date is not null"), own, "date", "month_start", "row_end")
     return found.where("date between month_start and row_end").groupBy("lease_id", "month_num").agg(cents("amount").alias("amount"))
 
 

@@ -38,7 +38,7 @@ class Portfolio:
             fix2(F.col("o_totalprice") / 60).alias("nnn_agg_year1"), F.lit(3.0).alias("nnn_agg_esc_pct"),
             F.date_add(commence, (F.col("o_custkey") % 400).cast("int")).alias("analysis_date"),
             F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("priority"),
-        )
+        ).hint("merge")  # a file of a few MB holds a million leases, which are not for the driver to broadcast
 
     def dealt(self) -> DataFrame:
         """leases(), dealt by lease. A file of many leases is a single task, in which texts of theirs would be
@@ -83,7 +83,7 @@ class Portfolio:
             (F.col("event_id") % F.col("most") + 1).alias("lease_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("label"),
             fix2(F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value"))).alias("amount"),
         )
-        starts = orders.select(F.col("o_orderkey").alias("lease_id"), F.col("o_orderdate").cast("date").alias("commence"))
+        starts = orders.select(F.col("o_orderkey").alias("lease_id"), F.col("o_orderdate").cast("date").alias("commence")).hint("merge")
         day = F.date_add("commence", ((F.col("ord") * 13) % 2000).cast("int"))
         return rows.where("amount <> 0").join(starts, "lease_id").select("lease_id", "ord", "label", F.when(F.col("ord") % 10 != 9, day).alias("date"), "amount")
 

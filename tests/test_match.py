@@ -54,3 +54,13 @@ def test_option_tables_and_runs(spark):
     assert got[2, "abatement", 0] == ("TOTAL", None, 0.0, None, None)
     told = sorted((r.kind, r.run, r.first_month, r.last_month, r.n_months, r.amount) for r in options.runs(ledger_rows).collect())
     assert told == [("abatement", 0, 13, 16, 3, 75.0), ("abatement", 1, 13, 14, 2, 50.0), ("abatement", 2, 16, 16, 1, 25.0), ("free_rent", 0, 1, 12, 12, 1200.0), ("free_rent", 1, 1, 12, 12, 1200.0)]
+
+
+def test_months_are_not_broadcast(spark):
+    """Plans take months for as few as leases; broadcast, those of a few MB of leases fill the driver."""
+    from leasegrid.plans import registry
+
+    for name in ("concession_intake", "concessions_by_month", "one_time_range_sum", "window_concessions"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        sides = [part.split("SortMergeJoin")[0].split("BroadcastExchange")[0] for part in plan.split("BroadcastExchange")[1:]]
+        assert not any("month_num" in side.split("Exchange hashpartitioning")[0] for side in sides), name
