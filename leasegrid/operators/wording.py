@@ -115,6 +115,8 @@ SCOPES = [
 ]
 # Confidences of an anchor that is read off the terms' own words, and of the default.
 INLINE = [("rent commencement date", "rent_commencement_date", 0.7)]
+#: Both events that a text may name inline, with their confidences in the modelled application.
+INLINE_EVENTS = [("rent commencement date", "rent_commencement_date", 0.72), ("commencement date", "commencement_date", 0.7)]
 DEFAULT = ("rent_commencement_date", 0.58)
 
 
@@ -125,17 +127,17 @@ def scope(words: Column) -> Column:
     return out
 
 
-def anchor_choice(docs: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
+def anchor_choice(docs: DataFrame, rules: DataFrame, key: str, text: str, events: list[tuple[str, str, float]] = INLINE) -> DataFrame:
     """key, trigger_event, rule_kind, confidence of what a schedule is counted from: of the rules (key, ord,
     scope, rule_kind, trigger_event, confidence) on base rent or the schedule the best, dated ones last;
-    without any the event that the text names; else the default."""
+    without any the first of the events (phrase, event, confidence) that the text names; else the default."""
     order = Window.partitionBy(key).orderBy((F.col("rule_kind") == "absolute_date").cast("int"), F.desc("confidence"), "ord")
     best = rules.where(F.col("scope").isin("base_rent_start", "rent_schedule_anchor")).withColumn("place", F.row_number().over(order)).where("place = 1")
     best = best.select(key, F.struct("trigger_event", "rule_kind", "confidence").alias("best"))
     as_event = lambda event, confidence: F.struct(F.lit(event).alias("trigger_event"), F.lit("event_date").alias("rule_kind"), F.lit(confidence).alias("confidence"))
     words = spoken(F.coalesce(F.col(text), F.lit("")))
     inline = as_event(*DEFAULT)
-    for phrase, event, confidence in reversed(INLINE):
+    for phrase, event, confidence in reversed(events):
         inline = F.when(says(words, [phrase]), as_event(event, confidence)).otherwise(inline)
     return docs.join(best, key, "left").select(key, F.coalesce("best", inline).alias("x")).select(key, "x.*")
 

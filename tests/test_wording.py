@@ -82,3 +82,10 @@ def test_a_step_is_read_once(spark):
     """A day is taken out of a line once a way, not for each field of the date."""
     plan = wording.charge_steps(docs(spark, "CAM $5 from 1/1/2030"), "k", "t", ["cams"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("beginning") <= 5
+
+
+def test_anchor_choice_knows_both_events(spark):
+    from leasegrid.plans import registry
+
+    got = {(r.trigger_event, r.confidence) for r in registry.QUERIES["anchor_choice"](spark, "/root/testdata/sf0.001").where("lease_id % 3 = 0").collect()}
+    assert got == {("rent_commencement_date", 0.72), ("commencement_date", 0.7), ("rent_commencement_date", 0.58)}
