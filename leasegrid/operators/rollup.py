@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leasegrid.functions.money import whole_cents
+
 
 def cents(c: str | Column) -> Column:
-    """Aggregate: an exact sum of amounts in cents, in any order."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.sum(F.round(c * 100).cast("long")), F.lit(0)) / F.lit(100.0)
+    """Aggregate: an exact sum of amounts of whole cents, in any order."""
+    return F.coalesce(F.sum(whole_cents(c)), F.lit(0)) / F.lit(100.0)
 
 
 def annual_summary(ledger: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def annual_summary(ledger: DataFrame) -> DataFrame:
         cents("base_rent_applied").alias("base_rent"), cents("total_nnn_amount").alias("nnn"), cents("total_other_charges_amount").alias("other"),
         cents("total_monthly_obligation").alias("obligation"),
     )
-    total = F.sum(F.round(F.col("obligation") * 100).cast("long")).over(Window.partitionBy("lease_id")) / F.lit(100.0)
+    total = F.sum(whole_cents("obligation")).over(Window.partitionBy("lease_id")) / F.lit(100.0)
     return rows.withColumn("share", F.when(total == 0, 0.0).otherwise(F.col("obligation") / total))
 
 
