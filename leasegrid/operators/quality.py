@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from leasegrid.functions.dates import months_inclusive
 
-from .match import lease_bounds
-
 
 def flagged(rows: DataFrame, rules: list[tuple[str, str, Column]], ord_col: str = "ord") -> DataFrame:
     """A row for each rule (id, severity, condition) that a row breaks."""
@@ -52,40 +50,36 @@ def terms(periods: DataFrame) -> DataFrame:
 
 def param_issues(leases: DataFrame, charges: DataFrame, overrides: DataFrame, concessions: DataFrame, months: DataFrame) -> DataFrame:
     """The parameter rules: square footage, charges, overrides and concessions against the term."""
-    bounds = lease_bounds(months)
-    term = months.groupBy("lease_id").agg(F.max("month_num").alias("term_months"))
-    area = flagged(leases.withColumn("ord", F.lit(0)), [("square-footage", "warning", F.coalesce("square_footage", F.lit(0.0)) <= 0)])
+    # What is checked is one table of all kinds, which meets its lease's bounds once: the months are laid out once.
+    bounds = months.groupBy("lease_id").agg(F.min("month_start").alias("lease_start"), F.max("row_end").alias("lease_end"), F.max("month_num").alias("term_months"))
+    keys = charges.groupBy("lease_id").agg(F.collect_set("key").alias("keys"))
+    aimed = overrides.join(keys, "lease_id", "left").withColumn("known", F.coalesce(F.array_contains("keys", F.col("target_key")), F.lit(False))).drop("keys")
+    rows = leases.select("lease_id", "square_footage").withColumns({"ord": F.lit(0), "kind": F.lit("lease")})
+    for kind, own in (("charge", charges.drop("key", "canonical_type")), ("override", aimed), ("concession", concessions)):
+        rows = rows.unionByName(own.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+    rows = rows.join(bounds, "lease_id", "left").withColumns({"has": F.col("lease_start").isNotNull(), "monthly_row": F.col("scope") == "monthly_row"})
     outside = lambda d: (F.col(d) < F.col("lease_start")) | (F.col(d) > F.col("lease_end"))
-    c = flagged(
-        charges.join(bounds, "lease_id"),
-        [
+    past = months_inclusive(F.col("lease_start"), F.col("effective_date")) > F.col("term_months")
+    rules = {
+        "lease": [("square-footage", "warning", F.coalesce("square_footage", F.lit(0.0)) <= 0), ("no-rows", "warning", ~F.col("has"))],
+        "charge": [
             ("charge-year1", "error", F.col("year1").isNull() | F.isnan("year1")), ("charge-escalation", "error", F.col("esc_pct").isNull() | F.isnan("esc_pct")),
             ("charge-start-outside", "warning", outside("charge_start")),
         ],
-    )
-    targets = charges.select("lease_id", F.col("key").alias("target_key")).distinct().withColumn("known", F.lit(True))
-    o = overrides.join(bounds, "lease_id").join(targets, ["lease_id", "target_key"], "left")
-    o = flagged(
-        o,
-        [
-            ("override-target", "error", (F.col("target_key") != "base_rent") & F.col("known").isNull()), ("override-date", "error", F.col("effective_date").isNull()),
+        "override": [
+            ("override-target", "error", (F.col("target_key") != "base_rent") & ~F.col("known")), ("override-date", "error", F.col("effective_date").isNull()),
             ("override-outside", "warning", outside("effective_date")), ("override-amount", "error", F.col("amount").isNull()), ("override-negative", "error", F.col("amount") < 0),
         ],
-    )
-    n = F.col("monthly_row") & (months_inclusive(F.col("lease_start"), F.col("effective_date")) > F.col("term_months"))
-    k = concessions.join(bounds, "lease_id").join(term, "lease_id").withColumn("monthly_row", F.col("scope") == "monthly_row")
-    k = flagged(
-        k,
-        [
-            ("concession-month", "error", F.col("monthly_row") & F.col("effective_date").isNull()), ("concession-past-term", "error", n),
+        "concession": [
+            ("concession-month", "error", F.col("monthly_row") & F.col("effective_date").isNull()), ("concession-past-term", "error", F.col("monthly_row") & past),
             ("abatement-value", "error", (F.col("type") == "abatement") & F.col("value").isNull()),
             ("abatement-mode", "error", (F.col("type") == "abatement") & ~F.coalesce("value_mode", F.lit("")).isin("percent", "fixed_amount")),
             ("abatement-percent", "error", (F.col("value_mode") == "percent") & ~F.col("value").between(0, 100)),
             ("window-dates", "error", ~F.col("monthly_row") & (F.col("end_date") < F.col("start_date"))),
         ],
-    )
-    none = leases.join(months.select("lease_id").distinct(), "lease_id", "left_anti").withColumn("ord", F.lit(0))
-    return area.unionByName(c).unionByName(o).unionByName(k).unionByName(flagged(none, [("no-rows", "warning", F.lit(True))]))
+    }
+    own = lambda kind: F.col("kind") == kind if kind == "lease" else (F.col("kind") == kind) & F.col("has")
+    return flagged(rows, [(name, severity, own(kind) & c) for kind, each in rules.items() for name, severity, c in each])
 
 
 def invariants(ledger: DataFrame, leases: DataFrame) -> DataFrame:
