@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leasegrid.functions import dates
 from leasegrid.plans import oracle
-from leasegrid.plans.queries import PLANS, periods
+from leasegrid.plans.queries import PLANS, dealt_periods, periods
 from leasegrid.sources import layout, tables
 from leasegrid.sources.portfolio import Portfolio
 from leasegrid.sources.scratch import folder
@@ -33,13 +33,15 @@ def glyphs(p: Portfolio) -> DataFrame:
     k = F.col("lease_id") % 5
     piece = lambda x, text: F.struct(F.lit(float(x)).alias("x"), text.alias("str"))
     day = lambda c: F.concat(F.lit(" "), F.date_format(c, "MM/dd/yyyy"))
-    line = F.col("period_idx") + 1
-    body = periods(p).select("lease_id", line.alias("n"), F.explode(F.array(
+    at = lambda n, pieces: F.transform(F.array(*pieces), lambda g: F.struct(n.alias("n"), g.x.alias("x"), g.str.alias("str")))
+    line, none = F.lit(0).cast("long"), F.array().cast("array<struct<n: bigint, x: double, str: string>>")
+    head = at(line, [piece(200, F.lit("Lease End")), piece(350, F.when(k == 0, "Remarks").otherwise("Monthly Rent")), piece(50, F.lit("Lease Start"))])
+    body = at(F.col("period_idx") + 1, [
         piece(350, F.when((k == 1) & (F.col("period_idx") == 1), "").otherwise(F.concat(F.lit("$"), F.format_number("monthly_rent", 2)))), piece(200, day("period_end")), piece(50, day("period_start")), piece(120, F.lit("  ")),
-    )).alias("g"))
-    head = p.leases().where("expire >= commence").select("lease_id", F.lit(0).cast("long").alias("n"), F.explode(F.array(piece(200, F.lit("Lease End")), piece(350, F.when(k == 0, "Remarks").otherwise("Monthly Rent")), piece(50, F.lit("Lease Start")))).alias("g"))
-    every = head.unionByName(body)
-    return every.select("lease_id", F.floor(F.col("n") / 3).cast("long").alias("page"), F.col("g.x").alias("x"), (700 - 20 * (F.col("n") % 3) + F.col("g.x") / 1000).alias("y"), F.lit(0).alias("ord"), F.col("g.str").alias("str"))
+    ])
+    # The headers come with a lease's first period: leases are dealt once, and pieces not at all.
+    every = dealt_periods(p).select("lease_id", F.explode(F.concat(F.when(F.col("period_idx") == 0, head).otherwise(none), body)).alias("g")).select("lease_id", "g.n", "g.x", "g.str")
+    return every.select("lease_id", F.floor(F.col("n") / 3).cast("long").alias("page"), "x", (700 - 20 * (F.col("n") % 3) + F.col("x") / 1000).alias("y"), F.lit(0).alias("ord"), "str")
 
 
 def page_tables(p: Portfolio) -> tuple[DataFrame, DataFrame]:
