@@ -101,12 +101,13 @@ def concession_rules(raw: DataFrame, months: DataFrame) -> DataFrame:
 def override_rules(raw: DataFrame, charges: DataFrame, months: DataFrame) -> DataFrame:
     """The rules of overrides as typed: raw(lease_id, ord, target_key, date_text, day, amount_text), where
     day is the date that the text stands for."""
-    bounds = lease_bounds(months)
-    targets = charges.select("lease_id", F.col("key").alias("target_key")).unionByName(months.select("lease_id").distinct().withColumn("target_key", F.lit("base_rent"))).distinct().withColumn("known", F.lit(True))
-    rows = raw.join(bounds, "lease_id").join(targets, ["lease_id", "target_key"], "left")
-    held = assign(raw.where("day is not null and target_key <> ''").select("lease_id", "ord", "target_key", "day"), months, "day").select("lease_id", "ord", "month_num", "target_key")
-    place = F.row_number().over(Window.partitionBy("lease_id", "target_key", "month_num").orderBy("ord"))
-    rows = rows.join(held.select("lease_id", "ord", place.alias("place")), ["lease_id", "ord"], "left")
+    keys = charges.groupBy("lease_id").agg(F.collect_set("key").alias("keys"))
+    # Every override takes the row of its date in one sweep; those that have no place are numbered apart.
+    placed = F.coalesce(F.col("day").isNotNull() & (F.col("target_key") != ""), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("lease_id", "target_key", "month_num", "placed").orderBy("ord"))
+    rows = assign(raw.withColumn("placed", placed), months, "day").withColumn("place", place)
+    rows = rows.join(lease_bounds(months), "lease_id").join(keys, "lease_id", "left")
+    known = (F.col("target_key") == "base_rent") | F.coalesce(F.array_contains("keys", F.col("target_key")), F.lit(False))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     amount = number(F.col("amount_text"))
     aimed = ~blank("target_key")
@@ -115,7 +116,7 @@ def override_rules(raw: DataFrame, charges: DataFrame, months: DataFrame) -> Dat
     return flagged(
         rows,
         [
-            ("target-required", "error", ~aimed), ("target-unknown", "error", aimed & F.col("known").isNull()), ("date-required", "error", aimed & blank("date_text")),
+            ("target-required", "error", ~aimed), ("target-unknown", "error", aimed & ~known), ("date-required", "error", aimed & blank("date_text")),
             ("date-format", "error", aimed & ~blank("date_text") & F.col("day").isNull()), ("date-outside", "warning", timed & ((F.col("day") < F.col("lease_start")) | (F.col("day") > F.col("lease_end")))),
             ("row-taken", "error", timed & (F.col("place") > 1)), ("amount-required", "error", timed & blank("amount_text")), ("amount-number", "error", given & amount.isNull()), ("amount-negative", "error", given & (amount < 0)),
         ],

@@ -21,7 +21,7 @@ def events(p: Portfolio) -> DataFrame:
     """lease_id, ord, commence: events dealt to leases."""
     keys = p.table("orders").agg(F.max("o_orderkey").alias("most"))
     own = p.table("events").crossJoin(F.broadcast(keys)).select((F.col("event_id") % F.col("most") + 1).alias("lease_id"), F.col("event_id").alias("ord"))
-    return own.join(p.leases().select("lease_id", "commence"), "lease_id")
+    return own.join(p.dealt().select("lease_id", "commence"), "lease_id")
 
 
 def after(days: Column) -> Column:
