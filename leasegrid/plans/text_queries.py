@@ -13,7 +13,7 @@ from leasegrid.functions.label_cases import CASES
 from leasegrid.operators import labels, paste, repair, text
 from leasegrid.operators import wording as text_rows
 from leasegrid.plans import oracle
-from leasegrid.plans.queries import PLANS, months, periods, rows
+from leasegrid.plans.queries import PLANS, dealt_periods, months, periods, rows
 from leasegrid.sources.portfolio import Portfolio
 
 #: (raw label, the bucket it means)
@@ -180,7 +180,7 @@ def bulk_paste(p: Portfolio) -> DataFrame:
         F.concat(F.lit("Year "), (F.col("period_idx") + 1).cast("string"), F.lit(" $"), rent),
     ]
     line = F.element_at(F.array(*forms), (F.col("lease_id") % 4 + 1).cast("int"))
-    table = periods(p).groupBy("lease_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("period_idx", line.alias("line")))), lambda x: x.line), "\n\n").alias("text"))
+    table = dealt_periods(p).groupBy("lease_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("period_idx", line.alias("line")))), lambda x: x.line), "\n\n").alias("text"))
     table = table.withColumn("text", F.concat("text", F.lit("\nsee the exhibit")))
     return paste.pasted(table, "lease_id", "text").select("lease_id", F.col("at").cast("long").alias("at"), "period_start", "period_end", F.col("relative_year").cast("long").alias("relative_year"), "monthly_rent", "asterisk", "warning")
 
