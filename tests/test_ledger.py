@@ -182,3 +182,67 @@ def test_checkpoints_read_the_ledger_once(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = [(str(r.checkpoint_date), r.label, r.month_num, r.months_left) for r in out.orderBy("checkpoint_date").collect()]
     assert got == [("2020-12-31", "12 months before expiry", 13, 12), ("2021-01-01", "Year 1 anniversary", 13, 12), ("2021-03-31", "9 months before expiry", 16, 9), ("2021-06-30", "6 months before expiry", 19, 6), ("2021-09-30", "3 months before expiry", 22, 3)]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_months_are_laid_out_without_a_sort(spark):
+    """What is sorted within a lease are its periods; the windows lie below the rows of months."""
+    periods = spark.createDataFrame([(1, 0, D("2030-01-01"), D("2030-12-31"), 1.0)], "lease_id long, period_idx long, period_start date, period_end date, monthly_rent double")
+    plan = optimized(generate.bounded(generate.expand(periods)))
+    assert "Window" in plan and plan.rindex("Generate") < plan.index("Window")
+
+
+def test_months_of_periods_that_run_into_each_other(spark):
+    rows = [(1, 0, "2030-01-01", "2030-04-30", 1.0), (1, 1, "2030-02-15", "2030-03-31", 2.0), (1, 2, "2030-03-01", "2030-03-31", 3.0), (2, 0, "2030-01-31", "2030-03-30", 4.0)]
+    periods = spark.createDataFrame([(a, b, D(c), D(d), e) for a, b, c, d, e in rows], "lease_id long, period_idx long, period_start date, period_end date, monthly_rent double")
+    got = [(r.lease_id, r.month_num, str(r.month_start), str(r.row_end), r.monthly_rent) for r in generate.bounded(generate.expand(periods)).orderBy("lease_id", "month_num").collect()]
+    assert got == [
+        (1, 1, "2030-01-01", "2030-01-31", 1.0), (1, 2, "2030-02-01", "2030-02-14", 1.0), (1, 3, "2030-02-15", "2030-02-28", 2.0), (1, 4, "2030-03-01", "2030-03-14", 3.0),
+        (1, 5, "2030-03-15", "2030-03-31", 2.0), (1, 6, "2030-04-01", "2030-04-30", 1.0), (2, 1, "2030-01-31", "2030-02-27", 4.0), (2, 2, "2030-02-28", "2030-03-30", 4.0),
+    ]
+
+
+def test_months_are_not_grouped_in_the_ledger(spark):
+    from leasegrid.plans import queries
+    from leasegrid.sources.portfolio import Portfolio
+
+    plan = optimized(queries.rows(Portfolio(spark, "/root/testdata/sf0.001")))
+    assert not any("Aggregate [" in line and "month_num" in line for line in plan.splitlines())
+
+
+def test_more_charges_than_there_are_slots(spark):
+    own = [charge(f"c{k}", "nnn" if k % 2 else "other", 10.004 * (k + 1), ord_=k) for k in range(ledger.SLOTS + 3)]
+    rows = run(spark, [("2030-01-01", "2030-02-28", 1000)], own, overrides=[(0, f"c{ledger.SLOTS + 1}", D("2030-02-01"), 1.0)])
+    due = [round(10.004 * (k + 1), 2) for k in range(len(own))]
+    assert rows[0].total_nnn_amount == round(sum(due[1::2]), 2) and rows[0].total_other_charges_amount == round(sum(due[::2]), 2)
+    assert rows[1].total_nnn_amount == round(sum(due[1::2]) - due[ledger.SLOTS + 1] + 1, 2)
+
+
+def test_as_of_queries_neither_sort_nor_run_over_the_ledger(spark):
+    rows = spark.createDataFrame([(1, k, D(f"2030-0{k}-01"), 10.0 * k, 1.0, 10.0 * k + 1, 10.0 * k) for k in range(1, 7)], "lease_id long, month_num long, period_start date, scheduled_base_rent double, total_nnn_amount double, total_monthly_obligation double, base_rent_applied double")
+    leases = lambda day: spark.createDataFrame([(1, D(day))], "lease_id long, analysis_date date")
+    snap = lambda day: scenario.snapshot(rows, leases(day))
+    assert [tuple(snap(d).first()[2:]) for d in ("2029-01-01", "2030-03-15", "2031-01-01")] == [(1, 10.0, 1.0, 216.0, 210.0), (3, 30.0, 1.0, 184.0, 180.0), (6, 60.0, 1.0, 61.0, 60.0)]
+    left = lambda day: scenario.asof_remaining(rows, leases(day))
+    assert [tuple(left(d).first()[2:]) for d in ("2029-01-01", "2030-03-15", "2031-01-01")] == [(1, 216.0, 210.0), (4, 153.0, 150.0), (0, 0.0, 0.0)]
+    for plan in (x("2030-03-15")._jdf.queryExecution().executedPlan().toString() for x in (snap, left)):
+        assert "SortAggregate" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["param_issues"])
+def test_rules_lay_the_months_out_once(spark, name):
+    import __spark_entry__
+
+    plan = optimized(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))
+    # One for the periods and one for their months.
+    assert plan.count("Generate explode(sequence(") == 2
+
+
+def test_pages_are_dealt_once(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["page_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
