@@ -22,10 +22,15 @@ def cleaned(line: Column) -> Column:
     return F.regexp_replace(s, r"\b(\d{1,2})\.(\d{1,2})\.(\d{2,4})\b", "$1/$2/$3")
 
 
+def lines_in(text: Column) -> Column:
+    """A text's lines that are not blank, cleaned, as an array."""
+    own = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.trim(F.regexp_replace(s, "\r", ""))), lambda s: s != "")
+    return F.transform(own, cleaned)
+
+
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, at, line of every line that is not blank."""
-    own = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda s: F.trim(F.regexp_replace(s, "\r", ""))), lambda s: s != "")
-    return docs.select(key, F.posexplode(F.transform(own, cleaned)).alias("at", "line"))
+    return docs.select(key, F.posexplode(lines_in(F.col(text))).alias("at", "line"))
 
 
 def joined(rows: DataFrame, key: str) -> DataFrame:

@@ -40,32 +40,54 @@ def normalized(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(spaced, r"(\d) ?- ?(\d)", "$1-$2")))
 
 
+def lines_in(text: Column) -> Column:
+    """A text's lines that are not blank, as an array."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def windows_in(lines: Column, deep: int = 2) -> Column:
+    """ord, span, original, normalized of each of an array of lines, and of it with the deep - 1 next."""
+    def window(at: Column, span: Column) -> Column:
+        place = (at * deep + span - 1).cast("long").alias("ord")
+        return let(F.concat_ws(" ", F.slice(lines, at + 1, span)), lambda s: F.struct(place, span.cast("long").alias("span"), s.alias("original"), normalized(s).alias("normalized")))
+
+    spans = lambda at: F.sequence(F.lit(1), F.least(F.lit(deep), F.size(lines) - at))
+    return F.flatten(F.transform(lines, lambda _, at: F.transform(spans(at), lambda span: window(at, span))))
+
+
 def windows(docs: DataFrame, key: str, text: str, deep: int = 2) -> DataFrame:
     """key, ord, span, original, normalized: each line that is not blank, and it with the deep - 1 next."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n+"), lambda s: F.trim(s)), lambda s: s != "")
-    rows = docs.select(key, lines.alias("lines")).select(key, "lines", F.posexplode("lines").alias("at", "line"))
-    rows = rows.withColumn("span", F.explode(F.sequence(F.lit(1), F.lit(deep)))).where("at + span <= size(lines)")
-    original = F.concat_ws(" ", F.slice("lines", F.col("at") + 1, F.col("span")))
-    return rows.select(key, (F.col("at") * deep + F.col("span") - 1).cast("long").alias("ord"), F.col("span").cast("long").alias("span"), original.alias("original")).withColumn("normalized", normalized(F.col("original")))
+    rows = once(docs, "lines", lines_in(F.col(text))).select(key, "lines")
+    return rows.select(key, F.inline(windows_in(F.col("lines"), deep)))
 
 
 def money(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\d.]", "").try_cast("double")
 
 
-def terms(wins: DataFrame, key: str, unit: str = MONTH_TERMS) -> DataFrame:
-    """key, start_value, end_value, monthly_rent: the ranges that the windows state, each once.
+def terms_in(low: Column, unit: str = MONTH_TERMS) -> Column:
+    """start_value, end_value, monthly_rent of the ranges that a window, normalized, states: an array.
 
     A window is cut before every mention of the unit with a number; each piece then opens with one range,
     and its rent is the first sum of money in reach of it.
     """
-    pieces = F.split("normalized", rf"(?=\b{unit}s? \d)")
     range_ = rf"^{unit}s? (\d{{1,3}})(?: ?(?:-|to|through) ?(\d{{1,3}}))?(?!\d)"
-    rows = wins.select(key, F.explode(pieces).alias("piece")).select(key, *[F.regexp_extract("piece", range_, k).alias(f"g{k}") for k in range(3)], "piece").where("g0 <> ''")
-    near = F.substring(F.col("piece"), F.length("g0") + 1, F.lit(REACH + 20))
-    sum_ = F.regexp_extract(near, rf"^([^$]{{0,{REACH}}}){MONEY}", 2)
-    rows = rows.select(key, F.col("g1").cast("long").alias("start_value"), F.coalesce(F.nullif("g2", F.lit("")), "g1").cast("long").alias("end_value"), money(sum_).alias("monthly_rent"))
-    return rows.where("end_value >= start_value and monthly_rent is not null").distinct()
+    pieces = F.filter(F.split(low, rf"(?=\b{unit}s? \d)"), lambda s: s.rlike(range_))
+
+    def term(piece: Column) -> Column:
+        part = lambda k: F.regexp_extract(piece, range_, k)
+        near = F.substring(piece, F.length(part(0)) + 1, F.lit(REACH + 20))
+        sum_ = F.regexp_extract(near, rf"^([^$]{{0,{REACH}}}){MONEY}", 2)
+        return F.struct(part(1).cast("long").alias("start_value"), F.coalesce(F.nullif(part(2), F.lit("")), part(1)).cast("long").alias("end_value"), money(sum_).alias("monthly_rent"))
+
+    # Few windows mention the unit with a number; a split compiles its pattern for each.
+    found = F.when(low.rlike(rf"\b{unit}s? \d"), F.filter(F.transform(pieces, term), lambda t: (t.end_value >= t.start_value) & t.monthly_rent.isNotNull()))
+    return F.coalesce(found, F.array().cast("array<struct<start_value: bigint, end_value: bigint, monthly_rent: double>>"))
+
+
+def terms(wins: DataFrame, key: str, unit: str = MONTH_TERMS) -> DataFrame:
+    """key, start_value, end_value, monthly_rent: the ranges that the windows state, each once."""
+    return wins.select(key, F.inline(terms_in(F.col("normalized"), unit))).distinct()
 
 
 def materialized(rows: DataFrame, anchor: str, years: bool = False) -> DataFrame:
@@ -94,22 +116,31 @@ def _names(event: str) -> str:
 
 #: How far after an event's name its date may start, and the longest date.
 DATE_REACH, DATE_LENGTH = 70, 18
+#: What every event's name ends in.
+LAST_WORD = "date"
 
 
-def absolute_rules(wins: DataFrame, key: str, *carry: str) -> DataFrame:
-    """key, trigger_event, resolved_date of each event with a date in reach after its name, each once for
-    what the windows' columns carry hold."""
-    low = F.lower("original")
-
-    def first_date(event: str) -> Column:
+def absolute_in(original: Column) -> Column:
+    """trigger_event, resolved_date of each event with a date in reach after its name in a window: an array."""
+    def first_date(low: Column, event: str) -> Column:
         after = F.slice(F.split(low, rf"\b(?:{_names(event)})\b"), 2, 1 << 20)
         dates = F.transform(after, lambda s: F.regexp_extract(F.substring(s, 1, DATE_REACH + DATE_LENGTH), DATE, 0))
         return F.try_element_at(F.filter(dates, lambda d: d != ""), F.lit(1))
 
-    wins = wins.where(low.rlike(DATE))
-    found = F.array(*[F.struct(F.lit(e).alias("trigger_event"), first_date(e).alias("day")) for e in EVENTS])
-    rows = wins.select(key, *carry, F.explode(found).alias("x")).where("x.day is not null").select(key, *carry, "x.trigger_event", parsed(F.col("x.day")).alias("resolved_date"))
-    return rows.where("resolved_date is not null").distinct()
+    def found(low: Column) -> Column:
+        # Few windows have an event's name, and fewer a date.
+        named = lambda e: reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in EVENTS[e]])
+        each = F.array_compact(F.array(*[F.when(named(e), F.struct(F.lit(e).alias("trigger_event"), first_date(low, e).alias("day"))) for e in EVENTS]))
+        dated = F.transform(F.filter(each, lambda x: x.day.isNotNull()), lambda x: F.struct(x.trigger_event.alias("trigger_event"), parsed(x.day).alias("resolved_date")))
+        return F.when(F.contains(low, F.lit(LAST_WORD)) & low.rlike(DATE), F.filter(dated, lambda x: x.resolved_date.isNotNull()))
+
+    return F.coalesce(let(F.lower(original), found), F.array().cast("array<struct<trigger_event: string, resolved_date: date>>"))
+
+
+def absolute_rules(wins: DataFrame, key: str, *carry: str) -> DataFrame:
+    """key, trigger_event, resolved_date of each event with a date in reach after its name, each once for
+    what the windows' columns carry hold."""
+    return wins.select(key, *carry, F.inline(absolute_in(F.col("original")))).distinct()
 
 
 # Rule kinds, the words that lead to an event's name, and their confidence. A number
@@ -132,7 +163,7 @@ def cued(low: Column, kind: str, cues: list[str]) -> Column:
         two = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: F.struct(F.element_at(pieces, i - 1).alias("before"), F.element_at(pieces, i).alias("after")))
         return F.when(F.size(pieces) > 1, two)
 
-    every = F.flatten(F.array_compact(F.array(*[places(F.split(low, rf"\b{cue}\b")) for cue in cues])))
+    every = F.flatten(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(cue)), places(F.split(low, rf"\b{cue}\b"))) for cue in cues])))
     return F.filter(every, lambda x: x.before.rlike(r"\d{1,3} $")) if kind.startswith("event_plus") else every
 
 
@@ -146,31 +177,47 @@ def named_in(after: Column, names: Column) -> Column:
     return F.exists(names, lambda n: F.instr(F.substring(after, F.lit(1), F.length(n) + (NAME_REACH - 1)), n) > 0)
 
 
-def phrase_rules(wins: DataFrame, key: str, *carry: str) -> DataFrame:
-    """key, rule_kind, trigger_event, second_event, offset_value, confidence of rules in words, each once
-    for what the windows' columns carry hold.
+RULE = "struct<rule_kind: string, trigger_event: string, second_event: string, offset_value: int, confidence: double>"
+
+
+def phrases_in(low: Column) -> Column:
+    """rule_kind, trigger_event, second_event, offset_value, confidence of the rules in the words of a window,
+    normalized: an array.
 
     A cue and, in reach after it, an event's name make a rule; where a window speaks of the later or the
     earlier of events, the first two that it names do.
     """
-    low = F.col("normalized")
-    # Few windows name an event and have a cue. Those are taken apart by kind of cue, then by event.
     anyof = lambda phrases: low.rlike("|".join(phrases))
-    wins = wins.where(anyof([n for names in EVENTS.values() for n in names]) & anyof(["later of", "earlier of", *(c for _, cues, _ in CUES for c in cues)]))
-    kinds = F.array(*[F.struct(F.lit(kind).alias("rule_kind"), F.lit(confidence).alias("confidence"), cued(low, kind, cues).alias("places")) for kind, cues, confidence in CUES])
-    rows = wins.select(key, *carry, F.explode(kinds).alias("x")).where("size(x.places) > 0").select(key, *carry, "x.*")
-    rows = rows.select("*", F.explode(event_table()).alias("e"))
-    rows = rows.withColumn("named", F.filter("places", lambda x: named_in(x.after, F.col("e.names")))).where("size(named) > 0")
-    offset = F.when(F.col("rule_kind").startswith("event_plus"), F.regexp_extract(F.element_at("named", 1).before, r"(\d{1,3}) $", 1).try_cast("int"))
-    none = F.lit(None).cast("string")
-    alone = rows.select(key, *carry, "rule_kind", F.col("e.event").alias("trigger_event"), none.alias("second_event"), offset.alias("offset_value"), "confidence")
+
+    def rule(kind: Column | str, trigger: Column, second: Column | None, offset: Column | None, confidence: float) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.struct(kind.alias("rule_kind"), trigger.alias("trigger_event"), (F.lit(None) if second is None else second).cast("string").alias("second_event"), (F.lit(None) if offset is None else offset).cast("int").alias("offset_value"), F.lit(confidence).alias("confidence"))
+
+    def alone(kind: str, confidence: float, places: Column) -> Column:
+        def of(e: Column, named: Column) -> Column:
+            offset = F.regexp_extract(F.get(named, F.lit(0)).before, r"(\d{1,3}) $", 1).try_cast("int") if kind.startswith("event_plus") else None
+            return F.when(F.size(named) > 0, rule(kind, e.event, None, offset, confidence))
+
+        return F.when(F.size(places) > 0, F.transform(event_table(), lambda e: let(F.filter(places, lambda x: named_in(x.after, e.names)), lambda named: of(e, named))))
 
     later, earlier = (F.instr(F.concat(F.lit(" "), low), f" {w} of ") > 0 for w in ("later", "earlier"))
     first_at = lambda e: F.array_min(F.filter(F.transform(e.names, lambda n: F.instr(low, n)), lambda at: at > 0))
     firsts = F.array_sort(F.filter(F.transform(event_table(), lambda e: F.struct(first_at(e).alias("at"), e.event.alias("event"))), lambda x: x["at"].isNotNull()))
-    pairs = wins.where(later | earlier).select(key, *carry, F.when(later, "later_of").otherwise("earlier_of").alias("rule_kind"), firsts.alias("firsts")).where("size(firsts) >= 2")
-    pairs = pairs.select(key, *carry, "rule_kind", F.element_at("firsts", 1).event.alias("trigger_event"), F.element_at("firsts", 2).event.alias("second_event"), F.lit(None).cast("int").alias("offset_value"), F.lit(0.82).alias("confidence"))
-    return alone.unionByName(pairs).distinct()
+    pair = let(firsts, lambda f: F.when(F.size(f) >= 2, F.array(rule(F.when(later, "later_of").otherwise("earlier_of"), F.get(f, F.lit(0)).event, F.get(f, F.lit(1)).event, None, 0.82))))
+    def of_kind(kind: str, cues: list[str], confidence: float) -> Column:
+        return let(cued(low, kind, cues), lambda places: alone(kind, confidence, places))
+
+    every = [of_kind(*cue) for cue in CUES]
+    # Few windows name an event and have a cue.
+    may = anyof([n for names in EVENTS.values() for n in names]) & anyof(["later of", "earlier of", *(c for _, cues, _ in CUES for c in cues)])
+    rules = F.array_compact(F.flatten(F.array_compact(F.array(*[x.cast(f"array<{RULE}>") for x in (*every, F.when(later | earlier, pair))]))))
+    return F.coalesce(F.when(may, rules), F.array().cast(f"array<{RULE}>"))
+
+
+def phrase_rules(wins: DataFrame, key: str, *carry: str) -> DataFrame:
+    """key, rule_kind, trigger_event, second_event, offset_value, confidence of rules in words, each once
+    for what the windows' columns carry hold."""
+    return wins.select(key, *carry, F.inline(phrases_in(F.col("normalized")))).distinct()
 
 
 def resolved(kind: Column, first: Column, second: Column, offset: Column) -> Column:
@@ -205,15 +252,28 @@ def term_months(start: Column, end: Column, most: int = 600) -> Column:
     return F.when(end <= start, 0).otherwise(F.least(n + F.when(F.add_months(start, n) < end, 1).otherwise(0), F.lit(most)))
 
 
+def _paces(cadence: Column) -> Column:
+    return F.greatest(F.coalesce(cadence, F.lit(12)), F.lit(1))
+
+
+def _step(month: Column, start_rent: Column, esc_pct: Column, cadence: Column, total: Column) -> Column:
+    n = F.floor((month - 1) / cadence)
+    return F.struct(
+        month.cast("long").alias("start_month"), F.least(total, month + cadence - 1).cast("long").alias("end_month"),
+        fix2(start_rent * F.pow(1 + esc_pct / 100, n.cast("double"))).alias("monthly_rent"),
+    )
+
+
+def steps_in(start_rent: Column, esc_pct: Column, cadence: Column, total: Column) -> Column:
+    """start_month, end_month, monthly_rent of a narrative escalation: an array, null without months."""
+    return F.when(total > 0, F.transform(F.sequence(F.lit(1), total.cast("int"), _paces(cadence).cast("int")), lambda month: _step(month, start_rent, esc_pct, _paces(cadence), total)))
+
+
 def escalation_steps(rows: DataFrame) -> DataFrame:
     """Terms of a narrative escalation: rent of months cadence long, grown by esc_pct each step."""
-    total, cadence = F.col("total_months"), F.greatest(F.coalesce(F.col("cadence"), F.lit(12)), F.lit(1))
-    out = rows.where("total_months > 0").withColumn("cadence", cadence).withColumn("start_month", F.explode(F.sequence(F.lit(1), total.cast("int"), F.col("cadence").cast("int"))))
-    step = F.floor((F.col("start_month") - 1) / F.col("cadence"))
-    return out.select(
-        "lease_id", F.col("start_month").cast("long").alias("start_month"), F.least(total, F.col("start_month") + F.col("cadence") - 1).cast("long").alias("end_month"),
-        fix2(F.col("start_rent") * F.pow(1 + F.col("esc_pct") / 100, step.cast("double"))).alias("monthly_rent"),
-    )
+    total = F.col("total_months")
+    out = rows.where("total_months > 0").withColumn("cadence", _paces(F.col("cadence"))).withColumn("month", F.explode(F.sequence(F.lit(1), total.cast("int"), F.col("cadence").cast("int"))))
+    return out.select("lease_id", _step(F.col("month"), F.col("start_rent"), F.col("esc_pct"), F.col("cadence"), total).alias("x")).select("lease_id", "x.*")
 
 
 # What a rent is called, units of area, what the area may be called, and units of time.
@@ -229,17 +289,32 @@ def says(words: Column, phrases: list[str]) -> Column:
     return let(words, lambda w: F.exists(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: F.contains(w, p)))
 
 
+#: Letters of which every name of a rent, and every unit of area, holds some.
+RENT_LETTERS, AREA_LETTERS = ["rent"], ["sq", "sf"]
+
+
+def states_area_rent(low: Column) -> Column:
+    """Whether a window, normalized, states a base rent by area."""
+    def stated(words: Column) -> Column:
+        priced = F.regexp_replace(F.regexp_replace(words, r"(?<=\d) (?=\d)", ""), r"\$ ?\d[\d.]*", "\\$n")
+        return says(words, RENTS) & says(words, AREAS) & (says(words, TIMES) | says(priced, [f"$n per {k}{a}" for k in AREA_KINDS for a in AREAS]))
+
+    plain_ = F.replace(low, F.lit("/"), F.lit(" per "))
+    return let(F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(plain_, r"[^a-z0-9$.]+", " "), r"\.(?= |$)", ""), F.lit(" ")), stated)
+
+
 def area_based(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, sf_required: whether up to three lines together state a base rent by area: a rent by name, a
-    unit of area, and a price for one or a unit of time."""
-    low = F.replace(F.col("normalized"), F.lit("/"), F.lit(" per "))
-    words = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9$.]+", " "), r"\.(?= |$)", ""), F.lit(" "))
-    own = once(windows(docs, key, text, 3).select(key, "normalized"), "words", words)
-    words = F.col("words")
-    priced = F.regexp_replace(F.regexp_replace(words, r"(?<=\d) (?=\d)", ""), r"\$ ?\d[\d.]*", "\\$n")
-    hit = says(words, RENTS) & says(words, AREAS) & (says(priced, [f"$n per {k}{a}" for k in AREA_KINDS for a in AREAS]) | says(words, TIMES))
-    found = own.groupBy(key).agg(F.bool_or(hit).alias("sf_required"))
-    return docs.select(key).join(found, key, "left").select(key, F.coalesce("sf_required", F.lit(False)).alias("sf_required"))
+    """key, sf_required: whether up to three lines of a key's text together state a base rent by area: a rent by name, a
+    unit of area, and a price for one or a unit of time. Read where the text is, without a row for a window;
+    only windows with the letters of a rent and of a unit are taken apart."""
+    anyof = lambda s, parts: reduce(lambda a, b: a | b, [F.contains(s, F.lit(p)) for p in parts])
+    may = lambda s: let(F.lower(s), lambda low: anyof(low, RENT_LETTERS) & anyof(low, AREA_LETTERS))
+    lines = F.col("lines")
+    window = lambda at, span: F.concat_ws(" ", F.slice(lines, at + 1, span))
+    spans = lambda at: F.sequence(F.lit(1), F.least(F.lit(3), F.size(lines) - at))
+    hit = F.exists(F.transform(lines, lambda _, at: at), lambda at: F.when(may(window(at, F.lit(3))), F.exists(spans(at), lambda span: let(window(at, span), lambda s: F.when(may(s), states_area_rent(normalized(s))).otherwise(False)))).otherwise(False))
+    rows = once(docs.select(key, F.col(text).alias("text")), "lines", F.when(may(F.coalesce("text", F.lit(""))), lines_in(F.col("text"))))
+    return rows.select(key, F.coalesce(hit, F.lit(False)).alias("sf_required"))
 
 
 def rent_value(text: Column) -> Column:

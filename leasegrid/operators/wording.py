@@ -9,7 +9,7 @@ from leasegrid.functions.dates import let, parse_token
 from leasegrid.functions.label_tables import PHRASES
 
 from .labels import once
-from .paste import DAY, WORDS, cleaned, lines, only_fillers
+from .paste import DAY, WORDS, cleaned, lines, lines_in, only_fillers
 from .text import AREA_KINDS, DATE, NAMED, money, parsed, says
 
 # Words that make an amount a rate, and the least rent of a dated row.
@@ -36,27 +36,39 @@ def is_rate(line: Column) -> Column:
     return says(spoken(line), RATE_WORDS) | F.contains(line, F.lit("%"))
 
 
+def dated_in(lines: Column) -> Column:
+    """period_start, period_end, monthly_rent of an array of cleaned lines, each once: as dated_rows, an array."""
+    part = lambda line, k: F.regexp_extract(line, rf"({DAY})-({DAY})(?!\d)(.*)$", k)
+    amount = lambda tail, k: F.regexp_extract(tail, r"^([^\d]*)(\d[\d,]*(?:\.\d\d?)?)", k)
+    ranged = F.filter(F.transform(lines, lambda line, at: F.when(line.rlike(rf"{DAY}-{DAY}"), F.struct(line.alias("line"), F.coalesce(F.get(lines, at + 1), F.lit("")).alias("after")))), lambda x: x.isNotNull())
+    read = F.transform(ranged, lambda x: F.struct(parse_token(part(x.line, 1)).alias("period_start"), parse_token(part(x.line, 2)).alias("period_end"), F.concat(part(x.line, 3), F.lit(" "), x.after).alias("tail")))
+    fine = F.filter(read, lambda x: x.period_start.isNotNull() & x.period_end.isNotNull() & only_fillers(F.lower(amount(x.tail, 1))) & ~is_rate(x.tail))
+    rents = F.transform(fine, lambda x: F.struct(x.period_start.alias("period_start"), x.period_end.alias("period_end"), money(amount(x.tail, 2)).alias("monthly_rent")))
+    return F.array_distinct(F.filter(rents, lambda x: x.monthly_rent >= LEAST_RENT))
+
+
+#: Two days in figures leave this in a text, however they are set.
+_GAP = r"[\s\u00a0]*"
+FIGURES = rf"\d{_GAP}[./]{_GAP}\d{{1,2}}{_GAP}[./]{_GAP}\d\d"
+
+
+def dated_of(text: Column) -> Column:
+    """dated_in of a text's lines; a text without days in figures is not taken apart."""
+    return F.coalesce(F.when(text.rlike(FIGURES), let(lines_in(text), dated_in)), F.array().cast("array<struct<period_start: date, period_end: date, monthly_rent: double>>"))
+
+
 def dated_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, period_start, period_end, monthly_rent of lines that give a range of dates and, on them or on
-    the next line, a monthly rent of at least LEAST_RENT; each once. Where the words make it a rate of
+    the next line, a monthly rent of at least LEAST_RENT; each once for a key's text. Where the words make it a rate of
     another kind, the line is none."""
-    rows = lines(docs, key, text)
-    after = F.lead("line").over(Window.partitionBy(key).orderBy("at"))
-    rows = rows.withColumn("after", F.coalesce(after, F.lit("")))
-    part = lambda k: F.regexp_extract("line", rf"({DAY})-({DAY})(?!\d)(.*)$", k)
-    read = F.struct(parse_token(part(1)).alias("period_start"), parse_token(part(2)).alias("period_end"), F.concat(part(3), F.lit(" "), "after").alias("tail"))
-    rows = once(rows.where(F.col("line").rlike(rf"{DAY}-{DAY}")), "x", read).select(key, "x.*").where("period_start is not null and period_end is not null")
-    amount = lambda k: F.regexp_extract("tail", r"^([^\d]*)(\d[\d,]*(?:\.\d\d?)?)", k)
-    fine = only_fillers(F.lower(amount(1))) & ~is_rate(F.col("tail"))
-    return rows.where(fine).select(key, "period_start", "period_end", money(amount(2)).alias("monthly_rent")).where(F.col("monthly_rent") >= LEAST_RENT).distinct()
+    return docs.select(key, F.inline(dated_of(F.col(text))))
 
 
 def repaired_row(start: Column, end: Column) -> tuple[Column, Column]:
     """The dates of a schedule row as read; a whole range in its first cell gives both."""
-    own = cleaned(F.trim(start))
-    part = lambda k: F.regexp_extract(own, rf"^({DAY})-({DAY})$", k)
-    both = part(1) != ""
-    return F.when(both, parse_token(part(1))).otherwise(parse_token(own)), F.when(both, parse_token(part(2))).otherwise(parse_token(cleaned(F.trim(end))))
+    part = lambda own, k: F.regexp_extract(own, rf"^({DAY})-({DAY})$", k)
+    date = lambda k, other: let(cleaned(F.trim(start)), lambda own: let(part(own, k), lambda day: F.when(day != "", parse_token(day)).otherwise(other(own))))
+    return date(1, parse_token), date(2, lambda _: parse_token(cleaned(F.trim(end))))
 
 
 def search_terms(bucket: str) -> list[str]:
@@ -142,25 +154,41 @@ def anchor_choice(docs: DataFrame, rules: DataFrame, key: str, text: str, events
     return docs.join(best, key, "left").select(key, F.coalesce("best", inline).alias("x")).select(key, "x.*")
 
 
+def term_in(text: Column) -> Column:
+    """term_start, term_end of a text, null where it does not give both."""
+    part = lambda line, k: F.regexp_extract(line, rf"(?i)\bterm\b[^.]{{0,80}}?({DATE})[^.]{{1,40}}?({DATE})", k)
+    both = let(F.regexp_replace(text, r"\s+", " "), lambda line: F.struct(parsed(part(line, 1)).alias("term_start"), parsed(part(line, 2)).alias("term_end")))
+    return let(both, lambda x: F.when(x.term_start.isNotNull() & x.term_end.isNotNull(), x))
+
+
 def term_window(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term_start, term_end of texts that give the term's first and last day."""
-    line = F.regexp_replace(F.col(text), r"\s+", " ")
-    part = lambda k: F.regexp_extract(line, rf"(?i)\bterm\b[^.]{{0,80}}?({DATE})[^.]{{1,40}}?({DATE})", k)
-    rows = docs.select(key, parsed(part(1)).alias("term_start"), parsed(part(2)).alias("term_end"))
-    return rows.where("term_start is not null and term_end is not null")
+    return once(docs.select(key, text), "x", term_in(F.col(text))).where("x is not null").select(key, "x.*")
+
+
+def escalation_in(text: Column) -> Column:
+    """start_rent, esc_pct, cadence_months of a text, null where it does not give the first two."""
+    clause = r"\b(?:increas|escalat)[a-z]* (?:[a-z]+ ){0,3}?(\d+(?:\.\d+)?) ?%([^.]*)"
+
+    def rule(low: Column) -> Column:
+        # Without its sign a sum is told by the month that it is for.
+        bare = F.regexp_extract(low, rf"\brent\b[^$.\d]{{0,60}}{NUMBER} ?(?:/ ?|per |a )?month(?:ly)?\b", 1)
+        rent = F.coalesce(money(F.regexp_extract(low, rf"\brent\b[^$.]{{0,60}}{SUM}", 1)), money(bare))
+        grows = F.regexp_extract(low, clause, 1).try_cast("double")
+        return F.struct(rent.alias("start_rent"), grows.alias("esc_pct"), let(F.regexp_extract(low, clause, 2), cadence).alias("cadence_months"))
+
+    def cadence(rest: Column) -> Column:
+        often = lambda k: F.regexp_extract(rest, r"(?:every|each|per) (?:([a-z]+|\d+) )?(year|month)s?\b", k)
+        spelled = F.nullif(F.array_position(F.array(*map(F.lit, WORDS)), often(1)), F.lit(0)).cast("int")
+        n = F.when(often(1) == "", 1).otherwise(F.coalesce(often(1).try_cast("int"), spelled, F.lit(1)))
+        return F.when(often(2) == "month", n).when(often(2) == "year", n * 12).otherwise(12).cast("long")
+
+    # A text without the sign states no rate.
+    found = F.when(F.contains(text, F.lit("%")), let(F.regexp_replace(F.lower(text), r"\s+", " "), rule))
+    return let(found, lambda x: F.when(x.start_rent.isNotNull() & x.esc_pct.isNotNull(), x))
 
 
 def escalation_rule(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, start_rent, esc_pct, cadence_months of texts whose rent grows by a rate every so often: the sum
     that follows the word rent (with its sign, or for a month), the rate after a word of growth, and how often, yearly if not said."""
-    low = F.regexp_replace(F.lower(F.col(text)), r"\s+", " ")
-    # Without its sign a sum is told by the month that it is for.
-    bare = F.regexp_extract(low, rf"\brent\b[^$.\d]{{0,60}}{NUMBER} ?(?:/ ?|per |a )?month(?:ly)?\b", 1)
-    rent = F.coalesce(money(F.regexp_extract(low, rf"\brent\b[^$.]{{0,60}}{SUM}", 1)), money(bare))
-    grows = F.regexp_extract(low, r"\b(?:increas|escalat)[a-z]* (?:[a-z]+ ){0,3}?(\d+(?:\.\d+)?) ?%([^.]*)", 1).try_cast("double")
-    rest = F.regexp_extract(low, r"\b(?:increas|escalat)[a-z]* (?:[a-z]+ ){0,3}?(\d+(?:\.\d+)?) ?%([^.]*)", 2)
-    often = lambda k: F.regexp_extract(rest, r"(?:every|each|per) (?:([a-z]+|\d+) )?(year|month)s?\b", k)
-    spelled = F.nullif(F.array_position(F.array(*map(F.lit, WORDS)), often(1)), F.lit(0)).cast("int")
-    n = F.when(often(1) == "", 1).otherwise(F.coalesce(often(1).try_cast("int"), spelled, F.lit(1)))
-    cadence = F.when(often(2) == "month", n).when(often(2) == "year", n * 12).otherwise(12)
-    return docs.select(key, rent.alias("start_rent"), grows.alias("esc_pct"), cadence.cast("long").alias("cadence_months")).where("start_rent is not null and esc_pct is not null")
+    return once(docs.select(key, text), "x", escalation_in(F.col(text))).where("x is not null").select(key, "x.*")

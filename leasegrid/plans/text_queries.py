@@ -95,7 +95,7 @@ def wording(p: Portfolio) -> DataFrame:
     """A short lease text for each lease."""
     rent = F.format_string("%.2f", F.col("year1"))
     day = F.date_format("commence", "MMMM d, yyyy")
-    return p.dealt().select(
+    return p.spread().select(
         "lease_id",
         F.concat(
             F.lit("The Lease Commencement Date shall be "), day, F.lit(".\n\nBase rent is due monthly"), F.when(F.col("lease_id") % 3 == 0, ", per rentable square foot.").otherwise("."),
@@ -118,14 +118,16 @@ def candidate_ranking(p: Portfolio) -> DataFrame:
     escalations are anchored where the text names a date."""
     more = F.when(F.col("lease_id") % 5 == 0, "\n1/1/2030 - 12/31/2030 $500.00").otherwise(""), F.when(F.col("lease_id") % 7 == 0, "\nRent of $900.00 shall increase by 3% every year").otherwise("")
     docs = wording(p).withColumn("text", F.concat("text", *reversed(more)))
-    w = text.windows(docs, "lease_id", "text")
-    anchor = text.absolute_rules(w, "lease_id").groupBy("lease_id").agg(F.min("resolved_date").alias("anchor"))
-    kinds = {
-        "dated_periods": text_rows.dated_rows(docs, "lease_id", "text"), "narrative_escalation": text_rows.escalation_rule(docs, "lease_id", "text"),
-        "relative_month_ranges": text.terms(w, "lease_id"), "lease_year_ranges": text.terms(w, "lease_id", text.YEAR_TERMS),
+    rows_ = labels.once(labels.once(docs, "lines", text.lines_in(F.col("text"))), "wins", text.windows_in(F.col("lines")))
+    # How many terms each reading finds, in the text's own row; one read twice counts once.
+    each = lambda unit: F.array_distinct(F.flatten(F.transform("wins", lambda w: text.terms_in(w.normalized, unit))))
+    found = {
+        "dated_periods": F.size(text_rows.dated_of(F.col("text"))), "narrative_escalation": F.when(text_rows.escalation_in(F.col("text")).isNotNull(), 1).otherwise(0),
+        "relative_month_ranges": F.size(each(text.MONTH_TERMS)), "lease_year_ranges": F.size(each(text.YEAR_TERMS)),
     }
-    every = reduce(DataFrame.unionByName, [rows_.select("lease_id", F.lit(k).cast("long").alias("ord"), F.lit(name).alias("representation"), F.lit(text.CONFIDENCE[name]).alias("confidence")) for k, (name, rows_) in enumerate(kinds.items())])
-    n = every.groupBy("lease_id", "ord", "representation", "confidence").agg(F.count("*").alias("n_terms")).join(anchor, "lease_id", "left")
+    dates = F.flatten(F.transform("wins", lambda w: F.transform(text.absolute_in(w.original), lambda x: x.resolved_date)))
+    kinds = F.array(*[F.struct(F.lit(k).cast("long").alias("ord"), F.lit(name).alias("representation"), F.lit(text.CONFIDENCE[name]).alias("confidence"), n.cast("long").alias("n_terms")) for k, (name, n) in enumerate(found.items())])
+    n = labels.once(rows_, "x", F.struct(F.array_min(dates).alias("anchor"), F.filter(kinds, lambda k: k.n_terms > 0).alias("kinds"))).select("lease_id", "x.anchor", F.inline("x.kinds"))
     known = F.col("anchor").isNotNull() | (F.col("representation") == "dated_periods")
     return text.ranked(n.select("lease_id", "ord", "representation", "confidence", "n_terms", F.when(known, F.col("n_terms")).otherwise(0).alias("n_rows"), F.when(known, 0).otherwise(1).cast("long").alias("n_open")), "lease_id")
 
@@ -197,7 +199,7 @@ def prose_charges(p: Portfolio) -> DataFrame:
         F.lit("Additional Rent rises 12% only"),
     ]
     told = F.concat(F.lit("Tenant pays rent.\n"), F.element_at(F.array(*forms), (F.col("lease_id") % 6 + 1).cast("int")))
-    return paste.prose_charges(p.dealt().select("lease_id", told.alias("text")), "lease_id", "text")
+    return paste.prose_charges(p.spread().select("lease_id", told.alias("text")), "lease_id", "text")
 
 
 def schedule_choice(p: Portfolio) -> DataFrame:

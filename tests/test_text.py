@@ -107,3 +107,16 @@ def test_texts_are_written_and_read_in_more_than_one_task(spark):
     p = Portfolio(spark, "/root/testdata/sf0.001")
     for plan in (text_queries.wording(p), text_queries.prose_charges(p)):
         assert "REPARTITION_BY_COL" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_read_in_their_own_row(spark):
+    """Neither query reads a text twice or joins what it found back: leases are scanned once and dealt once."""
+    p = Portfolio(spark, "/root/testdata/sf0.001")
+    for plan in (text_queries.candidate_ranking(p), text.area_based(text_queries.wording(p), "lease_id", "text")):
+        told = plan._jdf.queryExecution().executedPlan().toString()
+        assert told.count("Scan parquet") == 1 and told.count("Exchange hashpartitioning") == 1 and "Join" not in told
+
+
+def test_letters_that_tell_a_window_apart():
+    assert all(any(p in name for p in text.RENT_LETTERS) for name in text.RENTS) and all(any(p in name for p in text.AREA_LETTERS) for name in text.AREAS)
+    assert all(name.endswith(text.LAST_WORD) for names in text.EVENTS.values() for name in names)
