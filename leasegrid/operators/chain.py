@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leasegrid.functions.dates import let
+
 from . import events, paste, text, wording
 from .labels import once
 from .text import CONFIDENCE
@@ -23,63 +25,113 @@ ABSOLUTE_CONFIDENCE, DEFAULT_FALLBACK = 0.95, "commencement_date"
 SCOPES = ["base_rent_start", "rent_schedule_anchor"]
 
 
-def anchors(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """lease_id, anchor, n_open: the date that a schedule in months or years counts from, and how many
-    events it would take that have no date.
+def anchored(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows(lease_id, text, wins) with anchor, the date that a schedule in months or years counts from, and
+    n_open, how many events it would take that have no date.
 
     Events are dated by known(lease_id, event, day), then by what the text says of them, first mention
     first. The rule is the best of those on base rent or the schedule, ones with a date of their own last;
     else the rent commencement date, for which the commencement date stands in if the text does not name it.
     """
-    wins = once(text.windows(docs, LEASE, "text"), "scope", wording.scope(wording.spoken(F.col("normalized"))))
-    told = text.absolute_rules(wins, LEASE, "scope", "ord")
-    first = told.groupBy(LEASE, F.col("trigger_event").alias("event")).agg(F.min_by("resolved_date", "ord").alias("day"))
-    dates = events.merged([known, first]).groupBy(LEASE).agg(F.map_from_entries(F.collect_list(F.struct("event", "day"))).alias("dates"))  # at most one an event
+    dates = events.merged([known]).groupBy(LEASE).agg(F.map_from_entries(F.collect_list(F.struct("event", "day"))).alias("dates"))  # at most one an event
     none = F.lit(None).cast("string")
-    rules = told.select(LEASE, "scope", "ord", F.lit("absolute_date").alias("rule_kind"), "trigger_event", none.alias("second_event"), F.lit(None).cast("int").alias("offset_value"), F.lit(ABSOLUTE_CONFIDENCE).alias("confidence"), "resolved_date")
-    rules = rules.unionByName(text.phrase_rules(wins, LEASE, "scope", "ord").withColumn("resolved_date", F.lit(None).cast("date")))
-    rank = F.struct((F.col("rule_kind") == "absolute_date").alias("absolute"), (-F.col("confidence")).alias("less"), "ord", "rule_kind", "trigger_event")
-    rule = F.struct("rule_kind", "trigger_event", "second_event", none.alias("fallback"), "offset_value", "resolved_date")
-    best = rules.where(F.col("scope").isin(*SCOPES)).groupBy(LEASE).agg(F.min_by(rule, rank).alias("rule"))
+    # Windows come in their order, and so does what they tell.
+    scoped = lambda w: wording.scope(wording.spoken(w.normalized)).alias("scope")
+    told = F.flatten(F.transform("wins", lambda w: F.transform(text.absolute_in(w.original), lambda x: F.struct(scoped(w), w.ord.alias("ord"), x.trigger_event.alias("trigger_event"), x.resolved_date.alias("resolved_date")))))
+    said = F.flatten(F.transform("wins", lambda w: F.transform(text.phrases_in(w.normalized), lambda x: F.struct(scoped(w), w.ord.alias("ord"), x.alias("x")))))
+
+    def rule(absolute: bool, own: Column, confidence: Column, kind: Column, second: Column, offset: Column, day: Column, trigger: Column) -> Column:
+        """A rule after what ranks it."""
+        rank = F.struct(F.lit(absolute).alias("absolute"), (-confidence).alias("less"), own.ord.alias("ord"), kind.alias("rule_kind"), trigger.alias("trigger_event"))
+        return F.struct(rank.alias("rank"), F.struct(kind.alias("rule_kind"), trigger.alias("trigger_event"), second.alias("second_event"), none.alias("fallback"), offset.alias("offset_value"), day.alias("resolved_date")).alias("rule"))
+
+    def on_schedule(rules: Column) -> Column:
+        return F.filter(rules, lambda x: x.scope.isin(*SCOPES))
+
+    rows = once(rows.join(dates, LEASE, "left"), "told", told)
+    dated = F.transform(on_schedule(F.col("told")), lambda x: rule(True, x, F.lit(ABSOLUTE_CONFIDENCE), F.lit("absolute_date"), none, F.lit(None).cast("int"), x.resolved_date, x.trigger_event))
+    phrased = F.transform(on_schedule(said), lambda x: rule(False, x, x.x.confidence, x.x.rule_kind, x.x.second_event, x.x.offset_value, F.lit(None).cast("date"), x.x.trigger_event))
     names = wording.says(wording.spoken(F.coalesce(F.col("text"), F.lit(""))), ["rent commencement date"])
     default = F.struct(
         F.lit("event_date").alias("rule_kind"), F.lit(wording.DEFAULT[0]).alias("trigger_event"), none.alias("second_event"), F.when(~names, DEFAULT_FALLBACK).alias("fallback"),
         F.lit(None).cast("int").alias("offset_value"), F.lit(None).cast("date").alias("resolved_date"),
     )
-    rows = once(docs.join(best, LEASE, "left").join(dates, LEASE, "left").select(LEASE, "text", "rule", "dates"), "r", F.coalesce("rule", default)).select(LEASE, "r", "dates")
+    rows = once(rows, "r", F.coalesce(F.array_min(F.concat(dated, phrased)).rule, default))
     r = F.col("r")
-    day = lambda event: F.when(F.col("dates").isNotNull() & event.isNotNull(), F.try_element_at("dates", event))
+
+    def day(event: Column) -> Column:
+        first = F.get(F.filter("told", lambda x: x.trigger_event == event), F.lit(0)).resolved_date
+        return F.coalesce(F.when(F.col("dates").isNotNull() & event.isNotNull(), F.try_element_at("dates", event)), first)
+
     pair = r.rule_kind.isin(*events.PAIRED)
     main = F.when(pair, day(r.trigger_event)).otherwise(F.coalesce(day(r.trigger_event), day(r.fallback)))
     at = F.when(r.rule_kind == "absolute_date", r.resolved_date).otherwise(text.resolved(r.rule_kind, main, day(r.second_event), F.coalesce(r.offset_value, F.lit(0))))
     asked = F.array_compact(F.array(r.trigger_event, F.when(pair, r.second_event), F.when(day(r.trigger_event).isNull(), r.fallback)))
     open_ = F.when(r.rule_kind == "absolute_date", 0).otherwise(F.size(F.filter(asked, lambda e: day(e).isNull())))
-    return rows.select(LEASE, at.alias("anchor"), open_.cast("long").alias("n_open"))
-
-
-def readings(docs: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
-    """representation, lease_id, start_value, period_start, period_end, monthly_rent, n_open: the schedule of
-    each lease in every way that it can be read; periods without dates want an anchor."""
-    wins = text.windows(docs, LEASE, "text")
-    columns = ["representation", LEASE, "start_value", "period_start", "period_end", "monthly_rent", "n_open"]
-    none = F.lit(0).cast("long").alias("n_open")
-    named = lambda k: F.lit(READINGS[k]).alias("representation")
-    at = lambda first, last: (F.add_months("anchor", (first - 1).cast("int")).alias("period_start"), F.date_sub(F.add_months("anchor", last.cast("int")), 1).alias("period_end"))
-    start, end = F.col("start_value"), F.col("end_value")
-    dated = rows.where("period_start is not null and period_end is not null and monthly_rent is not null").select(named(0), LEASE, F.col("place").alias("start_value"), "period_start", "period_end", "monthly_rent", none)
+    return once(rows, "a", F.struct(at.alias("anchor"), open_.cast("long").alias("n_open"))).drop("dates", "told", "r").select("*", "a.*").drop("a")
+
+
+PERIODS = "array<struct<place: bigint, period_start: date, period_end: date, monthly_rent: double>>"
+
+
+def _between(place: Column, anchor: Column, first: Column, last: Column, rent: Column) -> Column:
+    """A period of the months first to last from an anchor; without one it has no dates."""
+    return F.struct(place.cast("long").alias("place"), F.add_months(anchor, (first - 1).cast("int")).alias("period_start"), F.date_sub(F.add_months(anchor, last.cast("int")), 1).alias("period_end"), rent.alias("monthly_rent"))
+
+
+def readings(own: Column) -> list[Column]:
+    """The schedule of a lease in each way that it can be read (READINGS), as arrays of periods, which want
+    an anchor to have dates: own are its rows so far; wins, text and anchor are columns."""
+    dated = F.filter(own, lambda x: x.period_start.isNotNull() & x.period_end.isNotNull() & x.monthly_rent.isNotNull())
+    terms = lambda unit: F.array_distinct(F.flatten(F.transform("wins", lambda w: text.terms_in(w.normalized, unit))))
+    anchor = F.col("anchor")
+    months = F.transform(terms(text.MONTH_TERMS), lambda t: _between(t.start_value, anchor, t.start_value, t.end_value, t.monthly_rent))
     # Years as the months that they are; the value that orders them stays that of the text.
-    months = text.terms(wins, LEASE).select(named(1), LEASE, "start_value", "monthly_rent", start.alias("first"), end.alias("last"))
-    years = text.terms(wins, LEASE, text.YEAR_TERMS).select(named(2), LEASE, "start_value", "monthly_rent", ((start - 1) * 12 + 1).alias("first"), (end * 12).alias("last"))
-    counted = months.unionByName(years).join(anchors(docs, known), LEASE).select("representation", LEASE, "start_value", *at(F.col("first"), F.col("last")), "monthly_rent", "n_open")
-    grown = wording.term_window(docs, LEASE, "text").join(wording.escalation_rule(docs, LEASE, "text"), LEASE)
-    told = F.struct("start_rent", "esc_pct", F.col("cadence_months").alias("cadence"), text.term_months(F.col("term_start"), F.col("term_end")).alias("total_months"))
-    steps = text.escalation_steps(once(grown.select(LEASE, "start_rent", "esc_pct", "cadence_months", "term_start", "term_end"), "x", told).select(LEASE, "x.*"))
-    steps = steps.join(grown.select(LEASE, F.col("term_start").alias("anchor")), LEASE).select(named(3), LEASE, F.col("start_month").alias("start_value"), *at(F.col("start_month"), F.col("end_month")), "monthly_rent", none)
-    return reduce(DataFrame.unionByName, [own.select(*columns) for own in (dated, counted, steps)])
+    years = F.transform(terms(text.YEAR_TERMS), lambda t: _between(t.start_value, anchor, (t.start_value - 1) * 12 + 1, t.end_value * 12, t.monthly_rent))
+
+    def steps(term: Column, rule: Column) -> Column:
+        grown = text.steps_in(rule.start_rent, rule.esc_pct, rule.cadence_months, text.term_months(term.term_start, term.term_end))
+        return F.transform(grown, lambda s: _between(s.start_month, term.term_start, s.start_month, s.end_month, s.monthly_rent))
+
+    # A text that states no rate has no steps, and its term need not be read.
+    grows = let(wording.escalation_in(F.col("text")), lambda rule: F.when(rule.isNotNull(), let(wording.term_in(F.col("text")), lambda term: F.when(term.isNotNull(), steps(term, rule)))))
+    return [F.coalesce(x.cast(PERIODS), F.array().cast(PERIODS)) for x in (dated, months, years, grows)]
+
+
+def told(extracted: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """A row for each lease: stage and notice of its rows so far, own; best, the best reading of its text; and
+    whether that takes the place of own. All that a lease has is read in its row, each text once."""
+    cells = once(extracted, "days", F.struct(*[day.alias(name) for name, day in zip(("period_start", "period_end"), wording.repaired_row(F.col("start_text"), F.col("end_text")), strict=True)]))
+    period = F.struct(F.col("ord").cast("long").alias("place"), F.col("days.period_start").alias("period_start"), F.col("days.period_end").alias("period_end"), F.col("monthly_rent").cast("double").alias("monthly_rent"))
+    read = cells.select(LEASE, period.alias("x")).groupBy(LEASE).agg(F.collect_list("x").alias("read"))
+    rows = docs.select(LEASE, "text").join(read.hint("shuffle_hash"), LEASE, "left")
+    found = F.transform(wording.dated_of(F.col("text")), lambda x: F.struct(F.unix_date(x.period_start).cast("long").alias("place"), x.period_start.alias("period_start"), x.period_end.alias("period_end"), x.monthly_rent.alias("monthly_rent")))
+    rows = once(rows, "found", found.cast(PERIODS))
+    n_read = F.size(F.coalesce("read", F.array().cast(PERIODS)))
+    n_dated = F.size(F.coalesce(F.filter("read", lambda x: F.coalesce(x.period_start, x.period_end).isNotNull()), F.array().cast(PERIODS)))
+    first = F.when(n_dated > 0, "read").when(F.size("found") > 0, "recovered").otherwise("none")
+    notice = F.when(F.col("stage") == "recovered", F.when(n_read == 0, "omitted").otherwise("unparsed"))
+    own = F.when(F.col("stage") == "read", F.col("read").cast(PERIODS)).when(F.col("stage") == "recovered", F.col("found")).otherwise(F.array().cast(PERIODS))
+    rows = rows.withColumn("stage", first).select(LEASE, "text", "stage", notice.alias("notice"), own.alias("own"))
+    rows = anchored(once(once(rows, "lines", text.lines_in(F.col("text"))), "wins", text.windows_in(F.col("lines"))), known)
+
+    def ranked(place: int, periods: Column) -> Column:
+        """A reading after what ranks it, null without terms."""
+        name = F.lit(READINGS[place])
+        n_rows = F.size(F.filter(periods, lambda x: x.period_start.isNotNull())).cast("long")
+        n_open = F.col("n_open") if place in (1, 2) else F.lit(0).cast("long")
+        score = text.score(F.lit(CONFIDENCE[READINGS[place]]), name, F.size(periods), n_rows, n_open)
+        return F.when(F.size(periods) > 0, F.struct(F.round(score, 6).alias("score"), F.lit(-1 - place).alias("ord"), name.alias("representation"), n_rows.alias("n_rows"), periods.alias("periods")))
+
+    rows = once(rows, "every", F.array(*readings(F.col("own")))).drop("wins", "text")
+    # No two readings of a lease have the same ord, so that periods are never compared.
+    rows = once(rows, "best", F.array_max(F.array(*[ranked(k, F.col("every")[k]) for k in range(len(READINGS))]))).drop("every")
+    usable = F.exists("own", lambda x: x.period_start.isNotNull() & x.period_end.isNotNull() & F.coalesce(x.monthly_rent >= 0, F.lit(False)))
+    return rows.withColumn("takes", ~usable & (F.coalesce("best.n_rows", F.lit(0)) > 0))
 
 
 def repaired(extracted: DataFrame, docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The schedules of all leases of docs(lease_id, text), and how each came about.
+    """The schedules of all leases of docs(lease_id, text), one text a lease, and how each came about.
 
     extracted(lease_id, ord, start_text, end_text, monthly_rent) is what was read of a schedule; known
     (lease_id, event, day) dates events. Without rows, or without a date in any of them, the dated rows of
@@ -90,41 +142,14 @@ def repaired(extracted: DataFrame, docs: DataFrame, known: DataFrame) -> tuple[D
     stage ("read", "recovered", "materialized", "none"), notice ("omitted", "unparsed", "materialized",
     "needs_anchor" or null), representation (of the best reading) and n_periods.
     """
-    start, end = wording.repaired_row(F.col("start_text"), F.col("end_text"))
-    read = extracted.select(LEASE, F.col("ord").cast("long").alias("place"), start.alias("period_start"), end.alias("period_end"), "monthly_rent")
-    found = wording.dated_rows(docs, LEASE, "text").withColumn("place", F.unix_date("period_start").cast("long"))
-    kept = docs.select(LEASE).join(read.groupBy(LEASE).agg(F.count("*").alias("n_read"), F.count_if(F.coalesce("period_start", "period_end").isNotNull()).alias("n_dated")), LEASE, "left")
-    kept = kept.join(found.groupBy(LEASE).agg(F.count("*").alias("n_found")), LEASE, "left").na.fill(0, ["n_read", "n_dated", "n_found"])
-    first = F.when(F.col("n_dated") > 0, "read").when(F.col("n_found") > 0, "recovered").otherwise("none")
-    told = F.when(first == "recovered", F.when(F.col("n_read") == 0, "omitted").otherwise("unparsed"))
-    kept = kept.select(LEASE, first.alias("stage"), told.alias("notice"))
-    columns = [LEASE, "place", "period_start", "period_end", "monthly_rent", "stage"]
-    own = read.join(kept.where("stage = 'read'"), LEASE).select(*columns).unionByName(found.join(kept.where("stage = 'recovered'"), LEASE).select(*columns))
-
-    # Everything that a lease has, in one table: its rows so far, and its text's readings, of which one is best.
-    lease, reading = Window.partitionBy(LEASE), Window.partitionBy(LEASE, "representation")
-    every = readings(docs, own, known).withColumns({"n_terms": F.count("*").over(reading), "n_rows": F.count("period_start").over(reading), "n_open": F.max("n_open").over(reading)})
-    number = F.array_position(F.array(*map(F.lit, READINGS)), F.col("representation"))
-    confidence = F.element_at(F.array(*[F.lit(CONFIDENCE[r]) for r in READINGS]), number.cast("int"))
-    score = text.score(confidence, F.col("representation"), F.col("n_terms"), F.col("n_rows"), F.col("n_open"))
-    rank = F.struct(F.round(score, 6).alias("score"), (-number).alias("ord"), "representation", "n_rows")
-    none = F.lit(None)
-    table = own.select(*columns, none.cast("string").alias("representation"), none.cast("struct<score: double, ord: bigint, representation: string, n_rows: bigint>").alias("rank")).unionByName(
-        every.select(LEASE, F.col("start_value").alias("place"), "period_start", "period_end", "monthly_rent", none.cast("string").alias("stage"), "representation", rank.cast("struct<score: double, ord: bigint, representation: string, n_rows: bigint>").alias("rank"))
-    )
-    usable = F.col("stage").isNotNull() & F.col("period_start").isNotNull() & F.col("period_end").isNotNull() & F.coalesce(F.col("monthly_rent") >= 0, F.lit(False))
-    table = table.withColumns({"best": F.max("rank").over(lease), "usable": F.bool_or(usable).over(lease), "n_own": F.count("stage").over(lease)})
-    takes = ~F.col("usable") & (F.coalesce("best.n_rows", F.lit(0)) > 0)
-    table = table.withColumn("takes", takes)
-    schedule = table.where((F.col("stage").isNotNull() & ~F.col("takes")) | (F.col("takes") & (F.col("representation") == F.col("best.representation"))))
-    schedule = schedule.select(LEASE, "place", "period_start", "period_end", "monthly_rent", F.coalesce("stage", F.lit("materialized")).alias("stage"))
-
-    by_lease = table.groupBy(LEASE).agg(F.first("best").alias("best"), F.first("takes").alias("takes"), F.first("n_own").alias("n_own"))
-    rows = kept.join(by_lease, LEASE, "left").na.fill(0, ["n_own"]).na.fill(False, ["takes"])
-    wants = ~F.col("takes") & (F.col("n_own") == 0) & F.col("best.representation").isNotNull()
+    rows = told(extracted, docs, known)
+    takes = F.col("takes")
+    schedule = rows.select(LEASE, F.when(takes, "materialized").otherwise(F.col("stage")).alias("stage"), F.inline(F.when(takes, F.col("best.periods")).otherwise(F.col("own"))))
+    schedule = schedule.select(LEASE, "place", "period_start", "period_end", "monthly_rent", "stage")
+    wants = ~takes & (F.size("own") == 0) & F.col("best.representation").isNotNull()
     outcome = rows.select(
-        LEASE, F.when(F.col("takes"), "materialized").otherwise(F.col("stage")).alias("stage"), F.when(F.col("takes"), "materialized").when(wants, "needs_anchor").otherwise(F.col("notice")).alias("notice"),
-        F.col("best.representation").alias("representation"), F.when(F.col("takes"), F.col("best.n_rows")).otherwise(F.col("n_own")).alias("n_periods"),
+        LEASE, F.when(takes, "materialized").otherwise(F.col("stage")).alias("stage"), F.when(takes, "materialized").when(wants, "needs_anchor").otherwise(F.col("notice")).alias("notice"),
+        F.col("best.representation").alias("representation"), F.when(takes, F.col("best.n_rows")).otherwise(F.size("own").cast("long")).alias("n_periods"),
     )
     return schedule, outcome
 

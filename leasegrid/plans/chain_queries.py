@@ -62,7 +62,7 @@ def extracted(p: Portfolio) -> tuple[DataFrame, DataFrame, DataFrame]:
         .when(k == 5, F.concat(F.lit("Lease term "), F.date_format("commence", "MM/dd/yyyy"), F.lit("-"), F.date_format(F.add_months("commence", 60), "MM/dd/yyyy"), F.lit("\nRent "), F.format_number("year1", 2), F.lit(" month, escalated 2% every two years")))
         .otherwise("Minimum Rent")
     )
-    docs = p.dealt().join(dated.hint("shuffle_hash"), "lease_id", "left").select("lease_id", text.alias("text"))
+    docs = p.spread().join(dated.hint("shuffle_hash"), "lease_id", "left").select("lease_id", text.alias("text"))
     return rows, docs, p.leases().limit(0).select("lease_id", F.lit("").alias("event"), F.col("commence").alias("day"))
 
 
@@ -70,7 +70,7 @@ def charges_told(p: Portfolio) -> tuple[DataFrame, DataFrame]:
     """By lease one of four cases: a charge without its terms, which the text tells; steps, the second of
     which is a hint already; a charge that the text alone has; text that tells nothing."""
     k = F.col("lease_id") % 4
-    own = p.dealt()
+    own = p.spread()
     usd = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
     at = lambda months, days=0: F.date_format(F.date_add(F.add_months("commence", months), days), "MMMM d, yyyy")
     steps = F.concat_ws("\n", F.lit("Common Area Maintenance:"), *[F.concat(at(12 * i), F.lit(" through "), at(12 * i + 12, -1), F.lit(": "), usd(F.col("year1") + 25 * i), F.lit(" per month")) for i in range(3)])

@@ -3,6 +3,8 @@
 from datetime import date
 
 from leasegrid.operators import chain
+from leasegrid.plans import chain_queries
+from leasegrid.sources.portfolio import Portfolio
 
 D = date.fromisoformat
 ROWS = "lease_id long, ord long, start_text string, end_text string, monthly_rent double"
@@ -57,3 +59,25 @@ def test_charges_and_hints(spark):
         (4, "Insurance"): (650.0, None, "2027-02-01", None),
     }
     assert sorted((r.lease_id, r.bucket, str(r.date), r.amount) for r in dated.collect()) == [(1, "cams", "2030-10-01", 4275.0), (1, "cams", "2034-01-01", 4620.0), (4, "insurance", "2029-08-01", 725.0)]
+
+
+def test_a_lease_is_repaired_in_one_row(spark):
+    """No part of the repairs reads the texts again: leases are scanned for their rows, lines and texts alone."""
+    p = Portfolio(spark, "/root/testdata/sf0.001")
+    for plan in chain.repaired(*chain_queries.extracted(p)):
+        told = plan._jdf.queryExecution().executedPlan().toString()
+        assert told.count("Scan parquet") <= 3 and "Window" not in told
+
+
+def test_what_ranks_rules_and_dates_events(spark):
+    """A dated rule on the schedule comes last; of two mentions the first dates an event, and a known day goes before both."""
+    months = "\nMonths 1-12: $500.00 monthly"
+    texts = [
+        "The Delivery Date is March 5, 2030.\nThe Delivery Date is April 5, 2030.\nRent is due 10 days after the Delivery Date." + months, "The Opening Date is May 7, 2031." + months,
+        "The later of the Delivery Date and the Opening Date.\nThe Delivery Date is January 2, 2030." + months, "30 days after the Permit Issuance Date rent is due." + months,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)) + [(5, texts[0])], "lease_id long, text string")
+    known = spark.createDataFrame([(5, "delivery_date", D("2030-06-01")), (5, "delivery_date", D("2030-07-01")), (5, "no such event", D("2030-01-01"))], "lease_id long, event string, day date")
+    schedule, outcome = chain.repaired(spark.createDataFrame([], ROWS), docs, known)
+    assert {r.lease_id: str(r.period_start) for r in schedule.collect()} == {1: "2030-03-15", 2: "2031-05-07", 3: "2030-01-02", 5: "2030-06-11"}
+    assert {r.lease_id: r.notice for r in outcome.collect()} == {1: "materialized", 2: "materialized", 3: "materialized", 4: "needs_anchor", 5: "materialized"}
