@@ -42,21 +42,32 @@ def titled(canonical_type: Column, label: Column, both: Column) -> Column:
     return F.concat(label, F.when(both & (canonical_type == "nnn"), " (NNN)").otherwise(""), F.lit(" ($)"))
 
 
+def titles(labels: DataFrame) -> DataFrame:
+    """canonical_type, label, title of each column that labels(canonical_type, label) make."""
+    own = labels.groupBy("label").agg(F.collect_set("canonical_type").alias("kinds")).select("label", F.explode("kinds").alias("canonical_type"), (F.size("kinds") > 1).alias("both"))
+    return own.select("canonical_type", "label", titled(F.col("canonical_type"), F.col("label"), F.col("both")).alias("title"))
+
+
+def found_titles(titles_: DataFrame, most: int = MOST_COLUMNS) -> dict[tuple[str, str], str] | None:
+    """The title of each kind and label, net charges first, each kind by name; none of them if they are more
+    than most, of which most + 1 reach the driver."""
+    found = titles_.orderBy(F.col("canonical_type") != "nnn", "title").limit(most + 1).collect()
+    return {(r.canonical_type, r.label): r.title for r in found} if len(found) <= most else None
+
+
 def wide(amounts: DataFrame, labels: DataFrame, most: int = MOST_COLUMNS) -> tuple[DataFrame, list[str]]:
     """amounts(lease_id, month_num, canonical_type, label, amount) as a row for each lease and month, with
     a column for each label: net charges first, each kind by name. Two passes: which labels there are (of
     labels(canonical_type, label), at most most + 1 reach the driver), and the sums. With more labels one column "charges" maps
     titles to sums. Returns the table and the names of its columns of charges."""
-    titles = labels.groupBy("label").agg(F.collect_set("canonical_type").alias("kinds")).select("label", F.explode("kinds").alias("canonical_type"), (F.size("kinds") > 1).alias("both"))
-    titles = titles.select("canonical_type", "label", titled(F.col("canonical_type"), F.col("label"), F.col("both")).alias("title"))
-    found = titles.orderBy(F.col("canonical_type") != "nnn", "title").limit(most + 1).collect()
-    if len(found) <= most:
-        names = {(r.canonical_type, r.label): r.title for r in found}
+    every = titles(labels)
+    names = found_titles(every, most)
+    if names is not None:
         is_ = lambda kind, label: (F.col("canonical_type") == kind) & (F.col("label") == label)
         sums = [F.when(F.count_if(is_(*of)) > 0, cents(F.when(is_(*of), F.col("amount")))).alias(title) for of, title in names.items()]
         empty = [F.count("*").alias("n")] if not sums else []
         return amounts.groupBy("lease_id", "month_num").agg(*sums, *empty).drop("n"), list(names.values())
-    sums = amounts.join(titles, ["canonical_type", "label"]).groupBy("lease_id", "month_num", "title").agg(cents("amount").alias("amount"))
+    sums = amounts.join(every, ["canonical_type", "label"]).groupBy("lease_id", "month_num", "title").agg(cents("amount").alias("amount"))
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("title", "amount"))))
     return sums.groupBy("lease_id", "month_num").agg(entries.alias("charges")), ["charges"]
 
@@ -73,6 +84,12 @@ TAIL = {
 }
 
 
+def schedule_columns(rows: DataFrame, names: list[str], mode: str) -> DataFrame:
+    """rows of a mode as they are exported, with the columns names of its charges."""
+    combined = [F.col("total_nnn_amount").alias(NNN_COMBINED)] if mode == "aggregate" else []
+    return rows.select("lease_id", *[F.col(c).alias(t) for c, t in HEAD.items()], *combined, *[F.col(f"`{n}`") for n in names], *[F.col(c).alias(t) for c, t in TAIL.items()])
+
+
 def schedule_table(rows: DataFrame, amounts: DataFrame, shown: DataFrame, mode: str, most: int = MOST_COLUMNS) -> DataFrame:
     """The schedule of all leases of a mode as it is exported: rows (the ledger with what remains), with a
     column for each label of shown (as active() has them) and, in aggregate mode, one for all net charges
@@ -81,10 +98,7 @@ def schedule_table(rows: DataFrame, amounts: DataFrame, shown: DataFrame, mode:
     shown = shown.where(F.col("nnn_mode") == mode).select("lease_id", "key", "canonical_type", "label")
     told = amounts.select("lease_id", "month_num", "key", "amount").join(shown, ["lease_id", "key"])
     columns, names = wide(told, shown, most)
-    combined = [F.col("total_nnn_amount").alias(NNN_COMBINED)] if mode == "aggregate" else []
-    return own.join(columns, ["lease_id", "month_num"], "left").select(
-        "lease_id", *[F.col(c).alias(t) for c, t in HEAD.items()], *combined, *[F.col(f"`{n}`") for n in names], *[F.col(c).alias(t) for c, t in TAIL.items()]
-    )
+    return schedule_columns(own.join(columns, ["lease_id", "month_num"], "left"), names, mode)
 
 
 def charge_totals(amounts: DataFrame, charges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -187,9 +188,11 @@ TERMS = ["year1", "esc_pct", "charge_start", "esc_start"]
 
 def terms(leases: DataFrame) -> DataFrame:
     """A header's lists as rows of months read them: held, the spans of charges; rents, those of the base
-    rent; explicit and windows, the concessions in order; items."""
+    rent; explicit and windows, the concessions in order; items. Where the header has columns, a list of
+    (key, at), a span knows at which of a table's columns its charge counts."""
+    at = (lambda key: [F.get(F.filter("columns", lambda t: t.key == key), F.lit(0))["at"].alias("at")]) if "columns" in leases.columns else lambda key: []
     net = lambda c: F.coalesce(c.canonical_type == "nnn", F.lit(False)).alias("net")
-    held = F.flatten(F.transform("charges", lambda c: F.transform(spans(c.key), lambda s: F.struct(net(c), *[s[f].alias(f) for f in ("since", "until", "step")], *[c[f].alias(f) for f in TERMS]))))
+    held = F.flatten(F.transform("charges", lambda c: F.transform(spans(c.key), lambda s: F.struct(net(c), *[s[f].alias(f) for f in ("since", "until", "step")], *[c[f].alias(f) for f in TERMS], *at(c.key)))))
     some = lambda list_: F.when(F.size(list_) > 0, list_)
     return leases.withColumns({
         "held": held, "rents": some(F.filter("overrides", lambda o: o.target_key == BASE)),
@@ -222,6 +225,18 @@ def further_cents(net: bool) -> Column:
     return F.when(F.size("held") > SLOTS, F.aggregate(rest, F.lit(0).cast("long"), lambda sum_, s: sum_ + F.coalesce(cents(s), F.lit(0)))).otherwise(F.lit(0).cast("long"))
 
 
+def shown_cents() -> Column:
+    """at and cents of each charge in a row that counts in a column."""
+    own = F.filter("held", lambda s: s["at"].isNotNull() & covers(s))
+    return F.transform(own, lambda s: F.struct(s["at"].alias("at"), F.coalesce(let(charged(s.step, s), rounded_cents), F.lit(0)).alias("cents")))
+
+
+def in_column(number: int) -> Column:
+    """What shown has in a column, null without any."""
+    own = F.filter("shown", lambda x: x["at"] == number)
+    return let(own, lambda some: F.when(F.size(some) > 0, F.aggregate(some, F.lit(0).cast("long"), lambda sum_, x: sum_ + x.cents) / F.lit(100.0)))
+
+
 def charged(step: Column, of: Column | None = None) -> Column:
     """What a charge (columns, or the fields of one) comes to in a row, not rounded: its override, else its terms."""
     own = lambda c: F.col(c) if of is None else of[c]
@@ -231,8 +246,10 @@ def charged(step: Column, of: Column | None = None) -> Column:
     return F.coalesce(step, grown) * F.col("factor")
 
 
-def ledger(x: Inputs) -> DataFrame:
-    """The ledger: one row per lease and month.
+def ledger(x: Inputs, columns: DataFrame | None = None, titles: Sequence[str] = ()) -> DataFrame:
+    """The ledger: one row per lease and month. With columns(lease_id, columns: a list of (key, at)) it has
+    further ones by the names of titles, of which the one numbered at sums up the charges of such a key; null
+    where the lease has none.
 
     Each month meets its lease's lists, which are hashed by lease, and adds up what counts in it: months are
     neither sorted nor grouped, and no row is made for a month and an event. A row holds an event whose
@@ -240,6 +257,8 @@ def ledger(x: Inputs) -> DataFrame:
     by date and place in the list, of those that rows so far hold.
     """
     leases = header(x)
+    if columns is not None:
+        leases = leases.join(columns, "lease_id", "left")
     first = lambda key: F.array_min(F.transform(F.filter("overrides", lambda o: o.target_key == key), lambda o: o.since))
     keyed = F.filter(F.transform("charges", lambda c: F.struct(c.key.alias("key"), first(c.key).alias("since"))), lambda c: c.since.isNotNull())
     leases = terms(leases).select("lease_id", "square_footage", "nnn_mode", "held", "rents", "explicit", "windows", "items", F.when(F.col("overrides").isNotNull(), keyed).alias("keyed"))
@@ -252,6 +271,7 @@ def ledger(x: Inputs) -> DataFrame:
         *months.columns, "square_footage", "nnn_mode", "keyed", "held", F.get(F.filter("rents", covers), F.lit(0)).step.alias("base_override"),
         F.get(F.filter("explicit", lambda c: holds(c.effective_date)), F.lit(0)).alias("e"), F.get(F.filter("windows", lambda c: (c.start_date <= F.col("row_end")) & (c.end_date >= F.col("month_start"))), F.lit(0)).alias("w"),
         *[f(F.get("held", F.lit(i))).alias(f"{name}{i}") for i in range(SLOTS) for name, f in (("net", lambda s: s.net), ("charge", lambda s: F.when(covers(s), charged(s.step, s))))],
+        *([] if columns is None else [shown_cents().alias("shown")]),
         F.coalesce(F.aggregate(F.filter("items", item), F.lit(0.0), lambda sum_, i: sum_ + i.amount), F.lit(0.0)).alias("once"),
     )
     rows = rows.withColumn("scheduled", F.coalesce("base_override", "monthly_rent")).withColumn("adjusted", F.col("scheduled") * F.col("factor"))
@@ -279,7 +299,7 @@ def ledger(x: Inputs) -> DataFrame:
         F.col("base_override").isNotNull().alias("base_rent_override_applied"), "nnn_mode",
         "total_nnn_amount", "one_time_charges_amount", "total_other_charges_amount", "total_monthly_obligation",
         F.when(F.col("square_footage") > 0, fix6(F.col("total_monthly_obligation") / F.col("square_footage"))).alias("effective_per_sf"), "square_footage",
-        "concession_type", "concession_scope", "concession_value_mode", "concession_value", "override_keys",
+        "concession_type", "concession_scope", "concession_value_mode", "concession_value", "override_keys", *[in_column(i).alias(title) for i, title in enumerate(titles)],
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from leasegrid.operators import custom, ledger
+from leasegrid.operators import custom, generate, ledger
 from leasegrid.plans import oracle
 from leasegrid.plans.queries import PLANS, inputs, months
 from leasegrid.sources.portfolio import ADDED, BUCKETS, LABELS, Portfolio
@@ -28,9 +29,34 @@ def custom_ledger(p: Portfolio) -> DataFrame:
 TOTALS = ["lease_id", "month_num", "base_rent_applied", "total_nnn_amount", "total_other_charges_amount", "total_monthly_obligation", "override_keys"]
 
 
-def exported(p: Portfolio, mode: str) -> DataFrame:
-    own = amounts(p)
-    return custom.schedule_table(ledger.with_remaining(custom_ledger(p)), own, custom.active(own, charges(p), p.leases()), mode)
+def seen_keys(p: Portfolio, own: DataFrame) -> DataFrame:
+    """lease_id, seen: the keys of charges with an amount in some month but none in their terms, which an
+    override has to give them. Only months of leases with such charges are laid out."""
+    bare = own.where("not coalesce(year1 > 0, false)")
+    leases = p.dealt().join(bare.select("lease_id").distinct(), "lease_id", "left_semi")
+    rows = ledger.charge_rows(bare, generate.bounded(generate.expand(generate.quick_entry(leases))).hint("merge"), p.overrides(), leases)
+    return rows.where("amount <> 0").groupBy("lease_id").agg(F.collect_set("key").alias("seen"))
+
+
+def exported(p: Portfolio, mode: str, most: int = custom.MOST_COLUMNS) -> DataFrame:
+    """The exported table of a mode. Columns of charges are added up where the ledger reads a lease's charges:
+    no row is made for a month and a charge, and months are dealt and joined once."""
+    own = charges(p)
+    leases = p.by_lease(p.own_leases().where(F.col("nnn_mode") == mode))
+    listed = own.where("canonical_type <> 'nnn'") if mode == "aggregate" else own
+    listed = listed.groupBy("lease_id").agg(F.collect_list(F.struct("key", "canonical_type", "label", "year1")).alias("listed"))
+    shown = leases.select("lease_id").hint("merge").join(listed, "lease_id").join(seen_keys(p, own).hint("merge"), "lease_id", "left")
+    shown = shown.select("lease_id", F.filter("listed", lambda c: F.coalesce(c.year1 > 0, F.lit(False)) | F.coalesce(F.array_contains("seen", c.key), F.lit(False))).alias("shown"))
+    names = custom.found_titles(custom.titles(shown.select(F.inline("shown")).select("canonical_type", "label")), most)
+    if names is None:
+        rows = amounts(p)
+        return custom.schedule_table(ledger.with_remaining(custom_ledger(p)), rows, custom.active(rows, own, p.leases()), mode, most)
+    numbers = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(i).alias("at")) for i, (kind, label) in enumerate(names)]) if names else F.array().cast("array<struct<kind: string, label: string, at: int>>")
+    number = lambda c: F.get(F.filter(numbers, lambda n: (n.kind == c.canonical_type) & (n.label == c.label)), F.lit(0))["at"]
+    columns = shown.select("lease_id", F.transform("shown", lambda c: F.struct(c.key.alias("key"), number(c).alias("at"))).alias("columns")).hint("merge")
+    months = generate.bounded(generate.expand(generate.quick_entry(leases)))
+    own_inputs = replace(inputs(p), leases=leases.hint("merge"), months=months, charges=own)
+    return custom.schedule_columns(ledger.with_remaining(ledger.ledger(own_inputs, columns, list(names.values()))), list(names.values()), mode)
 
 
 PLANS |= {

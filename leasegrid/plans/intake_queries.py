@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leasegrid.functions import dates
 from leasegrid.operators import intake, ledger
 from leasegrid.plans import oracle
-from leasegrid.plans.queries import PLANS, balances, changed, charge_rows, months, periods, rows
+from leasegrid.plans.queries import PLANS, changed, inputs, months, periods, rows
 from leasegrid.sources import tables
 from leasegrid.sources.portfolio import BUCKETS, Portfolio
 
@@ -153,9 +153,10 @@ def escalated_charges(p: Portfolio) -> DataFrame:
 
 
 def csv_variant(p: Portfolio) -> DataFrame:
-    """The export with every charge in a column of its own."""
-    own = charge_rows(p).groupBy("lease_id", "month_num").pivot("key", BUCKETS).agg(F.first("amount"))
-    out = balances(p).join(own, ["lease_id", "month_num"], "left")
+    """The export with every charge in a column of its own, read where the ledger reads a lease's charges."""
+    own = inputs(p)
+    at = F.array(*[F.struct(F.lit(b).alias("key"), F.lit(i).alias("at")) for i, b in enumerate(BUCKETS)])
+    out = ledger.with_remaining(ledger.ledger(own, own.leases.select("lease_id", at.alias("columns")).hint("merge"), BUCKETS))
     return out.select(
         "lease_id", F.col("month_num").alias("Lease Month #"), F.col("abatement_amount").alias("Abatement ($)"), *[F.coalesce(b, F.lit(0.0)).alias(f"{b} ($)") for b in BUCKETS], F.col("total_nnn_amount").alias("Total NNN ($)"),
         F.col("one_time_charges_amount").alias("One-time Charges ($)"), F.col("total_obligation_remaining").alias("Total Obligation Remaining ($)"),

@@ -1,8 +1,12 @@
 """Charges that users define: their keys, and tables whose columns the data decide."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from leasegrid.operators import custom
+from leasegrid.plans import custom_queries, intake_queries
+from leasegrid.sources.portfolio import Portfolio
 
 
 def test_keys_are_the_least_free_ones(spark):
@@ -42,3 +46,29 @@ def test_modes_decide_the_net_columns(spark):
     one, two = (custom.schedule_table(rows, amounts, shown, mode) for mode in ("individual", "aggregate"))
     assert "CAMS ($)" in one.columns and custom.NNN_COMBINED not in one.columns and "Idle ($)" not in one.columns
     assert "CAMS ($)" not in two.columns and two.first()[custom.NNN_COMBINED] == 9.0 and two.first()["Parking ($)"] == 4.0
+
+
+class Bare(Portfolio):
+    """A portfolio in which a third of the leases have charges without terms, which only overrides make show."""
+
+    def all_charges(self):
+        return super().all_charges().withColumn("year1", F.when(F.col("lease_id") % 3 == 0, 0.0).otherwise(F.col("year1")))
+
+
+def test_columns_of_the_ledger_are_those_of_charge_rows(spark):
+    """What the ledger adds up by title is what the rows of months and charges come to."""
+    p = Bare(spark, "/root/testdata/sf0.001")
+    for mode in ("individual", "aggregate"):
+        own = custom_queries.exported(p, mode)
+        names = [c for c in own.columns if c not in {"lease_id", custom.NNN_COMBINED, *custom.HEAD.values(), *custom.TAIL.values()}]
+        by_rows = {(r.lease_id, r["Lease Month #"]): r.charges or {} for r in custom_queries.exported(p, mode, 1).select("lease_id", "Lease Month #", "charges").collect()}
+        got = {(r.lease_id, r["Lease Month #"]): {n: r[n] for n in names if r[n] is not None} for r in own.collect()}
+        assert len(names) > 3 and got == by_rows
+        assert any(not charges for charges in got.values()) and any(charges for (lease, _), charges in got.items() if lease % 3 == 0) == (mode == "individual")
+
+
+def test_an_export_deals_months_by_lease_alone(spark):
+    p = Portfolio(spark, "/root/testdata/sf0.001")
+    for plan in (custom_queries.exported(p, "individual"), custom_queries.exported(p, "aggregate"), intake_queries.csv_variant(p)):
+        told = plan._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"(hashpartitioning|Join) ?[\[(]lease_id#\d+L?, (month_num|key)#", told)
