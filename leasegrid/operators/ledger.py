@@ -225,10 +225,11 @@ def further_cents(net: bool) -> Column:
     return F.when(F.size("held") > SLOTS, F.aggregate(rest, F.lit(0).cast("long"), lambda sum_, s: sum_ + F.coalesce(cents(s), F.lit(0)))).otherwise(F.lit(0).cast("long"))
 
 
-def shown_cents() -> Column:
-    """at and cents of each charge in a row that counts in a column."""
-    own = F.filter("held", lambda s: s["at"].isNotNull() & covers(s))
-    return F.transform(own, lambda s: F.struct(s["at"].alias("at"), F.coalesce(let(charged(s.step, s), rounded_cents), F.lit(0)).alias("cents")))
+def further_shown() -> Column:
+    """at and cents of each charge past SLOTS that counts in a column of a row."""
+    rest = F.filter(F.slice("held", F.lit(SLOTS + 1), F.size("held")), lambda s: s["at"].isNotNull() & covers(s))
+    told = F.transform(rest, lambda s: F.struct(s["at"].alias("at"), F.coalesce(let(charged(s.step, s), rounded_cents), F.lit(0)).alias("cents")))
+    return F.coalesce(F.when(F.size("held") > SLOTS, told), F.array().cast("array<struct<at: int, cents: bigint>>"))
 
 
 def in_column(number: int) -> Column:
@@ -271,7 +272,7 @@ def ledger(x: Inputs, columns: DataFrame | None = None, titles: Sequence[str] =
         *months.columns, "square_footage", "nnn_mode", "keyed", "held", F.get(F.filter("rents", covers), F.lit(0)).step.alias("base_override"),
         F.get(F.filter("explicit", lambda c: holds(c.effective_date)), F.lit(0)).alias("e"), F.get(F.filter("windows", lambda c: (c.start_date <= F.col("row_end")) & (c.end_date >= F.col("month_start"))), F.lit(0)).alias("w"),
         *[f(F.get("held", F.lit(i))).alias(f"{name}{i}") for i in range(SLOTS) for name, f in (("net", lambda s: s.net), ("charge", lambda s: F.when(covers(s), charged(s.step, s))))],
-        *([] if columns is None else [shown_cents().alias("shown")]),
+        *([] if columns is None else [further_shown().alias("further_shown"), *[F.when(covers(s), s["at"]).alias(f"at{i}") for i in range(SLOTS) for s in [F.get("held", F.lit(i))]]]),
         F.coalesce(F.aggregate(F.filter("items", item), F.lit(0.0), lambda sum_, i: sum_ + i.amount), F.lit(0.0)).alias("once"),
     )
     rows = rows.withColumn("scheduled", F.coalesce("base_override", "monthly_rent")).withColumn("adjusted", F.col("scheduled") * F.col("factor"))
@@ -289,6 +290,9 @@ def ledger(x: Inputs, columns: DataFrame | None = None, titles: Sequence[str] =
     # Added up in a projection of their own: each sum is one expression, which is not split into methods.
     part = lambda net: reduce(add, [F.when(F.col(f"net{i}") == net, F.col(f"cents{i}")).otherwise(F.lit(0)) for i in range(SLOTS)])
     rows = rows.withColumns({"net_cents": F.col("further_net") + part(True), "other_cents": F.col("further_other") + part(False)})
+    if columns is not None:
+        slots = F.array(*[F.struct(F.col(f"at{i}").alias("at"), F.col(f"cents{i}").alias("cents")) for i in range(SLOTS)])
+        rows = rows.withColumn("shown", F.concat(F.filter(slots, lambda x: x["at"].isNotNull()), "further_shown"))
     other = F.col("other_cents") + whole_cents("one_time_charges_amount")
     rows = rows.withColumns({"total_nnn_amount": F.col("net_cents") / F.lit(100.0), "total_other_charges_amount": other / F.lit(100.0), "total_monthly_obligation": (other + F.col("net_cents") + whole_cents("base_rent_applied")) / F.lit(100.0)})
     return rows.select(
